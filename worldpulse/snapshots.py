@@ -1,0 +1,18 @@
+"""Questions about periodic population snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def latest(scrapes: DataFrame) -> DataFrame:
+    """The last snapshot of each world as ``(world_id, scrape_time, players_online)``; of equal times the higher id wins."""
+    best = F.max_by(F.struct("scrape_time", "players_online"), F.struct("scrape_time", "id"))
+    return scrapes.groupBy("world_id").agg(best.alias("last")).select("world_id", "last.*")
+
+
+def online_total(worlds: DataFrame, scrapes: DataFrame) -> DataFrame:
+    """One row ``(total)``: the sum over worlds of their last snapshot. Worlds without one are skipped; no world gives 0."""
+    now = latest(scrapes).join(worlds.select(F.col("id").alias("world_id")), "world_id")
+    return now.agg(F.coalesce(F.sum("players_online"), F.lit(0)).cast("int").alias("total"))
