@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, token_counts
-from worldpulse.llm.shared import table
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, token_counts
+from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+SHARDS = 40
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,32 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(docs, public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(decontamination.mark(docs, table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    digest = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("group_key"),
+        F.xxhash64("doc_id").alias("row_key"),
+    )
+    placed = histogram_sharding.shard(materialize(digest, "op9"), SHARDS, order=["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_bpe_codec": op3_bpe_codec,
+        "op8_decontamination": op8_decontamination,
+        "op9_histogram_sharding": op9_histogram_sharding,
     }
 
 
