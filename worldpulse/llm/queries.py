@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, token_counts
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, token_counts
 from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,21 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(docs, public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; null for a null id, which is then in no fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def language_training(docs: DataFrame) -> dict[str, bytes]:
+    return language_id.learn(docs.filter(_fold(5) != 0))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_training(docs))
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(decontamination.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -51,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_bpe_codec": op3_bpe_codec,
+        "op5_language_id": op5_language_id,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
     }
