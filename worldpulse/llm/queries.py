@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, token_counts
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, quality_crf, token_counts
 from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +32,16 @@ def _fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def quality_field(docs: DataFrame, labels: DataFrame) -> quality_crf.Field:
+    return quality_crf.learn(docs.filter(_fold(4) != 2), labels.filter(_fold(4) != 2))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_crf.score(docs, quality_field(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def language_training(docs: DataFrame) -> dict[str, bytes]:
     return language_id.learn(docs.filter(_fold(5) != 0))
 
@@ -66,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_bpe_codec": op3_bpe_codec,
+        "op4_quality_crf": op4_quality_crf,
         "op5_language_id": op5_language_id,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
