@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 MAX_PATTERN_BYTES = 4_000_000
-WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: In folded bytes every separator is a space.
+WORD = regex.compile(rb"[^ ]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 MARKS = "struct<n_words:long,hits:array<struct<first:int,last:int>>,spans:array<struct<start:int,end:int>>,items:array<string>>"
@@ -90,7 +91,7 @@ class Scanner:
         raw = text.encode("utf-8", "surrogatepass")
         # The character that each byte belongs to: continuation bytes don't begin one.
         char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-        at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
+        at = [(m.start(), m.end()) for m in WORD.finditer(raw.translate(_FOLD))]
         spans = [(int(char[at[a][0]]) - 1, int(char[at[b][1] - 1])) for a, b in ranges]
         return len(words), ranges, spans, sorted({x for _, (_, items) in found for x in items})
 
