@@ -31,8 +31,8 @@ MAX_BROADCAST_GROUPS = 50_000
 #: Least fences: (ratio, least distance between quartiles, whether there's a lower fence, least upper fence).
 RULES = (
     ("symbols_per_word", 0.0, False, 0.10),
-    ("dup_line_share", 0.0, False, 0.30),
-    ("repeat_word_share", 0.0, False, 0.20),
+    ("dup_line_share", 0.0, False, 0.50),
+    ("repeat_word_share", 0.0, False, 0.35),
     ("mean_word_chars", 0.6, True, 0.0),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
