@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, quality_crf, quality_rules, token_counts
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, token_counts
 from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(decontamination.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_codec": op3_bpe_codec,
         "op4_quality_crf": op4_quality_crf,
         "op5_language_id": op5_language_id,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
     }
