@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, token_counts
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, token_counts, training_order
 from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 TOKEN_LIMIT = 512
 SHARDS = 40
 
@@ -81,6 +82,12 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    records, total = training_order.sequences(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
+    return training_order.in_order(records, total).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", "record")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
+        "op10_training_order": op10_training_order,
     }
 
 
