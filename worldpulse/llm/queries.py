@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, token_counts, training_order
+from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
 from worldpulse.llm.shared import materialize, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_links.link(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_codec": op3_bpe_codec,
         "op4_quality_crf": op4_quality_crf,
         "op5_language_id": op5_language_id,
+        "op6_quotation_links": op6_quotation_links,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
