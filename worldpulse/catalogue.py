@@ -1,30 +1,577 @@
-"""The registered queries of the read model, and the same questions in DuckDB's SQL."""
+"""The registered queries of the read model, and the same questions in DuckDB's SQL on the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worldpulse import snapshots
-from worldpulse.catalog import view, with_views
+from worldpulse import schemas
+from worldpulse.catalog import load, view, with_views
+from worldpulse.functions import columns as C
+from worldpulse.operators import identity, ledger, snapshots, stats
+from worldpulse.plans import ingest
+from worldpulse.sources import pages as P
+from worldpulse.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
-LATEST = "select world_id, arg_max(players_online, {'a': scrape_time, 'b': id}) as players_online from scrapes group by world_id"
+CUTOFF = "2000-06-01 00:00:00"
+AS_OF = "2000-12-01 00:00:00"
+WORLD, FROM, TO = "NATION_3", "2024-01-05 00:00:00", "2024-01-06 00:00:00"
+STAT_NAMES = ("Customer#000000001", "Customer#000000002", "Customer#000000004")
+CATEGORY = "1-URGENT"
+BASE = "https://game.example/community/"
 
+_queries: dict[str, Query] = {}
+_oracle: dict[str, str] = {}
 
-def online_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.online_total(view(spark, sf_dir, "worlds"), view(spark, sf_dir, "scrapes"))
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if it has one."""
 
-ORACLE = {
-    "online_total": with_views(f"select cast(coalesce(sum(players_online), 0) as int) as total from ({LATEST}) l join worlds w on w.id = l.world_id", "worlds", "scrapes"),
-}
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracle[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {"online_total": online_total}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(_oracle)
+
+
+def _ntz(x: str):
+    return F.lit(x).cast("timestamp_ntz")
+
+
+LATEST = "select world_id, arg_max(players_online, {'a': scrape_time, 'b': id}) as players_online, max(scrape_time) as scrape_time from scrapes group by world_id"
+
+# --- A1 to A4: the population ---------------------------------------------------------------
+
+
+@query(with_views(f"select cast(coalesce(sum(players_online), 0) as int) as total from ({LATEST}) l join worlds w on w.id = l.world_id", "worlds", "scrapes"))
+def online_total(spark: SparkSession, sf: str) -> DataFrame:
+    """A1"""
+    return snapshots.online_total(view(spark, sf, "worlds"), view(spark, sf, "scrapes"))
+
+
+@query(with_views(f"select w.name as world, coalesce(l.players_online, 0) as players_online from worlds w left join ({LATEST}) l on l.world_id = w.id", "worlds", "scrapes"))
+def worlds_online(spark: SparkSession, sf: str) -> DataFrame:
+    """A2"""
+    return snapshots.worlds_online(view(spark, sf, "worlds"), view(spark, sf, "scrapes"))
+
+
+@query(with_views(f"select w.name as world, coalesce(l.players_online, 0) as players_online from worlds w left join ({LATEST}) l on l.world_id = w.id where w.name in ('NATION_3', 'NATION_21')", "worlds", "scrapes"))
+def world_now(spark: SparkSession, sf: str) -> DataFrame:
+    """A3, for a world with and one without snapshots"""
+    return snapshots.world_now(view(spark, sf, "worlds"), view(spark, sf, "scrapes"), "NATION_3", "NATION_21")
+
+
+@query(with_views(f"select scrape_time, players_online from scrapes s join worlds w on w.id = s.world_id where w.name = '{WORLD}' and scrape_time between timestamp '{FROM}' and timestamp '{TO}' order by scrape_time, s.id", "worlds", "scrapes"))
+def world_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A4, FLT2, SORT1"""
+    return snapshots.world_history(view(spark, sf, "worlds"), view(spark, sf, "scrapes"), WORLD, _ntz(FROM), _ntz(TO))
+
+
+@query(with_views("select user_id as world_id, arg_max(ts, {'a': ts, 'b': event_id}) as scrape_time, cast(floor(arg_max(value, {'a': ts, 'b': event_id})) as int) as players_online from events group by user_id", "scrapes"))
+def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    """TOP1, AGG2 by a partial maximum, over users"""
+    rows = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("world_id"), F.col("ts").alias("scrape_time"), F.floor("value").cast("int").alias("players_online"))
+    return snapshots.latest(rows)
+
+
+@query("select user_id, event_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def latest_by_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """TOP1, SORT2 by a limited window"""
+    return snapshots.latest_by_rank(load(spark, sf, "events"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id", "ts", "event_type")
+
+
+@query(with_views("select w.id, w.name from worlds w where not exists (select 1 from scrapes s where s.world_id = w.id)", "worlds", "scrapes"))
+def worlds_without_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN7, FLT18"""
+    return snapshots.worlds_without_snapshot(view(spark, sf, "worlds"), view(spark, sf, "scrapes"))
+
+
+@query(with_views("select id, name, location from worlds where name = 'NATION_3'", "worlds"))
+def world_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT1"""
+    return view(spark, sf, "worlds").filter(F.col("name") == WORLD)
+
+
+@query(with_views("select id, name, location from worlds order by id", "worlds"))
+def all_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC6, SNK14"""
+    return view(spark, sf, "worlds").orderBy("id")
+
+
+@query(with_views("select world_id, arg_min(players_online, {'a': scrape_time, 'b': id}) as players_online from scrapes where players_online > 20 group by world_id", "scrapes"))
+def first_non_null(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG3: values up to 20 stand for unknown ones"""
+    known = view(spark, sf, "scrapes").withColumn("players_online", F.when(F.col("players_online") > 20, F.col("players_online")))
+    return snapshots.first_known(known, "world_id", "players_online", "scrape_time", "id")
+
+
+@query(with_views("select cast(date_trunc('day', scrape_time) as date) as day, world_id, count(*) as n from scrapes group by all", "scrapes"))
+def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """An addition: tumbling days"""
+    return snapshots.daily_counts(view(spark, sf, "scrapes"))
+
+
+# --- A5 and A6: characters ------------------------------------------------------------------
+
+RECENT = f"(active = true or (active = false and inactive_date > timestamp '{CUTOFF}'))"
+
+
+@query(with_views(f"select c.id, n.name as requested_name, c.vocation from character_names n join characters c on c.id = n.character_id where {RECENT}", "characters", "character_names"))
+def character_by_any_name(spark: SparkSession, sf: str) -> DataFrame:
+    """A5, FLT4, JOIN1, for every name"""
+    return identity.by_any_name(view(spark, sf, "character_names"), view(spark, sf, "characters"), _ntz(CUTOFF)).select("id", "requested_name", "vocation")
+
+
+@query(with_views(f"select n.name as requested_name, s.date, s.value, s.rank, w.name as world from character_names n join stats s on s.character_id = n.character_id join worlds w on w.id = s.world_id where {RECENT} and n.name in {STAT_NAMES} and s.category = '{CATEGORY}' order by 1, 2, s.id", "worlds", "character_names", "stats"))
+def stat_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A6, FLT8, JOIN2, SORT3"""
+    found = identity.by_any_name(view(spark, sf, "character_names"), view(spark, sf, "characters"), _ntz(CUTOFF), *STAT_NAMES)
+    return stats.stat_history(found, view(spark, sf, "stats"), view(spark, sf, "worlds"), CATEGORY)
+
+
+@query(with_views(f"select n.name as requested_name, s.category, count(*) as n, max(s.value) as best from character_names n join stats s on s.character_id = n.character_id where {RECENT} group by all", "character_names", "stats"))
+def best_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 over all names and categories, reduced"""
+    names = view(spark, sf, "character_names").filter(identity.recent(_ntz(CUTOFF)))
+    joined = view(spark, sf, "stats").join(names.select("character_id", F.col("name").alias("requested_name")), "character_id")
+    return joined.groupBy("requested_name", "category").agg(F.count("*").alias("n"), F.max("value").alias("best"))
+
+
+@query(with_views("select id, character_id, name, active, inactive_date from character_names where name = 'Customer#000000004' and active = true", "character_names"))
+def active_name(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT5"""
+    return identity.active_by_name(view(spark, sf, "character_names"), "Customer#000000004")
+
+
+@query(with_views("select id, character_id, name, active, inactive_date from character_names where character_id = 5 and active = true", "character_names"))
+def active_name_of_character(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT6"""
+    return identity.active_by_character(view(spark, sf, "character_names"), 5)
+
+
+@query(with_views("select id, character_id, name, active, inactive_date from character_names where name = 'Customer#000000003'", "character_names"))
+def name_in_any_state(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT7"""
+    return identity.by_name(view(spark, sf, "character_names"), "Customer#000000003")
+
+
+@query(with_views("select id, vocation, world_id from characters where id = 7", "characters"))
+def character_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT9"""
+    return view(spark, sf, "characters").filter("id = 7")
+
+
+@query(with_views("select c.id, c.vocation, v.promoted from characters c left join (select * from (values ('BUILDING', 'master builder'), ('MACHINERY', 'chief engineer')) t(name, promoted)) v on v.name = c.vocation", "characters"))
+def character_vocation(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN5: characters without a known vocation stay"""
+    v = spark.createDataFrame([("BUILDING", "master builder"), ("MACHINERY", "chief engineer")], "vocation string, promoted string")
+    return view(spark, sf, "characters").join(F.broadcast(v), "vocation", "left").select("id", "vocation", "promoted")
+
+
+@query(
+    "with c as (select *, lag(event_type) over w as before, row_number() over w as k from events window w as (partition by user_id order by ts, event_id)), "
+    "d as (select user_id, event_type, ts, event_id from c where k = 1 or event_type is distinct from before) "
+    "select user_id, event_type, ts as valid_from, lead(ts) over (partition by user_id order by ts, event_id) as valid_to, lead(ts) over (partition by user_id order by ts, event_id) is null as active from d"
+)
+def scd2_names(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-SCD2: the event type stands for a user's name"""
+    return identity.history(load(spark, sf, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+_SEEN = "select c_name as name, case when c_custkey % 10 = 0 then 'Customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0') else c_name end as former_names, timestamp '2001-01-01 00:00:00' as seen_at from customer where c_custkey % 5 = 0 union all select 'New#' || cast(n_nationkey as varchar), 'Nobody', timestamp '2001-01-01 00:00:00' from nation"
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    former = F.when(key % 10 == 0, F.concat(F.lit("Customer#"), F.lpad((key + 1).cast("string"), 9, "0"))).otherwise(F.col("c_name"))
+    own = load(spark, sf, "customer").filter(key % 5 == 0).select(F.col("c_name").alias("name"), former.alias("former_names"), _ntz("2001-01-01 00:00:00").alias("seen_at"))
+    new = load(spark, sf, "nation").select(F.concat(F.lit("New#"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("Nobody").alias("former_names"), _ntz("2001-01-01 00:00:00").alias("seen_at"))
+    return identity.resolve(own.unionByName(new), view(spark, sf, "character_names"), _ntz(CUTOFF))
+
+
+_RESOLVED = f"seen as ({_SEEN}), r as (select s.name, coalesce(o.character_id, f.character_id) as character_id from seen s left join character_names o on o.name = s.name and {RECENT.replace('active', 'o.active').replace('ino.active_date', 'o.inactive_date')} left join character_names f on f.name = s.former_names and f.name <> s.name)"
+
+
+@query(with_views("select * from (with " + _RESOLVED + " select name, coalesce(character_id, 0) as character_id, character_id is null as is_new from r)", "character_names"))
+def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-RESOLVE, JOIN6, FN-SPLIT, D1: new characters' ids, which are hashes, are shown as 0"""
+    return _resolved(spark, sf).select("name", F.when(F.col("is_new"), 0).otherwise(F.col("character_id")).cast("bigint").alias("character_id"), "is_new")
+
+
+@query(
+    with_views(
+        "select * from (with " + _RESOLVED + ", now as (select character_id, max(name) as now_name from r where character_id is not null group by 1) "
+        "select n.name, coalesce(n.active and not (w.now_name is not null and w.now_name <> n.name), n.active) as active, case when n.active and w.now_name <> n.name then timestamp '2001-01-01 00:00:00' else n.inactive_date end as inactive_date from character_names n left join now w on w.character_id = n.character_id "
+        "union all select w.now_name, true, null from now w where not exists (select 1 from character_names n where n.character_id = w.character_id and n.name = w.now_name and n.active) "
+        "union all select name, true, null from r where character_id is null)",
+        "character_names",
+    )
+)
+def renamed(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-ACTIVE, SNK4, SNK5, D2, D3: the name history after all of these were seen"""
+    return identity.apply_names(view(spark, sf, "character_names"), _resolved(spark, sf)).select("name", "active", "inactive_date")
+
+
+@query("select n_name as world, category, cast(vocation_id as int) as vocation_id, cast(page as int) as page from nation, (values " + ", ".join(f"('{c}')" for c in C.CATEGORIES) + ") c(category), range(1, 7) v(vocation_id), range(1, 21) p(page)")
+def highscore_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN9, LIM1: 15 categories, 6 vocations and 20 pages of each world"""
+    return stats.highscore_grid(view(spark, sf, "worlds"))
+
+
+@query(
+    "with rows_ as (select 'w' || cast(o_custkey % 50 as varchar) as world, o_orderpriority as category, cast(o_custkey % 6 + 1 as int) as vocation_id, cast(o_orderkey % 25 + 1 as int) as page, o_orderkey as value from orders), "
+    "got as (select distinct world, category, vocation_id, page from rows_), "
+    "gap as (select l.world, l.category, l.vocation_id, min(p.page) as stop from (select distinct world, category, vocation_id from got) l, range(1, 22) p(page) where p.page = 21 or not exists (select 1 from got g where g.world = l.world and g.category = l.category and g.vocation_id = l.vocation_id and g.page = p.page) group by all) "
+    "select r.world, r.category, r.vocation_id, r.page, r.value from rows_ r join gap using (world, category, vocation_id) where r.page < gap.stop"
+)
+def read_until_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """LIM1: pages count up to the first empty one, 20 at most"""
+    k = F.col("o_custkey")
+    rows = load(spark, sf, "orders").select(F.concat(F.lit("w"), (k % 50).cast("string")).alias("world"), F.col("o_orderpriority").alias("category"), (k % 6 + 1).cast("int").alias("vocation_id"), (F.col("o_orderkey") % 25 + 1).cast("int").alias("page"), F.col("o_orderkey").alias("value"))
+    return stats.read_pages(rows).select("world", "category", "vocation_id", "page", "value")
+
+
+# --- Ledger ---------------------------------------------------------------------------------
+
+_TOKENS = "select o_orderkey as id, o_custkey as user_id, 't' || cast(o_orderkey as varchar) as token, o_orderdate as expires_at, o_orderdate as created_at, o_orderkey % 3 = 0 as revoked from orders"
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return load(spark, sf, "orders").select(k.alias("id"), F.col("o_custkey").alias("user_id"), F.concat(F.lit("t"), k.cast("string")).alias("token"), F.col("o_orderdate").alias("expires_at"), F.col("o_orderdate").alias("created_at"), (k % 3 == 0).alias("revoked"))
+
+
+@query(f"select id, token from ({_TOKENS}) where not revoked and expires_at >= timestamp '{CUTOFF}'")
+def token_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT20"""
+    return ledger.usable(_tokens(spark, sf), _ntz(CUTOFF)).select("id", "token")
+
+
+@query(f"select id, token, revoked from ({_TOKENS}) where token = 't3'")
+def token_by_value(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT11"""
+    return ledger.by_token(_tokens(spark, sf), "t3").select("id", "token", "revoked")
+
+
+@query(f"select id, token from ({_TOKENS}) where user_id = 4 and not revoked")
+def tokens_of_user(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT12"""
+    return ledger.unrevoked_of(_tokens(spark, sf), 4).select("id", "token")
+
+
+@query(f"select id from ({_TOKENS}) where expires_at >= timestamp '{CUTOFF}'")
+def tokens_purged(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK10"""
+    return ledger.purge(_tokens(spark, sf), _ntz(CUTOFF)).select("id")
+
+
+@query(f"select t.id, u.c_name as username from ({_TOKENS}) t join customer u on u.c_custkey = t.user_id")
+def token_users(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN10"""
+    users = load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    return _tokens(spark, sf).join(users, "user_id").select("id", "username")
+
+
+@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+def blacklist_anti(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN8: labelled documents stand for blacklisted ids"""
+    jti = F.col("doc_id").alias("jti")
+    return ledger.allowed(load(spark, sf, "documents").select(jti, "lang"), load(spark, sf, "labels").select(jti)).select(F.col("jti").alias("doc_id"), "lang")
+
+
+@query("select doc_id, lang from documents where doc_id in (select doc_id from labels)")
+def blacklist_semi(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN8, FLT10"""
+    jti = F.col("doc_id").alias("jti")
+    return ledger.blacklisted(load(spark, sf, "documents").select(jti, "lang"), load(spark, sf, "labels").select(jti)).select(F.col("jti").alias("doc_id"), "lang")
+
+
+@query("select distinct 'u' || cast(user_id as varchar) as jti from events where user_id not in (select c_custkey from customer where c_custkey % 2 = 0)")
+def blacklist_append(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK9, OP-LOGOUT: repeated ids give one row, known ones none"""
+    asked = load(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("jti"), F.lit("Bearer x").alias("authorization"))
+    known = load(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("jti"))
+    return ledger.logout(asked, known, _ntz(AS_OF)).select("jti")
+
+
+@query("select c_name as username, case when c_custkey % 4 = 0 then 'USER' else 'A, B' end as roles from customer where c_custkey % 2 = 0 and not exists (select 1 from supplier where s_suppkey = c_custkey)")
+def register_users(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK7, OP-REGISTER, FN-DEFROLE"""
+    k = F.col("c_custkey")
+    asked = load(spark, sf, "customer").filter(k % 2 == 0).select(F.col("c_name").alias("username"), F.lit("x").alias("password"), F.when(k % 4 == 0, F.lit("  ")).otherwise(F.lit("A, B")).alias("roles"))
+    known = load(spark, sf, "supplier").select(F.format_string("Customer#%09d", "s_suppkey").alias("username"))
+    return ledger.register(known, asked.unionByName(asked), _ntz(AS_OF)).select("username", "roles")
+
+
+@query(
+    f"select t.token, case when t.id % 7 = 0 then 'invalid refresh token' when u.c_custkey is null then 'unknown user' when t.revoked then 'revoked' when t.expires_at < timestamp '{CUTOFF}' then 'expired' end as refused from ({_TOKENS}) t left join customer u on u.c_custkey = t.user_id and u.c_custkey % 11 <> 0"
+)
+def refresh_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-REFRESH: why a token isn't exchanged"""
+    tokens = _tokens(spark, sf)
+    asked = tokens.select("token", F.when(F.col("id") % 7 == 0, "access").otherwise("refresh").alias("type"), F.col("user_id").cast("string").alias("username"))
+    users = load(spark, sf, "customer").filter("c_custkey % 11 <> 0").select(F.col("c_custkey").cast("string").alias("username"))
+    return ledger.refusals(asked, tokens, users, _ntz(CUTOFF)).select("token", "refused")
+
+
+@query(
+    f"with ok as (select id, user_id from ({_TOKENS}) t where id % 5 = 0 and not revoked and expires_at >= timestamp '{CUTOFF}') "
+    f"select token, user_id, revoked or id in (select id from ok) as revoked from ({_TOKENS}) union all select 'n' || cast(id as varchar), user_id, false from ok"
+)
+def refresh_rotated(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-REFRESH, SNK8: accepted tokens are revoked and get a successor"""
+    tokens = _tokens(spark, sf)
+    asked = tokens.filter("id % 5 = 0").select("token", F.lit("refresh").alias("type"), F.col("user_id").cast("string").alias("username"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("new_token"))
+    users = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("username"))
+    return ledger.rotate(asked, tokens, users, _ntz(CUTOFF)).select("token", "user_id", "revoked")
+
+
+@query("select event_id, user_id from events e where not exists (select 1 from customer c where c.c_custkey % 3 = 0 and c.c_custkey = e.user_id)")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK11"""
+    gone = load(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    return ledger.without_parents(load(spark, sf, "events").select("event_id", "user_id"), gone, "user_id")
+
+
+_ROLES = "' ' || o_orderpriority || ', ,ROLE_' || o_orderstatus || ','"
+
+
+@query(f"select o_orderkey, array_to_string(list_transform(list_filter(list_transform(string_split({_ROLES}, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: case when starts_with(x, 'ROLE_') then x else 'ROLE_' || x end), '|') as roles, o_orderkey % 2 = 0 as locked from orders")
+def role_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-ROLES, FLT19, FN-PREFIX"""
+    users = load(spark, sf, "orders").select(F.col("o_orderkey").alias("username"), F.lit("x").alias("password"), F.concat(F.lit(" "), "o_orderpriority", F.lit(", ,ROLE_"), "o_orderstatus", F.lit(",")).alias("roles"), (F.col("o_orderkey") % 2 == 1).alias("enabled"))
+    return ledger.authorities(users).select(F.col("username").alias("o_orderkey"), F.array_join("authorities", "|").alias("roles"), "locked")
+
+
+# --- Ingest ---------------------------------------------------------------------------------
+
+
+@query(
+    with_views(
+        "select w.name, case when w.id % 2 = 0 then 'stored' else 'PvP ' || cast(w.id as varchar) end as pvp_type, w.location, case when w.id % 3 = 0 then 'old record' when w.id % 5 <> 0 then 'record ' || cast(w.id as varchar) end as online_record from worlds w "
+        "union all select 'Fresh#' || cast(r_regionkey as varchar), 'PvP new', 'EU', 'record new' from region",
+        "worlds",
+    )
+)
+def upsert_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK3, AGG3, D6, D7: stored attributes stay, null ones are filled, new worlds are added"""
+    w = view(spark, sf, "worlds")
+    none = F.lit(None).cast("string")
+    stored = w.select("id", "name", F.when(F.col("id") % 2 == 0, "stored").alias("pvp_type"), "location", F.when(F.col("id") % 3 == 0, "old record").alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
+    fresh = load(spark, sf, "region").select(F.concat(F.lit("Fresh#"), F.col("r_regionkey").cast("string")).alias("name"))
+    overview = w.select("name", F.concat(F.lit("PvP "), F.col("id").cast("string")).alias("pvp_type"), F.lit("elsewhere").alias("location")).unionByName(fresh.select("name", F.lit("PvP new").alias("pvp_type"), F.lit("EU").alias("location")))
+    facts = w.filter("id % 5 <> 0").select("name", F.concat(F.lit("record "), F.col("id").cast("string")).alias("online_record")).unionByName(fresh.select("name", F.lit("record new").alias("online_record")))
+    pages = facts.select("name", none.alias("pvp_type"), "online_record", F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
+    return ingest.upsert_worlds(stored, overview, pages).select("name", "pvp_type", "location", "online_record")
+
+
+def _page_players(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as world pages: a page per order with its lines' suppliers as players."""
+    lines = load(spark, sf, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.format_string("Supplier#%09d", "l_suppkey"))).alias("players"))
+    none = F.lit(None).cast("string")
+    orders = load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select(F.format_string("NATION_%d", F.col("o_orderkey") % 25).alias("name"), (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey").cast("decimal(18,6)"))).alias("fetched_at"), F.size("players").alias("players_online"), none.alias("pvp_type"), none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"), "players")
+
+
+def _pass(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    none = F.lit(None).cast("string")
+    w = view(spark, sf, "worlds")
+    stored = w.select("id", "name", none.alias("pvp_type"), "location", none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
+    known = load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
+    former = spark.createDataFrame([], "name string, former_names string")
+    return ingest.world_pass(stored, known, w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF))
+
+
+_PAGES = "select o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, count(distinct l_suppkey) as players_online from orders join lineitem on l_orderkey = o_orderkey where o_orderkey <= 2000 group by o_orderkey, o_orderdate"
+
+
+@query(f"select cast(world_id as bigint) as world_id, scrape_time, cast(players_online as int) as players_online from ({_PAGES})")
+def pass_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-WORLD, SNK1, OP-STAMP"""
+    return _pass(spark, sf)["scrapes"].select("world_id", "scrape_time", "players_online")
+
+
+@query("select world_id, scrape_time, count(*) as players, cast(count_if(s_suppkey % 2 = 0) as bigint) as known from (select distinct o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, l_suppkey as s_suppkey from orders join lineitem on l_orderkey = o_orderkey where o_orderkey <= 2000) group by all")
+def pass_players(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-WORLD, SNK2, AGG4, JOIN6: players per snapshot, and how many were known before"""
+    out = _pass(spark, sf)
+    known = load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("character_id"), F.lit(1).alias("one"))
+    joined = out["scrape_players"].join(out["scrapes"].select(F.col("id").alias("scrape_id"), "world_id", "scrape_time"), "scrape_id").join(known, "character_id", "left")
+    return joined.groupBy("world_id", "scrape_time").agg(F.count("*").alias("players"), F.count("one").alias("known"))
+
+
+@query("select s_name as name, true as active from supplier where s_suppkey % 2 = 0 union select 'Supplier#' || lpad(cast(l_suppkey as varchar), 9, '0'), true from lineitem where l_orderkey <= 2000")
+def pass_names(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-WORLD, SNK4: unknown players get a character and a first name"""
+    return _pass(spark, sf)["character_names"].select("name", "active")
+
+
+@query("select o_orderpriority as category, date '2000-12-01' as date, cast(floor(o_totalprice) as bigint) as value, cast(o_orderkey as int) as rank, cast(o_custkey % 25 as bigint) as world_id, c.c_custkey % 3 <> 0 as known from orders join customer c on c_custkey = o_custkey")
+def highscore_records(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-HS, SNK6, D4, D5, D16: only active names are known"""
+    customers = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    rows = load(spark, sf, "orders").join(customers, "o_custkey").select(F.format_string("NATION_%d", F.col("o_custkey") % 25).alias("world"), F.col("o_orderpriority").alias("category"), F.lit(1).alias("vocation_id"), F.lit(1).alias("page"), F.col("o_orderkey").cast("int").alias("rank"), "name", F.floor("o_totalprice").cast("bigint").alias("value"))
+    names = view(spark, sf, "character_names")
+    out = ingest.highscore_run(view(spark, sf, "worlds"), names, rows, _ntz(AS_OF))
+    known = names.select("character_id", F.lit(True).alias("k")).distinct()
+    return out["character_statrecords"].join(known, "character_id", "left").select("category", "date", "value", "rank", "world_id", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+@query("select rule, cast(n as bigint) as n from (select 'character_id is null' as rule, count_if(o_custkey is null) as n from orders union all select 'category is null', count_if(o_orderpriority is null) from orders union all select 'category is not allowed', count(*) from orders union all select 'world_id is null', 0 union all select 'date is null', count_if(o_orderdate is null) from orders union all select 'world_id is not in worlds', count_if(o_custkey % 30 >= 25) from orders)")
+def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """NOT NULL, CHECK and REFERENCES as counts"""
+    rows = load(spark, sf, "orders").select(F.col("o_custkey").alias("character_id"), F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 30).alias("world_id"))
+    return schemas.violations("character_statrecords", rows, {"worlds": view(spark, sf, "worlds")})
+
+
+@query("select 'name is null' as rule, cast(0 as bigint) as n union all select 'name repeats', count(*) from (select c_mktsegment from customer group by 1 having count(*) > 1)")
+def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """UNIQUE as a count of repeated keys"""
+    return schemas.violations("worlds", load(spark, sf, "customer").select(F.col("c_mktsegment").alias("name")))
+
+
+# --- Functions ------------------------------------------------------------------------------
+
+
+@query("select page_id, coalesce(try_cast(regexp_replace(url, '[^0-9]', '', 'g') as int), 0) as i, coalesce(try_cast(regexp_replace(url || cast(page_id as varchar), '[^0-9]', '', 'g') as bigint), 0) as l from pages")
+def digits_or_zero(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-INT, FN-LONG"""
+    p = load(spark, sf, "pages")
+    return p.select("page_id", C.digits_int(F.col("url")).alias("i"), C.digits_long(F.concat("url", F.col("page_id").cast("string"))).alias("l"))
+
+
+@query("select o_orderkey, cast(cast(o_custkey as varchar) as int) as n from orders")
+def strict_number(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-STRICT"""
+    return load(spark, sf, "orders").select("o_orderkey", C.strict_int(F.col("o_custkey").cast("string")).alias("n"))
+
+
+@query("select o_orderkey, cast(date_trunc('month', o_orderdate) as date) as month from orders")
+def month_year(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-MONTH"""
+    return load(spark, sf, "orders").select("o_orderkey", C.month_year(F.date_format("o_orderdate", "MMMM yyyy")).alias("month"))
+
+
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' when microsecond(ts) % 1000 = 0 then strftime(ts, '.%g') else strftime(ts, '.%f') end || 'Z'"
+
+
+@query(f"select event_id, {_ISO} as iso from events")
+def iso_instant(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-ISO, PRJ3"""
+    return load(spark, sf, "events").select("event_id", C.iso_instant(F.col("ts")).alias("iso"))
+
+
+@query("select o_orderkey, cast(cast(o_orderdate as date) as varchar) as date from orders")
+def iso_date(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-DATE, PRJ6"""
+    return load(spark, sf, "orders").select("o_orderkey", C.iso_date(F.to_date("o_orderdate")).alias("date"))
+
+
+@query("select event_id, make_timestamp(1700000000000000 + event_id * 1000) as t, timestamp '2024-01-05 00:00:00' as s from events")
+def epoch_millis(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-PARSE"""
+    at = C.from_epoch_millis(F.lit(1_700_000_000_000) + F.col("event_id"))
+    return load(spark, sf, "events").select("event_id", at.cast("timestamp_ntz").alias("t"), C.parse_instant(F.lit("2024-01-05T00:00:00Z")).cast("timestamp_ntz").alias("s"))
+
+
+@query("select o_orderkey, o_orderdate - interval 6 months as cutoff, o_orderdate - interval 86400 seconds as start, o_orderdate + interval 900 seconds as access_until, o_orderdate + interval 1209600 seconds as refresh_until from orders")
+def instants(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-HORIZON, FN-NOW, FN-TTL"""
+    d = F.col("o_orderdate")
+    return load(spark, sf, "orders").select("o_orderkey", C.horizon(d).alias("cutoff"), C.default_range(d)[0].alias("start"), C.expires_at(d, C.ACCESS_TTL_MS).alias("access_until"), C.expires_at(d, C.REFRESH_TTL_MS).alias("refresh_until"))
+
+
+@query("select c_custkey, coalesce(nullif(trim(case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then '  ' else c_mktsegment end), ''), 'USER') as roles from customer")
+def roles_default(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-DEFROLE"""
+    k = F.col("c_custkey")
+    return load(spark, sf, "customer").select("c_custkey", C.default_roles(F.when(k % 3 == 0, None).when(k % 3 == 1, F.lit("  ")).otherwise(F.col("c_mktsegment"))).alias("roles"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then c_name end as token from customer")
+def bearer(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-BEARER"""
+    header = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Bearer ").otherwise("Basic "), F.col("c_name"))
+    return load(spark, sf, "customer").select("c_custkey", C.bearer_token(header).alias("token"))
+
+
+@query("select category, code from (values " + ", ".join(f"('{c}', {k})" for k, c in enumerate(C.CATEGORIES, 1)) + ", ('NONE', null)) t(category, code)")
+def category_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-CODE"""
+    rows = spark.createDataFrame([(c,) for c in (*C.CATEGORIES, "NONE")], "category string")
+    return rows.select("category", C.category_code(F.col("category")).alias("code"))
+
+
+@query("select event_id, trim(regexp_replace(' ' || event_type || chr(10) || ' x ', '\\s+', ' ', 'g')) as clean, trim(event_type) = '' as blank, lower(event_type) = 'click' as same, contains(event_type, 'i') as labelled from events")
+def text_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-TRIM, FN-BLANK, FN-CONTAINS, FLT15"""
+    x = F.col("event_type")
+    return load(spark, sf, "events").select("event_id", C.clean(F.concat(F.lit(" "), x, F.lit("\n x "))).alias("clean"), C.is_blank(x).alias("blank"), C.equals_ignoring_case(x, "Click").alias("same"), C.has_label(x, "i").alias("labelled"))
+
+
+@query("select c_custkey, array_to_string(list_filter(list_transform(string_split(c_name || ', ,' || c_mktsegment || ',', ','), lambda x: trim(x)), lambda x: x <> ''), '|') as parts from customer")
+def split_names(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-SPLIT"""
+    return load(spark, sf, "customer").select("c_custkey", F.array_join(C.split_names(F.concat("c_name", F.lit(", ,"), "c_mktsegment", F.lit(","))), "|").alias("parts"))
+
+
+@query(f"select n_nationkey, '{BASE}?subtopic=worlds&world=' || n_name as world_url, '{BASE}?name=' || n_name || '+%26+x' as character_url, '{BASE}?subtopic=highscores&world=' || n_name || '&beprotection=-1&profession=2&category=6&currentpage=' || cast(n_nationkey as varchar) as list_url from nation")
+def page_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC9"""
+    base, n = F.lit(BASE), F.col("n_name")
+    return load(spark, sf, "nation").select("n_nationkey", S.world_url(base, n).alias("world_url"), S.character_url(base, F.concat(n, F.lit(" & x"))).alias("character_url"), S.highscore_url(base, n, F.lit(2), F.lit("EXPERIENCE"), F.col("n_nationkey")).alias("list_url"))
+
+
+@query("select cast(id as bigint) as id, name, promotion_name from (values (1, 'druid', 'elder druid'), (2, 'sorcerer', 'master sorcerer'), (3, 'knight', 'elite knight'), (4, 'paladin', 'royal paladin'), (5, 'monk', 'exalted monk')) t(id, name, promotion_name)")
+def seeded_vocations(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC8"""
+    return S.vocations(spark)
+
+
+@query(with_views(f"select '{{\"world\":\"' || w.name || '\",\"playersOnline\":' || cast(coalesce(l.players_online, 0) as varchar) || '}}' as json from worlds w left join ({LATEST}) l on l.world_id = w.id", "worlds", "scrapes"))
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK12, PRJ1, PRJ2, FN-JSON"""
+    rows = worlds_online(spark, sf)
+    return rows.select(C.to_json("world", F.col("players_online").alias("playersOnline")).alias("json"))
+
+
+@query(with_views(f"select w.name, coalesce(l.players_online, 0) as playersOnline from worlds w left join ({LATEST}) l on l.world_id = w.id", "worlds", "scrapes"))
+def graph_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK13, PRJ2"""
+    return worlds_online(spark, sf).select(F.col("world").alias("name"), F.col("players_online").alias("playersOnline"))
+
+
+@query(with_views("select id, name, cast(null as int) as level, id % 6 as vocationId, cast(null as varchar) as residence from character_names where active", "character_names"))
+def character_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ4, PRJ5, D9: unknown details stay null"""
+    names = view(spark, sf, "character_names").filter("active")
+    return names.select("id", "name", F.lit(None).cast("int").alias("level"), (F.col("id") % 6).alias("vocationId"), F.lit(None).cast("string").alias("residence"))
+
+
+# --- Pages ----------------------------------------------------------------------------------
+
+
+@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
+def page_title(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-CSS by a pattern"""
+    return load(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("select page_id, count(*) as n, count(distinct href) as targets from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) group by page_id")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC1 to SRC4, FN-CSS by the UDTF"""
+    found = P.links(load(spark, sf, "pages"), "page_id")
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("targets"))
