@@ -41,17 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) with digests of the ids and of the text they decode to."""
-    path = public_tokenizers.path(BYTE_BPE)
-    decoded = bpe_codec.decode(bpe_codec.encode(docs, path), path)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        "token_ids",
-    )
+    coded = bpe_codec.round_trip(docs, public_tokenizers.path(BYTE_BPE), with_ids=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES = [

@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.vocabulary import Vocabulary, vocabulary
+from worldpulse.llm.shared import one_per_process
+from worldpulse.llm.vocabulary import Vocabulary
 
 MAX_PIECES = 800_000
 
@@ -101,15 +102,9 @@ class Codec:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(raw: str) -> Codec:
     """One per Python process and vocabulary."""
-    if raw not in _codecs:
-        _codecs.clear()
-        _codecs[raw] = Codec(vocabulary(raw))
-    return _codecs[raw]
+    return one_per_process(("codec", raw), lambda: Codec(Vocabulary(raw)))
 
 
 def _broadcast(df: DataFrame, vocab_path: str):
@@ -143,23 +138,25 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col:
     return df.withColumn(out_col, text(F.coalesce(F.col(ids_col), F.lit(b""))))
 
 
-def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``df`` without its text but with ``n_tokens`` and digests of its ids and of the text decoded from them.
 
-    Equal to hashing the columns of :func:`encode` and :func:`decode`, in one pass that keeps
-    neither the ids nor the decoded text beyond one document.
+    Equal to hashing the columns of :func:`encode` and :func:`decode`, in one pass that keeps no decoded
+    text beyond one document, and the ids only if ``token_ids`` is asked for.
     """
     raw = _broadcast(df, vocab_path)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 
-    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string" + ",token_ids:binary" * with_ids + ">")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(raw.value)
         for texts in batches:
             rows = []
             for t in texts:
                 ids = c.encode(t)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                rows.append((*row, ids) if with_ids else row)
+            yield pd.DataFrame(rows, columns=names)
 
-    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256")]
+    keep = [c for c in df.columns if c not in (text_col, *names)]
     return df.withColumn("_digests", digests(F.coalesce(F.col(text_col), F.lit("")))).select(*keep, "_digests.*")

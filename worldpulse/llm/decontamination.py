@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worldpulse.llm.shared import one_per_process
+
 WINDOW = 13
 MAX_PATTERN_BYTES = 4_000_000
 #: In folded bytes every separator is a space.
@@ -96,23 +98,13 @@ class Scanner:
         return len(words), ranges, spans, sorted({x for _, (_, items) in found for x in items})
 
 
-_scanners: dict[str, Scanner] = {}
-
-
-def _scanner(block: list[tuple[str, list[str]]], key: str) -> Scanner:
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = Scanner(block)
-    return _scanners[key]
-
-
 def _scan_column(docs: DataFrame, text_col: str, block: list[tuple[str, list[str]]]) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     key = hashlib.sha256(repr(block).encode()).hexdigest()
 
     @F.pandas_udf(MARKS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        s = _scanner(shared.value, key)
+        s = one_per_process(("scan", key), lambda: Scanner(shared.value))
         for texts in batches:
             yield pd.DataFrame([s.scan(t) for t in texts], columns=["n_words", "hits", "spans", "items"])
 

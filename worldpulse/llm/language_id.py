@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worldpulse.llm.shared import one_per_process
+
 ORDER = 3
 TRAIN_BYTES = 200_000
 UNKNOWN = "und"
@@ -136,16 +138,6 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORDER, t
     return found
 
 
-_trees: dict[str, ContextTrees] = {}
-
-
-def _tree(texts: dict[str, bytes], key: str, order: int) -> ContextTrees:
-    if key not in _trees:
-        _trees.clear()
-        _trees[key] = ContextTrees(texts, order)
-    return _trees[key]
-
-
 def identify(docs: DataFrame, training: dict[str, bytes], order: int = ORDER, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(training)
@@ -153,7 +145,7 @@ def identify(docs: DataFrame, training: dict[str, bytes], order: int = ORDER, te
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees = _tree(shared.value, key, order)
+        trees = one_per_process(("trees", key), lambda: ContextTrees(shared.value, order))
         for texts in batches:
             yield pd.DataFrame([trees.predict(t) for t in texts], columns=["lang_pred", "score"])
 

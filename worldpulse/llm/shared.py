@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def one_per_process(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept by this Python process until another key is asked for.
+
+    Workers are reused from stage to stage; holding one operator's tables at a time bounds their memory.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]

@@ -29,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.vocabulary import Vocabulary, vocabulary
+from worldpulse.llm.shared import one_per_process
+from worldpulse.llm.vocabulary import Vocabulary
 
 CHUNK_CHARS = 65_536
 MAX_TRANSITIONS = 400_000
@@ -134,15 +135,9 @@ class CountTransducer:
         return self.count(head) + count + (self.count(tail) if tail else 0)
 
 
-_machines: dict[str, CountTransducer] = {}
-
-
 def machine(raw: str) -> CountTransducer:
     """One per Python process and vocabulary; its tables outlive a task."""
-    if raw not in _machines:
-        _machines.clear()
-        _machines[raw] = CountTransducer(vocabulary(raw))
-    return _machines[raw]
+    return one_per_process(("count", raw), lambda: CountTransducer(Vocabulary(raw)))
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -17,7 +17,6 @@ A null id is written as -1. No text is truncated. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import math
 import struct
@@ -32,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import scratch_dir
+from worldpulse.llm.shared import one_per_process, scratch_dir
 
 LENGTH = 512
 SHARD_RECORDS = 16_384
@@ -79,7 +78,6 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return x.astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
 def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -87,7 +85,7 @@ def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
 
 def _sequences(ranks: Callable[[], str], pattern: str, length: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks(), pattern)
+        encoding = one_per_process(("order", ranks(), pattern), lambda: _encoding(ranks(), pattern))
         size = stride(length)
         rows: list[tuple] = []
         for batch in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 
 import regex
@@ -97,9 +96,3 @@ class Vocabulary:
             at = m.end()
         if at < len(text):
             yield text[at:]
-
-
-@functools.lru_cache(maxsize=4)
-def vocabulary(raw: str) -> Vocabulary:
-    """Parsed once in each Python process."""
-    return Vocabulary(raw)
