@@ -8,9 +8,10 @@ component under links, and no link between different sets is lost to a cap or a
 2. *Index lists.* Shingles have one global order, rare before common, and each set puts only the first
    quarter of its own into lists: similar sets meet in the list of their first common shingle. (The order
    comes from counts of shingles that repeat within a task. Any order is right; this one keeps lists short.)
-3. *Block-skipping by position.* An entry knows its position. Only entries in the first seventh of a set
-   can be met by a larger set, and an entry is skipped where the shingles after it are too few for the
-   overlap wanted; lists are cut into blocks by set size, and only blocks that can be similar meet.
+3. *Block-skipping by position.* An entry knows its position. Pairs are dropped that don't meet at an entry
+   which can be their first common one: in the first seventh of the smaller set, with enough behind it for the
+   overlap wanted. Lists are cut into blocks by set size, and only blocks that can be similar meet. Of the
+   pairs that are left, those go that share fewer list entries than linked sets of their sizes must.
 4. *Answers from a similar set.* The best connected set of a list is its hub. First every entry is
    compared with its list's hub only. A set that links to a hub takes over the answers of the hub's
    component: of a list, just the pairs between different components are left, and a list that lies in
@@ -42,9 +43,11 @@ from worldpulse.llm.shared import materialize
 from worldpulse.llm.shingles import shingle_sets
 
 BLOCK_BYTES = 2_000_000
-COMMON_LEAST = 8
-MAX_COMMON = 300_000
+HELD_SHINGLES = 4_000_000
+COMMON_LEAST = 4
+MAX_COMMON = 2_000_000
 BITMAP_BITS = 1 << 25
+NO_ID = -(1 << 63)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -66,22 +69,30 @@ def _identity(s: np.ndarray) -> int | None:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row its set's size and name; and, of the block's shingles, the repeated ones with their counts."""
-    for ids, sets in _blocks(batches):
-        own = len(ids)
-        distinct = {v: s for s in sets if (v := _identity(s)) is not None}
-        h, c = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
+    """For each row its set's size and name; and, of the task's distinct sets, the shingles that repeat, with their counts."""
+    seen: set[int] = set()
+    held: list[np.ndarray] = []
+    size = 0
+
+    def repeated() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         h, c = h[c > 1].view(np.int64), c[c > 1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*ids, *[None] * len(h)], pa.int64()),
-                pa.array([*map(len, sets), *[None] * len(h)], pa.int64()),
-                pa.array([*map(_identity, sets), *[None] * len(h)], pa.int64()),
-                pa.array(np.concatenate([np.zeros(own, np.int64), h]), mask=np.arange(own + len(h)) < own),
-                pa.array(np.concatenate([np.zeros(own, np.int64), c]), mask=np.arange(own + len(h)) < own),
-            ],
-            names=["doc_id", "n", "v", "h", "c"],
-        )
+        none = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(h), pa.array(c)], names=["doc_id", "n", "v", "h", "c"])
+
+    for ids, sets in _blocks(batches):
+        names = [_identity(s) for s in sets]
+        for v, s in zip(names, sets, strict=True):
+            if v is not None and v not in seen:
+                seen.add(v)
+                held.append(s)
+                size += len(s)
+        none = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), none, none], names=["doc_id", "n", "v", "h", "c"])
+        if size >= HELD_SHINGLES:
+            yield repeated()
+            held, size = [], 0
+    yield repeated()
 
 
 def _postings(common: np.ndarray, counts: np.ndarray) -> Callable:
@@ -114,13 +125,13 @@ def _postings(common: np.ndarray, counts: np.ndarray) -> Callable:
 def _asked(bitmap: np.ndarray) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, sets in _blocks(batches):
+        for ids, sets in _blocks(batches):
             found = []
-            for s in sets:
+            for doc_id, s in zip(ids, sets, strict=True):
                 v = _identity(s)
                 if v is None or v in seen:
                     continue
-                bit = v % BITMAP_BITS
+                bit = (v ^ (NO_ID if doc_id is None else doc_id)) % BITMAP_BITS
                 if bitmap[bit >> 3] >> (bit & 7) & 1:
                     seen.add(v)
                     found.append((v, s.view(np.int64)))
@@ -134,7 +145,7 @@ def common_shingles(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most ``MAX_COMMON`` of the most repeated shingles, sorted, with their counts."""
     counted = profile.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON_LEAST)
     levels = sorted(((r["level"], r["n"]) for r in counted.groupBy(F.floor(F.log2("c")).alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = 63, 0
+    least, total = 62, 0
     for level, n in levels:
         total += n
         if total > MAX_COMMON:
@@ -146,19 +157,36 @@ def common_shingles(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rows["c"].to_numpy(np.int64)[order]
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether the sets of two entries of one list can be similar with this as their first common shingle."""
-    n1, p1, v1, n2, p2, v2 = (F.col(f"{x}.{y}") for x in (a, b) for y in ("n", "pos", "v"))
-    # An overlap of 3 / 7 of both sizes is a similarity of 3 / 4; at most the entry and what follows it can be shared.
+def _met(left: DataFrame, right: DataFrame, on: list[str], more: Column) -> DataFrame:
+    """Distinct pairs (a, b) with a < b of entries that meet in a list, with their sizes ``na`` and ``nb``.
+
+    Sizes must be similar, and the entry able to be the first common one: early enough in the smaller set,
+    and with enough of both sets to follow.
+    """
+    n1, p1, v1, n2, p2, v2 = (F.col(f"{x}.{y}") for x in "xy" for y in ("n", "pos", "v"))
+    similar = (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (v1 != v2)
+    # An overlap of 3 / 7 of both sizes is a similarity of 3 / 4.
     first_is_small = (n1 < n2) | ((n1 == n2) & (v1 < v2))
-    indexed = F.when(first_is_small, 7 * p1 <= n1).otherwise(7 * p2 <= n2)
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & indexed & (7 * F.least(n1 - p1, n2 - p2) >= 3 * (n1 + n2))
+    early = F.when(first_is_small, 7 * p1 <= n1).otherwise(7 * p2 <= n2)
+    enough = 7 * F.least(n1 - p1, n2 - p2) >= 3 * (n1 + n2)
+    one, two = F.struct(v1.alias("v"), n1.alias("n")), F.struct(v2.alias("v"), n2.alias("n"))
+    met = left.alias("x").join(right.alias("y"), [*[F.col(f"x.{c}") == F.col(f"y.{c}") for c in on], similar & early & enough & more])
+    pairs = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    return pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], more: Column) -> DataFrame:
-    """Distinct (a, b) with a < b of joined entries that may link."""
-    met = left.alias("x").join(right.alias("y"), on).filter((F.col("x.v") != F.col("y.v")) & _may_link("x", "y") & more)
-    return met.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+def _likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs that share as many list entries as linked sets must.
+
+    Of a set's first quarter no more entries are missing from the other set than the sizes leave beyond the
+    overlap; the rest are the first common ones in the order, hence in the first quarter of either set.
+    ``heads(v, head)`` holds each set's list entries.
+    """
+    overlap = F.ceil(3 * (F.col("na") + F.col("nb")) / 7)
+    least = F.least(*[F.floor(F.col(n) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")])
+    half = pairs.withColumnRenamed("a", "v").join(heads, "v").withColumnsRenamed({"v": "a", "head": "one"})
+    both = half.withColumnRenamed("b", "v").join(heads, "v").withColumnRenamed("v", "b")
+    return both.filter(F.size(F.array_intersect("one", "head")) >= least).select("a", "b")
 
 
 def _size_block(n: Column) -> Column:
@@ -166,21 +194,20 @@ def _size_block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The stored ``pairs`` whose sets link, compared shingle by shingle."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    bits = names.select(F.pmod("v", F.lit(BITMAP_BITS)).alias("bit"))
+def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """The stored ``pairs`` whose sets link, compared shingle by shingle. ``least``: the ``doc_id`` that stands for each set."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(least, "v")
+    bits = names.select(F.pmod(F.col("v").bitwiseXOR(F.col("least")), F.lit(BITMAP_BITS)).alias("bit"))
     bucket, place = F.floor(F.col("bit") / 32_768), F.col("bit") % 32_768
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     for r in bits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).collect():
         bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    found = docs.mapInArrow(lambda batches: _asked(shared.value)(batches), "v long, s array<long>")
-    sets = materialize(found.join(names, "v", "left_semi").dropDuplicates(["v"]), "op7-sets")
-    one, two = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    shared_count = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(one, "a").join(two, "b").filter(7 * shared_count >= 3 * (F.size("sa") + F.size("sb")))
-    return materialize(links.select("a", "b"), "op7-links")
+    # A set can come twice, by a repeated row or a chance bit; that repeats a link, which the last step undoes.
+    sets = materialize(docs.mapInArrow(lambda batches: _asked(shared.value)(batches), "v long, s array<long>"), "op7-sets")
+    half = pairs.select(F.col("a").alias("v"), "b").join(sets, "v").select(F.col("v").alias("a"), F.col("b").alias("v"), F.col("s").alias("sa"))
+    both = half.join(sets, "v").filter(7 * F.size(F.array_intersect("sa", "s")) >= 3 * (F.size("sa") + F.size("s")))
+    return materialize(both.select("a", F.col("v").alias("b")).distinct(), "op7-links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,6 +215,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = materialize(texts.mapInArrow(_profile, "doc_id long, n long, v long, h long, c long"), "op7-profile")
     rows = profile.filter("h is null").select("doc_id", "n", "v")
+    least = rows.filter("v is not null").groupBy("v").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"))
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(profile))
 
     # Lists with entries of two sets or more; copies of an entry come from different tasks.
@@ -198,8 +226,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     degree = lists.groupBy("v").agg(F.count("*").alias("degree"))
     hubs = lists.join(degree, "v").groupBy("h").agg(F.max_by(F.struct("v", "n", "pos"), F.struct("degree", "v")).alias("hub")).select("h", "hub.*")
-    starred = materialize(_pairs(lists, hubs, ["h"], F.lit(True)), "op7-stars")
-    star_links = verified(texts, starred)
+    heads = materialize(lists.groupBy("v").agg(F.collect_list("h").alias("head")), "op7-heads")
+    starred = materialize(_likely(_met(lists, hubs, ["h"], F.lit(True)), heads), "op7-stars")
+    star_links = verified(texts, starred, least)
 
     # What the hubs' answers leave open: pairs of different components, from lists that have two or more.
     of = components(star_links)
@@ -209,13 +238,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     mixed = placed.join(mixed, "h").withColumn("block", _size_block(F.col("n")))
     probes = mixed.filter("k != main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     once = (F.col("x.k") != F.col("y.k")) & ((F.col("y.k") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
-    rest = materialize(_pairs(probes, mixed, ["h", "block"], once).join(starred, ["a", "b"], "left_anti"), "op7-rest")
-    links = star_links.unionByName(verified(texts, rest))
+    rest = _likely(_met(probes, mixed, ["h", "block"], once), heads)
+    rest = materialize(rest.join(starred, ["a", "b"], "left_anti"), "op7-rest")
+    links = star_links.unionByName(verified(texts, rest, least))
 
     # A component is named by its rows' smallest id.
-    named = rows.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("least")).join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.select("v", "component").join(least, "component").select("v", "component_id")
+    named = least.join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    names = named.groupBy("component").agg(F.min(F.when(F.col("least") != NO_ID, F.col("least"))).alias("component_id"))
+    final = named.select("v", "component").join(names, "component").select("v", "component_id")
     return rows.join(final, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
