@@ -13,7 +13,8 @@ third of all rows costs no more than another. The fences are broadcast while the
 ``MAX_BROADCAST_GROUPS`` of them, and joined by the planner's choice beyond.
 
 Null and empty texts have no words, hence fail the base rules. Null languages and sources are groups
-of their own. An empty table gives no rows. Repeated rows are judged each; extra columns pass through.
+of their own. An empty table gives no rows. Repeated rows are judged each; extra columns pass through,
+but for those named like an output.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def _covered(positions: Column) -> Column:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with the measures (long)."""
-    keep = [c for c in docs.columns if c != text_col and c not in MEASURES]
+    own = {text_col, *MEASURES, *[r[0] for r in RULES], "base_failed", "kept", "fence_lang", "fence_source"}
+    keep = [c for c in docs.columns if c not in own]
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -15,7 +15,7 @@ passage that a third of all messages share costs a row per message, not pairs of
 
 Null texts have an empty body and no quotes. Messages without conversation or turn link to nothing and
 are threads of their own. Rows with equal conversation and turn share one place in the thread and one
-link. Extra columns pass through. An empty table gives no rows.
+link. Extra columns pass through, but for those named like an output. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ INTRODUCTION = r"(?i)wrote:[ \t\r]*$"
 #: Lines shorter than this, normalised, are too common to stand for a message.
 LEAST_LINE = 12
 KEY = ["conv_id", "turn"]
+OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "depth")
 
 
 def normalised(text: Column) -> Column:
@@ -65,7 +66,7 @@ def _passages(lines: Column) -> Column:
 
 def split_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """``messages`` without the text, with ``body`` and ``passages``."""
-    keep = [c for c in messages.columns if c not in (text_col, "body", "passages")]
+    keep = [c for c in messages.columns if c not in (text_col, "passages", *OUTPUTS)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     quoted = F.col("_quoted")
     own = F.filter(F.col("_lines"), lambda x, i: (x["level"] == 0) & ~(x["content"].rlike(INTRODUCTION) & (F.coalesce(F.get(F.col("_lines"), i + 1)["level"], F.lit(0)) > 0)))
@@ -118,7 +119,7 @@ def link(messages: DataFrame, text_col: str = "text") -> DataFrame:
     parsed = materialize(split_quotes(messages, text_col), "op6-parsed")
     links = materialize(replies(parsed), "op6-links")
     linked = parsed.join(links, KEY, "left").join(threads(links), KEY, "left")
-    keep = [c for c in messages.columns if c != text_col]
+    keep = [c for c in messages.columns if c not in (text_col, "passages", *OUTPUTS)]
     out = linked.select(
         *keep,
         "body",
