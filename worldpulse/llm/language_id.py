@@ -35,6 +35,7 @@ from worldpulse.llm.shared import one_per_process
 ORDER = 3
 TRAIN_BYTES = 200_000
 UNKNOWN = "und"
+MAX_LANGUAGES = 1_000
 BLOCK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
@@ -127,9 +128,15 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORDER, t
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.octet_length(text_col).cast("long").alias("n"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    shares = rows.groupBy("lang").agg((F.lit(4.0 * train_bytes) / F.sum("n")).alias("share"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: {lang_col} holds something else")
+    if not totals:
+        return {}
+    # Languages are few, so each one's share is a literal and no text is exchanged to find it.
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, 4.0 * train_bytes / max(1, n)))])
     place = (F.shiftright("h", 11) + F.lit(2**52)) / F.lit(2.0**53)
-    sample = rows.join(shares, "lang").filter((place < F.col("share")) | F.col("share").isNull()).groupBy("lang", "h").agg(F.first("n").alias("n"), F.first(F.substring("text", 1, train_bytes)).alias("text"))
+    sample = rows.filter(place < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("n").alias("n"), F.first(F.substring("text", 1, train_bytes)).alias("text"))
     running = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     kept = sample.withColumn("before", F.coalesce(running, F.lit(0))).filter(F.col("before") < train_bytes)
     found: dict[str, bytes] = {}
