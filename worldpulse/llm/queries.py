@@ -34,7 +34,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``; null for a null id, which is then in no fold."""
+    """crc32 of the id as text, modulo ``parts``; null for a null id, which is then neither learnt from nor held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
@@ -45,7 +45,7 @@ def quality_field(docs: DataFrame, labels: DataFrame) -> quality_crf.Field:
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_crf.score(docs, quality_field(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def language_training(docs: DataFrame) -> dict[str, bytes]:
@@ -55,7 +55,7 @@ def language_training(docs: DataFrame) -> dict[str, bytes]:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs, language_training(docs))
-    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
