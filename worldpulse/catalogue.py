@@ -191,13 +191,13 @@ def scd2_names(spark: SparkSession, sf: str) -> DataFrame:
     return identity.history(load(spark, sf, "events"), "user_id", "event_type", "ts", "event_id")
 
 
-_SEEN = "select c_name as name, case when c_custkey % 10 = 0 then 'Customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0') else c_name end as former_names, timestamp '2001-01-01 00:00:00' as seen_at from customer where c_custkey % 5 = 0 union all select 'New#' || cast(n_nationkey as varchar), 'Nobody', timestamp '2001-01-01 00:00:00' from nation"
+_SEEN = "select c_name as name, case when c_custkey % 10 = 0 then 'Customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0') else c_name end as former_names, timestamp '2001-01-01 00:00:00' as seen_at from customer union all select 'New#' || cast(n_nationkey as varchar), 'Nobody', timestamp '2001-01-01 00:00:00' from nation"
 
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     former = F.when(key % 10 == 0, F.concat(F.lit("Customer#"), F.lpad((key + 1).cast("string"), 9, "0"))).otherwise(F.col("c_name"))
-    own = load(spark, sf, "customer").filter(key % 5 == 0).select(F.col("c_name").alias("name"), former.alias("former_names"), _ntz("2001-01-01 00:00:00").alias("seen_at"))
+    own = load(spark, sf, "customer").select(F.col("c_name").alias("name"), former.alias("former_names"), _ntz("2001-01-01 00:00:00").alias("seen_at"))
     new = load(spark, sf, "nation").select(F.concat(F.lit("New#"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("Nobody").alias("former_names"), _ntz("2001-01-01 00:00:00").alias("seen_at"))
     return identity.resolve(own.unionByName(new), view(spark, sf, "character_names"), _ntz(CUTOFF))
 
@@ -299,50 +299,50 @@ def blacklist_semi(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.blacklisted(load(spark, sf, "documents").select(jti, "lang"), load(spark, sf, "labels").select(jti)).select(F.col("jti").alias("doc_id"), "lang")
 
 
-@query("select distinct 'u' || cast(user_id as varchar) as jti from events where user_id not in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("select distinct 'u' || cast(user_id as varchar) as jti from events where user_id not in (select s_suppkey from supplier)")
 def blacklist_append(spark: SparkSession, sf: str) -> DataFrame:
     """SNK9, OP-LOGOUT: repeated ids give one row, known ones none"""
     asked = load(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("jti"), F.lit("Bearer x").alias("authorization"))
-    known = load(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("jti"))
+    known = load(spark, sf, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("jti"))
     return ledger.logout(asked, known, _ntz(AS_OF)).select("jti")
 
 
-@query("select c_name as username, case when c_custkey % 4 = 0 then 'USER' else 'A, B' end as roles from customer where c_custkey % 2 = 0 and not exists (select 1 from supplier where s_suppkey = c_custkey)")
+@query("select c_name as username, case when c_custkey % 4 = 0 then 'USER' else 'A, B' end as roles from customer where not exists (select 1 from supplier where s_suppkey = c_custkey)")
 def register_users(spark: SparkSession, sf: str) -> DataFrame:
     """SNK7, OP-REGISTER, FN-DEFROLE"""
     k = F.col("c_custkey")
-    asked = load(spark, sf, "customer").filter(k % 2 == 0).select(F.col("c_name").alias("username"), F.lit("x").alias("password"), F.when(k % 4 == 0, F.lit("  ")).otherwise(F.lit("A, B")).alias("roles"))
+    asked = load(spark, sf, "customer").select(F.col("c_name").alias("username"), F.lit("x").alias("password"), F.when(k % 4 == 0, F.lit("  ")).otherwise(F.lit("A, B")).alias("roles"))
     known = load(spark, sf, "supplier").select(F.format_string("Customer#%09d", "s_suppkey").alias("username"))
     return ledger.register(known, asked.unionByName(asked), _ntz(AS_OF)).select("username", "roles")
 
 
 @query(
-    f"select t.token, case when t.id % 7 = 0 then 'invalid refresh token' when u.c_custkey is null then 'unknown user' when t.revoked then 'revoked' when t.expires_at < timestamp '{CUTOFF}' then 'expired' end as refused from ({_TOKENS}) t left join customer u on u.c_custkey = t.user_id and u.c_custkey % 11 <> 0"
+    f"select t.token, case when t.id % 7 = 0 then 'invalid refresh token' when u.c_custkey is null then 'unknown user' when t.revoked then 'revoked' when t.expires_at < timestamp '{CUTOFF}' then 'expired' end as refused from ({_TOKENS}) t left join customer u on u.c_custkey = t.user_id and u.c_mktsegment <> 'BUILDING'"
 )
 def refresh_refused(spark: SparkSession, sf: str) -> DataFrame:
     """OP-REFRESH: why a token isn't exchanged"""
     tokens = _tokens(spark, sf)
     asked = tokens.select("token", F.when(F.col("id") % 7 == 0, "access").otherwise("refresh").alias("type"), F.col("user_id").cast("string").alias("username"))
-    users = load(spark, sf, "customer").filter("c_custkey % 11 <> 0").select(F.col("c_custkey").cast("string").alias("username"))
+    users = load(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("username"))
     return ledger.refusals(asked, tokens, users, _ntz(CUTOFF)).select("token", "refused")
 
 
 @query(
-    f"with ok as (select id, user_id from ({_TOKENS}) t where id % 5 = 0 and not revoked and expires_at >= timestamp '{CUTOFF}') "
+    f"with ok as (select id, user_id from ({_TOKENS}) t where not revoked and expires_at >= timestamp '{CUTOFF}') "
     f"select token, user_id, revoked or id in (select id from ok) as revoked from ({_TOKENS}) union all select 'n' || cast(id as varchar), user_id, false from ok"
 )
 def refresh_rotated(spark: SparkSession, sf: str) -> DataFrame:
     """OP-REFRESH, SNK8: accepted tokens are revoked and get a successor"""
     tokens = _tokens(spark, sf)
-    asked = tokens.filter("id % 5 = 0").select("token", F.lit("refresh").alias("type"), F.col("user_id").cast("string").alias("username"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("new_token"))
+    asked = tokens.select("token", F.lit("refresh").alias("type"), F.col("user_id").cast("string").alias("username"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("new_token"))
     users = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("username"))
     return ledger.rotate(asked, tokens, users, _ntz(CUTOFF)).select("token", "user_id", "revoked")
 
 
-@query("select event_id, user_id from events e where not exists (select 1 from customer c where c.c_custkey % 3 = 0 and c.c_custkey = e.user_id)")
+@query("select event_id, user_id from events e where not exists (select 1 from customer c where c.c_mktsegment = 'BUILDING' and c.c_custkey = e.user_id)")
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     """SNK11"""
-    gone = load(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    gone = load(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
     return ledger.without_parents(load(spark, sf, "events").select("event_id", "user_id"), gone, "user_id")
 
 
@@ -361,7 +361,7 @@ def role_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     with_views(
-        "select w.name, case when w.id % 2 = 0 then 'stored' else 'PvP ' || cast(w.id as varchar) end as pvp_type, w.location, case when w.id % 3 = 0 then 'old record' when w.id % 5 <> 0 then 'record ' || cast(w.id as varchar) end as online_record from worlds w "
+        "select w.name, case when w.id % 2 = 0 then 'stored' else 'PvP ' || cast(w.id as varchar) end as pvp_type, w.location, case when w.id % 3 = 0 then 'old record' when w.location <> 'AFRICA' then 'record ' || cast(w.id as varchar) end as online_record from worlds w "
         "union all select 'Fresh#' || cast(r_regionkey as varchar), 'PvP new', 'EU', 'record new' from region",
         "worlds",
     )
@@ -373,14 +373,14 @@ def upsert_worlds(spark: SparkSession, sf: str) -> DataFrame:
     stored = w.select("id", "name", F.when(F.col("id") % 2 == 0, "stored").alias("pvp_type"), "location", F.when(F.col("id") % 3 == 0, "old record").alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
     fresh = load(spark, sf, "region").select(F.concat(F.lit("Fresh#"), F.col("r_regionkey").cast("string")).alias("name"))
     overview = w.select("name", F.concat(F.lit("PvP "), F.col("id").cast("string")).alias("pvp_type"), F.lit("elsewhere").alias("location")).unionByName(fresh.select("name", F.lit("PvP new").alias("pvp_type"), F.lit("EU").alias("location")))
-    facts = w.filter("id % 5 <> 0").select("name", F.concat(F.lit("record "), F.col("id").cast("string")).alias("online_record")).unionByName(fresh.select("name", F.lit("record new").alias("online_record")))
+    facts = w.filter("location <> 'AFRICA'").select("name", F.concat(F.lit("record "), F.col("id").cast("string")).alias("online_record")).unionByName(fresh.select("name", F.lit("record new").alias("online_record")))
     pages = facts.select("name", none.alias("pvp_type"), "online_record", F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
     return ingest.upsert_worlds(stored, overview, pages).select("name", "pvp_type", "location", "online_record")
 
 
 def _page_players(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as world pages: a page per order with its lines' suppliers as players."""
-    lines = load(spark, sf, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.format_string("Supplier#%09d", "l_suppkey"))).alias("players"))
+    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.format_string("Supplier#%09d", "l_suppkey"))).alias("players"))
     none = F.lit(None).cast("string")
     orders = load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return orders.select(F.format_string("NATION_%d", F.col("o_orderkey") % 25).alias("name"), (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey").cast("decimal(18,6)"))).alias("fetched_at"), F.size("players").alias("players_online"), none.alias("pvp_type"), none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"), "players")
@@ -390,12 +390,12 @@ def _pass(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     none = F.lit(None).cast("string")
     w = view(spark, sf, "worlds")
     stored = w.select("id", "name", none.alias("pvp_type"), "location", none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
-    known = load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
+    known = load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
     former = spark.createDataFrame([], "name string, former_names string")
     return ingest.world_pass(stored, known, w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF))
 
 
-_PAGES = "select o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, count(distinct l_suppkey) as players_online from orders join lineitem on l_orderkey = o_orderkey where o_orderkey <= 2000 group by o_orderkey, o_orderdate"
+_PAGES = "select o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, count(distinct l_suppkey) as players_online from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate"
 
 
 @query(f"select cast(world_id as bigint) as world_id, scrape_time, cast(players_online as int) as players_online from ({_PAGES})")
@@ -404,16 +404,16 @@ def pass_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return _pass(spark, sf)["scrapes"].select("world_id", "scrape_time", "players_online")
 
 
-@query("select world_id, scrape_time, count(*) as players, cast(count_if(s_suppkey % 2 = 0) as bigint) as known from (select distinct o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, l_suppkey as s_suppkey from orders join lineitem on l_orderkey = o_orderkey where o_orderkey <= 2000) group by all")
+@query("select world_id, scrape_time, count(*) as players, cast(count_if(s_nationkey < 12) as bigint) as known from (select distinct o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, l_suppkey, s_nationkey from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey) group by all")
 def pass_players(spark: SparkSession, sf: str) -> DataFrame:
     """OP-WORLD, SNK2, AGG4, JOIN6: players per snapshot, and how many were known before"""
     out = _pass(spark, sf)
-    known = load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("character_id"), F.lit(1).alias("one"))
+    known = load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("character_id"), F.lit(1).alias("one"))
     joined = out["scrape_players"].join(out["scrapes"].select(F.col("id").alias("scrape_id"), "world_id", "scrape_time"), "scrape_id").join(known, "character_id", "left")
     return joined.groupBy("world_id", "scrape_time").agg(F.count("*").alias("players"), F.count("one").alias("known"))
 
 
-@query("select s_name as name, true as active from supplier where s_suppkey % 2 = 0 union select 'Supplier#' || lpad(cast(l_suppkey as varchar), 9, '0'), true from lineitem where l_orderkey <= 2000")
+@query("select s_name as name, true as active from supplier where s_nationkey < 12 union select 'Supplier#' || lpad(cast(l_suppkey as varchar), 9, '0'), true from lineitem")
 def pass_names(spark: SparkSession, sf: str) -> DataFrame:
     """OP-WORLD, SNK4: unknown players get a character and a first name"""
     return _pass(spark, sf)["character_names"].select("name", "active")
