@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 1_500
-MAX_TRAIN_BYTES = 1_000_000
+MAX_TRAIN_BYTES = 10_000
 THRESHOLD = 0.7
 BLOCK_CHARS = 1_000_000
 ROUNDS = 3
-STEPS = 150
+STEPS = 80
 #: Character classes that lines are described by.
 SYMBOLS = "#*$%&|<>@^~_=+\\/[]{}"
 SHOUTS = "!?"
