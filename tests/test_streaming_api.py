@@ -71,7 +71,7 @@ def test_replace_swaps_a_table(spark, tmp_path):
 def questions(spark):
     t = datetime(2024, 1, 1, 12)
     return Questions(
-        worlds=spark.createDataFrame([(1, "Antica"), (2, "Empty")], "id long, name string"),
+        worlds=spark.createDataFrame([(1, "Alpha"), (2, "Empty")], "id long, name string"),
         scrapes=spark.createDataFrame([(1, 1, t, 123)], "id long, world_id long, scrape_time timestamp, players_online int"),
         characters=spark.createDataFrame([(7, 1, None)], "id long, vocation_id long, level int"),
         names=spark.createDataFrame([(1, 7, "Now", True, None), (2, 7, "Was", False, datetime(2023, 12, 1))], "id long, character_id long, name string, active boolean, inactive_date timestamp"),
@@ -83,12 +83,12 @@ def questions(spark):
 def test_six_questions(questions):
     as_of = datetime(2024, 1, 2)
     assert questions.total().first()["total"] == 123
-    assert {r["world"]: r["playersOnline"] for r in questions.online_by_world().collect()} == {"Antica": 123, "Empty": 0}
+    assert {r["world"]: r["playersOnline"] for r in questions.online_by_world().collect()} == {"Alpha": 123, "Empty": 0}
     assert questions.online_in("Empty").first()["playersOnline"] == 0
-    assert [tuple(r) for r in questions.history("Antica", as_of=as_of).collect()] == [("2024-01-01T12:00:00Z", 123)]
+    assert [tuple(r) for r in questions.history("Alpha", as_of=as_of).collect()] == [("2024-01-01T12:00:00Z", 123)]
     r = questions.character("Was", as_of=as_of).first()
     assert (r["name"], r["level"], r["vocationId"], r["vocation"]) == ("Was", None, 1, "druid")
-    assert [tuple(r) for r in questions.stat_history("Now", "EXPERIENCE", as_of=as_of).collect()] == [("2024-01-01", 2**40, 3, "Antica")]
+    assert [tuple(r) for r in questions.stat_history("Now", "EXPERIENCE", as_of=as_of).collect()] == [("2024-01-01", 2**40, 3, "Alpha")]
 
 
 def test_unknown_names_raise(questions):
