@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
-from worldpulse.llm.shared import materialize, table
+from worldpulse.llm.shared import materialize, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,7 @@ def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -107,5 +108,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as x
+  from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 75 * (na.n + nb.n - k)),
+steps as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, t.b from reach r join steps t on t.a = r.other)
+select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.other) as component_id from reach r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
+OP8_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+p as (
+  select distinct item, least(13, len(w)) as size, unnest(list_transform(range(1, greatest(1, len(w) - 12) + 1), lambda k: array_to_string(w[k:k + 12], ' '))) as x
+  from i where len(w) > 0
+),
+sizes as (select distinct size from p),
+places as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from d, sizes where len(w) >= size),
+hits as (select t.doc_id, t.k, t.size, p.item from places t join p on p.size = t.size and p.x = array_to_string(t.w[t.k:t.k + t.size - 1], ' ')),
+words as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(k, k + size)) as j from (select distinct doc_id, k, size from hits)) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, trained models, sketches and hashed orders can't be said in SQL; tests hold those against brute force."""
+    return {"op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL}
