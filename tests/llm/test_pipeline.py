@@ -83,3 +83,17 @@ def test_empty_documents(spark, sf):
 def test_one_query_per_operator():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_nulls_repeats_and_long_texts(spark, sf):
+    good = spark.read.parquet(f"{sf}/documents.parquet").limit(100).collect()
+    odd = [(None, None, None, None, None), (None, good[0]["text"] + " x", None, "s", 1), (5001, "", "en", None, 0), (5002, "1 2 3", "en", "s", 5), (5003, good[1]["text"], "en", "s", 1), (5003, good[1]["text"], "en", "s", 1), (5004, "long words in a very long line " * 20_000, "en", "s", 1)]
+    docs = spark.createDataFrame([tuple(r) for r in good] + odd, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        if name == "language_id":
+            assert not {5001, 5002} & ids(docs) and {5003, 5004} <= ids(docs)
+        if name == "near_duplicates":
+            assert docs.filter("doc_id = 5003").count() <= 1
+    assert docs.count() > 50

@@ -49,7 +49,7 @@ def test_a_passage_shared_by_many_costs_a_row_each(spark):
 
 
 def test_edges(spark):
-    rows = [(None, 1, "x", None, 1), (3, None, "x", "> quote of nothing", 1), (1, 1, "b", "same", 1), (1, 1, "b", "same", 1), (1, 2, "b", "", 1), (1, 3, "b", ">" * 50 + " deep", 1), (1, 4, "b", "word " * 50_000, 1), (1, 5, "b", "> \n>\n", 1)]
+    rows = [(None, 1, "x", None, 1), (3, None, "x", "> quote of nothing", 1), (1, 1, "b", "same", 1), (1, 1, "b", "same", 1), (1, 2, "b", "", 1), (1, 3, "b", ">" * 50 + " deep", 1), (1, 4, "b", "word " * 50_000, 1), (1, 5, "b", "> \n>\n", 1), (1, 6, "b", "> q\n>> r\n" * 20_000, 1)]
     df = spark.createDataFrame(rows, SCHEMA + ", depth int")
     out = Q.link(df)
     found = out.collect()

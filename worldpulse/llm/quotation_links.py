@@ -50,30 +50,35 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), one)
 
 
-def _passages(lines: Column) -> Column:
-    """Runs of lines of one level above 0, as ``array<struct<level, lines>>``."""
-    kind = "array<struct<level:int,lines:array<string>>>"
+def _starts(lines: Column) -> Column:
+    """Where a run of lines of one level begins."""
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(x["content"])).alias("lines"))))
-        started = F.concat(done, F.array(F.struct(x["level"].alias("level"), F.array(x["content"]).alias("lines"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["level"] == x["level"]), joined).otherwise(started)
+    def begins(i: Column) -> Column:
+        return (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"])
 
-    runs = F.aggregate(lines, F.array().cast(kind), add)
-    return F.filter(runs, lambda r: r["level"] > 0)
+    return F.filter(F.transform(lines, lambda x, i: i), begins)
+
+
+def _passages(lines: Column, starts: Column) -> Column:
+    """The runs above level 0, as ``array<struct<level, lines>>``; each line is copied once."""
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
+        return F.struct(F.get(lines, start)["level"].alias("level"), F.transform(F.slice(lines, start + 1, end - start), lambda x: x["content"]).alias("lines"))
+
+    return F.filter(F.transform(starts, run), lambda r: r["level"] > 0)
 
 
 def split_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """``messages`` without the text, with ``body`` and ``passages``."""
     keep = [c for c in messages.columns if c not in (text_col, "passages", *OUTPUTS)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    quoted = F.col("_quoted")
-    own = F.filter(F.col("_lines"), lambda x, i: (x["level"] == 0) & ~(x["content"].rlike(INTRODUCTION) & (F.coalesce(F.get(F.col("_lines"), i + 1)["level"], F.lit(0)) > 0)))
-    parsed = messages.select(*keep, text.alias("_text"), text.contains(">").alias("_quoted")).withColumn("_lines", F.when(quoted, _lines(F.col("_text"))))
+    quoted, lines = F.col("_quoted"), F.col("_lines")
+    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(x["content"].rlike(INTRODUCTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)))
+    parsed = messages.select(*keep, text.alias("_text"), text.contains(">").alias("_quoted")).withColumn("_lines", F.when(quoted, _lines(F.col("_text")))).withColumn("_starts", F.when(quoted, _starts(lines)))
     none = F.array().cast("array<struct<level:int,lines:array<string>>>")
     body = F.regexp_replace(F.when(quoted, F.array_join(F.transform(own, lambda x: x["content"]), "\n")).otherwise(F.col("_text")), r"^\s+|\s+$", "")
-    return parsed.select(*keep, body.alias("body"), F.when(quoted, _passages(F.col("_lines"))).otherwise(none).alias("passages"))
+    return parsed.select(*keep, body.alias("body"), F.when(quoted, _passages(lines, F.col("_starts"))).otherwise(none).alias("passages"))
 
 
 def _keys(wholes: Column, lines: Column) -> Column:
