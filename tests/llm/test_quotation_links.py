@@ -1,6 +1,10 @@
+import random
+
+import duckdb
 import pytest
 
 from worldpulse.llm import quotation_links as Q
+from worldpulse.llm.queries import OP6_SQL, op6_quotation_links
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -64,3 +68,32 @@ def test_plain_conversations_stay_as_they_are(spark, sf, table):
     out = Q.link(messages)
     assert out.count() == messages.count() and out.filter("n_quotes > 0").count() == 0
     assert out.join(messages, ["conv_id", "turn"]).filter("trim(text) != body").count() == 0
+
+
+def test_same_rows_as_sql(spark, sf, tmp_path):
+    rnd = random.Random(4)
+    said: list[str] = []
+    rows = []
+    for conv in range(12):
+        for turn in range(8):
+            lines = []
+            for _ in range(rnd.randint(0, 3)):
+                level = rnd.randint(1, 3)
+                passage = rnd.choice(said) if said and rnd.random() < 0.8 else "nobody ever said these words"
+                lines += ["On some day X wrote:"] * (rnd.random() < 0.3)
+                lines += [" >" * level + " " + x for x in passage.split("\n")]
+                lines += [rnd.choice(["", "Yes.", f"an answer of its own, number {rnd.randint(0, 30)}"])]
+            own = "\n".join(f"Sentence {rnd.randint(0, 40)} of the text; it is long enough" for _ in range(rnd.randint(1, 3)))
+            said += [own, own.split("\n")[0].upper()]
+            rows.append((conv, turn, rnd.choice(["user", "assistant"]), "\n".join([*lines, own])))
+    folder = str(tmp_path)
+    spark.createDataFrame([*rows, (None, 1, "x", "> Sentence"), (3, None, "x", None)], SCHEMA).write.parquet(f"{folder}/conversations.parquet")
+    for where, files in ((folder, f"{folder}/conversations.parquet/*.parquet"), (sf, f"{sf}/conversations.parquet")):
+        df = op6_quotation_links(spark, where)
+        c = duckdb.connect()
+        c.execute(f"create view conversations as select * from read_parquet('{files}')")
+        expected = c.execute(OP6_SQL)
+        order = [[d[0] for d in expected.description].index(x) for x in df.columns]
+        plain = sorted(repr(tuple(r[i] for i in order)) for r in expected.fetchall())
+        assert sorted(repr(tuple(r)) for r in df.collect()) == plain
+        assert where == sf or sum(r["depth"] > 1 for r in df.collect()) > 5
