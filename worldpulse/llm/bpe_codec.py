@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from worldpulse.llm.shared import one_per_process
 from worldpulse.llm.vocabulary import Vocabulary
 
-MAX_PIECES = 800_000
+MAX_PIECES = 60_000
 
 
 def little_endian(ids) -> bytes:
@@ -44,7 +44,9 @@ class Codec:
             for i in range(len(b) - 1):
                 inside[b[i] << 8 | b[i + 1]] = True
         self.certain_cut = ~inside
+        # Two generations: a full table becomes the old one, and what is still in use moves back.
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.fragments: dict[bytes, bytes] = {}
         self.lengths = np.array([len(b) for b in vocab.bytes_of], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -73,9 +75,10 @@ class Codec:
         return known
 
     def piece(self, text: str) -> bytes:
-        ids = b"".join(map(self.fragment, self.split(text.encode())))
+        ids = self.old.get(text) or b"".join(map(self.fragment, self.split(text.encode())))
         if len(text) <= 64:
             if len(self.pieces) >= self.max_pieces:
+                self.old = dict(self.pieces)
                 self.pieces.clear()
             self.pieces[text] = ids
         return ids

@@ -42,8 +42,8 @@ from worldpulse.llm.components import components
 from worldpulse.llm.shared import materialize
 from worldpulse.llm.shingles import shingle_sets
 
-BLOCK_BYTES = 2_000_000
-HELD_SHINGLES = 4_000_000
+BLOCK_BYTES = 1_000_000
+HELD_SHINGLES = 2_000_000
 COMMON_LEAST = 4
 MAX_COMMON = 2_000_000
 BITMAP_BITS = 1 << 25

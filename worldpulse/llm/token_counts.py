@@ -33,8 +33,8 @@ from worldpulse.llm.shared import one_per_process
 from worldpulse.llm.vocabulary import Vocabulary
 
 CHUNK_CHARS = 65_536
-MAX_TRANSITIONS = 400_000
-MAX_WORDS = 800_000
+MAX_TRANSITIONS = 300_000
+MAX_WORDS = 100_000
 
 #: Whatever the state, a pre-token ends between these two characters; the second form looks from the end.
 RESET = regex.compile(r"\S(?=\s)")
@@ -50,7 +50,9 @@ class CountTransducer:
         self.vocab, self.max_transitions, self.max_words = vocab, max_transitions, max_words
         self.prefixes = {b[:i] for b in vocab.id_of for i in range(1, len(b))}
         self.beside: dict[tuple[int, int], bool] = {}
+        # Two generations: a full table becomes the old one, and what is still in use moves back.
         self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -85,6 +87,15 @@ class CountTransducer:
 
     def word(self, piece: str) -> int:
         """The tokens of one pre-token."""
+        count = self.old.get(piece) or self._run(piece)
+        if len(piece) <= 64:
+            if len(self.words) >= self.max_words:
+                self.old = dict(self.words)
+                self.words.clear()
+            self.words[piece] = count
+        return count
+
+    def _run(self, piece: str) -> int:
         state = count = 0
         arcs = self.arcs
         for byte in piece.encode():
@@ -93,10 +104,6 @@ class CountTransducer:
             count += delta
         if len(arcs) >= self.max_transitions:
             self._reset()
-        if len(self.words) >= self.max_words:
-            self.words.clear()
-        if len(piece) <= 64:
-            self.words[piece] = count
         return count
 
     def count(self, text: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import regex
@@ -9,6 +10,10 @@ import regex
 #: The pre-token pattern that the byte-level pre-tokenizer applies when ``use_regex`` is set.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pieces up to so many bytes are merged on plain lists.
+SHORT = 64
+NEVER = 1 << 62
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary, as character -> byte."""
@@ -46,41 +51,50 @@ class Vocabulary:
         special = set(self.added.values())
         self.id_of = {b: i for i, b in enumerate(self.bytes_of) if b and i not in special}
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Both ids of a pair in one number -> its rank and the merged id in one number, so the least is the next merge.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[names[left], names[right]] = rank, names[left + right]
+            self.merges[names[left] << 32 | names[right]] = rank << 32 | names[left + right]
         self.pattern = regex.compile(PRETOKEN)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece by the merge rules: the lowest rank first, leftmost first.
-
-        Linked positions and a heap keep a piece of n bytes at n log n, so a text without any
-        pre-token boundary stays affordable.
-        """
-        import heapq
-
+        """The ids of one piece by the merge rules: the lowest rank first, leftmost first."""
         ids = [self.byte_ids[b] for b in piece]
-        n = len(ids)
-        if n < 2:
-            return ids
-        merges, after, before = self.merges, list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        known = self.merges.get
+        ranks = [known(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i] = least & 0xFFFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = known(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = known(ids[i] << 32 | ids[i + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with linked positions and a heap: n log n, so a text without any pre-token boundary stays affordable."""
+        n, known = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := known(ids[i] << 32 | ids[i + 1], NEVER)) < NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            m, i, left, right = heapq.heappop(heap)
             j = after[i] if ids[i] == left else n
             if j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j] = merges[left, right][1], -1
+            ids[i], ids[j] = m & 0xFFFFFFFF, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((ids[i], ids[k])):
-                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], ids[i]))):
-                heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
+                if (m := known(ids[i] << 32 | ids[k], NEVER)) < NEVER:
+                    heapq.heappush(heap, (m, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (m := known(ids[h] << 32 | ids[i], NEVER)) < NEVER:
+                heapq.heappush(heap, (m, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
     def parts(self, text: str):
