@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from worldpulse.llm.shared import one_per_process
 from worldpulse.llm.vocabulary import Vocabulary
 
-MAX_PIECES = 60_000
+MAX_PIECES = 150_000
 
 
 def little_endian(ids) -> bytes:

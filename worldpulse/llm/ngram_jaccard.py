@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worldpulse.llm.components import components
-from worldpulse.llm.shared import materialize
+from worldpulse.llm.shared import let_go, materialize
 from worldpulse.llm.shingles import shingle_sets
 
 BLOCK_BYTES = 1_000_000
@@ -51,7 +51,8 @@ NO_ID = -(1 << 63)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, a few MB of text at a time."""
+    """Ids and shingle sets, about a MB of text at a time."""
+    let_go()
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         begin = size = 0

@@ -7,8 +7,8 @@ carry labels, so training alternates: at first each line has its text's label; t
 texts that the field finds good are called good (all but the worst, if it finds all good), and the field
 is fitted again. A last step bends the score so that 0.7 is where the training texts divide best.
 
-Training reads at most ``train_docs`` labelled rows per label (those with the least hash of their id,
-texts up to ``MAX_TRAIN_BYTES``); only their line features come to the driver. Without rows of both
+Training reads about ``train_docs`` labelled rows per label (those whose id's hash is below the share that
+gives so many; texts up to ``MAX_TRAIN_BYTES``); only their line features come to the driver. Without rows of both
 labels nothing can be learnt and every score is 0.5.
 
 Null, empty and blank texts have no lines and score 0.5. Repeated ids of ``labels`` count once, with the
@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worldpulse.llm.shared import let_go
+
 TRAIN_DOCS = 1_500
 MAX_TRAIN_BYTES = 10_000
 THRESHOLD = 0.7
@@ -212,10 +214,9 @@ def fit(x: np.ndarray, lengths: np.ndarray, n: np.ndarray, labels: np.ndarray, r
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """Fit on a bounded sample of ``docs(doc_id, text)`` with ``labels(doc_id, quality)``, both already without held-out rows."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    totals = known.groupBy("quality").agg((F.lit(4.0 * train_docs) / F.count("*")).alias("share"))
+    shares = known.groupBy("quality").agg((F.lit(1.0 * train_docs) / F.count("*")).alias("share"))
     place = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(2**52)) / F.lit(2.0**53)
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = known.join(totals, "quality").filter(place < F.col("share")).withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", "quality")
+    sample = known.join(F.broadcast(shares), "quality").filter(place < F.col("share")).select("doc_id", "quality")
 
     @F.pandas_udf("struct<x:binary,lengths:binary,n:long>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -226,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
                 rows.append((x.tobytes(), lengths.astype("<i8").tobytes(), int(n[0])))
             yield pd.DataFrame(rows, columns=["x", "lengths", "n"])
 
-    # The sample has at most 2 * train_docs ids, a bound that the input's size doesn't move.
+    # The sample has about 2 * train_docs ids, a bound that the input's size doesn't move.
     own = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = own.select("doc_id", "quality", described("text").alias("d"), F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()
     y = np.array([r["quality"] for r in rows])
@@ -243,6 +244,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         for texts in batches:
             out, block, size = [], [], 0
             for t in [*texts, None]:

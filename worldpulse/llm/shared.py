@@ -27,7 +27,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, limit: str = "8m") -> None:
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
     """Let Arrow batches hold at most ``limit``; a task has a few of them at a time, in and out, beside its tables."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
@@ -48,3 +48,8 @@ def one_per_process(key: Hashable, build: Callable[[], Any]) -> Any:
         _held.clear()
         _held[key] = build()
     return _held[key]
+
+
+def let_go() -> None:
+    """Drop what this process holds; for tasks that need no tables and run in a worker that made some."""
+    _held.clear()
