@@ -6,6 +6,8 @@ the columns of ``documents``; the last gives the token ids. Models are learnt fr
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts whose lines are bad for the most part."""
+    """Drop texts whose lines are bad for the most part. Where no text of either label is left to learn from, all stay."""
     small_batches(spark)
-    scored = quality_crf.score(docs, quality_field(docs, table(spark, sf_dir, "labels")))
+    field = quality_field(docs, table(spark, sf_dir, "labels"))
+    if not field.known:
+        warnings.warn("no quality field could be learnt: all documents stay", stacklevel=2)
+        return docs
+    scored = quality_crf.score(docs, field)
     return scored.filter("predicted = 1").select(*docs.columns)
 
 

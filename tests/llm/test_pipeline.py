@@ -97,3 +97,11 @@ def test_nulls_repeats_and_long_texts(spark, sf):
         if name == "near_duplicates":
             assert docs.filter("doc_id = 5003").count() <= 1
     assert docs.count() > 50
+
+
+def test_all_documents_stay_without_a_quality_field(spark, sf, tmp_path):
+    spark.createDataFrame([(-1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    with pytest.warns(UserWarning, match="all documents stay"):
+        kept = corpus_pipeline.classify_quality(spark, docs, str(tmp_path))
+    assert kept.count() == docs.count()

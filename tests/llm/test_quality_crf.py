@@ -47,7 +47,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, " \n ", 1), (4, "a line", 1), (4, "a line", 1), (5, "w\n" * 20_000, 1), (6, "### " * 2_000, 1), (None, "x", 1)], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, " \n ", 1), (4, "a line", 1), (4, "a line", 1), (5, "w\n" * 20_000, 1), (6, "### " * 20_000, 1), (None, "x", 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (9, 1)], "doc_id long, quality int")
     blank = Q.learn(docs, labels)
     assert {r["score"] for r in Q.score(docs, blank).collect()} == {0.5}
@@ -59,3 +59,25 @@ def test_edges(spark):
     assert Q.score(docs, field).count() == 8
     assert Q.score(docs.limit(0), field).count() == 0
     assert Q.score(docs.limit(0), Q.learn(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_training_texts_are_drawn_from_the_join_at_any_length(spark):
+    rows = [(k, ("a plain line of words\n" if k % 2 else "### $$$ ###\n") * (1_000 if k % 2 else 2_000)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Far more labels than documents, and no text of either label under 10,000 bytes.
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    field = Q.learn(docs, labels, train_docs=20)
+    found = {r["doc_id"]: r["predicted"] for r in Q.score(docs, field).collect()}
+    assert field.known and found == {k: k % 2 for k in range(20)}
+
+
+def test_chains_cover_a_text_or_are_spread_over_it():
+    assert Q.chains(0) == [] and Q.chains(1) == [(0, 1)]
+    assert Q.chains(1_200) == [(0, 500), (500, 1_000), (1_000, 1_200)]
+    long = Q.chains(1_000_001)
+    assert len(set(long)) == 40 and long[0] == (0, 500) and long[-1] == (1_000_000, 1_000_001)
+
+
+def test_blank_texts_leave_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(1, " "), (2, "\n"), (3, "\u2003")], "doc_id long, text string")
+    assert not Q.learn(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")).known

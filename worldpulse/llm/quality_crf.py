@@ -7,9 +7,12 @@ carry labels, so training alternates: at first each line has its text's label; t
 texts that the field finds good are called good (all but the worst, if it finds all good), and the field
 is fitted again. A last step bends the score so that 0.7 is where the training texts divide best.
 
-Training reads about ``train_docs`` labelled rows per label (those whose id's hash is below the share that
-gives so many; texts up to ``MAX_TRAIN_BYTES``); only their line features come to the driver. Without rows of both
-labels nothing can be learnt and every score is 0.5.
+Training reads about ``train_docs`` labelled texts per label, of any length: labels are joined to documents
+first, and of the texts with lines that have a label those are drawn whose hash is below the share that gives
+so many, fewer of them if they have over ``MAX_TRAIN_LINES`` lines in all. Texts of over ``CHAIN_LINES`` lines
+are trained as chains of so many, and those of over ``MAX_TEXT_LINES`` give that many lines, in chains spread
+over the text. Only line features come to the driver. Repeats of an id and text count once. Without texts
+of both labels nothing can be learnt: every score is 0.5, and the field isn't ``known``.
 
 Null, empty and blank texts have no lines and score 0.5. Repeated ids of ``labels`` count once, with the
 lowest label; repeated documents are scored each. Extra columns pass through. Texts are read whole.
@@ -25,14 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import let_go
+from worldpulse.llm.shared import let_go, materialize
 
 TRAIN_DOCS = 1_500
-MAX_TRAIN_BYTES = 10_000
+#: Lines to train on: per label (the text that reaches the bound is the last), per text, and per chain.
+MAX_TRAIN_LINES, MAX_TEXT_LINES, CHAIN_LINES = 100_000, 20_000, 500
 THRESHOLD = 0.7
 BLOCK_CHARS = 1_000_000
 ROUNDS = 3
-STEPS = 80
+STEPS = 150
 #: Character classes that lines are described by.
 SYMBOLS = "#*$%&|<>@^~_=+\\/[]{}"
 SHOUTS = "!?"
@@ -155,6 +159,11 @@ class Field:
     def __init__(self, weights: np.ndarray, move: np.ndarray, cut: float) -> None:
         self.weights, self.move, self.cut = weights, move, cut
 
+    @property
+    def known(self) -> bool:
+        """Whether anything was learnt."""
+        return bool(np.any(self.weights))
+
     def shares(self, x: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The length-weighted mean marginal of each text; NaN without lines."""
         if not len(x):
@@ -211,36 +220,61 @@ def fit(x: np.ndarray, lengths: np.ndarray, n: np.ndarray, labels: np.ndarray, r
     return field
 
 
+def chains(n: int) -> list[tuple[int, int]]:
+    """Where the chains of a text of ``n`` lines begin and end."""
+    found = [(at, min(n, at + CHAIN_LINES)) for at in range(0, n, CHAIN_LINES)]
+    most = MAX_TEXT_LINES // CHAIN_LINES
+    return found if n <= MAX_TEXT_LINES else [found[k * (len(found) - 1) // (most - 1)] for k in range(most)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """Fit on a bounded sample of ``docs(doc_id, text)`` with ``labels(doc_id, quality)``, both already without held-out rows."""
+    none = Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)), 0.5)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    shares = known.groupBy("quality").agg((F.lit(1.0 * train_docs) / F.count("*")).alias("share"))
-    place = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(2**52)) / F.lit(2.0**53)
-    sample = known.join(F.broadcast(shares), "quality").filter(place < F.col("share")).select("doc_id", "quality")
-
-    @F.pandas_udf("struct<x:binary,lengths:binary,n:long>")
+    keyed = docs.filter(F.col("text").rlike(r"(?U)\S") & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    # Narrow rows; what has no label goes before anything is counted.
+    labelled = keyed.groupBy("doc_id", "key").agg(F.max(lines).cast("long").alias("lines")).join(known, "doc_id").select("key", "lines", "quality")
+    labelled = materialize(labelled, "op4-labelled")
+    totals = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    if len(totals) < 2:
+        return none
+    place = (F.shiftright("key", 11) + F.lit(2**52)) / F.lit(2.0**53)
+    share = F.create_map(*[F.lit(x) for y, n in sorted(totals.items()) for x in (y, train_docs / n)])
+    # About 2 * train_docs narrow rows, a bound that the input's size doesn't move.
+    drawn: list[tuple[int, int]] = []
+    taken = dict.fromkeys(totals, 0)
+    for r in labelled.filter(place < share[F.col("quality")]).orderBy("key").collect():
+        if taken[r["quality"]] < MAX_TRAIN_LINES:
+            taken[r["quality"]] += min(r["lines"], MAX_TEXT_LINES)
+            drawn.append((r["key"], r["quality"]))
+
+    @F.pandas_udf("struct<x:binary,lengths:binary,n:array<long>>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 x, lengths, n = line_features([t])
-                rows.append((x.tobytes(), lengths.astype("<i8").tobytes(), int(n[0])))
+                parts = chains(int(n[0]))
+                at = np.concatenate([np.arange(a, b) for a, b in parts]) if parts else np.zeros(0, np.int64)
+                rows.append((x[at].tobytes(), lengths[at].astype("<i8").tobytes(), [b - a for a, b in parts]))
             yield pd.DataFrame(rows, columns=["x", "lengths", "n"])
 
-    # The sample has about 2 * train_docs ids, a bound that the input's size doesn't move.
-    own = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = own.select("doc_id", "quality", described("text").alias("d"), F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()
-    y = np.array([r["quality"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)), 0.5)
+    sample = F.broadcast(docs.sparkSession.createDataFrame(drawn, "key long, quality int"))
+    own = keyed.join(sample, "key").groupBy("key", "quality").agg(F.first("text").alias("text"))
+    rows = [r for r in own.select("key", "quality", described("text").alias("d")).orderBy("key").collect() if r["d"]["n"]]
+    if len({r["quality"] for r in rows}) < 2:
+        return none
     x = np.vstack([np.frombuffer(r["d"]["x"], np.float32).reshape(-1, 3 * OWN + 3) for r in rows])
     lengths = np.concatenate([np.frombuffer(r["d"]["lengths"], "<i8") for r in rows])
-    return fit(x, lengths, np.array([r["d"]["n"] for r in rows], np.int64), y)
+    n = np.array([n for r in rows for n in r["d"]["n"]], np.int64)
+    y = np.array([r["quality"] for r in rows for _ in r["d"]["n"]])
+    return fit(x, lengths, n, y)
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
-    known = bool(np.any(field.weights))
+    known = field.known
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
