@@ -67,3 +67,20 @@ def test_edges(spark):
     assert {p for d, p, _ in found if d < 4} == {"und"} and {p for d, p, _ in found if d == 4} == {"en"} and {p for d, p, _ in found if d == 5} == {"de"}
     assert {r["lang_pred"] for r in L.identify(docs, {}).collect()} == {"und"}
     assert L.learn(docs.limit(0)) == {} and L.identify(docs.limit(0), TRAINING).count() == 0
+
+
+def test_training_text_is_filled_despite_copies_and_long_texts(spark):
+    copies = [("the same old text " * 20, "en")] * 3_000 + [(f"text {k} of many words {k * k} " * 8, "en") for k in range(60)]
+    long = [("der Hund und die Katze " * 100_000, "de")] + [(f"Satz {k} mit Wort {k * k} " * 4, "de") for k in range(400)]
+    docs = spark.createDataFrame(copies + long, "text string, lang string")
+    training = L.learn(docs, train_bytes=4_000)
+    assert {x: len(v) for x, v in training.items()} == {"en": 4_000, "de": 4_000}
+    assert training["de"].count(b"Hund") < 20
+
+
+def test_pieces_are_spread_over_a_long_text(spark):
+    text = "a" * 50_000 + "ü" * 50_000 + "z" * 50_000
+    docs = spark.createDataFrame([(text, "en"), ("short", "de")], "text string, lang string")
+    training = L.learn(docs, train_bytes=1_000)
+    assert len(training["en"]) == 1_000 and all(x in training["en"].decode(errors="ignore") for x in "aüz")
+    assert training["de"] == b"short\n"

@@ -12,8 +12,9 @@ pass for certainty.
 
 Contexts of all languages share one tree of numbered nodes, and code lengths are worked out at training
 for every node and byte, so scoring is a few array lookups per byte. Training reads at most
-``train_bytes`` per language, from the rows with the least hash of their text (a bounded sample that
-doesn't depend on partitioning). That text, a fixed
+``train_bytes`` per language, from the distinct texts of least hash (a bounded sample that doesn't depend
+on partitioning), and of each at most a ``TEXTS``-th of that, in pieces spread over the text, unless a
+language has too few texts for that. That text, a fixed
 bound, is broadcast and each Python process builds the trees from it once.
 
 Null texts and texts without a letter get ``und`` and score 0. With no training rows all texts do.
@@ -27,15 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import one_per_process
+from worldpulse.llm.shared import materialize, one_per_process
 
 ORDER = 3
 TRAIN_BYTES = 200_000
 UNKNOWN = "und"
 MAX_LANGUAGES = 1_000
+#: So many texts fill a language's training text at least, if there are; a longer one gives so many pieces.
+TEXTS, PIECES = 32, 4
 BLOCK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
@@ -120,23 +123,49 @@ class ContextTrees:
         return self.languages[best], float(1 / np.exp2((bits[best] - bits) / np.sqrt(len(data))).sum())
 
 
+def _pieces(text: Column, most: Column) -> Column:
+    """``text``, or about ``most`` bytes of it in ``PIECES`` pieces spread evenly over it."""
+    chars = F.char_length(text)
+    size = F.ceil(most.cast("double") * chars / F.octet_length(text) / PIECES).cast("int")
+    parts = [F.substring(text, F.floor((chars - size).cast("double") * k / (PIECES - 1)).cast("int") + 1, size) for k in range(PIECES)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORDER, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Training text of each language from labelled ``docs``, at most ``train_bytes`` each.
 
-    A language's total bytes say which share of the hash range holds a few times the bound; only
-    texts in that share are exchanged, copies as one, and the least hashes that fill the bound stay.
+    What a language's distinct texts can give, each up to its bound, says which share of the hash range
+    holds a few times ``train_bytes``. Shares that turn out to hold less are doubled until they don't or are 1.
+    Only texts in the share are exchanged, copies as one, and the least hashes that fill the bound stay.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.octet_length(text_col).cast("long").alias("n"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # Narrow rows, one for each distinct text.
+    narrow = materialize(rows.groupBy("lang", "h").agg(F.max("n").alias("n")), "op5-texts")
+    bounds = sorted({max(1, train_bytes // k) for k in (TEXTS, TEXTS // 2, TEXTS // 4, TEXTS // 8, TEXTS // 16, 1)})
+    sums = [F.sum(F.least("n", F.lit(x))).alias(f"b{x}") for x in bounds]
+    totals = {r["lang"]: r for r in narrow.groupBy("lang").agg(*sums).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: {lang_col} holds something else")
     if not totals:
         return {}
-    # Languages are few, so each one's share is a literal and no text is exchanged to find it.
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, 4.0 * train_bytes / max(1, n)))])
+    # Languages are few, so each one's bound and share are literals and no text is exchanged to find them.
+    bound = {x: next((b for b in bounds if r[f"b{b}"] >= 2 * train_bytes), bounds[-1]) for x, r in totals.items()}
+    share = {x: min(1.0, 4.0 * train_bytes / max(1, r[f"b{bound[x]}"])) for x, r in totals.items()}
     place = (F.shiftright("h", 11) + F.lit(2**52)) / F.lit(2.0**53)
-    sample = rows.filter(place < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("n").alias("n"), F.first(F.substring("text", 1, train_bytes)).alias("text"))
+
+    def of(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(v) for x in sorted(values.items()) for v in x])[F.col("lang")]
+
+    while True:
+        drawn = narrow.filter(place < of(share)).groupBy("lang").agg(F.sum(F.least("n", of(bound))).alias("n"))
+        got = {r["lang"]: r["n"] for r in drawn.collect()}
+        short = [x for x in share if share[x] < 1 and got.get(x, 0) < 2 * train_bytes]
+        if not short:
+            break
+        share |= {x: min(1.0, 2 * share[x]) for x in short}
+    whole = rows.filter(place < of(share)).groupBy("lang", "h").agg(F.first(_pieces(F.col("text"), of(bound))).alias("text"))
+    sample = whole.withColumn("n", F.octet_length("text").cast("long"))
     running = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     kept = sample.withColumn("before", F.coalesce(running, F.lit(0))).filter(F.col("before") < train_bytes)
     found: dict[str, bytes] = {}
