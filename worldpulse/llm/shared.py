@@ -1,32 +1,58 @@
-"""Helpers that several operators of this subpackage use: table access and the shared scratch folder."""
+"""Helpers that several operators of this subpackage use: own columns, table access and the shared scratch folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-TEST_SCRATCH = "/tmp/checkpoints"
+_local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a fixed local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or TEST_SCRATCH).rstrip("/")
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without it (tests): it gets a temporary folder, removed at exit.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    if "dir" not in _local:
+        _local["dir"] = tempfile.mkdtemp(prefix="worldpulse-")
+        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+    return _local["dir"]
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the scratch folder."""
+    return f"{scratch_dir(spark)}/worldpulse/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor. Names are unique, so that a
-    second run never sees the rows of the first.
+    second run never sees the rows of the first. :func:`clear` removes them once results are written.
     """
-    path = f"{scratch_dir(df.sparkSession)}/worldpulse/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that haven't been written by then can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, limit: str = "4m") -> None:
     """Let Arrow batches hold at most ``limit``; a task has a few of them at a time, in and out, beside its tables."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
@@ -36,6 +62,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of ``df`` but those named like one of ``taken``, in any case of letters."""
+    low = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def pack(df: DataFrame, keep: list[str], **new: Column) -> DataFrame:
+    """``df`` as one struct ``row`` of the columns ``keep`` beside ``new`` ones, so that no name inside can clash with one outside."""
+    row = F.struct(*[named(c) for c in keep]) if keep else F.struct(F.lit(True).alias("none"))
+    return df.select(row.alias("row"), *[c.alias(name) for name, c in new.items()])
+
+
+def unpack(keep: list[str]) -> list[Column]:
+    """The packed columns under their own names."""
+    return [F.col("row").getField(c).alias(c) for c in keep]
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, share: int = 1_000) -> DataFrame:
+    """The inner join of ``many`` rows per key with ``one`` row per key, where a key may hold a large part of ``many``.
+
+    Keys with more than a ``share``-th of the rows are fewer than ``share``, whatever the input's size: their rows
+    of ``one`` are broadcast, so theirs in ``many`` stay where they are. Only the rest is exchanged. Both
+    sides are stored tables.
+    """
+    counted = many.groupBy(key).agg(F.count("*").alias("n"))
+    total = many.count()
+    hot = F.broadcast(counted.filter(F.col("n") > max(1, total // share)).select(key))
+    there = F.broadcast(one.join(hot, key, "left_semi"))
+    return many.join(there, key).unionByName(many.join(hot, key, "left_anti").join(one, key))
+
+
 _held: dict[Hashable, Any] = {}
 
 
