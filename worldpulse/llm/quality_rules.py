@@ -1,20 +1,25 @@
 """Operator 2, quality rules with adaptive thresholds, in DataFrame functions only.
 
 Measures of a text (words, their characters, symbols, repeated lines, words in repeated windows of
-three) become ratios, and mergeable KLL quantile sketches of each ratio are built per language and
-source. A group's fences stand ``SPREAD`` quartile distances outside its quartiles, never closer than
-a floor that keeps a uniform group from rejecting slight deviations. Groups with fewer than
-``MIN_GROUP`` texts use the sketch merged over their language, or else over everything. Texts join
-the fences of their language and source, and one outside any fence isn't kept. Texts that fail the
-base rules are never kept and don't count in the sketches.
+three) become ratios, and mergeable KLL quantile sketches of each ratio, and of the numbers of words and
+lines, are built per language and source. No threshold is a fixed cutoff: a group's upper fence stands
+``SPREAD`` quartile distances above its upper quartile. Where a group's quartiles coincide, as they do for
+ratios that are zero in most texts, the reach is what a few events amount to in the group's median text:
+``SPREAD`` symbols over its median number of words, ``SPREAD`` lines over its median number of lines, one
+line said twice; for the mean word length, which is a measure of the middle, a lower fence stands below the
+lower quartile too, and its quartile distance counts as ``LEAST_RELATIVE`` of the median at least. Groups
+with fewer than ``MIN_GROUP`` texts use the sketch merged over their language, or else over everything.
+Texts join the fences of their language and source, and one outside any fence isn't kept. Texts that fail
+the base rules are never kept and don't count in the sketches.
 
 Each task reduces its rows to one sketch per group before anything is exchanged, so a source with a
 third of all rows costs no more than another. The fences are broadcast while there are at most
 ``MAX_BROADCAST_GROUPS`` of them, and joined by the planner's choice beyond.
 
 Null and empty texts have no words, hence fail the base rules. Null languages and sources are groups
-of their own. An empty table gives no rows. Repeated rows are judged each; extra columns pass through,
-but for those named like an output.
+of their own. Very long texts are measured whole, as arrays of words and windows inside one row. An empty
+table gives no rows. Repeated rows are judged each. Extra columns pass through under any name; one named
+like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,22 +27,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import materialize
+from worldpulse.llm.shared import materialize, named, others, pack, unpack
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP, SPREAD, SKETCH_K = 50, 3.0, 1024
 MAX_BROADCAST_GROUPS = 50_000
-#: Least fences: (ratio, least distance between quartiles, whether there's a lower fence, least upper fence).
+#: The share of its median that a two-sided ratio's quartile distance counts as at least.
+LEAST_RELATIVE = 0.1
+#: (ratio, the measure that says how much one event weighs in it, events of the least reach; none for the two-sided ratio).
 RULES = (
-    ("symbols_per_word", 0.0, False, 0.10),
-    ("dup_line_share", 0.0, False, 0.50),
-    ("repeat_word_share", 0.0, False, 0.35),
-    ("mean_word_chars", 0.6, True, 0.0),
+    ("symbols_per_word", "n_words", SPREAD),
+    ("dup_line_share", "n_lines", SPREAD),
+    ("repeat_word_share", "n_lines", 2.0),
+    ("mean_word_chars", None, None),
 )
+SKETCHED = ("symbols_per_word", "dup_line_share", "repeat_word_share", "mean_word_chars", "n_words", "n_lines")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _POSITION = 2**31 - 1
+NEAR = 8
 
 
 def _window_keys(words: Column) -> Column:
@@ -66,7 +75,14 @@ def _repeated_positions(words: Column, keys: Column) -> Column:
 
         before, after = F.get(keys, k - 1), F.get(keys, k + 1)
         near = (hash_of(before) & equal(x, before)) | (hash_of(after) & equal(x, after))
-        return (hash_of(before) | hash_of(after)) & (near | F.exists(keys, lambda y: hash_of(y) & (y != x) & equal(x, y)))
+        # Equal hashes are neighbours, so a few keys around are asked; all of them only where the run is longer.
+        longer = (hash_of(F.get(keys, k - NEAR)) & (k >= NEAR)) | hash_of(F.get(keys, k + NEAR))
+        around = F.slice(keys, F.greatest(k - NEAR + 2, F.lit(1)), 2 * NEAR - 1)
+
+        def same(y: Column) -> Column:
+            return hash_of(y) & (y != x) & equal(x, y)
+
+        return (hash_of(before) | hash_of(after)) & (near | F.when(longer, F.exists(keys, same)).otherwise(F.exists(around, same)))
 
     return F.array_sort(F.transform(F.filter(keys, repeated), position))
 
@@ -77,26 +93,31 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x)
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with the measures (long)."""
-    own = {text_col, *MEASURES, *[r[0] for r in RULES], "base_failed", "kept", "fence_lang", "fence_source"}
-    keep = [c for c in docs.columns if c not in own]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _measured(rows: DataFrame) -> DataFrame:
+    """The column ``text`` of ``rows`` as measures (long); the other columns have none of the names used here."""
+    keep = [c for c in rows.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select(*keep, words.alias("_words"), lines.alias("_lines"), F.size(F.regexp_extract_all(text, F.lit(SYMBOLS), F.lit(0))).cast("long").alias("n_symbols"))
+    split = rows.select(*keep, words.alias("words"), lines.alias("lines"), F.size(F.regexp_extract_all(text, F.lit(SYMBOLS), F.lit(0))).cast("long").alias("n_symbols"))
     keyed = split.select(
         *keep,
         "n_symbols",
-        "_words",
-        _window_keys(F.col("_words")).alias("_keys"),
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "words",
+        _window_keys(F.col("words")).alias("keys"),
+        F.size("words").cast("long").alias("n_words"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    marked = keyed.withColumn("_found", _repeated_positions(F.col("_words"), F.col("_keys")))
-    return marked.select(*keep, *[c for c in MEASURES if c != "n_repeat_words"], _covered(F.col("_found")).alias("n_repeat_words"))
+    marked = keyed.withColumn("found", _repeated_positions(F.col("words"), F.col("keys")))
+    return marked.select(*keep, *[c for c in MEASURES if c != "n_repeat_words"], _covered(F.col("found")).alias("n_repeat_words"))
+
+
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with the measures (long)."""
+    keep = others(docs, text_col, *MEASURES)
+    return _measured(pack(docs, keep, text=named(text_col))).select(*unpack(keep), *MEASURES)
 
 
 def base_failed() -> Column:
@@ -113,41 +134,57 @@ def ratios(measured: DataFrame) -> DataFrame:
     })
 
 
-def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per language and source with ``<ratio>_low`` and ``<ratio>_high``."""
+def _group(measured: DataFrame) -> DataFrame:
+    """One row per ``lang`` and ``source`` with the group's sketches: its own, or those of its language or of all texts."""
     sound = ratios(measured.filter(~base_failed()))
-    names = [r[0] for r in RULES]
-    own = sound.groupBy(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).agg(*[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names])
+    own = sound.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(c) for c in SKETCHED])
     # From here on there's one small row per group; sketches merge from sources to languages to all.
     own = materialize(own, "op2-sketches")
-    lang = own.groupBy("lang").agg(*[F.kll_merge_agg_double(c).alias(f"lang_{c}") for c in names])
-    every = lang.agg(*[F.kll_merge_agg_double(f"lang_{c}").alias(f"all_{c}") for c in names])
-    levels = own.join(lang, own["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).crossJoin(F.broadcast(every))
-    limits = []
-    for name, least_spread, two_sided, least_high in RULES:
-        enough = lambda c: F.kll_sketch_get_n_double(c) >= MIN_GROUP
-        sketch = F.when(enough(name), F.col(name)).when(enough(f"lang_{name}"), F.col(f"lang_{name}")).otherwise(F.col(f"all_{name}"))
-        q1, q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-        reach = SPREAD * F.greatest(q3 - q1, F.lit(least_spread))
-        limits.append((q1 - reach if two_sided else F.lit(float("-inf"))).alias(f"{name}_low"))
-        limits.append(F.greatest(q3 + reach, F.lit(least_high)).alias(f"{name}_high"))
-    return levels.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *limits)
+    lang = own.groupBy(F.col("lang").alias("of")).agg(*[F.kll_merge_agg_double(c).alias(f"lang_{c}") for c in SKETCHED])
+    every = lang.agg(*[F.kll_merge_agg_double(f"lang_{c}").alias(f"all_{c}") for c in SKETCHED])
+    levels = own.join(lang, own["lang"].eqNullSafe(lang["of"])).crossJoin(F.broadcast(every))
+    enough = lambda c: F.kll_sketch_get_n_double(c) >= MIN_GROUP
+    return levels.select("lang", "source", *[F.when(enough(c), F.col(c)).when(enough(f"lang_{c}"), F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in SKETCHED])
 
 
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def fences(measured: DataFrame) -> DataFrame:
+    """One row per ``lang`` and ``source`` of ``measured`` with ``<ratio>_low`` and ``<ratio>_high``."""
+    quantile = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
+    limits = []
+    for name, size, events in RULES:
+        q1, q3 = quantile(name, 0.25), quantile(name, 0.75)
+        if size is None:
+            reach = SPREAD * F.greatest(q3 - q1, LEAST_RELATIVE * quantile(name, 0.5))
+            limits.append((q1 - reach).alias(f"{name}_low"))
+        else:
+            reach = F.greatest(SPREAD * (q3 - q1), F.lit(events) / F.greatest(quantile(size, 0.5), F.lit(1.0)))
+            limits.append(F.lit(float("-inf")).alias(f"{name}_low"))
+        limits.append((q3 + reach).alias(f"{name}_high"))
+    return _group(measured).select("lang", "source", *limits)
+
+
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``. ``limits`` is a stored table."""
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    rated = ratios(measured)
-    joined = rated.join(limits, rated[lang_col].eqNullSafe(limits["fence_lang"]) & rated[source_col].eqNullSafe(limits["fence_source"]), "left")
+    m, f = ratios(measured).alias("m"), limits.alias("f")
+    joined = m.join(f, F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
     inside = F.lit(True)
     for name, *_ in RULES:
         # A group without fences has no sound text, so there's nothing to keep in it.
         inside = inside & F.coalesce(F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
-    return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+    return joined.select(*[F.col(f"m.{c}") for c in measured.columns], base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+
+
+def measured_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, list[str]]:
+    """The stored measures with ``lang``, ``source`` and a struct ``row`` of the columns that pass through, and their names."""
+    keep = others(docs, text_col, *MEASURES, "base_failed", "kept")
+    packed = pack(docs, keep, lang=named(lang_col), source=named(source_col), text=named(text_col))
+    return materialize(_measured(packed), "op2-measures"), keep
 
 
 def apply(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` without the text, with measures, ``base_failed`` and ``kept``. Texts are read once."""
-    measured = materialize(measure(docs, text_col), "op2-measures")
-    return judge(measured, materialize(fences(measured, lang_col, source_col), "op2-fences"), lang_col, source_col)
+    measured, keep = measured_rows(docs, text_col, lang_col, source_col)
+    judged = judge(measured, materialize(fences(measured), "op2-fences"))
+    return judged.select(*unpack(keep), *MEASURES, "base_failed", "kept")
