@@ -97,3 +97,33 @@ def test_components(spark):
     out = {r["v"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_unlinked_row_is_lost(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "quite another text of seven words here", "and a third one that is alone too")
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (None, a, "n"), (None, c, "m"), (None, c, "m"), (None, None, "e"), (2, "", "e"), (2, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = N.keep_one(docs)
+    got = sorted((repr(r["doc_id"]), repr(r["text"])) for r in kept.collect())
+    assert got == sorted([("1", repr(a)), ("1", repr(b)), ("None", repr(c)), ("None", "None"), ("2", "''"), ("2", "None")])
+    assert kept.columns == docs.columns and {r["row"] for r in kept.filter("text like 'quite%'").collect()} == {"y"}
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    rows = [(k, f"word{k} some other words that follow number {k} here") for k in range(12)] + [(20, "word3 some other words that follow number 3 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [t for _, t in rows[:2]]
+    one, two = shingle_sets(texts)
+    assert N._identity(one) != N._identity(two)
+    clash = frozenset([N._identity(one)])
+    assert N._identity(one, clash) == N._hash(one, 1) and N._identity(two, clash) == N._identity(two)
+    assert found(docs) == plain_components(rows)
+
+
+def test_hot_keys_join_once(spark):
+    from worldpulse.llm.shared import hot_join
+
+    many = spark.createDataFrame([(1, k) for k in range(500)] + [(k, k) for k in range(2, 300)], "k long, x long")
+    one = spark.createDataFrame([(k, f"n{k}") for k in range(0, 250)], "k long, name string")
+    got = sorted(map(tuple, hot_join(many, one, "k", share=10).collect()))
+    assert got == sorted((k, x, f"n{k}") for k, x in [(1, j) for j in range(500)] + [(j, j) for j in range(2, 250)])

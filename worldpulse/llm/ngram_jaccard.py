@@ -23,8 +23,13 @@ are asked for, and a bitmap of fixed size tells tasks which ones those are, so n
 sets are ever shuffled. Every step between is a stored table.
 
 Null, empty and word-less texts have no shingles, no links and their own ``doc_id`` as component.
-Rows with equal ``doc_id`` but different texts are different sets. Null ids stay null unless linked to
-others (the smallest known id names a component). Extra columns are ignored.
+Sets are named by 64 bits of their hash. A second, independent hash is stored beside each name, and where sets
+of one name differ in it, they are renamed by it, so sets are told apart by 128 bits.
+
+Null and empty texts have an empty set, link to nothing and keep their own id. Rows with equal ``doc_id`` but
+different texts are different sets. Null ids stay null unless linked to others (the smallest known id names a
+component). Repeated rows get a row each. Texts are shingled whole: a task holds one text's shingles at a time
+beside a block of short texts. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,19 +44,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worldpulse.llm.components import components
-from worldpulse.llm.shared import let_go, materialize
+from worldpulse.llm.shared import hot_join, let_go, materialize, named, pack, unpack
 from worldpulse.llm.shingles import shingle_sets
 
 BLOCK_BYTES = 1_000_000
 HELD_SHINGLES = 2_000_000
 COMMON_LEAST = 4
 MAX_COMMON = 2_000_000
-BITMAP_BITS = 1 << 25
+#: Bits of the bitmap of sets that are asked for: 16 for each, between these bounds. A full one costs time, not links.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 NO_ID = -(1 << 63)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, about a MB of text at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], *more: int) -> Iterator[tuple]:
+    """Ids, shingle sets and the columns ``more``, about a MB of text at a time."""
     let_go()
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -60,17 +66,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
         for k, n in enumerate(lengths):
             size += n
             if size >= BLOCK_BYTES or k + 1 == len(lengths):
-                yield ids[begin : k + 1], shingle_sets(texts.slice(begin, k + 1 - begin).to_pylist())
+                yield ids[begin : k + 1], shingle_sets(texts.slice(begin, k + 1 - begin).to_pylist()), *[batch.column(c).slice(begin, k + 1 - begin).to_pylist() for c in more]
                 begin, size = k + 1, 0
 
 
-def _identity(s: np.ndarray) -> int | None:
-    """A set's own 64-bit name."""
-    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64)) if len(s) else None
+def _hash(s: np.ndarray, seed: int) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), seed), np.uint64).astype(np.int64))
+
+
+def _identity(s: np.ndarray, shared: frozenset[int] = frozenset()) -> int | None:
+    """A set's own 64-bit name: its hash, or its second one where different sets share the first."""
+    if not len(s):
+        return None
+    name = _hash(s, 0)
+    return _hash(s, 1) if name in shared else name
+
+
+PROFILE = "row long, doc_id long, n long, v long, w long, h long, c long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row its set's size and name; and, of the task's distinct sets, the shingles that repeat, with their counts."""
+    """For each row its number and id, its set's size, name and second hash; and, of the task's distinct sets, the shingles that repeat, with their counts."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -79,30 +95,32 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         h, c = h[c > 1].view(np.int64), c[c > 1]
         none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(h), pa.array(c)], names=["doc_id", "n", "v", "h", "c"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(h), pa.array(c)], names=["row", "doc_id", "n", "v", "w", "h", "c"])
 
-    for ids, sets in _blocks(batches):
+    for ids, sets, rows in _blocks(batches, 2):
         names = [_identity(s) for s in sets]
+        second = [_hash(s, 1) if len(s) else None for s in sets]
         for v, s in zip(names, sets, strict=True):
             if v is not None and v not in seen:
                 seen.add(v)
                 held.append(s)
                 size += len(s)
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), none, none], names=["doc_id", "n", "v", "h", "c"])
+        columns = [rows, ids, [len(s) for s in sets], names, second]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], none, none], names=["row", "doc_id", "n", "v", "w", "h", "c"])
         if size >= HELD_SHINGLES:
             yield repeated()
             held, size = [], 0
     yield repeated()
 
 
-def _postings(common: np.ndarray, counts: np.ndarray) -> Callable:
+def _postings(common: np.ndarray, counts: np.ndarray, shared: frozenset[int]) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _blocks(batches):
             shingles, names, sizes, places = [], [], [], []
             for s in sets:
-                v = _identity(s)
+                v = _identity(s, shared)
                 if v is None or v in seen:
                     continue
                 seen.add(v)
@@ -123,16 +141,18 @@ def _postings(common: np.ndarray, counts: np.ndarray) -> Callable:
     return emit
 
 
-def _asked(bitmap: np.ndarray) -> Callable:
+def _asked(bitmap: np.ndarray, shared: frozenset[int]) -> Callable:
+    bits = 8 * len(bitmap)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for ids, sets in _blocks(batches):
             found = []
             for doc_id, s in zip(ids, sets, strict=True):
-                v = _identity(s)
+                v = _identity(s, shared)
                 if v is None or v in seen:
                     continue
-                bit = (v ^ (NO_ID if doc_id is None else doc_id)) % BITMAP_BITS
+                bit = (v ^ (NO_ID if doc_id is None else doc_id)) % bits
                 if bitmap[bit >> 3] >> (bit & 7) & 1:
                     seen.add(v)
                     found.append((v, s.view(np.int64)))
@@ -195,32 +215,45 @@ def _size_block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names: frozenset[int]) -> DataFrame:
     """The stored ``pairs`` whose sets link, compared shingle by shingle. ``least``: the ``doc_id`` that stands for each set."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(least, "v")
-    bits = names.select(F.pmod(F.col("v").bitwiseXOR(F.col("least")), F.lit(BITMAP_BITS)).alias("bit"))
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "op7-asked")
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * asked.count()).bit_length()))
+    bits = asked.join(least, "v").select(F.pmod(F.col("v").bitwiseXOR(F.col("least")), F.lit(size)).alias("bit"))
     bucket, place = F.floor(F.col("bit") / 32_768), F.col("bit") % 32_768
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in bits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).collect():
+    bitmap = np.zeros(size // 8, np.uint8)
+    for r in bits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).toLocalIterator():
         bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     # A set can come twice, by a repeated row or a chance bit; that repeats a link, which the last step undoes.
-    sets = materialize(docs.mapInArrow(lambda batches: _asked(shared.value)(batches), "v long, s array<long>"), "op7-sets")
+    sets = materialize(docs.mapInArrow(lambda batches: _asked(shared.value, shared_names)(batches), "v long, s array<long>"), "op7-sets")
     half = pairs.select(F.col("a").alias("v"), "b").join(sets, "v").select(F.col("v").alias("a"), F.col("b").alias("v"), F.col("s").alias("sa"))
     both = half.join(sets, "v").filter(7 * F.size(F.array_intersect("sa", "s")) >= 3 * (F.size("sa") + F.size("s")))
     return materialize(both.select("a", F.col("v").alias("b")).distinct(), "op7-links")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialize(texts.mapInArrow(_profile, "doc_id long, n long, v long, h long, c long"), "op7-profile")
-    rows = profile.filter("h is null").select("doc_id", "n", "v")
-    least = rows.filter("v is not null").groupBy("v").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"))
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, doc_id, n_shingles, component, component_id)`` for every row of ``docs``.
+
+    ``row`` numbers the rows of ``docs`` as ``monotonically_increasing_id`` does; ``component`` is the name of the
+    component's least set, null for a row without words.
+    """
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    numbered = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    profile = materialize(numbered.mapInArrow(_profile, PROFILE), "op7-profile")
+    rows = profile.filter("h is null").select("row", "doc_id", "n", "v", "w")
+    least = rows.filter("v is not null").groupBy("v").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"), F.min("w").alias("low"), F.max("w").alias("high"))
+    least = materialize(least, "op7-names")
+    # Different sets of one 64-bit name: some 2**-65 of the pairs of sets, so a handful at any size.
+    shared_names = frozenset(r["v"] for r in least.filter("low < high").collect())
+    if shared_names:
+        rows = rows.withColumn("v", F.when(F.col("v").isin(list(shared_names)), F.col("w")).otherwise(F.col("v")))
+        least = rows.filter("v is not null").groupBy("v").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"))
+    least = least.select("v", "least")
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(profile))
 
     # Lists with entries of two sets or more; copies of an entry come from different tasks.
-    postings = texts.mapInArrow(lambda batches: _postings(*common.value)(batches), "h long, v long, n int, pos int")
+    postings = texts.mapInArrow(lambda batches: _postings(*common.value, shared_names)(batches), "h long, v long, n int, pos int")
     of_list = Window.partitionBy("h")
     lists = postings.select("*", F.min("v").over(of_list).alias("low"), F.max("v").over(of_list).alias("high")).filter("low < high").dropDuplicates(["h", "v"])
     lists = materialize(lists.select("h", "v", "n", "pos"), "op7-lists")
@@ -229,32 +262,44 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hubs = lists.join(degree, "v").groupBy("h").agg(F.max_by(F.struct("v", "n", "pos"), F.struct("degree", "v")).alias("hub")).select("h", "hub.*")
     heads = materialize(lists.groupBy("v").agg(F.collect_list("h").alias("head")), "op7-heads")
     starred = materialize(_likely(_met(lists, hubs, ["h"], F.lit(True)), heads), "op7-stars")
-    star_links = verified(texts, starred, least)
+    star_links = verified(texts, starred, least, shared_names)
 
     # What the hubs' answers leave open: pairs of different components, from lists that have two or more.
     of = components(star_links)
-    placed = materialize(lists.join(of, "v", "left").select("h", "v", "n", "pos", F.coalesce("component", "v").alias("k")), "op7-placed")
-    parts = placed.groupBy("h", "k").agg(F.count("*").alias("size"))
+    spread = materialize(lists.join(of, "v", "left").select("h", "v", "n", "pos", F.coalesce("component", "v").alias("k")), "op7-placed")
+    parts = spread.groupBy("h", "k").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("k", F.struct("size", "k")).alias("main")).filter("parts > 1").drop("parts")
-    mixed = placed.join(mixed, "h").withColumn("block", _size_block(F.col("n")))
+    mixed = spread.join(mixed, "h").withColumn("block", _size_block(F.col("n")))
     probes = mixed.filter("k != main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     once = (F.col("x.k") != F.col("y.k")) & ((F.col("y.k") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
     rest = _likely(_met(probes, mixed, ["h", "block"], once), heads)
     rest = materialize(rest.join(starred, ["a", "b"], "left_anti"), "op7-rest")
-    links = star_links.unionByName(verified(texts, rest, least))
+    links = star_links.unionByName(verified(texts, rest, least, shared_names))
+
+    # A component is named by its rows' smallest id. Only linked sets need one, and a component may hold a large part of them.
+    linked = materialize(components(links).join(least, "v"), "op7-linked")
+    known = F.when(F.col("least") != NO_ID, F.col("least"))
+    names = materialize(linked.groupBy("component").agg(F.min(known).alias("component_id")), "op7-components")
+    final = hot_join(linked, names, "component").select("v", "component", "component_id", F.lit(True).alias("linked"))
+    alone = F.when(F.col("least") != NO_ID, F.col("least"))
+    named_sets = least.join(final, "v", "left").select("v", F.coalesce("component", "v").alias("component"), F.when(F.col("linked"), F.col("component_id")).otherwise(alone).alias("component_id"))
+    return rows.join(named_sets, "v", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    # A component is named by its rows' smallest id.
-    named = least.join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    names = named.groupBy("component").agg(F.min(F.when(F.col("least") != NO_ID, F.col("least"))).alias("component_id"))
-    final = named.select("v", "component").join(names, "component").select("v", "component_id")
-    return rows.join(final, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
+    return placed(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one whose ``doc_id`` names it, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``, a stored table: the one of the smallest ``doc_id``, then the first.
 
-    Rows of one ``doc_id`` are one document, of which one row stays. Rows without an id all stay.
+    Rows of different components all stay, whatever their ids, and so do rows without words. A null id counts as
+    larger than any other, so a copy without an id goes where its original is known.
     """
-    keep = join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = materialize(placed(docs), "op7-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    kept = found.filter("component is not null").groupBy("component").agg(first.alias("first")).select("first.row")
+    kept = kept.unionByName(found.filter("component is null").select("row"))
+    packed = pack(docs, docs.columns, at=F.monotonically_increasing_id())
+    return packed.join(kept.withColumnRenamed("row", "at"), "at", "left_semi").select(*unpack(docs.columns))
