@@ -81,3 +81,27 @@ def test_chains_cover_a_text_or_are_spread_over_it():
 def test_blank_texts_leave_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, " "), (2, "\n"), (3, "\u2003")], "doc_id long, text string")
     assert not Q.learn(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")).known
+
+
+def test_short_good_and_long_bad_texts_are_told_apart(spark):
+    good = [(k, f"a short plain text about matter {k}\nand one more line of words") for k in range(20)]
+    bad = [(100 + k, "\n".join(f"### $$$ {k} %%% ### &&& @@@ {i}" for i in range(900))) for k in range(20)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k, _ in good] + [(k, 0) for k, _ in bad], "doc_id long, quality int")
+    assert min(len(t) for _, t in bad) > 20_000
+    found = {r["doc_id"]: r["score"] for r in Q.score(docs, Q.learn(docs, labels)).collect()}
+    assert max(found[k] for k, _ in bad) < 0.7 <= min(found[k] for k, _ in good)
+
+
+def test_blocks_of_characters_don_t_change_features(monkeypatch):
+    texts = ["ab cd\n## 12\n" * 7, "", "x" * 130 + " y y\nz", "\u2003Ä! ?\n" + "w w1 " * 40, "one"]
+    whole = Q.line_features(texts)
+    for size in (1, 7, 50, 200):
+        monkeypatch.setattr(Q, "BLOCK_CHARS", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, Q.line_features(texts), strict=True))
+
+
+def test_own_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([("a line", 1, 2, 3, 4)], ["text", "_score", "row", "a.b", "Score"])
+    out = Q.score(docs, Q.Field(np.zeros(3 * Q.OWN + 3), np.zeros((2, 2)), 0.5)).first().asDict()
+    assert [out[c] for c in ("_score", "row", "a.b", "score", "predicted")] == [1, 2, 3, 0.5, 0] and "Score" not in out

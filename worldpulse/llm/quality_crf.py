@@ -9,18 +9,21 @@ is fitted again. A last step bends the score so that 0.7 is where the training t
 
 Training reads about ``train_docs`` labelled texts per label, of any length: labels are joined to documents
 first, and of the texts with lines that have a label those are drawn whose hash is below the share that gives
-so many, fewer of them if they have over ``MAX_TRAIN_LINES`` lines in all. Texts of over ``CHAIN_LINES`` lines
-are trained as chains of so many, and those of over ``MAX_TEXT_LINES`` give that many lines, in chains spread
+so many, fewer of them if they have over ``train_lines`` lines in all. Texts of over ``CHAIN_LINES`` lines
+are trained as chains of so many, and those of over ``text_lines`` give that many lines, in chains spread
 over the text. Only line features come to the driver. Repeats of an id and text count once. Without texts
 of both labels nothing can be learnt: every score is 0.5, and the field isn't ``known``.
 
 Null, empty and blank texts have no lines and score 0.5. Repeated ids of ``labels`` count once, with the
-lowest label; repeated documents are scored each. Extra columns pass through. Texts are read whole.
+lowest label; repeated documents are scored each. Texts are read whole; of a very long one the lines and their
+features are held, its characters are classed in blocks. An empty table gives no rows. Extra columns pass
+through under any name; one named like an output is replaced by it.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import let_go, materialize
+from worldpulse.llm.shared import let_go, materialize, named, others, pack, unpack
 
 TRAIN_DOCS = 1_500
 #: Lines to train on: per label (the text that reaches the bound is the last), per text, and per chain.
@@ -41,6 +44,7 @@ STEPS = 150
 SYMBOLS = "#*$%&|<>@^~_=+\\/[]{}"
 SHOUTS = "!?"
 OWN = 12
+WORD = re.compile(r"\S+")
 LETTER, UPPER, DIGIT, SPACE, SYMBOL, SHOUT, OTHER = range(7)
 
 
@@ -65,6 +69,35 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _kinds(lines: list[str], lengths: np.ndarray) -> np.ndarray:
+    """How many characters of each class every line has, about ``BLOCK_CHARS`` characters at a time."""
+    kinds = np.zeros((len(lines), 7), np.float32)
+    classes = _classes()
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - lengths[first] + BLOCK_CHARS, "right")))
+        for at in range(0, int(lengths[first]) if last == first + 1 else 1, BLOCK_CHARS):
+            block = lines[first:last] if last > first + 1 else [lines[first][at : at + BLOCK_CHARS]]
+            code = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), np.uint32)
+            line = np.repeat(np.arange(len(block)), [len(x) for x in block])
+            kinds[first:last] += np.bincount(line * 7 + classes[code], minlength=7 * len(block)).reshape(-1, 7)
+        first = last
+    return kinds
+
+
+def _words(line: str) -> tuple[int, int]:
+    """A line's words and distinct words."""
+    if len(line) <= BLOCK_CHARS:
+        words = line.split()
+        return len(words), len(set(words))
+    n, seen = 0, set()
+    for m in WORD.finditer(line):
+        n += 1
+        seen.add(m.group())
+    return n, len(seen)
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all non-blank lines, their lengths in characters, and the number of lines per text."""
     lines: list[str] = []
@@ -81,12 +114,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if not lines:
         return np.zeros((0, 3 * OWN + 3), np.float32), np.zeros(0), n
     lengths = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    line = np.repeat(np.arange(len(lines)), lengths)
-    kinds = np.bincount(line * 7 + _classes()[code], minlength=7 * len(lines)).reshape(-1, 7).astype(np.float32)
-    split = [x.split() for x in lines]
-    words = np.array([len(w) for w in split], np.float32).clip(1)
-    distinct = np.array([len(set(w)) for w in split], np.float32)
+    kinds = _kinds(lines, lengths)
+    counted = [_words(x) for x in lines]
+    words = np.array([n for n, _ in counted], np.float32).clip(1)
+    distinct = np.array([n for _, n in counted], np.float32)
     marks = kinds[:, SYMBOL]
     letters = (kinds[:, LETTER] + kinds[:, UPPER]).clip(1)
     own_features = np.stack(
@@ -220,14 +251,14 @@ def fit(x: np.ndarray, lengths: np.ndarray, n: np.ndarray, labels: np.ndarray, r
     return field
 
 
-def chains(n: int) -> list[tuple[int, int]]:
+def chains(n: int, text_lines: int = MAX_TEXT_LINES) -> list[tuple[int, int]]:
     """Where the chains of a text of ``n`` lines begin and end."""
     found = [(at, min(n, at + CHAIN_LINES)) for at in range(0, n, CHAIN_LINES)]
-    most = MAX_TEXT_LINES // CHAIN_LINES
-    return found if n <= MAX_TEXT_LINES else [found[k * (len(found) - 1) // (most - 1)] for k in range(most)]
+    most = max(2, text_lines // CHAIN_LINES)
+    return found if n <= max(text_lines, most * CHAIN_LINES) else [found[k * (len(found) - 1) // (most - 1)] for k in range(most)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = MAX_TRAIN_LINES, text_lines: int = MAX_TEXT_LINES) -> Field:
     """Fit on a bounded sample of ``docs(doc_id, text)`` with ``labels(doc_id, quality)``, both already without held-out rows."""
     none = Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)), 0.5)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -245,8 +276,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
     drawn: list[tuple[int, int]] = []
     taken = dict.fromkeys(totals, 0)
     for r in labelled.filter(place < share[F.col("quality")]).orderBy("key").collect():
-        if taken[r["quality"]] < MAX_TRAIN_LINES:
-            taken[r["quality"]] += min(r["lines"], MAX_TEXT_LINES)
+        if taken[r["quality"]] < train_lines:
+            taken[r["quality"]] += min(r["lines"], text_lines)
             drawn.append((r["key"], r["quality"]))
 
     @F.pandas_udf("struct<x:binary,lengths:binary,n:array<long>>")
@@ -255,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
             rows = []
             for t in texts:
                 x, lengths, n = line_features([t])
-                parts = chains(int(n[0]))
+                parts = chains(int(n[0]), text_lines)
                 at = np.concatenate([np.arange(a, b) for a, b in parts]) if parts else np.zeros(0, np.int64)
                 rows.append((x[at].tobytes(), lengths[at].astype("<i8").tobytes(), [b - a for a, b in parts]))
             yield pd.DataFrame(rows, columns=["x", "lengths", "n"])
@@ -274,6 +305,12 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
+    keep = others(docs, "score", "predicted")
+    return scored(docs, keep, field, text_col).select(*unpack(keep), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def scored(docs: DataFrame, keep: list[str], field: Field, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` as a struct ``row`` beside ``score``."""
     known = field.known
 
     @F.pandas_udf("double")
@@ -289,5 +326,4 @@ def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                     block, size = [], 0
             yield pd.Series(out[: len(texts)], dtype="float64")
 
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.withColumn("_score", quality(F.col(text_col))).select(*names, F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return pack(docs, keep, score=quality(named(text_col)))
