@@ -8,7 +8,9 @@ a certain cut and don't see what lies beyond it, so the result equals the encodi
 Pre-tokens are found on the whole text first, because their pattern looks past a cut.
 
 Nulls count as empty text: no ids. A text with added-token strings gets their ids, as the library's
-default does. Repeated rows keep a row each; extra columns pass through; nothing is truncated.
+default does. Repeated rows keep a row each, rows have no order in which ties could matter, an empty table gives
+no rows. Very long texts are coded whole, and decoded in blocks. Extra columns pass through under any name; one
+named like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import one_per_process
+from worldpulse.llm.shared import named, one_per_process, others, pack, unpack
 from worldpulse.llm.vocabulary import Vocabulary
 
 MAX_PIECES = 150_000
@@ -125,7 +127,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str
         for texts in batches:
             yield pd.Series([c.encode(t) for t in texts], dtype=object)
 
-    return df.withColumn(out_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(out_col, ids(F.coalesce(named(text_col), F.lit(""))))
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -138,7 +140,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col:
         for rows in batches:
             yield pd.Series([c.decode(b) for b in rows], dtype=object)
 
-    return df.withColumn(out_col, text(F.coalesce(F.col(ids_col), F.lit(b""))))
+    return df.withColumn(out_col, text(F.coalesce(named(ids_col), F.lit(b""))))
 
 
 def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -161,5 +163,5 @@ def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text", with_ids:
                 rows.append((*row, ids) if with_ids else row)
             yield pd.DataFrame(rows, columns=names)
 
-    keep = [c for c in df.columns if c not in (text_col, *names)]
-    return df.withColumn("_digests", digests(F.coalesce(F.col(text_col), F.lit("")))).select(*keep, "_digests.*")
+    keep = others(df, text_col, *names)
+    return pack(df, keep, digests=digests(F.coalesce(named(text_col), F.lit("")))).select(*unpack(keep), "digests.*")
