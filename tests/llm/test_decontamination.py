@@ -74,3 +74,20 @@ def test_edges(spark):
     assert D.decontaminate(docs, benchmark).columns == docs.columns
     assert D.contamination(D.mark(docs, benchmark.limit(0))).filter("n_hit > 0").count() == 0
     assert D.mark(docs.limit(0), benchmark).count() == 0
+
+
+def test_a_full_bitmap_leaves_no_window_out(spark, sf):
+    docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet").limit(80), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = D.mark(docs, benchmark).select("doc_id", "marks").collect()
+    full = D.mark(docs, benchmark, max_pattern_bytes=100_000, most_bits=1 << 15).select("doc_id", "marks").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, full))
+
+
+def test_own_columns_keep_their_values(spark):
+    own = {"marks": 9, "items": 1, "n_hit": 2, "n_words": 3, "contaminated": "x", "row": 4, "at": 5, "_key": 6, "a.b": 7}
+    docs = spark.createDataFrame([("nothing of it", *own.values())], ["text", *own])
+    benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    kept = D.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns and kept.first() == docs.first()
+    out = D.contamination(D.mark(docs, benchmark)).first().asDict()
+    assert (out["n_hit"], out["n_words"], out["contaminated"], out["row"], out["at"], out["_key"], out["a.b"]) == (0, 3, False, 4, 5, 6, 7)

@@ -6,17 +6,21 @@ item where it has fewer - become the patterns of one automaton, each with a spac
 document's words, joined by single spaces, run through it once. Each match marks its words as hit
 and names the items that hold the window.
 
-The automaton is built once per Python process from a broadcast of at most ``MAX_PATTERN_BYTES``.
-A benchmark with more windows is dealt into blocks by a hash of the window; every block scans the
-texts in a pass of its own and the marks are united per document, so no window is left out.
-
-Null and word-less texts have no words, no hits and aren't contaminated. Null benchmark texts give no
-window, an empty benchmark no hit. Repeated documents or items count like any other; the item list has
-each id once. Extra columns pass through.
+The automaton is built once per Python process from a broadcast of at most ``max_pattern_bytes``. A larger
+benchmark is first asked which of its windows occur at all: a bitmap of window hashes, of bounded size, is
+broadcast, and one scan notes each document's windows that are in it. Only windows so noted become patterns, and
+only documents with some are scanned by the automaton (by one per ``max_pattern_bytes`` of patterns, their marks
+united per row). A full bitmap lets more windows through and leaves none out, so the result is the same at any size.
+
+Null and word-less texts have no words, no hits and aren't contaminated; neither is anything in an empty table.
+Null benchmark texts give no window, an empty benchmark no hit. Repeated documents or items count like any other;
+the item list has each id once, in order. Very long texts are scanned whole. Extra columns pass through under any
+name; one named like an output is replaced by it, but :func:`decontaminate` returns all columns as they were.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -27,10 +31,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import one_per_process
+from worldpulse.llm.shared import materialize, named, one_per_process, others, pack, unpack
+from worldpulse.llm.shingles import window_hashes, word_hashes
 
 WINDOW = 13
 MAX_PATTERN_BYTES = 4_000_000
+#: Bits of the bitmap of windows: 16 for each, up to this many.
+MOST_BITS = 1 << 29
 #: In folded bytes every separator is a space.
 WORD = regex.compile(rb"[^ ]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,8 +105,9 @@ class Scanner:
         return len(words), ranges, spans, sorted({x for _, (_, items) in found for x in items})
 
 
-def _scan_column(docs: DataFrame, text_col: str, block: list[tuple[str, list[str]]]) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _scan(rows: DataFrame, block: list[tuple[str, list[str]]]) -> Column:
+    """The marks of the column ``text`` of ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
     key = hashlib.sha256(repr(block).encode()).hexdigest()
 
     @F.pandas_udf(MARKS)
@@ -108,7 +116,45 @@ def _scan_column(docs: DataFrame, text_col: str, block: list[tuple[str, list[str
         for texts in batches:
             yield pd.DataFrame([s.scan(t) for t in texts], columns=["n_words", "hits", "spans", "items"])
 
-    return scan(F.col(text_col))
+    return scan(named("text"))
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    return word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_FOLD), np.uint8))[0] if text else np.zeros(0, np.uint64)
+
+
+def _hashed(patterns: DataFrame) -> DataFrame:
+    """``patterns`` with the hash of each window and its number of words."""
+
+    @F.pandas_udf("long")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([window_hashes(_word_hashes(t), {t.count(" ") + 1}).view(np.int64)[0] for t in batch], dtype="int64")
+
+    return patterns.withColumns({"h": of("window"), "size": F.size(F.split("window", " "))})
+
+
+def _noted(rows: DataFrame, patterns: DataFrame, most_bits: int) -> DataFrame:
+    """``(at, n_words, found)``: each row's distinct window hashes that are in a bitmap of those of ``patterns``."""
+    bits = min(most_bits, max(1 << 16, 1 << (16 * patterns.count()).bit_length()))
+    sizes = {r["size"] for r in patterns.select("size").distinct().collect()}
+    place = F.pmod(F.col("h"), F.lit(bits))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in patterns.select(F.floor(place / 32_768).alias("bucket"), (place % 32_768).alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator():
+        bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("struct<n_words:long,found:array<long>>")
+    def note(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                words = _word_hashes(t)
+                h = window_hashes(words, sizes).view(np.int64)
+                bit = h % bits
+                out.append((len(words), np.unique(h[(shared.value[bit >> 3] >> (bit & 7)) & 1 == 1]).tolist()))
+            yield pd.DataFrame(out, columns=["n_words", "found"])
+
+    return materialize(rows.select("at", note("text").alias("noted")).select("at", "noted.*"), "op8-noted")
 
 
 def _merged(ranges: Column, first: str, last: str, gap: int) -> Column:
@@ -124,44 +170,64 @@ def _merged(ranges: Column, first: str, last: str, gap: int) -> Column:
     return F.aggregate(F.array_sort(ranges), empty, add)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """``docs`` with a struct ``marks``: ``n_words``, hit word ranges, their character spans in the text, and item ids."""
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, max_pattern_bytes: int, most_bits: int) -> DataFrame:
+    """``rows(row, text)`` as ``(row, marks)``."""
     patterns = windows(benchmark, window, item_col, item_text_col)
     weight = F.octet_length("window") + 2 + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x))
-    size = patterns.agg(F.sum(weight.cast("long"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // max_pattern_bytes) if size > max_pattern_bytes else 1)
 
-    def block(k: int) -> list[tuple[str, list[str]]]:
-        part = patterns if blocks == 1 else patterns.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+    def weigh(part: DataFrame) -> int:
+        return part.agg(F.sum(weight.cast("long"))).first()[0] or 0
+
+    def block(part: DataFrame) -> list[tuple[str, list[str]]]:
         return [(r["window"], list(r["items"])) for r in part.orderBy("window").collect()]
 
-    if blocks == 1:
-        return docs.withColumn("marks", _scan_column(docs, text_col, block(0)))
-    # Equal texts have equal marks, so the text's digest is the key that passes are united by.
-    keyed = docs.withColumn("_key", F.sha2(F.col(text_col), 256))
-    passes = [keyed.select("_key", _scan_column(docs, text_col, block(k)).alias("m")).filter(F.size("m.hits") > 0) for k in range(blocks)]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    united = every.dropDuplicates(["_key", "m"]).groupBy("_key").agg(
-        F.first("m.n_words").alias("n_words"),
-        F.flatten(F.collect_list("m.hits")).alias("hits"),
-        F.flatten(F.collect_list("m.spans")).alias("spans"),
-        F.flatten(F.collect_list("m.items")).alias("items"),
-    )
-    marks = F.struct("n_words", _merged(F.col("hits"), "first", "last", 1).alias("hits"), _merged(F.col("spans"), "start", "end", 0).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    plain = _scan_column(docs, text_col, [])
-    return keyed.join(united.select("_key", marks.alias("_found")), "_key", "left").withColumn("marks", F.coalesce("_found", plain)).drop("_key", "_found")
+    patterns = materialize(patterns, "op8-windows")
+    if weigh(patterns) <= max_pattern_bytes:
+        return rows.select("row", _scan(rows, block(patterns)).alias("marks"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    patterns = materialize(_hashed(patterns), "op8-hashed")
+    noted = _noted(rows, patterns, most_bits)
+    met = noted.filter(F.size("found") > 0)
+    asked = materialize(met.select(F.explode("found").alias("h")).distinct(), "op8-asked")
+    patterns = materialize(patterns.join(asked, "h", "left_semi").select("window", "items"), "op8-occurring")
+    few = materialize(rows.join(met.select("at"), "at", "left_semi").select("at", "text"), "op8-candidates")
+    blocks = max(1, -(-2 * weigh(patterns) // max_pattern_bytes))
+    parts = [few.select("at", _scan(few, block(patterns.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k))).alias("m")) for k in range(blocks)]
+    every = functools.reduce(DataFrame.unionByName, parts).filter(F.size("m.hits") > 0)
+    united = every.groupBy("at").agg(*[F.flatten(F.collect_list(f"m.{c}")).alias(c) for c in ("hits", "spans", "items")])
+    found = F.struct(_merged(F.col("hits"), "first", "last", 1).alias("hits"), _merged(F.col("spans"), "start", "end", 0).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    joined = rows.select("row", "at").join(noted.select("at", "n_words"), "at").join(united.select("at", found.alias("found")), "at", "left")
+    none = {"hits": "array<struct<first:int,last:int>>", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
+    return joined.select("row", F.struct("n_words", *[F.coalesce(f"found.{c}", F.array().cast(t)).alias(c) for c, t in none.items()]).alias("marks"))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_pattern_bytes: int = MAX_PATTERN_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
+    """``docs`` with a struct ``marks``: ``n_words``, hit word ranges, their character spans in the text, and item ids."""
+    keep = others(docs, "marks")
+    rows = pack(docs, keep, text=named(text_col))
+    return _marked(rows, benchmark, window, item_col, item_text_col, max_pattern_bytes, most_bits).select(*unpack(keep), "marks")
+
+
+def _counted(marks: str = "marks") -> dict[str, Column]:
+    hit = F.aggregate(f"{marks}.hits", F.lit(0).cast("long"), lambda n, x: n + (x["last"] - x["first"] + 1).cast("long"))
+    return {"n_words": F.col(f"{marks}.n_words"), "n_hit": hit, "n_items": F.size(f"{marks}.items").cast("long"), "items": F.array_join(f"{marks}.items", ",")}
+
+
+def _is_contaminated() -> Column:
+    """At least one word in twenty is hit."""
+    counts = _counted()
+    return (counts["n_hit"] > 0) & (20 * counts["n_hit"] >= counts["n_words"])
 
 
 def contamination(marked: DataFrame) -> DataFrame:
-    """``marked`` with counts, the item list and the verdict: at least one word in twenty is hit."""
-    hit = F.aggregate("marks.hits", F.lit(0).cast("long"), lambda n, x: n + (x["last"] - x["first"] + 1).cast("long"))
-    counted = marked.withColumns({"n_words": F.col("marks.n_words"), "n_hit": hit, "n_items": F.size("marks.items").cast("long"), "items": F.array_join("marks.items", ",")})
-    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    """``marked`` with counts, the item list and the verdict."""
+    counts = _counted()
+    keep = others(marked, *counts, "contaminated")
+    return marked.select(*[named(c) for c in keep], *[c.alias(name) for name, c in counts.items()], _is_contaminated().alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    kept = contamination(mark(docs, benchmark)).filter(~F.col("contaminated"))
-    return kept.select(*docs.columns)
+    rows = pack(docs, docs.columns, text=named(text_col))
+    marked = _marked(rows, benchmark, WINDOW, "item_id", "text", MAX_PATTERN_BYTES, MOST_BITS)
+    return marked.filter(~_is_contaminated()).select(*unpack(docs.columns))

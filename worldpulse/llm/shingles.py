@@ -71,3 +71,13 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
             out.append(np.zeros(0, np.uint64))
         first += k
     return out
+
+
+def window_hashes(words: np.ndarray, sizes: set[int]) -> np.ndarray:
+    """Hashes of all windows of the given sizes over word hashes."""
+    found, h = [np.zeros(0, np.uint64)], np.zeros(len(words), np.uint64)
+    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+        h = mix(h[: len(words) - size + 1] + words[size - 1 :] * _ODD)
+        if size in sizes:
+            found.append(h)
+    return np.concatenate(found)
