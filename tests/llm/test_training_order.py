@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -7,6 +9,7 @@ from tokenizers import Tokenizer
 from worldpulse.llm import training_order as T
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPECIAL = T.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
@@ -17,21 +20,29 @@ def test_slots_are_a_permutation(n):
     assert n < 100 or (T.permute(np.arange(n), n, key=7) != slots).mean() > 0.9
 
 
+def ordered(docs, length=100, shard_records=300, **more):
+    codes = T.coded(docs, RANKS, public_tokenizers.PATTERN, SPECIAL)
+    numbered, total = T.numbered(codes, length)
+    return T.in_order(numbered, total, length=length, shard_records=shard_records, **more), total
+
+
 def test_shards_hold_every_token_and_can_be_resumed(spark, sf, tmp_path):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    records, total = T.sequences(docs, RANKS, public_tokenizers.PATTERN, length=100)
-    ordered = T.in_order(records, total, shard_records=300, length=100)
-    rows = ordered.collect()
-    assert sorted(r["slot"] for r in rows) == list(range(total))
-    assert all(r["shard"] == r["slot"] // 300 and r["offset"] == r["slot"] % 300 * T.stride(100) and len(r["record"]) == T.stride(100) for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.createDataFrame([(-7, "a <|endoftext|> b<|endoftext|>", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
+    found, total = ordered(docs, shards_per_partition=2)
     folder = f"file://{tmp_path}/shards"
-    manifest = T.write_shards(ordered, folder).collect()
-    assert sum(r["records"] for r in manifest) == total
-    T.write_shards(ordered, folder).collect()
-    assert len(list((tmp_path / "shards").iterdir())) == len(manifest)
+    rows = T.write_shards(found, folder, length=100).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(total))
+    assert all(r["shard"] == r["slot"] // 300 and r["offset"] == r["slot"] % 300 * T.stride(100) for r in rows)
+    T.write_shards(found, folder, length=100).collect()
+    files = {r["file"]: r for r in rows}
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(files) and len(files) == -(-total // 300)
+    for name, r in files.items():
+        raw = (tmp_path / "shards" / name).read_bytes()
+        assert len(raw) == r["file_bytes"] and hashlib.sha256(raw).hexdigest() == r["file_sha256"]
     read = list(T.read_slots(folder, 0, total, shard_records=300, length=100))
     resumed = list(T.read_slots(folder, 450, total, shard_records=300, length=100))
     assert [x[:3] for x in read[450:]] == [x[:3] for x in resumed]
+    assert [(r["doc_id"], r["seq"], r["n_tokens"]) for r in sorted(rows, key=lambda r: r["slot"])] == [(d, s, len(ids)) for _, d, s, ids in read]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     parts = {}
     for _, doc, seq, ids in read:
@@ -41,17 +52,24 @@ def test_shards_hold_every_token_and_can_be_resumed(spark, sf, tmp_path):
         assert own == library.encode(r["text"], add_special_tokens=False).ids
 
 
-def test_same_slots_every_time(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").coalesce(1)
-    one, two = (sorted((r["doc_id"], r["seq"], r["slot"]) for r in T.in_order(*T.sequences(docs, RANKS, public_tokenizers.PATTERN)).collect()) for _ in range(2))
-    assert one == two
+def test_same_slots_for_any_partitioning(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    found = [sorted((repr(r["doc_id"]), r["seq"], r["slot"], bytes(r["ids"])) for r in ordered(docs.repartition(n))[0].collect()) for n in (1, 5, 9)]
+    assert found[0] == found[1] == found[2]
 
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a", 1), (3, "a", 1), (None, "b", 1), (4, "x y " * 50_000, 1)], "doc_id long, text string, slot int")
-    records, total = T.sequences(docs, RANKS, public_tokenizers.PATTERN, length=64)
-    out = T.in_order(records, total, shard_records=50, length=64)
+    out, _ = ordered(docs, length=64, shard_records=50)
     counts = {r["doc_id"]: (r["n"], r["t"]) for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
     assert set(counts) == {3, None, 4} and counts[3] == (2, 2) and counts[None] == (1, 1)
-    empty, none = T.sequences(docs.limit(0), RANKS, public_tokenizers.PATTERN)
-    assert none == 0 and T.in_order(empty, none).count() == 0
+    empty, none = ordered(docs.limit(0))
+    assert none == 0 and empty.count() == 0
+
+
+def test_a_large_group_of_equal_rows_is_spread(spark):
+    docs = spark.createDataFrame([(None, "one text for all of them")] * 3_000 + [(k, f"text {k}") for k in range(300)], "doc_id long, text string")
+    codes = T.coded(docs.repartition(8), RANKS, public_tokenizers.PATTERN)
+    numbered, total = T.numbered(codes)
+    assert total == 3_300 and sorted(r["start"] for r in numbered.select("start").collect()) == list(range(3_300))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
-from worldpulse.llm.shared import materialize, small_batches, table
+from worldpulse.llm.shared import materialize, own_dir, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -88,9 +89,13 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the written shards; the files stand below the scratch folder."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    records, total = training_order.sequences(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
-    return training_order.in_order(records, total).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", "record")
+    codes = training_order.coded(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN, training_order.special_tokens(public_tokenizers.path(BYTE_BPE)))
+    folder = f"{own_dir(spark)}/op10-shards-{uuid.uuid4().hex}"
+    ordered = training_order.in_order(*training_order.numbered(codes))
+    return training_order.write_shards(ordered, folder if ":" in folder else f"file://{folder}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,45 +1,52 @@
 """Operator 10, training-order materialisation of token ids.
 
-Texts are tokenised and cut into sequences of at most ``length`` ids, each one record of a fixed stride:
-a header (``doc_id`` as 64-bit, sequence and number of ids as 32-bit, all little-endian) and the ids,
-padded with zeros. Sequences are stored once, and their place in that table (file, row) numbers them
-0 to N - 1 without a shuffle. A keyed Feistel network permutes the numbers: its domain is the next even
+Texts are tokenised once, and their ids stored with the document's id and a digest of them. Documents are then
+ordered by (id, digest of ids): one exchange into sorted ranges, after which a range's sequences of at most ``length``
+ids are numbered by its place and the totals of the ranges before it. So a sequence's number, 0 to N - 1, depends on
+content alone, not on files or partitions; rows equal in both keys have equal sequences, and are spread over ranges.
+
+A keyed Feistel network permutes the numbers: its domain is the next even
 power of two, and a result of N or more is put through it again (cycle-walking) until it is below N, so
 the slots are a permutation of 0 to N - 1 that anybody with key and N can compute or invert. One exchange
-deals records by slot into range partitions of ``shard_records`` slots, each sorted by slot. A record's
+deals sequences by slot into range partitions of ``SHARDS_PER_PARTITION`` shards, each sorted by slot, and each
+task writes its shards as files of ``shard_records`` records of a fixed stride: a header (``doc_id`` as 64-bit,
+sequence and number of ids as 32-bit, all little-endian) and the ids as unsigned 16-bit, padded with zeros. A record's
 place is hence known from its slot: shard ``slot // shard_records``, offset ``slot % shard_records`` times
 the stride. A reader resumes at any slot by seeking, and reads on sequentially.
 
-Null and empty texts give no sequence; an empty table no shard. Repeated rows give their sequences each.
-A null id is written as -1. No text is truncated. Extra columns are ignored.
+Ids are those of the tokenizer's own default: strings of ``special`` tokens in a text get their ids. Null and empty
+texts give no sequence; an empty table no shard. Repeated rows give their sequences each. A null id is written as -1.
+No text is truncated; a very long one is one row of ids, cut into its sequences in the task that writes them. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import one_per_process, scratch_dir
+from worldpulse.llm.shared import materialize, named, one_per_process, own_dir
 
 LENGTH = 512
-SHARD_RECORDS = 16_384
+SHARD_RECORDS, SHARDS_PER_PARTITION = 16_384, 8
 KEY = 20_240_229
 ROUNDS = 6
 HEADER, HEADER_BYTES = "<qii", 16
-BLOCK_RECORDS = 2_000
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
+#: Ids of one Arrow batch that a task cuts at a time.
+BLOCK_IDS = 1_000_000
+CODED = "doc_id long, digest string, n_ids long, ids binary"
 
 
 def stride(length: int = LENGTH) -> int:
@@ -78,97 +85,161 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return x.astype(np.int64)
 
 
-def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
+def special_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, by their strings."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def _encoding(ranks: str, pattern: str, special: dict[str, int]) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
 
 
-def _sequences(ranks: Callable[[], str], pattern: str, length: int) -> Callable:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = one_per_process(("order", ranks(), pattern), lambda: _encoding(ranks(), pattern))
-        size = stride(length)
-        rows: list[tuple] = []
+def _coded(ranks: Callable[[], str], pattern: str, special: dict[str, int]) -> Callable:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = one_per_process(("order", ranks(), pattern, tuple(special)), lambda: _encoding(ranks(), pattern, special))
         for batch in batches:
+            doc_ids, digests, sizes, ids = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py(), disallowed_special=()) if text.is_valid else np.zeros(0)
-                doc = -1 if doc_id is None else doc_id
-                for seq, at in enumerate(range(0, len(ids), length)):
-                    own = ids[at : at + length].astype("<u2")
-                    rows.append((doc_id, seq, len(own), (struct.pack(HEADER, doc, seq, len(own)) + own.tobytes()).ljust(size, b"\0")))
-                    if len(rows) >= BLOCK_RECORDS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
-
-    return cut
-
-
-def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """The stored records with their number, ``index``, and how many there are."""
-    spark = docs.sparkSession
+                raw = encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u2").tobytes() if text.is_valid else b""
+                if raw:
+                    doc_ids.append(doc_id)
+                    digests.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
+                    sizes.append(len(raw) // 2)
+                    ids.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "digest", "n_ids", "ids"])
+
+    return code
+
+
+def coded(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored ids of each text, with the document's id, a digest of the ids, and their number."""
     with open(ranks_path, encoding="ascii") as f:
-        raw = spark.sparkContext.broadcast(f.read())
-    if raw.value.count("\n") > 65_536:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    special = dict(special or {})
+    if max([raw.value.count("\n"), *special.values()]) >= 65_536:
         raise ValueError("ids of 16 bits are written; this vocabulary needs more")
-    path = f"{scratch_dir(spark)}/worldpulse/op10-records-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = "doc_id long, seq int, n_tokens int, record binary"
-    rows.mapInArrow(_sequences(lambda: raw.value, pattern, length), ddl).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(ddl).parquet(path)
-    # One count per file (their number is that of the tasks that wrote them), in the order of the tasks.
-    counts = sorted((r["file"], r["n"]) for r in stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for file, n in counts:
-        starts.append((file, total))
-        total += n
-    numbered = stored.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    offsets = spark.createDataFrame(starts, "file string, start long")
-    return numbered.join(F.broadcast(offsets), "file").withColumn("index", F.col("start") + F.col("row")).drop("file", "row", "start"), total
-
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    return materialize(rows.mapInArrow(_coded(lambda: raw.value, pattern, special), CODED), "op10-ids")
 
-def in_order(records: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH) -> DataFrame:
-    """``records`` with ``slot``, ``shard`` and ``offset``: a partition per shard, sorted by slot."""
 
-    @F.pandas_udf("long")
-    def slot(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for index in batches:
-            yield pd.Series(permute(index.to_numpy(), total, key))
+def _running(length: int) -> Callable:
+    """Adds to each text how many sequences its partition holds before it."""
 
-    placed = records.withColumn("slot", slot("index")).withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
-    placed = placed.withColumn("offset", (F.col("slot") % shard_records) * stride(length))
-    return placed.repartitionById(max(1, -(-total // shard_records)), F.col("shard")).sortWithinPartitions("slot")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            n = -(-batch.column("n_ids").to_numpy() // length)
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(n, pa.int64()), pa.array(ends - n, pa.int64())], names=["doc_id", "ids", "n_seq", "before"])
+            before = int(ends[-1]) if len(ends) else before
+
+    return count
+
+
+def numbered(codes: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
+    """The stored ``codes`` as ``(doc_id, ids, start)``, the number of each text's first sequence, and how many sequences there are."""
+    spark = codes.sparkSession
+    path = f"{own_dir(spark)}/op10-ranges-{uuid.uuid4().hex}"
+    # Ids are exchanged once; equal rows are spread by the place they were stored at, which changes no sequence.
+    place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    ranges = codes.select("*", place.alias("place")).repartitionByRange("doc_id", "digest", "place").sortWithinPartitions("doc_id", "digest", "place")
+    ddl = "doc_id long, ids binary, n_seq long, before long"
+    ranges.select("doc_id", "ids", "n_ids").mapInArrow(_running(length), ddl).write.parquet(path)
+    stored = spark.read.schema(ddl).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+    # One sum per file, a file per range; a file's name begins with the number of its range.
+    sums = {r["file"]: r["n"] for r in stored.groupBy("file").agg(F.sum("n_seq").alias("n")).collect()}
+    starts, total = [], 0
+    for file in sorted(sums, key=lambda name: int(name.split("-")[1])):
+        starts.append((file, total))
+        total += sums[file]
+    offsets = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
+    return stored.join(offsets, "file").select("doc_id", "ids", (F.col("first") + F.col("before")).alias("start")), total
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write each partition of :func:`in_order` as ``shard-<number>.bin`` below ``folder``, a URI that pyarrow can open.
+def in_order(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION) -> DataFrame:
+    """The sequences ``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of ``codes``: a partition per run of shards, sorted by slot."""
 
-    Returns the manifest ``(shard, first_slot, records, bytes, sha256)``; taking it does the writing. A
-    file gets its name only when it is whole, so a task that runs again or twice leaves the same files.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for doc_id, raw, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                slots = permute(start + np.arange(-(-len(raw) // (2 * length))), total, key)
+                for seq, slot in enumerate(slots.tolist()):
+                    own = raw[2 * seq * length : 2 * (seq + 1) * length]
+                    rows.append((slot, doc_id, seq, len(own) // 2, own))
+                    held += len(own)
+                    if held >= 2 * BLOCK_IDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEQUENCE, strict=True)], schema=SEQUENCE)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEQUENCE, strict=True)], schema=SEQUENCE)
+
+    found = codes.select("doc_id", "ids", "start").mapInArrow(cut, "slot long, doc_id long, seq int, n_tokens int, ids binary")
+    shard = F.floor(F.col("slot") / shard_records).cast("int")
+    own = found.select("slot", shard.alias("shard"), ((F.col("slot") % shard_records) * stride(length)).alias("offset"), "doc_id", "seq", "n_tokens", "ids")
+    per = shard_records * shards_per_partition
+    return own.repartitionById(max(1, -(-total // per)), F.floor(F.col("slot") / per).cast("int")).sortWithinPartitions("slot")
+
+
+SEQUENCE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
+WRITTEN = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("file", pa.string()), ("file_bytes", pa.int64()), ("file_sha256", pa.string())])
+
+
+class _File:
+    """One shard on its way to its name, and the rows it holds without their ids."""
+
+    def __init__(self, folder: str, shard: int) -> None:
+        self.where, self.base = fs.FileSystem.from_uri(folder)
+        self.where.create_dir(self.base, recursive=True)
+        self.name = f"shard-{shard:08d}.bin"
+        self.part = f"{self.base}/.{self.name}-{uuid.uuid4().hex}"
+        self.out, self.digest, self.size, self.rows = self.where.open_output_stream(self.part), hashlib.sha256(), 0, []
+
+    def add(self, batch: pa.RecordBatch, size: int) -> None:
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "seq", "n_tokens", "ids")]
+        data = b"".join((struct.pack(HEADER, -1 if d is None else d, s, n) + ids).ljust(size, b"\0") for d, s, n, ids in zip(*columns, strict=True))
+        self.out.write(data)
+        self.digest.update(data)
+        self.size += len(data)
+        self.rows.append(batch.drop_columns(["ids"]))
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        self.out.close()
+        self.where.move(self.part, f"{self.base}/{self.name}")
+        for rows in self.rows:
+            n = rows.num_rows
+            more = [pa.array([x] * n, t) for x, t in ((self.name, pa.string()), (self.size, pa.int64()), (self.digest.hexdigest(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema=WRITTEN)
+
+
+def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
+    """Write each shard of :func:`in_order` as ``shard-<number>.bin`` below ``folder``, a URI that pyarrow can open.
+
+    Returns a row per sequence: its slot, shard, offset, document, and the file with its size and digest; taking them does the
+    writing. A file gets its name only when it is whole, so a task that runs again or twice leaves the same files.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri(folder)
-        out = digest = shard = first = None
-        n = size = 0
+        size = stride(length)
+        file = shard = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                shard, first = batch.column("shard")[0].as_py(), batch.column("slot")[0].as_py()
-                where.create_dir(base, recursive=True)
-                part = f"{base}/.shard-{shard:08d}-{uuid.uuid4().hex}"
-                out, digest = where.open_output_stream(part), hashlib.sha256()
-            data = b"".join(batch.column("record").to_pylist())
-            out.write(data)
-            digest.update(data)
-            n, size = n + batch.num_rows, size + len(data)
-        if out is not None:
-            out.close()
-            where.move(part, f"{base}/shard-{shard:08d}.bin")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "first_slot": [first], "records": [n], "bytes": [size], "sha256": [digest.hexdigest()]}, schema=pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
-
-    return ordered.select("shard", "slot", "record").mapInArrow(write, "shard int, first_slot long, records long, bytes long, sha256 string")
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if file is None or shards[a] != shard:
+                    if file is not None:
+                        yield from file.done()
+                    shard = shards[a]
+                    file = _File(folder, int(shard))
+                file.add(batch.slice(a, b - a), size)
+        if file is not None:
+            yield from file.done()
+
+    names = [f.name for f in WRITTEN][:6]
+    return ordered.select(*names, "ids").mapInArrow(write, "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, file string, file_bytes long, file_sha256 string")
 
 
 def read_slots(folder: str, start: int, total: int, shard_records: int = SHARD_RECORDS, length: int = LENGTH) -> Iterator[tuple[int, int, int, np.ndarray]]:
