@@ -35,8 +35,37 @@ def test_replies_follow_nested_quotes(spark):
 def test_rows_come_in_reply_order(spark):
     rows = [(5, k, "a", f"message number {k}" if k == 0 else f"> message number {k - 1}\nmessage number {k}") for k in range(20)] + [(4, 0, "a", "alone")]
     df = Q.link(spark.createDataFrame(rows[::-1], SCHEMA))
-    got = [(r["conv_id"], r["turn"], r["depth"]) for r in df.collect()]
-    assert got == [(4, 0, 0)] + [(5, k, k) for k in range(20)]
+    got = sorted((r["thread_conv"], r["thread_turn"], r["position"], r["conv_id"], r["turn"], r["depth"]) for r in df.collect())
+    assert got == [(4, 0, 0, 4, 0, 0)] + [(5, 0, k, 5, k, k) for k in range(20)]
+    parts = {(r["thread_conv"], r["segment"]): [(t["turn"], t["body"]) for t in r["turns"]] for r in Q.conversations(df, segment=8).collect()}
+    assert parts == {(4, 0): [(0, "alone")], **{(5, k): [(i, f"message number {i}") for i in range(8 * k, min(20, 8 * k + 8))] for k in range(3)}}
+
+
+def test_short_lines_and_rewrapped_paragraphs_find_their_message(spark):
+    found = link(
+        spark,
+        (1, 0, "a", "ok, ship it\nand then rest"),
+        (1, 1, "b", "First paragraph, on\ntwo lines.\n\nSecond one.\n\nThird and last."),
+        (1, 2, "c", "> ok, ship it\nshipped"),
+        (1, 3, "a", "> First\n> paragraph, on two\n> lines.\n>\n> Second one.\nagreed"),
+        (2, 0, "d", "> ok, ship it\nnot said here"),
+    )
+    assert found[1, 2, "shipped"]["reply_turn"] == 0 and found[1, 3, "agreed"]["reply_turn"] == 1
+    assert found[2, 0, "not said here"]["reply_conv"] is None
+
+
+def test_own_columns_keep_their_values(spark):
+    own = {"_lines": 1, "_text": 2, "lines": 3, "row": 4, "passages": 5, "thread": 6, "rank": 7, "a.b": 8, "quoted": 9}
+    df = spark.createDataFrame([(1, 0, "a", "said\n> before", *own.values())], ["conv_id", "turn", "role", "text", *own])
+    out = Q.link(df).first().asDict()
+    assert {c: out[c] for c in own} == own and out["body"] == "said" and out["n_quotes"] == 1
+
+
+def test_a_long_thread_is_placed_and_cut_into_segments(spark):
+    rows = [(1, k, "a", "the very first message of all" if k == 0 else f"> the very first message of all\nanswer {k}") for k in range(3_000)]
+    linked = Q.link(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted((r["position"], r["turn"]) for r in linked.select("position", "turn").collect()) == [(k, k) for k in range(3_000)]
+    assert sorted(r["n_messages"] for r in Q.conversations(linked).collect()) == [1_000, 1_000, 1_000]
 
 
 def test_originals_come_before_quotes(spark):

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
@@ -63,6 +63,22 @@ def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation_links.link(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def _quoting(messages: DataFrame) -> DataFrame:
+    """``conversations`` as mail: every turn quotes the one before it, every third one just its first line, and adds its own text."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    quoted = F.regexp_replace(F.when(F.col("turn") % 3 == 2, F.substring_index(before, "\n", 1)).otherwise(before), "(^|\n)", "$1> ")
+    text = F.when(before.isNull(), F.col("text")).otherwise(F.concat(F.lit("Then X wrote:\n"), quoted, F.lit("\n\n"), F.col("text")))
+    return messages.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over messages built to quote each other, assembled into conversations without quotes."""
+    linked = quotation_links.link(_quoting(table(spark, sf_dir, "conversations")))
+    found = quotation_links.conversations(linked)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["conv_id"].cast("string"), F.lit("/"), t["turn"].cast("string"), F.lit(" "), t["role"], F.lit(": "), t["body"])), "\n")
+    return found.select("thread_conv", "thread_turn", F.col("segment").cast("long").alias("segment"), "n_messages", said.alias("said"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -106,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_crf": op4_quality_crf,
         "op5_language_id": op5_language_id,
         "op6_quotation_links": op6_quotation_links,
+        "quoted_conversations": quoted_conversations,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
@@ -151,8 +168,8 @@ def _normal(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-OP6_SQL = f"""
-with recursive m as (select *, coalesce(text, '') as t, row_number() over () as rid from conversations),
+_LINKED = f"""
+m as (select *, coalesce(text, '') as t, row_number() over () as rid from messages),
 cut as (select rid, conv_id, turn, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from m where contains(t, '>')),
 marked as (select *, regexp_extract(line, '^(?:[ \\t]*>)+') as mark from cut),
 lines as (select rid, conv_id, turn, pos, len(regexp_replace(mark, '[^>]', '', 'g')) as level, trim(substr(line, len(mark) + 1)) as content from marked),
@@ -160,35 +177,53 @@ near_lines as (select *, lead(level) over w as following, case when lag(level) o
 own as (select rid, string_agg(content, chr(10) order by pos) as own from near_lines where level = 0 and not (regexp_matches(content, '(?i)wrote:[ \\t\\r]*$') and coalesce(following, 0) > 0) group by rid),
 bodies as (select m.rid, m.conv_id, m.turn, m.role, regexp_replace(case when contains(t, '>') then coalesce(own.own, '') else t end, '^\\s+|\\s+$', '', 'g') as body from m left join own on own.rid = m.rid),
 runs as (select *, sum(begins) over (partition by rid order by pos) as run from near_lines),
-passages as (select rid, conv_id, turn, run, min(level) as level, string_agg(content, ' ' order by pos) as whole from runs where level > 0 group by rid, conv_id, turn, run),
+passages as (select rid, conv_id, turn, run, min(level) as level, string_agg(content, chr(10) order by pos) as whole from runs where level > 0 group by rid, conv_id, turn, run),
 asked as (
   select distinct conv_id, turn, level, x from (
     select conv_id, turn, level, {_normal("whole")} as x from passages
-    union all select * from (select conv_id, turn, level, {_normal("content")} as x from runs where level > 0) where len(x) >= 12)
+    union all select conv_id, turn, level, {_normal("part")} from (select conv_id, turn, level, unnest(regexp_split_to_array(whole, '\\n\\s*\\n')) as part from passages)
+    union all select conv_id, turn, level, {_normal("content")} from runs where level > 0)
   where x <> '' and conv_id is not null and turn is not null),
 held as (
   select conv_id, turn, x from (
     select conv_id, turn, {_normal("body")} as x from bodies
     union all select conv_id, turn, {_normal("part")} from (select conv_id, turn, unnest(regexp_split_to_array(body, '\\n\\s*\\n')) as part from bodies)
-    union all select * from (select conv_id, turn, {_normal("line")} as x from (select conv_id, turn, unnest(string_split(body, chr(10))) as line from bodies)) where len(x) >= 12)
+    union all select conv_id, turn, {_normal("line")} from (select conv_id, turn, unnest(string_split(body, chr(10))) as line from bodies))
   where x <> '' and conv_id is not null and turn is not null),
 near as (select conv_id, x, min(turn) as turn from held group by conv_id, x),
 far as (select x, min({{'c': conv_id, 't': turn}}) as o from near group by x),
 met as (
-  select a.conv_id, a.turn, a.level, len(a.x) as size, case when n.turn < a.turn then {{'c': a.conv_id, 't': n.turn}} when f.o.c < a.conv_id then f.o end as o
+  select a.conv_id, a.turn, a.level, len(a.x) as size, case when n.turn < a.turn then {{'c': a.conv_id, 't': n.turn}} when len(a.x) >= 12 and f.o.c < a.conv_id then f.o end as o
   from asked a left join near n on n.conv_id = a.conv_id and n.x = a.x left join far f on f.x = a.x),
 links as (select conv_id, turn, arg_min(o, {{'l': level, 's': -size, 'c': o.c, 't': o.t}}) as o from met where o is not null group by conv_id, turn),
 climb(conv_id, turn, tc, tt, depth) as (
   select conv_id, turn, o.c, o.t, 1 from links
   union all select c.conv_id, c.turn, l.o.c, l.o.t, c.depth + 1 from climb c join links l on l.conv_id = c.tc and l.turn = c.tt),
 tops as (select conv_id, turn, arg_max(tc, depth) as tc, arg_max(tt, depth) as tt, max(depth) as depth from climb group by conv_id, turn),
-quotes as (select rid, count(*) as n, max(level) as level from passages group by rid)
-select b.conv_id, b.turn, b.role, b.body, cast(coalesce(q.n, 0) as int) as n_quotes, cast(coalesce(q.level, 0) as int) as max_level,
-  l.o.c as reply_conv, l.o.t as reply_turn, coalesce(t.tc, b.conv_id) as thread_conv, coalesce(t.tt, b.turn) as thread_turn, cast(coalesce(t.depth, 0) as int) as depth
-from bodies b left join quotes q on q.rid = b.rid left join links l on l.conv_id = b.conv_id and l.turn = b.turn left join tops t on t.conv_id = b.conv_id and t.turn = b.turn
+quotes as (select rid, count(*) as n, max(level) as level from passages group by rid),
+placed as (
+  select b.conv_id, b.turn, b.role, b.body, cast(coalesce(q.n, 0) as int) as n_quotes, cast(coalesce(q.level, 0) as int) as max_level,
+    l.o.c as reply_conv, l.o.t as reply_turn, coalesce(t.tc, b.conv_id) as thread_conv, coalesce(t.tt, b.turn) as thread_turn, cast(coalesce(t.depth, 0) as int) as depth
+  from bodies b left join quotes q on q.rid = b.rid left join links l on l.conv_id = b.conv_id and l.turn = b.turn left join tops t on t.conv_id = b.conv_id and t.turn = b.turn),
+linked as (
+  select *, case when conv_id is null or turn is null then 0 else row_number() over (partition by conv_id is null or turn is null, thread_conv, thread_turn order by conv_id, turn, role nulls first, md5(body)) - 1 end as position
+  from placed)
+"""
+
+OP6_SQL = f"with recursive messages as (select * from conversations), {_LINKED} select conv_id, turn, role, body, n_quotes, max_level, reply_conv, reply_turn, thread_conv, thread_turn, depth, position from linked"
+
+QUOTED_CONVERSATIONS_SQL = f"""
+with recursive turns as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations),
+messages as (
+  select conv_id, turn, role, case when before is null then text else 'Then X wrote:' || chr(10) || regexp_replace(case when turn % 3 = 2 then split_part(before, chr(10), 1) else before end, '(^|\\n)', '\\1> ', 'g') || chr(10) || chr(10) || text end as text
+  from turns),
+{_LINKED}
+select thread_conv, thread_turn, position // 1000 as segment, count(*) as n_messages,
+  string_agg(cast(conv_id as varchar) || '/' || cast(turn as varchar) || ' ' || role || ': ' || body, chr(10) order by position) as said
+from linked where conv_id is not null and turn is not null group by all
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained models, sketches and hashed orders can't be said in SQL; tests hold those against brute force."""
-    return {"op6_quotation_links": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op6_quotation_links": OP6_SQL, "quoted_conversations": QUOTED_CONVERSATIONS_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL}

@@ -3,34 +3,43 @@
 A line's quote level is the number of ``>`` it begins with. Consecutive lines of one level above 0 are
 a quoted passage; what is left, without lines that introduce a quotation ("... wrote:"), is the
 message's body. Passages and bodies are normalised (lower case, only letters and digits, single spaces)
-and hashed: a body as a whole, by paragraph and by line, a passage as a whole and by line. A passage's
-original is the first message that has it in its body, in the same conversation if there is one there,
-else in an earlier conversation; it's always before the message that quotes it. A message replies to
-the original of its lowest-level passage, the longest of these, then the first. Replies are followed
-to the thread's first message by doubling steps, and rows come ordered by thread, then by time, so
-a message stands after what it replies to.
+and hashed, both as a whole, by paragraph and by line, so a re-wrapped paragraph is found as well as a single
+line. A passage's original is the first message that has it in its body: in the same conversation, at any length,
+else in an earlier conversation, if it has ``LEAST_FAR`` characters (shorter ones are said everywhere); it's
+always before the message that quotes it. A message replies to the original of its lowest-level
+passage, the longest of these, then the first. Replies are followed
+to the thread's first message by doubling steps. Threads are ordered by conversation and turn, so
+a message stands after what it replies to: ``position`` is its place in the thread, and :func:`conversations`
+assembles a thread's bodies in that order.
 
 Originals are reduced to one row per conversation and hash, and per hash, before they are joined, so a
-passage that a third of all messages share costs a row per message, not pairs of messages.
+passage that a third of all messages share costs a row per message, not pairs of messages. Places come from sorted
+ranges and their sizes, and conversations are assembled in segments, so no thread is collected in one task.
 
 Null texts have an empty body and no quotes. Messages without conversation or turn link to nothing and
-are threads of their own. Rows with equal conversation and turn share one place in the thread and one
-link. Extra columns pass through, but for those named like an output. An empty table gives no rows.
+are threads of their own, at position 0. Rows with equal conversation and turn share one link, and stand beside each
+other in the thread, ordered by role and a digest of the body. Very long texts are parsed whole, inside one row. Extra
+columns pass through under any name; one named like an output is replaced by it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import materialize
+from worldpulse.llm.shared import hot_join, materialize, named, others, own_dir, pack, unpack
 
 MARK = r"^(?:[ \t]*>)+"
 INTRODUCTION = r"(?i)wrote:[ \t\r]*$"
-#: Lines shorter than this, normalised, are too common to stand for a message.
-LEAST_LINE = 12
+#: Passages shorter than this, normalised, are too common to name a message of another conversation.
+LEAST_FAR = 12
+#: Messages of one row of an assembled conversation.
+SEGMENT = 1_000
 KEY = ["conv_id", "turn"]
-OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "depth")
+PARAGRAPH = r"\n\s*\n"
+OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "depth", "position")
 
 
 def normalised(text: Column) -> Column:
@@ -69,21 +78,21 @@ def _passages(lines: Column, starts: Column) -> Column:
     return F.filter(F.transform(starts, run), lambda r: r["level"] > 0)
 
 
-def split_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` without the text, with ``body`` and ``passages``."""
-    keep = [c for c in messages.columns if c not in (text_col, "passages", *OUTPUTS)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    quoted, lines = F.col("_quoted"), F.col("_lines")
+def split_quotes(rows: DataFrame) -> DataFrame:
+    """The column ``text`` of ``rows`` as ``body`` and ``passages``; the other columns have none of the names used here."""
+    keep = [c for c in rows.columns if c != "text"]
+    quoted, lines = F.col("quoted"), F.col("lines")
     own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(x["content"].rlike(INTRODUCTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)))
-    parsed = messages.select(*keep, text.alias("_text"), text.contains(">").alias("_quoted")).withColumn("_lines", F.when(quoted, _lines(F.col("_text")))).withColumn("_starts", F.when(quoted, _starts(lines)))
+    text = F.coalesce("text", F.lit(""))
+    parsed = rows.select(*keep, text.alias("text"), text.contains(">").alias("quoted")).withColumn("lines", F.when(quoted, _lines(F.col("text")))).withColumn("starts", F.when(quoted, _starts(lines)))
     none = F.array().cast("array<struct<level:int,lines:array<string>>>")
-    body = F.regexp_replace(F.when(quoted, F.array_join(F.transform(own, lambda x: x["content"]), "\n")).otherwise(F.col("_text")), r"^\s+|\s+$", "")
-    return parsed.select(*keep, body.alias("body"), F.when(quoted, _passages(lines, F.col("_starts"))).otherwise(none).alias("passages"))
+    body = F.regexp_replace(F.when(quoted, F.array_join(F.transform(own, lambda x: x["content"]), "\n")).otherwise(F.col("text")), r"^\s+|\s+$", "")
+    return parsed.select(*keep, body.alias("body"), F.when(quoted, _passages(lines, F.col("starts"))).otherwise(none).alias("passages"))
 
 
-def _keys(wholes: Column, lines: Column) -> Column:
-    """Distinct hashes of normalised wholes, and of lines that are long enough, with their lengths."""
-    kept = F.concat(F.transform(wholes, normalised), F.filter(F.transform(lines, normalised), lambda x: F.char_length(x) >= LEAST_LINE))
+def _keys(*texts: Column) -> Column:
+    """Distinct hashes of arrays of texts, normalised, with their lengths."""
+    kept = F.transform(F.concat(*texts), normalised)
     return F.transform(F.array_distinct(F.filter(kept, lambda x: x != "")), lambda x: F.struct(F.sha2(x, 256).alias("hash"), F.char_length(x).alias("size")))
 
 
@@ -91,16 +100,17 @@ def replies(parsed: DataFrame) -> DataFrame:
     """``(conv_id, turn, reply_conv, reply_turn)`` of each message that quotes an earlier one. ``parsed`` is a stored table."""
     known = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = known.filter(F.size("passages") > 0).select(*KEY, F.explode("passages").alias("p"))
-    asked = quoting.select(*KEY, F.col("p.level").alias("level"), F.explode(_keys(F.array(F.array_join("p.lines", " ")), F.col("p.lines"))).alias("k")).select(*KEY, "level", "k.hash", "k.size").distinct()
+    whole = F.array_join("p.lines", "\n")
+    asked = quoting.select(*KEY, F.col("p.level").alias("level"), F.explode(_keys(F.array(whole), F.split(whole, PARAGRAPH), F.col("p.lines"))).alias("k")).select(*KEY, "level", "k.hash", "k.size").distinct()
     wanted = asked.select("hash").distinct()
-    held = known.select(*KEY, F.explode(_keys(F.concat(F.array("body"), F.split("body", r"\n\s*\n")), F.split("body", "\n"))).alias("k")).select(*KEY, "k.hash")
+    held = known.select(*KEY, F.explode(_keys(F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n"))).alias("k")).select(*KEY, "k.hash")
     held = held.join(wanted, "hash", "left_semi")
     near = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
     near = materialize(near, "op6-originals")
     far = near.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("conv_id"), F.col("near_turn").alias("turn"))).alias("far"))
     met = asked.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left")
     here = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
-    there = F.when(F.col("far.conv_id") < F.col("conv_id"), F.col("far"))
+    there = F.when((F.col("size") >= LEAST_FAR) & (F.col("far.conv_id") < F.col("conv_id")), F.col("far"))
     linked = met.withColumn("original", F.coalesce(here, there)).filter("original is not null")
     best = F.min_by("original", F.struct(F.col("level"), -F.col("size"), F.col("original.conv_id"), F.col("original.turn")))
     return linked.groupBy(*KEY).agg(best.alias("o")).select(*KEY, F.col("o.conv_id").alias("reply_conv"), F.col("o.turn").alias("reply_turn"))
@@ -118,15 +128,36 @@ def threads(links: DataFrame) -> DataFrame:
             return seen
 
 
-def link(messages: DataFrame, text_col: str = "text") -> DataFrame:
+def _ranked(linked: DataFrame) -> DataFrame:
+    """``linked`` stored in thread order, with ``rank``, the place of each row in all: its range's start and its place there."""
+    spark = linked.sparkSession
+    path = f"{own_dir(spark)}/op6-ranges-{uuid.uuid4().hex}"
+    order = ["thread_conv", "thread_turn", "conv_id", "turn", "role", "digest"]
+    keyed = linked.withColumn("digest", F.md5("body"))
+    # Rows that are equal in all of that are spread over ranges, in any order.
+    spread = keyed.withColumn("place", F.monotonically_increasing_id())
+    spread.repartitionByRange(*order, "place").sortWithinPartitions(*order, "place").drop("place", "digest").write.parquet(path)
+    stored = spark.read.schema(linked.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_in_file"))
+    # A file per range, whose name begins with the range's number.
+    sizes = sorted(((int(r["file"].split("-")[1]), r["file"], r["n"]) for r in stored.groupBy("file").agg(F.count("*").alias("n")).collect()))
+    starts, total = [], 0
+    for _, file, n in sizes:
+        starts.append((file, total))
+        total += n
+    return stored.join(F.broadcast(spark.createDataFrame(starts, "file string, start long")), "file").withColumn("rank", F.col("start") + F.col("row_in_file")).drop("file", "row_in_file", "start")
+
+
+def link(messages: DataFrame, text_col: str = "text", role_col: str = "role") -> DataFrame:
     """``messages`` without the text, with ``body``, ``n_quotes``, ``max_level``, ``reply_conv``, ``reply_turn``,
-    ``thread_conv``, ``thread_turn`` and ``depth``, in reply order."""
-    parsed = materialize(split_quotes(messages, text_col), "op6-parsed")
+    ``thread_conv``, ``thread_turn``, ``depth`` and ``position``."""
+    keep = others(messages, text_col, *OUTPUTS)
+    rows = pack(messages, keep, conv_id=F.col("conv_id"), turn=F.col("turn"), role=named(role_col), text=named(text_col))
+    parsed = materialize(split_quotes(rows), "op6-parsed")
     links = materialize(replies(parsed), "op6-links")
-    linked = parsed.join(links, KEY, "left").join(threads(links), KEY, "left")
-    keep = [c for c in messages.columns if c not in (text_col, "passages", *OUTPUTS)]
-    out = linked.select(
-        *keep,
+    linked = parsed.join(links, KEY, "left").join(threads(links), KEY, "left").select(
+        "row",
+        *KEY,
+        "role",
         "body",
         F.size("passages").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"),
@@ -136,4 +167,18 @@ def link(messages: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce("thread_turn", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
     )
-    return materialize(out, "op6-linked").orderBy("thread_conv", "thread_turn", "conv_id", "turn")
+    thread = F.struct("thread_conv", "thread_turn")
+    ranked = materialize(_ranked(materialize(linked, "op6-linked")).withColumn("thread", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), thread)), "op6-ranked")
+    known = ranked.filter("thread is not null")
+    first = materialize(known.groupBy("thread").agg(F.min("rank").alias("first")), "op6-firsts")
+    placed = hot_join(known, first, "thread").withColumn("position", F.col("rank") - F.col("first"))
+    placed = placed.select(*ranked.columns, "position").unionByName(ranked.filter("thread is null").withColumn("position", F.lit(0).cast("long")))
+    return placed.select(*unpack(keep), *OUTPUTS)
+
+
+def conversations(linked: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The threads of :func:`link` in reply order, without quotes: a row per ``segment`` messages of a thread with
+    ``turns``, an array of ``(position, conv_id, turn, role, body)``. Messages without conversation or turn belong to none."""
+    turn = F.struct("position", "conv_id", "turn", "role", "body")
+    known = linked.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).withColumn("segment", F.floor(F.col("position") / segment))
+    return known.groupBy("thread_conv", "thread_turn", "segment").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(turn)).alias("turns"))
