@@ -53,7 +53,7 @@ def test_same_result_from_any_partitioning(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
-def test_edges(spark):
+def test_edges(spark, tmp_path):
     schema = "group_key long, row_key long, size long, id long, shard string"
     big = 2**63 - 1
     rows = [(big, big, 5, 1, "x"), (big, big, 5, 2, "x"), (-big - 1, -big - 1, 5, 3, "x"), (0, 0, None, 4, "x"), (0, 0, 0, 5, "x")]
@@ -63,6 +63,35 @@ def test_edges(spark):
     out, _ = spread(H.shard(spark.createDataFrame([(1, 1, 0, 1, "x")], schema), 3, ["id"]), 3)
     assert out.shard.tolist() == [0]
     docs = spark.createDataFrame([(1, None, "en"), (1, None, "en"), (2, "", "en"), (None, "é" * 100_000, "en")], "doc_id long, text string, lang string")
-    docs.write.mode("overwrite").parquet("/tmp/checkpoints/op9-edges/documents.parquet")
-    out, _ = spread(op9_histogram_sharding(spark, "/tmp/checkpoints/op9-edges"), 40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out, _ = spread(op9_histogram_sharding(spark, str(tmp_path)), 40)
     assert sorted(out["size"]) == [16, 16, 16, 200_016] and sorted(out.text_crc32)[:3] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("per_task", [300, 5_000, 10**9])
+def test_parts_don_t_change_the_result(spark, per_task):
+    """Against all rows sorted in one place: shards are runs of that order, cut within tolerance or at the nearest border, and slots are places in them."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-5)).when(F.col("id") % 7 == 0, F.lit(-4)).otherwise(F.xxhash64("id"))
+    rows = spark.range(20_000).select(hot.alias("group_key"), F.xxhash64("id", F.lit(1)).alias("row_key"), (F.col("id") % 50 + 1).alias("size"), "id").repartition(5)
+    out = H.shard(rows, 12, ["id"], rows_per_task=per_task).toPandas()
+    sorted_rows = out.sort_values(["group_key", "row_key", "id"]).reset_index(drop=True)
+    ends = sorted_rows["size"].cumsum()
+    assert sorted_rows["shard"].is_monotonic_increasing and sorted_rows["shard"].nunique() == 12
+    assert (sorted_rows.groupby("shard").cumcount() == sorted_rows.slot).all()
+    share = ends.iloc[-1] / 12
+    for k in range(1, 12):
+        cut = sorted_rows[sorted_rows["shard"] < k]["size"].sum()
+        assert abs(cut - k * share) <= max(H.TOLERANCE * share, abs(ends - k * share).min())
+
+
+def test_parts_are_small_where_a_group_is_hot(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, F.lit(7)).otherwise(F.xxhash64("id")).alias("group_key"), F.xxhash64("id").alias("row_key"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("shard"))
+    parts, most = H._parts(rows, 1, 500)
+    counts = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert max(counts) <= 1_000 and len(counts) <= most and sum(counts) == 20_000
+
+
+def test_equal_rows_are_split(spark, tmp_path):
+    spark.createDataFrame([(None, "the same text")] * 4_000 + [(k, f"text {k}") for k in range(2_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out, sizes = spread(op9_histogram_sharding(spark, str(tmp_path)), 40)
+    assert len(out) == 6_000 and sizes.max() - sizes.min() <= 0.02 * sizes.mean() + 2 * out["size"].max()

@@ -8,10 +8,13 @@ most ``(shards - 1) * 2**BITS`` cells, whatever the input's size. A splitter is
 border is within ``tolerance`` of a shard's share, or once the open cells hold so few rows
 (``EXACT_ROWS``) that their keys are read themselves. In a group that is too heavy for either, the
 search goes on over the row key: a hot group is split, and others stay whole where a border between
-groups is within tolerance or as near as one between rows. Then rows are exchanged once, by shard, and numbered there.
+groups is within tolerance or as near as one between rows. Then rows are exchanged once. A shard of many rows is
+dealt in parts of about ``rows_per_task`` rows, cut at leading bits of the group key, and of the row key inside a
+hot group; each part is sorted and numbered by a task of its own, from the sizes of the parts before it on.
 
 An empty table gives no rows. Null sizes count 0. Rows equal in both keys stay together, in an
-order fixed by the order columns; a splitter beside them takes the nearest border. Extra columns pass through.
+order fixed by the order columns; a splitter beside them takes the nearest border. Extra columns pass through; the
+names ``shard``, ``slot`` and ``part`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ BITS = 10
 TOLERANCE = 0.005
 #: Cells with no more rows than this in all are settled from their rows' keys.
 EXACT_ROWS = 20_000
+#: Rows of a part, about, and the most leading bits that parts are cut at (their number must suit an exchange).
+ROWS_PER_TASK, MOST_BITS = 2_000_000, 15
 
 
 Bound = tuple[int, int | None]
@@ -110,7 +115,47 @@ def _reaches(bound: tuple[int, int | None]) -> Column:
     return (F.col("group_key") > F.lit(group)) | ((F.col("group_key") == F.lit(group)) & inside)
 
 
-def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+def _bits(rows: int, rows_per_task: int) -> int:
+    return min(MOST_BITS, max(0, (-(-rows // rows_per_task) - 1).bit_length()))
+
+
+def _leading(column: str, bits: Column | int) -> Column:
+    """The leading bits of a long, as a number from 0 that keeps its order."""
+    if isinstance(bits, int):
+        return F.lit(0).cast("long") if not bits else F.shiftright(column, 64 - bits) + F.lit(1 << (bits - 1))
+    moved = F.call_function("shiftright", F.col(column), 64 - F.greatest(bits, F.lit(1))) + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(bits, F.lit(1)) - 1)
+    return F.when(bits > 0, moved).otherwise(F.lit(0).cast("long"))
+
+
+def _parts(placed: DataFrame, shards: int, rows_per_task: int) -> tuple[DataFrame, int]:
+    """``placed`` with ``part``, which ascends with the keys and has rows of one shard only, and how many parts there may be."""
+    bits = _bits(placed.count(), rows_per_task)
+    cell = _leading("group_key", bits)
+    cells = {r["cell"]: r["n"] for r in placed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
+    # Only a hot group can make a cell heavy. There are fewer of them than parts.
+    heavy = [c for c, n in cells.items() if n > 2 * rows_per_task]
+    hot: dict[int, list[tuple[int, int]]] = {}
+    if heavy:
+        inside = placed.join(F.broadcast(placed.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")), cell == F.col("cell"))
+        for r in inside.groupBy("cell", "group_key").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task).orderBy("group_key").collect():
+            hot.setdefault(r["cell"], []).append((r["group_key"], _bits(r["n"], rows_per_task)))
+    table, base = [], 0
+    for c in sorted(cells):
+        table.append((c, base, hot.get(c, [])))
+        base += 1 + sum(1 + (1 << b) for _, b in hot.get(c, []))
+    of = placed.sparkSession.createDataFrame(table, "cell long, base long, hot array<struct<g:long,bits:int>>")
+    joined = placed.withColumn("cell", cell).join(F.broadcast(of), "cell")
+
+    def passed(n: Column, h: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), h["bits"])
+        return n + F.when(F.col("group_key") > h["g"], 1 + size).when(F.col("group_key") == h["g"], 1 + _leading("row_key", h["bits"])).otherwise(F.lit(0).cast("long"))
+
+    # Cells and shards both ascend with the keys, so their sum changes wherever one of them does.
+    part = F.col("base") + F.aggregate("hot", F.lit(0).cast("long"), passed) + F.col("shard")
+    return joined.withColumn("part", part.cast("int")).drop("cell", "base", "hot"), base + shards
+
+
+def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOLERANCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
     ``rows`` has the long columns ``group_key``, ``row_key`` and ``size`` and is scanned once per round;
@@ -120,6 +165,14 @@ def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOL
     number = F.lit(0)
     for bound in splitters(sized.select("group_key", "row_key", "size"), shards, tolerance):
         number = number + F.when(_reaches(bound), 1).otherwise(0)
-    placed = sized.withColumn("shard", number.cast("int")).repartitionById(shards, F.col("shard"))
-    slots = Window.partitionBy("shard").orderBy("group_key", "row_key", *order)
-    return placed.withColumn("slot", (F.row_number().over(slots) - 1).cast("long"))
+    placed, most = _parts(sized.withColumn("shard", number.cast("int")), shards, rows_per_task)
+    starts, last, below = [], None, 0
+    for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.min("shard").alias("shard")).orderBy("part").collect():
+        last, below = (r["shard"], 0) if r["shard"] != last else (last, below)
+        starts.append((r["part"], below))
+        below += r["n"]
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))
+    dealt = placed.repartitionById(max(1, most), F.col("part"))
+    inside = Window.partitionBy("part").orderBy("group_key", "row_key", *order)
+    ranked = dealt.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
+    return ranked.join(start, "part").withColumn("slot", F.col("slot") + F.col("start")).drop("part", "start")

@@ -98,7 +98,8 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group_key"),
-        F.xxhash64("doc_id").alias("row_key"),
+        # The last bits differ between rows of one id, so that a large group of equal rows can be split too.
+        F.xxhash64("doc_id").bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFF))).alias("row_key"),
     )
     placed = histogram_sharding.shard(materialize(digest, "op9"), SHARDS, order=["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
