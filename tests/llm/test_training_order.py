@@ -21,8 +21,7 @@ def test_slots_are_a_permutation(n):
 
 
 def ordered(docs, length=100, shard_records=300, **more):
-    codes = T.coded(docs, RANKS, public_tokenizers.PATTERN, SPECIAL)
-    numbered, total = T.numbered(codes, length)
+    numbered, total = T.numbered(docs, RANKS, public_tokenizers.PATTERN, SPECIAL, length)
     return T.in_order(numbered, total, length=length, shard_records=shard_records, **more), total
 
 
@@ -39,6 +38,11 @@ def test_shards_hold_every_token_and_can_be_resumed(spark, sf, tmp_path):
     for name, r in files.items():
         raw = (tmp_path / "shards" / name).read_bytes()
         assert len(raw) == r["file_bytes"] and hashlib.sha256(raw).hexdigest() == r["file_sha256"]
+    whole = {r["slot"]: r for r in T.records(found, length=100).collect()}
+    for name in files:
+        raw = (tmp_path / "shards" / name).read_bytes()
+        own = [whole[k]["record"] for k in sorted(k for k in whole if whole[k]["shard"] == int(name[6:14]))]
+        assert b"".join(own) == raw
     read = list(T.read_slots(folder, 0, total, shard_records=300, length=100))
     resumed = list(T.read_slots(folder, 450, total, shard_records=300, length=100))
     assert [x[:3] for x in read[450:]] == [x[:3] for x in resumed]
@@ -70,6 +74,5 @@ def test_edges(spark):
 
 def test_a_large_group_of_equal_rows_is_spread(spark):
     docs = spark.createDataFrame([(None, "one text for all of them")] * 3_000 + [(k, f"text {k}") for k in range(300)], "doc_id long, text string")
-    codes = T.coded(docs.repartition(8), RANKS, public_tokenizers.PATTERN)
-    numbered, total = T.numbered(codes)
+    numbered, total = T.numbered(docs.repartition(8), RANKS, public_tokenizers.PATTERN)
     assert total == 3_300 and sorted(r["start"] for r in numbered.select("start").collect()) == list(range(3_300))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
-from worldpulse.llm.shared import materialize, own_dir, small_batches, table
+from worldpulse.llm.shared import materialize, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -106,13 +105,12 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the written shards; the files stand below the scratch folder."""
+    """Every record with its slot, shard and offset, in the shards' order."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    codes = training_order.coded(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN, training_order.special_tokens(public_tokenizers.path(BYTE_BPE)))
-    folder = f"{own_dir(spark)}/op10-shards-{uuid.uuid4().hex}"
-    ordered = training_order.in_order(*training_order.numbered(codes))
-    return training_order.write_shards(ordered, folder if ":" in folder else f"file://{folder}")
+    special = training_order.special_tokens(public_tokenizers.path(BYTE_BPE))
+    codes, total = training_order.numbered(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN, special)
+    return training_order.records(training_order.in_order(codes, total))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,22 +1,23 @@
 """Operator 10, training-order materialisation of token ids.
 
-Texts are tokenised once, and their ids stored with the document's id and a digest of them. Documents are then
-ordered by (id, digest of ids): one exchange into sorted ranges, after which a range's sequences of at most ``length``
-ids are numbered by its place and the totals of the ranges before it. So a sequence's number, 0 to N - 1, depends on
+Documents are ordered by (id, digest of the text): one exchange of the texts into sorted ranges, whose tasks tokenise
+them and store their ids. A range's sequences of at most ``length`` ids are numbered by their place in it and
+the totals of the ranges before it. So a sequence's number, 0 to N - 1, depends on
 content alone, not on files or partitions; rows equal in both keys have equal sequences, and are spread over ranges.
 
 A keyed Feistel network permutes the numbers: its domain is the next even
 power of two, and a result of N or more is put through it again (cycle-walking) until it is below N, so
 the slots are a permutation of 0 to N - 1 that anybody with key and N can compute or invert. One exchange
 deals sequences by slot into range partitions of ``SHARDS_PER_PARTITION`` shards, each sorted by slot, and each
-task writes its shards as files of ``shard_records`` records of a fixed stride: a header (``doc_id`` as 64-bit,
-sequence and number of ids as 32-bit, all little-endian) and the ids as unsigned 16-bit, padded with zeros. A record's
+task makes records of a fixed stride of them: a header (``doc_id`` as 64-bit,
+sequence and number of ids as 32-bit, all little-endian) and the ids as unsigned 16-bit, padded with zeros.
+:func:`write_shards` writes them as one file per ``shard_records`` records. A record's
 place is hence known from its slot: shard ``slot // shard_records``, offset ``slot % shard_records`` times
 the stride. A reader resumes at any slot by seeking, and reads on sequentially.
 
 Ids are those of the tokenizer's own default: strings of ``special`` tokens in a text get their ids. Null and empty
 texts give no sequence; an empty table no shard. Repeated rows give their sequences each. A null id is written as -1.
-No text is truncated; a very long one is one row of ids, cut into its sequences in the task that writes them. Extra
+No text is truncated; a very long one is one row of ids, cut into its sequences before they are dealt. Extra
 columns are ignored.
 """
 
@@ -37,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import materialize, named, one_per_process, own_dir
+from worldpulse.llm.shared import named, one_per_process, own_dir
 
 LENGTH = 512
 SHARD_RECORDS, SHARDS_PER_PARTITION = 16_384, 8
@@ -46,7 +47,7 @@ ROUNDS = 6
 HEADER, HEADER_BYTES = "<qii", 16
 #: Ids of one Arrow batch that a task cuts at a time.
 BLOCK_IDS = 1_000_000
-CODED = "doc_id long, digest string, n_ids long, ids binary"
+CODED = "doc_id long, ids binary, n_seq long, before long"
 
 
 def stride(length: int = LENGTH) -> int:
@@ -96,58 +97,43 @@ def _encoding(ranks: str, pattern: str, special: dict[str, int]) -> tiktoken.Enc
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
 
 
-def _coded(ranks: Callable[[], str], pattern: str, special: dict[str, int]) -> Callable:
+def _coded(ranks: Callable[[], str], pattern: str, special: dict[str, int], length: int) -> Callable:
+    """The ids of each text, its number of sequences, and how many its partition holds before it."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = one_per_process(("order", ranks(), pattern, tuple(special)), lambda: _encoding(ranks(), pattern, special))
+        before = 0
         for batch in batches:
-            doc_ids, digests, sizes, ids = [], [], [], []
+            doc_ids, ids, counts, starts = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u2").tobytes() if text.is_valid else b""
                 if raw:
+                    n = -(-len(raw) // (2 * length))
                     doc_ids.append(doc_id)
-                    digests.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
-                    sizes.append(len(raw) // 2)
                     ids.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "digest", "n_ids", "ids"])
+                    counts.append(n)
+                    starts.append(before)
+                    before += n
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64())], names=["doc_id", "ids", "n_seq", "before"])
 
     return code
 
 
-def coded(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored ids of each text, with the document's id, a digest of the ids, and their number."""
+def numbered(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """The texts' ids as a stored table ``(doc_id, ids, start)``, ``start`` being the number of a text's first sequence, and how many sequences there are."""
+    spark = docs.sparkSession
     with open(ranks_path, encoding="ascii") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = spark.sparkContext.broadcast(f.read())
     special = dict(special or {})
     if max([raw.value.count("\n"), *special.values()]) >= 65_536:
         raise ValueError("ids of 16 bits are written; this vocabulary needs more")
-    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    return materialize(rows.mapInArrow(_coded(lambda: raw.value, pattern, special), CODED), "op10-ids")
-
-
-def _running(length: int) -> Callable:
-    """Adds to each text how many sequences its partition holds before it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for batch in batches:
-            n = -(-batch.column("n_ids").to_numpy() // length)
-            ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(n, pa.int64()), pa.array(ends - n, pa.int64())], names=["doc_id", "ids", "n_seq", "before"])
-            before = int(ends[-1]) if len(ends) else before
-
-    return count
-
-
-def numbered(codes: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """The stored ``codes`` as ``(doc_id, ids, start)``, the number of each text's first sequence, and how many sequences there are."""
-    spark = codes.sparkSession
     path = f"{own_dir(spark)}/op10-ranges-{uuid.uuid4().hex}"
-    # Ids are exchanged once; equal rows are spread by the place they were stored at, which changes no sequence.
-    place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-    ranges = codes.select("*", place.alias("place")).repartitionByRange("doc_id", "digest", "place").sortWithinPartitions("doc_id", "digest", "place")
-    ddl = "doc_id long, ids binary, n_seq long, before long"
-    ranges.select("doc_id", "ids", "n_ids").mapInArrow(_running(length), ddl).write.parquet(path)
-    stored = spark.read.schema(ddl).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+    # Equal rows are spread by the place they are read at, which changes no sequence.
+    keyed = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "digest", "place"]
+    ranges = keyed.withColumn("digest", F.md5("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ranges.mapInArrow(_coded(lambda: raw.value, pattern, special, length), CODED).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(CODED).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
     # One sum per file, a file per range; a file's name begins with the number of its range.
     sums = {r["file"]: r["n"] for r in stored.groupBy("file").agg(F.sum("n_seq").alias("n")).collect()}
     starts, total = [], 0
@@ -188,6 +174,23 @@ SEQUENCE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.i
 WRITTEN = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("file", pa.string()), ("file_bytes", pa.int64()), ("file_sha256", pa.string())])
 
 
+def _packed(batch: pa.RecordBatch, size: int) -> list[bytes]:
+    """The records of the rows of :func:`in_order`."""
+    columns = [batch.column(c).to_pylist() for c in ("doc_id", "seq", "n_tokens", "ids")]
+    return [(struct.pack(HEADER, -1 if d is None else d, s, n) + ids).ljust(size, b"\0") for d, s, n, ids in zip(*columns, strict=True)]
+
+
+def records(ordered: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of :func:`in_order` with ``record`` in place of their ids."""
+
+    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(_packed(batch, stride(length)), pa.binary())], names=[*batch.schema.names[:-1], "record"])
+
+    names = [f.name for f in WRITTEN][:6]
+    return ordered.select(*names, "ids").mapInArrow(pack_all, "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, record binary")
+
+
 class _File:
     """One shard on its way to its name, and the rows it holds without their ids."""
 
@@ -199,8 +202,7 @@ class _File:
         self.out, self.digest, self.size, self.rows = self.where.open_output_stream(self.part), hashlib.sha256(), 0, []
 
     def add(self, batch: pa.RecordBatch, size: int) -> None:
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "seq", "n_tokens", "ids")]
-        data = b"".join((struct.pack(HEADER, -1 if d is None else d, s, n) + ids).ljust(size, b"\0") for d, s, n, ids in zip(*columns, strict=True))
+        data = b"".join(_packed(batch, size))
         self.out.write(data)
         self.digest.update(data)
         self.size += len(data)
