@@ -61,10 +61,26 @@ def test_batches_are_written_once(spark, sf, landed, tmp_path):
 def test_replace_swaps_a_table(spark, tmp_path):
     folder = str(tmp_path)
     store.replace(spark.range(5), folder, "t")
-    store.replace(spark.read.parquet(f"{folder}/t").filter("id > 2"), folder, "t", "id")
-    store.append(spark.range(1), folder, "t")
-    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/t").collect()) == [0, 3, 4]
+    before = store.read(spark, folder, "t")
+    store.replace(before.filter("id > 2"), folder, "t", "id")
+    # A reader that has begun still finds the version it began with.
+    assert before.count() == 5 and sorted(r["id"] for r in store.read(spark, folder, "t").collect()) == [3, 4]
+    assert store.vacuum(spark, folder, "t") == 1 and store.read(spark, folder, "t").count() == 2
     assert store.exists(spark, folder, "t") and not store.exists(spark, folder, "u")
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, folder, "u")
+    store.append(spark.range(1), folder, "grows")
+    store.append(spark.range(2), folder, "grows")
+    assert spark.read.parquet(f"{folder}/grows").count() == 3
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    folder = str(tmp_path)
+    store.replace(spark.range(3), folder, "t")
+    bad = spark.range(3).selectExpr("id", "raise_error('no') as x")
+    with pytest.raises(Exception, match="no"):
+        store.replace(bad, folder, "t")
+    assert store.read(spark, folder, "t").count() == 3
 
 
 @pytest.fixture(scope="module")

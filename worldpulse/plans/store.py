@@ -1,4 +1,9 @@
-"""Writing tables: appends, and replacing a table with its next state."""
+"""Writing tables: appends, and replacing a table with its next state.
+
+A replaced table is a folder of versions and a small file that names the current one. The next version is written
+beside the others, then the file is replaced by one atomic rename, so a reader gets the old table or the new one, and
+a run that fails leaves the old one. Older versions stay for readers that have begun, until :func:`vacuum`.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +11,78 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CURRENT = "_CURRENT"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
 
 def append(rows: DataFrame, folder: str, name: str, *partition_by: str) -> None:
-    """Append rows as Parquet, in folders by ``partition_by`` (stat records: their category and date)."""
+    """Append rows as Parquet, in folders by ``partition_by`` (stat records: their category and date); for tables that only grow."""
     rows.write.mode("append").partitionBy(*partition_by).parquet(f"{folder}/{name}")
 
 
-def replace(rows: DataFrame, folder: str, name: str, *sort_by: str) -> None:
-    """Replace a table by ``rows``, which may be derived from it.
+def current(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The folder of a replaced table's current version."""
+    pointer = f"{folder}/{name}/{CURRENT}"
+    fs = _files(spark, pointer)
+    if not fs.exists(_path(spark, pointer)):
+        return None
+    file = fs.open(_path(spark, pointer))
+    try:
+        version = bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+    return f"{folder}/{name}/{version}"
+
 
-    The next state is written beside the table and takes its name by a rename once it is whole, so readers
-    see the old table or the new one. ``sort_by`` clusters files, so that row groups can be skipped by a key.
-    """
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A replaced table as it is now."""
+    path = current(spark, folder, name)
+    if path is None:
+        raise FileNotFoundError(f"{folder}/{name} has no current version")
+    return spark.read.parquet(path)
+
+
+def replace(rows: DataFrame, folder: str, name: str, *sort_by: str) -> None:
+    """Replace a table by ``rows``, which may be derived from it. ``sort_by`` clusters files, so that row groups can be skipped by a key."""
     spark = rows.sparkSession
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    (rows.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else rows).write.parquet(part)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    target, old = path(f"{folder}/{name}"), path(f"{folder}/.old-{name}-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(path(part), target):
-        fs.rename(old, target)
-        raise OSError(f"{part} couldn't take the place of {name}")
-    fs.delete(old, True)
+    version = f"v-{uuid.uuid4().hex}"
+    (rows.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else rows).write.parquet(f"{folder}/{name}/{version}")
+    part = f"{folder}/{name}/.{CURRENT}-{version}"
+    out = _files(spark, part).create(_path(spark, part))
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    target = _path(spark, f"{folder}/{name}/{CURRENT}")
+    hadoop.FileContext.getFileContext(_files(spark, part).getUri(), spark._jsc.hadoopConfiguration()).rename(_path(spark, part), target, over)
+
+
+def vacuum(spark: SparkSession, folder: str, name: str) -> int:
+    """Delete all versions but the current one; how many there were."""
+    kept = current(spark, folder, name)
+    fs = _files(spark, folder)
+    old = [s.getPath() for s in fs.listStatus(_path(spark, f"{folder}/{name}")) if s.isDirectory() and s.getPath().getName() != (kept or "").rsplit("/", 1)[-1]]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
+def staged(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """``rows`` written once below ``folder`` and read back, for plans that several results are taken from."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def exists(spark: SparkSession, folder: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return _files(spark, folder).exists(_path(spark, f"{folder}/{name}"))
