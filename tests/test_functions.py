@@ -1,3 +1,4 @@
+import uuid
 from datetime import date, datetime
 
 import pytest
@@ -79,3 +80,8 @@ def test_violations(spark):
     vocations = spark.createDataFrame([(1,)], "id long")
     found = {r["rule"]: r["n"] for r in violations("characters", rows, {"vocations": vocations}).collect()}
     assert found == {"sex is not allowed": 1, "vocation_id is not in vocations": 1}
+
+
+def test_token_ids_are_random_and_well_formed(spark):
+    ids = [r["i"] for r in spark.range(50).select(C.token_id().alias("i")).collect()]
+    assert len(set(ids)) == 50 and all(uuid.UUID(i).version == 4 for i in ids)

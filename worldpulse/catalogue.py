@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldpulse import schemas
+from worldpulse.api import Questions
 from worldpulse.catalog import load, view, with_views
 from worldpulse.functions import columns as C
 from worldpulse.operators import identity, ledger, snapshots, stats
@@ -535,7 +537,7 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "nation").select("n_nationkey", S.world_url(base, n).alias("world_url"), S.character_url(base, F.concat(n, F.lit(" & x"))).alias("character_url"), S.highscore_url(base, n, F.lit(2), F.lit("EXPERIENCE"), F.col("n_nationkey")).alias("list_url"))
 
 
-@query("select cast(id as bigint) as id, name, promotion_name from (values (1, 'druid', 'elder druid'), (2, 'sorcerer', 'master sorcerer'), (3, 'knight', 'elite knight'), (4, 'paladin', 'royal paladin'), (5, 'monk', 'exalted monk')) t(id, name, promotion_name)")
+@query("select cast(id as bigint) as id, name, promotion_name from (values " + ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(S.VOCATIONS, 1)) + ") t(id, name, promotion_name)")
 def seeded_vocations(spark: SparkSession, sf: str) -> DataFrame:
     """SRC8"""
     return S.vocations(spark)
@@ -572,6 +574,137 @@ def page_title(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select page_id, count(*) as n, count(distinct href) as targets from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) group by page_id")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC1 to SRC4, FN-CSS by the UDTF"""
+    """FN-CSS: links of whole pages"""
     found = P.links(load(spark, sf, "pages"), "page_id")
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("targets"))
+
+
+# Pages of the four kinds, built from the star tables, so that what the parsers find is known.
+
+
+def _tag(name: str, *content, attributes: str = ""):
+    return F.concat(F.lit(f"<{name}{attributes and ' ' + attributes}>"), *[F.lit(c) if isinstance(c, str) else c for c in content], F.lit(f"</{name}>"))
+
+
+def _row(*cells):
+    return _tag("tr", *[_tag("td", c) for c in cells])
+
+
+def _joined(*order, row):
+    """The rows of a page in the order of ``order``, as one string."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("row")))), lambda r: r["row"]), "")
+
+
+def _grouped(number):
+    """A number as pages write it, with thousands set apart."""
+    return F.format_number(number, 0)
+
+
+@query("select r_name as region, n_name as name, 'PvP ' || cast(n_nationkey % 3 as varchar) as pvp_type, 'Land & ' || r_name as location, cast(n_nationkey * 1234 as int) as players_online from nation join region on n_regionkey = r_regionkey")
+def overview_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC1, FLT14, FN-CSS, FN-INT: an overview per region, with a header, a short row and a row without a name"""
+    n = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = _row(_tag("a", F.col("n_name"), attributes='href="/w"'), _grouped(F.col("n_nationkey") * 1234), F.concat(F.lit("Land &amp; "), F.col("r_name")), F.concat(F.lit(" PvP  "), (F.col("n_nationkey") % 3).cast("string")))
+    body = n.groupBy(F.col("r_name").alias("region")).agg(_joined("n_nationkey", row=row).alias("rows"))
+    table = _tag("table", _row("World", "Online", "Location", "PvP Type"), F.col("rows"), _row("", "5", "x", "y"), _row("short", "1", "x"), attributes='class="TableContent wide"')
+    outside = _tag("table", _row("Outside", "1", "x", "y"), attributes='class="TableContent"')
+    pages = body.select("region", _tag("html", _tag("body", _tag("div", table, attributes='class="TableContentContainer"'), outside)).alias("html"))
+    return P.world_list(pages, "region").select("region", "name", "pvp_type", "location", "players_online")
+
+
+def _world_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A world page per nation; its suppliers are online. Containers are nested, and some worlds lack a fact."""
+    s, k = load(spark, sf, "supplier"), F.col("n_nationkey")
+    player = _row(_tag("a", F.col("s_name"), attributes='href="/c"'), F.col("s_suppkey").cast("string"), "Knight")
+    online = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(_joined("s_suppkey", row=player).alias("rows"), F.count("*").alias("n"))
+    n = load(spark, sf, "nation").join(online, "n_nationkey", "left")
+    facts = F.concat(
+        _row("Players Online:", _grouped(F.coalesce("n", F.lit(0)) + 1000 * k)),
+        _row("Creation Date:", F.date_format(F.make_date(F.lit(1997), k % 12 + 1, F.lit(1)), "MMMM yyyy")),
+        F.when(k % 4 != 0, _row("Online Record:", F.concat(F.lit("record "), k.cast("string")))).otherwise(F.lit("")),
+        _row("PvP Type:", F.concat(F.lit("Type "), k.cast("string"))),
+        _row("Game World Type:", "Regular"),
+    )
+
+    def inner(*content):
+        return _tag("div", _tag("table", *content), attributes='class="InnerTableContainer"')
+
+    one = _tag("table", _tag("tr", _tag("td", inner(facts))), attributes='class="Table1"')
+    two = _tag("table", _tag("tr", _tag("td", inner(_row("Name [sort]", "Level [sort]", "Vocation [sort]"), F.coalesce("rows", F.lit("")), _row("no link", "1", "Druid")))), attributes='class="Table2"')
+    return n.select("n_name", _tag("div", one, two, attributes='class="InnerTableContainer"').alias("html"))
+
+
+_ONLINE = "select n_nationkey, n_name, count(s_suppkey) as n, coalesce(string_agg(s_name, '|' order by s_suppkey), '') as players from nation left join supplier on s_nationkey = n_nationkey group by all"
+
+
+@query(
+    f"select n_name, cast(n + 1000 * n_nationkey as int) as players_online, make_date(1997, cast(n_nationkey % 12 + 1 as int), 1) as creation_date, case when n_nationkey % 4 <> 0 then 'record ' || cast(n_nationkey as varchar) end as online_record, "
+    f"'Type ' || cast(n_nationkey as varchar) as pvp_type, 'Regular' as game_world_type, players from ({_ONLINE})"
+)
+def world_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC2, FLT15, FLT16, FN-CSS, FN-MONTH: facts and players of nested tables"""
+    found = P.world_page(_world_pages(spark, sf), "n_name")
+    return found.select("n_name", "players_online", "creation_date", "online_record", "pvp_type", "game_world_type", F.array_join("players", "|").alias("players"))
+
+
+@query(f"select n_name, n as names from ({_ONLINE})")
+def names_per_page(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG4: names listed on each page"""
+    return P.world_page(_world_pages(spark, sf), "n_name").select("n_name", F.size("players").cast("long").alias("names"))
+
+
+@query("select c_name as name, case when c_custkey % 3 = 0 then 'Old ' || cast(c_custkey as varchar) || ', Older' else c_name end as former_names from customer")
+def former_name_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC3, FLT17: a character page per customer, every third one with former names"""
+    c, k = load(spark, sf, "customer"), F.col("c_custkey")
+    former = F.when(k % 3 == 0, _row("Former Names:", F.concat(F.lit("Old "), k.cast("string"), F.lit(",  Older")))).otherwise(F.lit(""))
+    pages = c.select(F.col("c_name").alias("name"), _tag("table", _row("Name:", F.col("c_name")), former, _row("Level:", "8"), attributes='class="TableContent"').alias("html"))
+    return P.former_names(pages, "name")
+
+
+@query("select c_mktsegment as list, cast(c_custkey as int) as rank, c_name as name, cast(c_custkey * 1234567 as bigint) as value from customer where c_custkey > 0")
+def highscore_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC4, FN-LONG: a list per segment, with a header and rows of rank 0, without a name, and too short"""
+    c = load(spark, sf, "customer")
+    row = _row(F.col("c_custkey").cast("string"), F.col("c_name"), _grouped(F.col("c_custkey") * 1234567))
+    lists = c.groupBy(F.col("c_mktsegment").alias("list")).agg(_joined("c_custkey", row=row).alias("rows"))
+    pages = lists.select("list", _tag("table", _row("Rank", "Name", "Points"), F.col("rows"), _row("0", "Zero", "1"), _row("1", " ", "1"), _row("2", "short"), attributes='class="TableContent"').alias("html"))
+    return P.highscores(pages, "list")
+
+
+@query("select c_custkey as id, c_name as username, c_mktsegment as roles from customer where c_name in ('Customer#000000003', 'Customer#000000005')")
+def user_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT13"""
+    users = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("roles"))
+    return ledger.user_by_name(users, "Customer#000000003", "Customer#000000005", "nobody")
+
+
+@query(with_views("select id, name from worlds order by id limit 7 offset 14", "worlds"))
+def third_page_of_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK14: paging in a total order"""
+    return snapshots.page_of(view(spark, sf, "worlds").select("id", "name"), 7, 2, "id")
+
+
+@query(with_views("select count(*) as n from worlds", "worlds"))
+def count_of_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK14: how many there are"""
+    return view(spark, sf, "worlds").agg(F.count("*").alias("n"))
+
+
+def _questions(spark: SparkSession, sf: str) -> Questions:
+    names = view(spark, sf, "character_names")
+    characters = names.select(F.col("character_id").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("vocation_id"), F.lit(None).cast("int").alias("level"))
+    records = view(spark, sf, "stats").withColumn("category", F.lit(C.CATEGORIES[0]))
+    return Questions(view(spark, sf, "worlds"), view(spark, sf, "scrapes"), characters, names, records, S.vocations(spark))
+
+
+@query(with_views(f"select {_ISO.replace('ts', 'scrape_time')} as timestamp, players_online as playersOnline from scrapes s join worlds w on w.id = s.world_id where w.name = '{WORLD}' and scrape_time between timestamp '{FROM}' and timestamp '{TO}'", "worlds", "scrapes"))
+def history_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ3: whole rows of a world's history"""
+    return _questions(spark, sf).history(WORLD, datetime.fromisoformat(FROM).replace(tzinfo=timezone.utc), datetime.fromisoformat(TO).replace(tzinfo=timezone.utc)).select("timestamp", "playersOnline")
+
+
+@query(with_views(f"select cast(s.date as varchar) as date, s.value, s.rank, w.name as world from stats s join worlds w on w.id = s.world_id where s.character_id = (select character_id from character_names where name = '{STAT_NAMES[0]}' and {RECENT})", "worlds", "character_names", "stats"))
+def stat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ6: whole rows of a character's record"""
+    return _questions(spark, sf).stat_history(STAT_NAMES[0], C.CATEGORIES[0], datetime.fromisoformat(AS_OF).replace(tzinfo=timezone.utc))

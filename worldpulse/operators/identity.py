@@ -13,8 +13,8 @@ def recent(cutoff: Column) -> Column:
     return F.col("active") | (~F.col("active") & (F.col("inactive_date") > cutoff))
 
 
-def by_any_name(names: DataFrame, characters: DataFrame, cutoff: Column, *wanted: str) -> DataFrame:
-    """The characters that bear a wanted name (all, if none is given) or bore it until after ``cutoff``, with that name as ``requested_name``.
+def holders(names: DataFrame, cutoff: Column, *wanted: str) -> DataFrame:
+    """``(name, id)``: the character that bears each wanted name (all, if none is given) or bore it until after ``cutoff``.
 
     Of several the active one comes first, then the one retired last, then the lowest id.
     """
@@ -22,8 +22,12 @@ def by_any_name(names: DataFrame, characters: DataFrame, cutoff: Column, *wanted
     if wanted:
         found = found.filter(F.col("name").isin(*wanted))
     best = F.max_by("character_id", F.struct(F.col("active"), F.col("inactive_date"), -F.col("character_id")))
-    one = found.groupBy("name").agg(best.alias("id"))
-    return one.withColumnRenamed("name", "requested_name").join(characters, "id")
+    return found.groupBy("name").agg(best.alias("id"))
+
+
+def by_any_name(names: DataFrame, characters: DataFrame, cutoff: Column, *wanted: str) -> DataFrame:
+    """The characters of :func:`holders`, with the wanted name as ``requested_name``."""
+    return holders(names, cutoff, *wanted).withColumnRenamed("name", "requested_name").join(characters, "id")
 
 
 def active_by_name(names: DataFrame, *wanted: str) -> DataFrame:
@@ -50,7 +54,7 @@ def resolve(seen: DataFrame, names: DataFrame, cutoff: Column) -> DataFrame:
     A name belongs to the character that has it now or had it until after ``cutoff``; else to the one that
     has, or last had, one of its former names; else a character is made for it.
     """
-    own = by_any_name(names, names.select(F.col("character_id").alias("id")).distinct(), cutoff).select(F.col("requested_name").alias("name"), F.col("id").alias("own_id"))
+    own = holders(names, cutoff).withColumnRenamed("id", "own_id")
     parts = seen.select("name", F.explode(split_names(F.col("former_names"))).alias("former")).filter("former != name")
     held = names.filter("character_id is not null").groupBy(F.col("name").alias("former")).agg(F.max_by("character_id", F.struct("active", "inactive_date", -F.col("character_id"))).alias("former_id"))
     former = parts.join(held, "former").groupBy("name").agg(F.min("former_id").alias("former_id"))

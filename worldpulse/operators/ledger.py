@@ -15,6 +15,11 @@ def register(users: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
     return fresh.select(new_id(F.lit("user"), "username").alias("id"), "username", "password", default_roles(F.col("roles")).alias("roles"), F.lit(True).alias("enabled"), as_of.cast("timestamp_ntz").alias("created_at"))
 
 
+def user_by_name(users: DataFrame, *usernames: str) -> DataFrame:
+    """Whole user rows, by exact name."""
+    return users.filter(F.col("username").isin(*usernames))
+
+
 def authorities(users: DataFrame) -> DataFrame:
     """``(username, password, authorities, locked, disabled)``: a user that isn't enabled is both."""
     return users.select("username", "password", role_names(F.col("roles")).alias("authorities"), (~F.col("enabled")).alias("locked"), (~F.col("enabled")).alias("disabled"))

@@ -59,3 +59,8 @@ def worlds_without_snapshot(worlds: DataFrame, scrapes: DataFrame) -> DataFrame:
 def daily_counts(scrapes: DataFrame) -> DataFrame:
     """``(day, world_id, n)``: snapshots per day (UTC) and world. An addition; the read model itself has no windows."""
     return scrapes.groupBy(F.to_date("scrape_time").alias("day"), "world_id").agg(F.count("*").alias("n"))
+
+
+def page_of(rows: DataFrame, size: int, number: int, *order: str) -> DataFrame:
+    """Page ``number`` (from 0) of ``rows`` in a total order: the planner takes the first rows of each partition, no full sort."""
+    return rows.orderBy(*order).offset(size * number).limit(size)

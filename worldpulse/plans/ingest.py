@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.operators.identity import apply_names, by_any_name, new_id, resolve
+from worldpulse.operators.identity import apply_names, holders, new_id, resolve
+from worldpulse.plans.store import staged
 from worldpulse.operators.stats import read_pages
 
 ATTRIBUTES = ("online_record", "creation_date", "transfer_type", "game_world_type")
@@ -34,14 +35,17 @@ def upsert_worlds(worlds: DataFrame, overview: DataFrame, pages: DataFrame) -> D
     ).select("id", "name", "pvp_type", "location", "online_record", "creation_date", "transfer_type", "game_world_type")
 
 
-def world_pass(worlds: DataFrame, names: DataFrame, overview: DataFrame, pages: DataFrame, former: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def world_pass(worlds: DataFrame, names: DataFrame, overview: DataFrame, pages: DataFrame, former: DataFrame, as_of: Column, staging: str | None = None) -> dict[str, DataFrame]:
     """One pass over all worlds of ``overview``.
 
     ``pages(name, fetched_at, players_online, …attributes, players)``: parsed world pages; each snapshot is
     stamped with its own page's time. ``former(name, former_names)``: parsed character pages. Returns the next
     ``worlds`` and ``character_names``, and rows to append to ``scrapes``, ``scrape_players`` and ``characters``.
+    With a folder for ``staging`` pages are parsed and names resolved once, not once per result.
     """
     own = pages.join(overview.select("name").distinct(), "name", "left_semi")
+    if staging:
+        own = staged(own, staging, "pages")
     next_worlds = upsert_worlds(worlds, overview, own)
     stamped = own.join(next_worlds.select("name", F.col("id").alias("world_id")), "name")
     scrape_id = new_id(F.lit("scrape"), "world_id", "fetched_at")
@@ -50,6 +54,8 @@ def world_pass(worlds: DataFrame, names: DataFrame, overview: DataFrame, pages:
     seen = online.groupBy(F.col("player").alias("name")).agg(F.max("fetched_at").alias("seen_at"))
     listed = former.groupBy("name").agg(F.min("former_names").alias("former_names"))
     resolved = resolve(seen.join(listed, "name", "left").withColumn("former_names", F.coalesce("former_names", "name")), names, as_of - F.make_interval(months=F.lit(6)))
+    if staging:
+        resolved = staged(resolved, staging, "resolved")
     players = online.join(resolved.select(F.col("name").alias("player"), "character_id"), "player")
     return {
         "worlds": next_worlds,
@@ -95,5 +101,4 @@ def highscore_run(worlds: DataFrame, names: DataFrame, rows: DataFrame, as_of: C
 
 def missing_names(names: DataFrame, players: DataFrame, as_of: Column) -> DataFrame:
     """Names among ``players(name)`` that no character has or lately had: their pages are to be fetched."""
-    ids = names.select(F.col("character_id").alias("id")).distinct()
-    return players.select("name").distinct().join(by_any_name(names, ids, as_of - F.make_interval(months=F.lit(6))).select(F.col("requested_name").alias("name")), "name", "left_anti")
+    return players.select("name").distinct().join(holders(names, as_of - F.make_interval(months=F.lit(6))).select("name"), "name", "left_anti")

@@ -1,4 +1,8 @@
-"""Landed HTML pages as rows: a UDTF that lists table rows and links, and the four page parsers on top of it."""
+"""Landed HTML pages as rows: their table rows and links, and the four page parsers on top of them.
+
+Pages are parsed in Arrow batches, each page once, to one row with an array of its table rows. What a page says is
+then found by array functions in that row, so no parser exchanges anything. For SQL there are UDTFs of the same.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,21 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from worldpulse.functions.columns import clean, digits_int, digits_long, has_label, is_blank, month_year
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
+#: What the sites call the facts on their pages.
+PLAYERS_ONLINE, CREATION_DATE, ONLINE_RECORD = "Players Online:", "Creation Date:", "Online Record:"
+PVP_TYPE, GAME_WORLD_TYPE, FORMER_NAMES = "PvP Type:", "Game World Type:", "Former Names:"
+PLAYER_HEADER, WORLD_HEADER = "Name [sort] Level [sort] Vocation [sort]", "world"
+
 #: Elements that end when one of these begins inside the same parent.
 CLOSED_BY = {"td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "li": ("li",), "p": ("p", "div", "table", "ul", "ol", "h1", "h2", "h3", "article")}
 INLINE = frozenset("a abbr b code em font i small span strong sub sup u".split())
@@ -47,7 +58,7 @@ class _Rows(HTMLParser):
         given = dict(attrs)
         record = None
         if tag == "tr":
-            record = {"within": [f"{t}.{c}" for t, k, *_ in self.open for c in (k.split() or [""])], "text": "", "cells": [], "last": None, "links": []}
+            record = {"within": [f"{t} {' '.join(k.split())} " for t, k, *_ in self.open], "text": "", "cells": [], "last": None, "links": []}
             self.rows.append(record)
         if tag == "a":
             record = {"href": given.get("href"), "in_cell": bool(self.open) and self.open[-1][0] == "td"}
@@ -103,7 +114,7 @@ def _parsed(html: str | None) -> _Rows:
 
 @udtf(returnType="row_idx: int, within: array<string>, row_text: string, cells: array<string>, last_child: string, cell_links: string")
 class TableRows:
-    """The table rows of a page. ``within`` lists ``tag.class`` of the elements around a row, outermost first."""
+    """The table rows of a page. ``within`` lists the elements around a row, outermost first, each as its tag and classes with a blank after each."""
 
     def eval(self, html: str) -> Iterator[tuple]:
         for k, r in enumerate(_parsed(html).rows):
@@ -119,74 +130,100 @@ class Links:
             yield k, href, text
 
 
-def _lateral(pages: DataFrame, function, keep: list[str]) -> DataFrame:
-    spark = pages.sparkSession
-    name = f"wp_{function.func.__name__.lower()}"
-    spark.udtf.register(name, function)
-    return spark.sql(f"select {''.join(f'p.{c}, ' for c in keep)}t.* from {{pages}} p, lateral {name}(p.html) t", pages=pages)
+def register(spark: SparkSession) -> None:
+    """Make ``table_rows`` and ``page_links`` known to SQL: ``select t.* from pages p, lateral page_links(p.html) t``."""
+    spark.udtf.register("table_rows", TableRows)
+    spark.udtf.register("page_links", Links)
+
+
+ROWS = "array<struct<row_idx:int,within:array<string>,row_text:string,cells:array<string>,last_child:string,cell_links:string>>"
+LINKS = "array<struct<link_idx:int,href:string,link_text:string>>"
+
+
+def parsed(pages: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``pages(…, html)`` with ``rows`` and ``links``: one row per page, parsed once."""
+    own = pages.select(*keep, "html")
+    schema = T.StructType([*[own.schema[c] for c in keep], *T.StructType.fromDDL(f"rows {ROWS}, links {LINKS}").fields])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, links = [], []
+            for html in batch.column(batch.num_columns - 1).to_pylist():
+                p = _parsed(html)
+                rows.append([{"row_idx": k, "within": r["within"], "row_text": r["text"], "cells": r["cells"], "last_child": r["last"], "cell_links": " ".join(r["links"])} for k, r in enumerate(p.rows)])
+                links.append([{"link_idx": k, "href": href, "link_text": text} for k, (href, text) in enumerate(p.links)])
+            row = pa.struct([("row_idx", pa.int32()), ("within", pa.list_(pa.string())), ("row_text", pa.string()), ("cells", pa.list_(pa.string())), ("last_child", pa.string()), ("cell_links", pa.string())])
+            link = pa.struct([("link_idx", pa.int32()), ("href", pa.string()), ("link_text", pa.string())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(row)), pa.array(links, pa.list_(link))], names=[*batch.schema.names[:-1], "rows", "links"])
+
+    return own.mapInArrow(parse, schema)
 
 
 def table_rows(pages: DataFrame, *keep: str) -> DataFrame:
-    return _lateral(pages, TableRows, list(keep))
+    """A row per table row of the pages."""
+    return parsed(pages, *keep).select(*keep, F.inline("rows"))
 
 
 def links(pages: DataFrame, *keep: str) -> DataFrame:
-    return _lateral(pages, Links, list(keep))
+    """A row per link of the pages, in the order in which they end."""
+    return parsed(pages, *keep).select(*keep, F.inline("links"))
+
+
+def inside(within: Column, *path: str) -> Column:
+    """Whether elements ``tag.class`` of ``path`` stand around a row, each inside the one before it (a descendant selector)."""
 
+    def found(done: Column, element: Column) -> Column:
+        # Taking each step at the first element that can be it leaves the most for those after it.
+        step = F.lit(False)
+        for k, (tag, name) in enumerate(x.split(".") for x in path):
+            step = step | ((done == k) & element.startswith(f"{tag} ") & element.contains(f" {name} "))
+        return done + step.cast("int")
 
-def inside(*path: str) -> Column:
-    """Whether elements ``tag.class`` of ``path`` stand around a row, in that order (a descendant selector)."""
-    ok = F.lit(True)
-    last = F.lit(0)
-    for step in path:
-        # The first place after the one before; equal steps don't occur in the selectors used here.
-        place = F.array_position("within", F.lit(step))
-        ok = ok & (place > last)
-        last = place
-    return ok
+    return F.aggregate(within, F.lit(0), found) == len(path)
 
 
 def world_list(pages: DataFrame, *keep: str) -> DataFrame:
     """Overview pages as ``(name, pvp_type, location, players_online)``; short rows, blank names and the header are dropped."""
-    rows = table_rows(pages, *keep).filter(inside("div.TableContentContainer", "table.TableContent") & (F.size("cells") >= 4))
+    rows = table_rows(pages, *keep).filter(inside(F.col("within"), "div.TableContentContainer", "table.TableContent") & (F.size("cells") >= 4))
     named = rows.select(*keep, clean(F.get("cells", F.lit(0))).alias("name"), clean(F.get("cells", F.lit(3))).alias("pvp_type"), clean(F.get("cells", F.lit(2))).alias("location"), digits_int(F.get("cells", F.lit(1))).alias("players_online"))
-    return named.filter(~is_blank(F.col("name")) & (F.lower("name") != "world"))
+    return named.filter(~is_blank(F.col("name")) & (F.lower("name") != WORLD_HEADER))
 
 
 def world_page(pages: DataFrame, *keep: str) -> DataFrame:
     """World pages as one row each: ``players_online``, the attributes, and ``players`` in page order.
 
     Numbers are read leniently ("1,234" is 1234). ``transfer_type`` is never on a page and stays null.
-    Empty names are dropped from ``players``. ``keep`` must identify a page.
+    Empty names are dropped from ``players``.
     """
-    rows = table_rows(pages, *keep)
-    facts = inside("table.Table1", "div.InnerTableContainer")
-    players = inside("table.Table2", "div.InnerTableContainer") & ~has_label(F.col("row_text"), "Name [sort] Level [sort] Vocation [sort]") & ~is_blank(F.col("cell_links"))
 
     def fact(label: str) -> Column:
-        return F.min_by(F.when(has_label(F.col("row_text"), label), F.col("last_child")), F.when(facts & has_label(F.col("row_text"), label), F.col("row_idx")))
-
-    named = F.array_sort(F.collect_list(F.when(players, F.struct("row_idx", F.col("cell_links").alias("name")))))
-    grouped = rows.groupBy(*keep).agg(
-        F.coalesce(digits_int(fact("Players Online:")), F.lit(0)).alias("players_online"),
-        month_year(fact("Creation Date:")).alias("creation_date"),
-        fact("Online Record:").alias("online_record"),
-        fact("PvP Type:").alias("pvp_type"),
-        fact("Game World Type:").alias("game_world_type"),
-        F.transform(named, lambda x: x["name"]).alias("players"),
+        own = F.filter("rows", lambda r: inside(r["within"], "table.Table1", "div.InnerTableContainer") & has_label(r["row_text"], label))
+        return F.get(own, F.lit(0))["last_child"]
+
+    def is_player(r: Column) -> Column:
+        return inside(r["within"], "table.Table2", "div.InnerTableContainer") & ~has_label(r["row_text"], PLAYER_HEADER) & ~is_blank(r["cell_links"])
+
+    return parsed(pages, *keep).select(
+        *keep,
+        F.coalesce(digits_int(fact(PLAYERS_ONLINE)), F.lit(0)).alias("players_online"),
+        month_year(fact(CREATION_DATE)).alias("creation_date"),
+        fact(ONLINE_RECORD).alias("online_record"),
+        fact(PVP_TYPE).alias("pvp_type"),
+        fact(GAME_WORLD_TYPE).alias("game_world_type"),
+        F.lit(None).cast("string").alias("transfer_type"),
+        F.transform(F.filter("rows", is_player), lambda r: r["cell_links"]).alias("players"),
     )
-    return pages.select(*keep).join(grouped, list(keep), "left").select(*keep, F.coalesce("players_online", F.lit(0)).alias("players_online"), "creation_date", "online_record", "pvp_type", "game_world_type", F.lit(None).cast("string").alias("transfer_type"), F.coalesce("players", F.array().cast("array<string>")).alias("players"))
 
 
 def former_names(pages: DataFrame, name_col: str, *keep: str) -> DataFrame:
     """Character pages as ``former_names``, comma-separated; the name itself where the page lists none."""
-    found = table_rows(pages, name_col, *keep).filter(inside("table.TableContent") & has_label(F.col("row_text"), "Former Names:"))
-    first = found.groupBy(name_col, *keep).agg(F.min_by(F.element_at("cells", -1), "row_idx").alias("found"))
-    return pages.select(name_col, *keep).join(first, [name_col, *keep], "left").select(name_col, *keep, F.coalesce("found", name_col).alias("former_names"))
+    own = F.filter("rows", lambda r: inside(r["within"], "table.TableContent") & has_label(r["row_text"], FORMER_NAMES))
+    found = F.element_at(F.get(own, F.lit(0))["cells"], -1)
+    return parsed(pages, name_col, *keep).select(name_col, *keep, F.coalesce(found, name_col).alias("former_names"))
 
 
 def highscores(pages: DataFrame, *keep: str) -> DataFrame:
     """Highscore pages as ``(rank, name, value)``; rows with under three cells, rank 0 or a blank name are dropped."""
-    rows = table_rows(pages, *keep).filter(inside("table.TableContent") & (F.size("cells") >= 3))
+    rows = table_rows(pages, *keep).filter(inside(F.col("within"), "table.TableContent") & (F.size("cells") >= 3))
     read = rows.select(*keep, digits_int(F.get("cells", F.lit(0))).alias("rank"), clean(F.get("cells", F.lit(1))).alias("name"), digits_long(F.get("cells", F.lit(2))).alias("value"))
     return read.filter((F.col("rank") > 0) & ~is_blank(F.col("name")))
