@@ -283,7 +283,10 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     final = hot_join(linked, names, "component").select("v", "component", "component_id", F.lit(True).alias("linked"))
     alone = F.when(F.col("least") != NO_ID, F.col("least"))
     named_sets = least.join(final, "v", "left").select("v", F.coalesce("component", "v").alias("component"), F.when(F.col("linked"), F.col("component_id")).otherwise(alone).alias("component_id"))
-    return rows.join(named_sets, "v", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Copies may be a large part of all rows.
+    found = hot_join(rows.filter("v is not null"), materialize(named_sets, "op7-sets-named"), "v")
+    found = found.select("row", "doc_id", "n", "component", "component_id").unionByName(rows.filter("v is null").select("row", "doc_id", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("component_id")))
+    return found.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
