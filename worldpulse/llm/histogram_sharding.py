@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worldpulse.llm.shared import small_table
+
 BITS = 10
 TOLERANCE = 0.005
 #: Cells with no more rows than this in all are settled from their rows' keys.
@@ -136,14 +138,14 @@ def _parts(placed: DataFrame, shards: int, rows_per_task: int) -> tuple[DataFram
     heavy = [c for c, n in cells.items() if n > 2 * rows_per_task]
     hot: dict[int, list[tuple[int, int]]] = {}
     if heavy:
-        inside = placed.join(F.broadcast(placed.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")), cell == F.col("cell"))
+        inside = placed.join(F.broadcast(small_table(placed.sparkSession, [(c,) for c in heavy], "cell long")), cell == F.col("cell"))
         for r in inside.groupBy("cell", "group_key").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task).orderBy("group_key").collect():
             hot.setdefault(r["cell"], []).append((r["group_key"], _bits(r["n"], rows_per_task)))
     table, base = [], 0
     for c in sorted(cells):
         table.append((c, base, hot.get(c, [])))
         base += 1 + sum(1 + (1 << b) for _, b in hot.get(c, []))
-    of = placed.sparkSession.createDataFrame(table, "cell long, base long, hot array<struct<g:long,bits:int>>")
+    of = small_table(placed.sparkSession, table, "cell long, base long, hot array<struct<g:long,bits:int>>")
     joined = placed.withColumn("cell", cell).join(F.broadcast(of), "cell")
 
     def passed(n: Column, h: Column) -> Column:
@@ -171,7 +173,7 @@ def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOL
         last, below = (r["shard"], 0) if r["shard"] != last else (last, below)
         starts.append((r["part"], below))
         below += r["n"]
-    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))
+    start = F.broadcast(small_table(rows.sparkSession, starts, "part int, start long"))
     dealt = placed.repartitionById(max(1, most), F.col("part"))
     inside = Window.partitionBy("part").orderBy("group_key", "row_key", *order)
     ranked = dealt.withColumn("slot", F.row_number().over(inside).cast("long") - 1)

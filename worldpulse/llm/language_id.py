@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import materialize, named, one_per_process, others, pack, unpack
+from worldpulse.llm.shared import materialize, named, one_per_process, others, pack, small_table, unpack
 
 ORDER = 3
 TRAIN_BYTES = 200_000
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, text_col: str = "text
 
     def shared(df: DataFrame) -> DataFrame:
         # One small row per language, so no text is exchanged to find its share.
-        of = docs.sparkSession.createDataFrame([(x, share[x], bound[x]) for x in sorted(share)], "of string, share double, bound long")
+        of = small_table(docs.sparkSession, [(x, share[x], bound[x]) for x in sorted(share)], "of string, share double, bound long")
         return df.join(F.broadcast(of), F.col("lang") == F.col("of")).filter(place < F.col("share"))
 
     while True:

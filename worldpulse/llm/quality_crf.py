@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import let_go, materialize, named, others, pack, unpack
+from worldpulse.llm.shared import let_go, materialize, named, others, pack, small_table, unpack
 
 TRAIN_DOCS = 1_500
 #: Lines to train on: per label (the text that reaches the bound is the last), per text, and per chain.
@@ -291,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
                 rows.append((x[at].tobytes(), lengths[at].astype("<i8").tobytes(), [b - a for a, b in parts]))
             yield pd.DataFrame(rows, columns=["x", "lengths", "n"])
 
-    sample = F.broadcast(docs.sparkSession.createDataFrame(drawn, "key long, quality int"))
+    sample = F.broadcast(small_table(docs.sparkSession, drawn, "key long, quality int"))
     own = keyed.join(sample, "key").groupBy("key", "quality").agg(F.first("text").alias("text"))
     rows = [r for r in own.select("key", "quality", described("text").alias("d")).orderBy("key").collect() if r["d"]["n"]]
     if len({r["quality"] for r in rows}) < 2:

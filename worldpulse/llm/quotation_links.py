@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import hot_join, materialize, named, others, own_dir, pack, unpack
+from worldpulse.llm.shared import hot_join, materialize, named, others, own_dir, pack, small_table, store, unpack
 
 MARK = r"^(?:[ \t]*>)+"
 INTRODUCTION = r"(?i)wrote:[ \t\r]*$"
@@ -136,7 +136,7 @@ def _ranked(linked: DataFrame) -> DataFrame:
     keyed = linked.withColumn("digest", F.md5("body"))
     # Rows that are equal in all of that are spread over ranges, in any order.
     spread = keyed.withColumn("place", F.monotonically_increasing_id())
-    spread.repartitionByRange(*order, "place").sortWithinPartitions(*order, "place").drop("place", "digest").write.parquet(path)
+    store(spread.repartitionByRange(*order, "place").sortWithinPartitions(*order, "place").drop("place", "digest"), path)
     stored = spark.read.schema(linked.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_in_file"))
     # A file per range, whose name begins with the range's number.
     sizes = sorted(((int(r["file"].split("-")[1]), r["file"], r["n"]) for r in stored.groupBy("file").agg(F.count("*").alias("n")).collect()))
@@ -144,7 +144,7 @@ def _ranked(linked: DataFrame) -> DataFrame:
     for _, file, n in sizes:
         starts.append((file, total))
         total += n
-    return stored.join(F.broadcast(spark.createDataFrame(starts, "file string, start long")), "file").withColumn("rank", F.col("start") + F.col("row_in_file")).drop("file", "row_in_file", "start")
+    return stored.join(F.broadcast(small_table(spark, starts, "file string, start long")), "file").withColumn("rank", F.col("start") + F.col("row_in_file")).drop("file", "row_in_file", "start")
 
 
 def link(messages: DataFrame, text_col: str = "text", role_col: str = "role") -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
 
@@ -36,6 +39,20 @@ def own_dir(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/worldpulse/{spark.sparkContext.applicationId}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, path: str, **options: str) -> None:
+    """Write ``df`` as Parquet. Its exchanges' files are deleted at once, as nothing reads them any more; the session's setting stays as it was."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -43,10 +60,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     second run never sees the rows of the first. :func:`clear` removes them once results are written.
     """
     path = f"{own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    store(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows from the driver as a table, inside the plan itself: no Python worker takes part."""
+    of = T.StructType.fromDDL(schema)
+    text = json.dumps([_plain(of, r) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(of))))
+
+
+def _plain(of: T.DataType, value: Any) -> Any:
+    if isinstance(of, T.StructType):
+        return {f.name: _plain(f.dataType, v) for f, v in zip(of, value, strict=True)}
+    return [_plain(of.elementType, v) for v in value] if isinstance(of, T.ArrayType) else value
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that haven't been written by then can't be read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
@@ -113,5 +143,6 @@ def one_per_process(key: Hashable, build: Callable[[], Any]) -> Any:
 
 
 def let_go() -> None:
-    """Drop what this process holds; for tasks that need no tables and run in a worker that made some."""
+    """Drop what this process holds, and give free memory back; for tasks that need no tables and run in a worker that made some."""
     _held.clear()
+    pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import named, one_per_process, own_dir
+from worldpulse.llm.shared import named, one_per_process, own_dir, small_table, store
 
 LENGTH = 512
 SHARD_RECORDS, SHARDS_PER_PARTITION = 16_384, 8
@@ -132,7 +132,7 @@ def numbered(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str,
     keyed = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
     order = ["doc_id", "digest", "place"]
     ranges = keyed.withColumn("digest", F.md5("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    ranges.mapInArrow(_coded(lambda: raw.value, pattern, special, length), CODED).write.option("compression", "zstd").parquet(path)
+    store(ranges.mapInArrow(_coded(lambda: raw.value, pattern, special, length), CODED), path, compression="zstd")
     stored = spark.read.schema(CODED).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
     # One sum per file, a file per range; a file's name begins with the number of its range.
     sums = {r["file"]: r["n"] for r in stored.groupBy("file").agg(F.sum("n_seq").alias("n")).collect()}
@@ -140,7 +140,7 @@ def numbered(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str,
     for file in sorted(sums, key=lambda name: int(name.split("-")[1])):
         starts.append((file, total))
         total += sums[file]
-    offsets = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
+    offsets = F.broadcast(small_table(spark, starts, "file string, first long"))
     return stored.join(offsets, "file").select("doc_id", "ids", (F.col("first") + F.col("before")).alias("start")), total
 
 
