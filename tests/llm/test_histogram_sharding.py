@@ -95,3 +95,10 @@ def test_equal_rows_are_split(spark, tmp_path):
     spark.createDataFrame([(None, "the same text")] * 4_000 + [(k, f"text {k}") for k in range(2_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out, sizes = spread(op9_histogram_sharding(spark, str(tmp_path)), 40)
     assert len(out) == 6_000 and sizes.max() - sizes.min() <= 0.02 * sizes.mean() + 2 * out["size"].max()
+
+
+def test_own_columns_keep_their_values(spark):
+    own = {"cell": 1, "base": 2, "hot": 3, "part": 4, "start": 5, "tie": 6, "row": 7, "n": 8, "a.b": 9}
+    rows = spark.createDataFrame([(1, 1, 5, 1, *own.values()), (2, 2, 5, 2, *own.values())], ["group_key", "row_key", "size", "id", *own])
+    out = [r.asDict() for r in H.shard(rows, 2, ["id", "a.b"], rows_per_task=1).collect()]
+    assert all({c: r[c] for c in own} == own for r in out) and sorted((r["id"], r["shard"], r["slot"]) for r in out) == [(1, 0, 0), (2, 1, 0)]

@@ -13,8 +13,9 @@ dealt in parts of about ``rows_per_task`` rows, cut at leading bits of the group
 hot group; each part is sorted and numbered by a task of its own, from the sizes of the parts before it on.
 
 An empty table gives no rows. Null sizes count 0. Rows equal in both keys stay together, in an
-order fixed by the order columns; a splitter beside them takes the nearest border. Extra columns pass through; the
-names ``shard``, ``slot`` and ``part`` are the operator's own.
+order fixed by the order columns; a splitter beside them takes the nearest border. Only keys and sizes are looked at,
+so very long texts in other columns don't matter. Extra columns pass through under any name; one named ``shard`` or
+``slot`` is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import small_table
+from worldpulse.llm.shared import named, others, pack, small_table, unpack
 
 BITS = 10
 TOLERANCE = 0.005
@@ -163,7 +164,9 @@ def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOL
     ``rows`` has the long columns ``group_key``, ``row_key`` and ``size`` and is scanned once per round;
     pass a stored table, not a costly plan. ``order`` breaks ties of both keys.
     """
-    sized = rows.withColumn("size", F.coalesce("size", F.lit(0)))
+    keep = others(rows, "shard", "slot")
+    tie = F.struct(*[named(c) for c in order]) if order else F.struct(F.lit(0))
+    sized = pack(rows, keep, group_key=F.col("group_key"), row_key=F.col("row_key"), size=F.coalesce("size", F.lit(0)), tie=tie)
     number = F.lit(0)
     for bound in splitters(sized.select("group_key", "row_key", "size"), shards, tolerance):
         number = number + F.when(_reaches(bound), 1).otherwise(0)
@@ -175,6 +178,7 @@ def shard(rows: DataFrame, shards: int, order: list[str], tolerance: float = TOL
         below += r["n"]
     start = F.broadcast(small_table(rows.sparkSession, starts, "part int, start long"))
     dealt = placed.repartitionById(max(1, most), F.col("part"))
-    inside = Window.partitionBy("part").orderBy("group_key", "row_key", *order)
+    inside = Window.partitionBy("part").orderBy("group_key", "row_key", "tie")
     ranked = dealt.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
-    return ranked.join(start, "part").withColumn("slot", F.col("slot") + F.col("start")).drop("part", "start")
+    own = [F.col("size").alias(c) if c.lower() == "size" else x for c, x in zip(keep, unpack(keep), strict=True)]
+    return ranked.join(start, "part").select(*own, "shard", (F.col("slot") + F.col("start")).alias("slot"))
