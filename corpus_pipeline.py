@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from worldpulse.llm import bpe_codec, decontamination, language_id, ngram_jaccard, quality_crf
 from worldpulse.llm.queries import BYTE_BPE, language_training, quality_field
-from worldpulse.llm.shared import materialize, others, small_batches, table, unpack
+from worldpulse.llm.shared import materialize, named, others, small_batches, table, unpack
 
 OUTPUTS = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) with digests of the ids and of the text they decode to, beside the other columns."""
     small_batches(spark)
     coded = bpe_codec.round_trip(docs, public_tokenizers.path(BYTE_BPE), with_ids=True)
-    return coded.select(*others(docs, "text", "n_chars", *OUTPUTS), *OUTPUTS)
+    return coded.select(*[named(c) for c in others(docs, "text", "n_chars", *OUTPUTS)], *OUTPUTS)
 
 
 STAGES = [
