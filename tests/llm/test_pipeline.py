@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 
 import public_tokenizers
@@ -6,9 +7,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from worldpulse.llm import queries
+from worldpulse.llm import quality_crf, queries
 from tests.llm.test_ngram_jaccard import plain_components
 from tests.llm.test_decontamination import plain, words
+from tests.llm.test_language_id import plain_length, plain_tree
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +107,55 @@ def test_all_documents_stay_without_a_quality_field(spark, sf, tmp_path):
     with pytest.warns(UserWarning, match="all documents stay"):
         kept = corpus_pipeline.classify_quality(spark, docs, str(tmp_path))
     assert kept.count() == docs.count()
+
+
+def test_own_columns_keep_their_values(spark, sf):
+    own = {"score": "s", "lang_pred": "l", "predicted": 7, "found": 1, "marks": 2, "items": 3, "n_hit": 4, "contaminated": "c", "row": 5, "at": 6, "key": 8, "a.b": 9}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 2 = 0")
+    docs = spark.createDataFrame([(*r, *own.values()) for r in docs.collect()], docs.schema.simpleString()[7:-1].replace(":", " ") + ", score string, lang_pred string, predicted long, found long, marks long, items long, n_hit long, contaminated string, `row` long, `at` long, key long, `a.b` long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, sf)
+        rows = after.collect()
+        assert after.columns == docs.columns and len(rows) > 30, name
+        assert all({c: r[c] for c in own} == own for r in rows), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    last = corpus_pipeline.encode(spark, docs, sf).first().asDict()
+    assert {c: last[c] for c in own} == own
+
+
+def test_language_stage_against_plain_code_lengths(spark, stages):
+    docs = spark.createDataFrame(stages[0][1].collect(), stages[0][1].schema)
+    training = queries.language_training(docs)
+    trees = {x: plain_tree(t, 3) for x, t in training.items()}
+    kept = ids(stages[1][1])
+    rows = [r for r in docs.collect() if len(r["text"] or "") < 1_500][:25]
+    extra = [(-1, "#§$% 12 ~~"), (-2, "Ж" * 40)]
+    for doc_id, text in [(r["doc_id"], r["text"]) for r in rows]:
+        bits = min(plain_length(t, text.encode(), 3) for t in trees.values())
+        assert (doc_id in kept) == (any(c.isalpha() for c in text) and bits < 8 * len(text.encode())), doc_id
+    odd = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in extra] + [tuple(r) for r in docs.collect()], docs.schema)
+    kept = ids(corpus_pipeline.identify_language(spark, odd, ""))
+    for doc_id, text in extra:
+        bits = min(plain_length(t, text.encode(), 3) for t in trees.values())
+        assert (doc_id in kept) == (any(c.isalpha() for c in text) and bits < 8 * len(text.encode())), doc_id
+
+
+def test_quality_stage_against_plain_marginals(spark, sf, stages):
+    before = stages[1][1]
+    field = queries.quality_field(before, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = ids(stages[2][1])
+    for r in before.collect()[:80]:
+        x, lengths, n = quality_crf.line_features([r["text"]])
+        good = [math.exp(v) for v in x @ field.weights]
+        move = [[math.exp(v) for v in row] for row in field.move]
+        weight = lambda k, y: good[k] if y else 1.0
+        forward, backward = [[weight(0, 0), weight(0, 1)]], [[1.0, 1.0]]
+        for k in range(1, int(n[0])):
+            own = [weight(k, y) * sum(forward[-1][p] * move[p][y] for p in (0, 1)) for y in (0, 1)]
+            forward.append([v / sum(own) for v in own])
+        for k in range(int(n[0]) - 1, 0, -1):
+            own = [sum(move[y][q] * weight(k, q) * backward[0][q] for q in (0, 1)) for y in (0, 1)]
+            backward.insert(0, [v / sum(own) for v in own])
+        marginals = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+        share = sum(m * w for m, w in zip(marginals, lengths, strict=True)) / sum(lengths)
+        assert abs(share - field.cut) < 1e-6 or (r["doc_id"] in kept) == (share >= field.cut), r["doc_id"]
