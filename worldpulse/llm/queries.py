@@ -106,7 +106,7 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its slot, shard and offset, in the shards' order."""
-    small_batches(spark)
+    small_batches(spark, "1m")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     special = training_order.special_tokens(public_tokenizers.path(BYTE_BPE))
     codes, total = training_order.numbered(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN, special)
