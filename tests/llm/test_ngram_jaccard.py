@@ -40,8 +40,8 @@ def plain_components(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-def found(docs):
-    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.join(docs).collect()}
+def found(docs, **more):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.join(docs, **more).collect()}
 
 
 def test_shingles_are_those_of_the_words():
@@ -75,6 +75,8 @@ def test_groups_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(docs) == plain_components(rows)
     assert found(docs.repartition(9)) == plain_components(rows)
+    # Lists dealt by set from a length of six on.
+    assert found(docs.coalesce(2), long_list=6) == plain_components(rows)
 
 
 def test_edges(spark):
@@ -97,6 +99,10 @@ def test_components(spark):
     out = {r["v"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = 5_000
+    star = [(hub, k) for k in range(1_000, 9_000) if k != hub] + [(k, k + 1) for k in range(20_000, 23_000, 2)]
+    out = {r["v"]: r["component"] for r in components(spark.createDataFrame(star, "a long, b long").repartition(5)).collect()}
+    assert out == {**{k: 1_000 for k in range(1_000, 9_000)}, **{k: k - k % 2 for k in range(20_000, 23_000)}}
 
 
 def test_no_unlinked_row_is_lost(spark):

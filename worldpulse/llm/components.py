@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import materialize
+from worldpulse.llm.shared import hot_join, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex hands its larger neighbours to the least of itself and its neighbours."""
     around = _both_ways(edges)
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return hot_join(around.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex hands itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    handed = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    handed = hot_join(down, least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return handed.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -31,12 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     """``(v, component)`` for every vertex of the edges ``(a, b)``; the component is its least vertex.
 
     A round is two partial minimums and two joins, and rounds grow with the logarithm of the longest
-    path. Each round's edges are a stored table; the end is seen by their count and checksum.
+    path. A vertex may hold a large part of all edges: its minimum is broadcast, so they stay where they are.
+    The edges are a stored table after each step; the end is seen by their count and checksum.
     """
-    edges = edges.select("a", "b").filter("a != b").distinct()
+    edges = materialize(edges.select("a", "b").filter("a != b").distinct(), "components")
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "components")
+        edges = materialize(_small_star(materialize(_large_star(edges), "components")), "components")
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             break

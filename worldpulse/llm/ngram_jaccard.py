@@ -50,6 +50,8 @@ from worldpulse.llm.shingles import shingle_sets
 BLOCK_BYTES = 1_000_000
 HELD_SHINGLES = 2_000_000
 COMMON_LEAST = 4
+#: A shingle repeated this often has a long list, whose entries are dealt by set instead of by shingle.
+LONG_LIST = 10_000
 MAX_COMMON = 2_000_000
 #: Bits of the bitmap of sets that are asked for: 16 for each, between these bounds. A full one costs time, not links.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
@@ -114,7 +116,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield repeated()
 
 
-def _postings(common: np.ndarray, counts: np.ndarray, shared: frozenset[int]) -> Callable:
+def _postings(common: np.ndarray, counts: np.ndarray, shared: frozenset[int], long_list: int) -> Callable:
+    long = common[counts >= long_list]
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _blocks(batches):
@@ -136,7 +140,9 @@ def _postings(common: np.ndarray, counts: np.ndarray, shared: frozenset[int]) ->
                 places.append(np.arange(k, dtype=np.int32))
             if names:
                 k = [len(x) for x in shingles]
-                yield pa.RecordBatch.from_arrays([np.concatenate(shingles).view(np.int64), np.repeat(names, k), np.repeat(np.array(sizes, np.int32), k), np.concatenate(places)], names=["h", "v", "n", "pos"])
+                h, v = np.concatenate(shingles), np.repeat(names, k)
+                part = pa.array(v, mask=~np.isin(h, long))
+                yield pa.RecordBatch.from_arrays([h.view(np.int64), v, np.repeat(np.array(sizes, np.int32), k), np.concatenate(places), part], names=["h", "v", "n", "pos", "part"])
 
     return emit
 
@@ -232,7 +238,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names:
     return materialize(both.select("a", F.col("v").alias("b")).distinct(), "op7-links")
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """``(row, doc_id, n_shingles, component, component_id)`` for every row of ``docs``.
 
     ``row`` numbers the rows of ``docs`` as ``monotonically_increasing_id`` does; ``component`` is the name of the
@@ -252,14 +258,18 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     least = least.select("v", "least")
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(profile))
 
-    # Lists with entries of two sets or more; copies of an entry come from different tasks.
-    postings = texts.mapInArrow(lambda batches: _postings(*common.value, shared_names)(batches), "h long, v long, n int, pos int")
-    of_list = Window.partitionBy("h")
-    lists = postings.select("*", F.min("v").over(of_list).alias("low"), F.max("v").over(of_list).alias("high")).filter("low < high").dropDuplicates(["h", "v"])
+    # Lists with entries of two sets or more; copies of an entry come from different tasks. Long lists are known
+    # to have them, so each of their entries is a part of its own (``part`` is the set), and no task gets them whole.
+    postings = texts.mapInArrow(lambda batches: _postings(*common.value, shared_names, long_list)(batches), "h long, v long, n int, pos int, part long")
+    of_list = Window.partitionBy("h", "part")
+    lists = postings.select("*", F.min("v").over(of_list).alias("low"), F.max("v").over(of_list).alias("high"))
+    lists = lists.filter("part is not null or low < high").dropDuplicates(["h", "part", "v"])
     lists = materialize(lists.select("h", "v", "n", "pos"), "op7-lists")
 
     degree = lists.groupBy("v").agg(F.count("*").alias("degree"))
-    hubs = lists.join(degree, "v").groupBy("h").agg(F.max_by(F.struct("v", "n", "pos"), F.struct("degree", "v")).alias("hub")).select("h", "hub.*")
+    # Joins of lists with a stored row per list: two plain exchanges, of which adaptive execution can split a long list's.
+    hubs = lists.join(degree, "v").groupBy("h").agg(F.max_by(F.struct("v", "n", "pos"), F.struct("degree", "v")).alias("hub"))
+    hubs = materialize(hubs.select("h", "hub.*"), "op7-hubs")
     heads = materialize(lists.groupBy("v").agg(F.collect_list("h").alias("head")), "op7-heads")
     starred = materialize(_likely(_met(lists, hubs, ["h"], F.lit(True)), heads), "op7-stars")
     star_links = verified(texts, starred, least, shared_names)
@@ -269,6 +279,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spread = materialize(lists.join(of, "v", "left").select("h", "v", "n", "pos", F.coalesce("component", "v").alias("k")), "op7-placed")
     parts = spread.groupBy("h", "k").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("k", F.struct("size", "k")).alias("main")).filter("parts > 1").drop("parts")
+    mixed = materialize(mixed, "op7-mixed")
     mixed = spread.join(mixed, "h").withColumn("block", _size_block(F.col("n")))
     probes = mixed.filter("k != main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     once = (F.col("x.k") != F.col("y.k")) & ((F.col("y.k") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
@@ -289,9 +300,9 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
-    return placed(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return placed(docs, id_col, text_col, long_list).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
