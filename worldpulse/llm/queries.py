@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worldpulse.llm import bpe_codec, decontamination, histogram_sharding, language_id, ngram_jaccard, quality_crf, quality_rules, quotation_links, token_counts, training_order
+from worldpulse.llm import (
+    bpe_codec,
+    decontamination,
+    histogram_sharding,
+    language_id,
+    lexical_search,
+    line_dedup,
+    ngram_jaccard,
+    periodic_runs,
+    quality_crf,
+    quality_rules,
+    quotation_links,
+    token_counts,
+    training_order,
+)
 from worldpulse.llm.shared import materialize, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -113,6 +127,54 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.records(training_order.in_order(codes, total))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(docs, least_chars=40, least_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by a checksum of its id, has words that repeat from a place on, so that there are runs to find."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    # The words are bound to a name by a list of one, and only where the text is changed at all.
+    text = F.when((h % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.transform(F.array(words), repeated)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = periodic_runs.collapse_runs(_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    run, listed = F.col("run"), F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    # Runs are in the order of start and period, so of equal ratios the first one stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    return found.withColumn("run", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        run["start"].alias("start"),
+        run["length"].alias("length"),
+        run["period"].alias("period"),
+        F.floor(1000 * run["length"] / run["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    index = lexical_search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -126,6 +188,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_histogram_sharding": op9_histogram_sharding,
         "op10_training_order": op10_training_order,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -223,6 +288,31 @@ from linked where conv_id is not null and turn is not null group by all
 """
 
 
+OP11_SQL = """
+with docs as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select r, doc_id, generate_subscripts(l, 1) as pos, unnest(l) as line from docs),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+held as (select k, max(doc_id) as holder from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+marked as (select keyed.*, held.k is not null and keyed.doc_id <> held.holder as gone from keyed left join held on held.k = keyed.k)
+select min(doc_id) as doc_id, count(*) as n_lines, count_if(gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from marked group by r
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+with sized as (select * from (select row_number() over () as r, doc_id, {_TERMS} as w from documents) where len(w) > 0),
+totals as (select count(*) as docs, cast(sum(len(w)) as bigint) as terms from sized),
+tfs as (select r, t, count(*) as tf from (select r, unnest(w) as t from sized) group by r, t),
+dfs as (select t, count(*) as df from tfs group by t),
+asked as (select distinct q, item_id, unnest(w) as t from (select row_number() over () as q, item_id, {_TERMS} as w from benchmark)),
+scored as (
+  select q, item_id, s.doc_id, s.r, sum(cast(floor(1000 * ln((2 * docs + 2) / cast(2 * df + 1 as double))) as bigint) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(s.w) * docs) // terms)))) as score
+  from asked join tfs using (t) join dfs using (t) join sized s using (r), totals group by q, item_id, s.doc_id, s.r)
+select item_id, cast(place as int) as rank, doc_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by q order by score desc, doc_id) as place from scored where score > 0) where place <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained models, sketches and hashed orders can't be said in SQL; tests hold those against brute force."""
-    return {"op6_quotation_links": OP6_SQL, "quoted_conversations": QUOTED_CONVERSATIONS_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op6_quotation_links": OP6_SQL, "quoted_conversations": QUOTED_CONVERSATIONS_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_line_dedup": OP11_SQL, "op13_lexical_search": OP13_SQL}
