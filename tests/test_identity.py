@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from worldpulse.functions.columns import horizon
 from worldpulse.operators import identity
+from worldpulse.plans.ids import allocate
 
 CUT = datetime(2024, 2, 29)
 NAMES = "id long, character_id long, name string, active boolean, inactive_date timestamp"
@@ -49,7 +50,16 @@ def test_resolution(spark, names):
     found = {r["name"]: (r["character_id"], r["is_new"]) for r in identity.resolve(asked, names, F.lit(CUT)).collect()}
     assert found["Now"] == (10, False) and found["Renamed"] == (10, False)
     assert found["Fresh"][1] and found["Edge"][1]
-    assert found["Fresh"][0] != found["Edge"][0]
+    assert found["Fresh"][0] is None and found["Edge"][0] is None
+
+
+def test_new_ids_follow_the_last_one_without_gaps(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 7).select(F.concat(F.lit("n"), "id").alias("name"), F.lit(None).cast("long").alias("character_id"))
+    numbered, last = allocate(rows, "character_id", 40, str(tmp_path))
+    assert last == 5040 and numbered.columns == ["name", "character_id"]
+    assert sorted(r["character_id"] for r in numbered.collect()) == list(range(41, 5041))
+    assert allocate(rows.limit(0), "character_id", 40, str(tmp_path))[1] == 40
+    assert "SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rename_closes_the_active_version_and_is_idempotent(spark, names):

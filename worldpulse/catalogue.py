@@ -13,7 +13,9 @@ from worldpulse.api import Questions
 from worldpulse.catalog import load, view, with_views
 from worldpulse.functions import columns as C
 from worldpulse.operators import identity, ledger, snapshots, stats
-from worldpulse.plans import ingest
+from worldpulse.plans import ids, ingest
+from worldpulse.plans.store import scratch, staged
+from worldpulse.plans.tables import Changes, Tables, run
 from worldpulse.sources import pages as P
 from worldpulse.sources import tables as S
 
@@ -209,8 +211,8 @@ _RESOLVED = f"seen as ({_SEEN}), r as (select s.name, coalesce(o.character_id, f
 
 @query(with_views("select * from (with " + _RESOLVED + " select name, coalesce(character_id, 0) as character_id, character_id is null as is_new from r)", "character_names"))
 def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-RESOLVE, JOIN6, FN-SPLIT, D1: new characters' ids, which are hashes, are shown as 0"""
-    return _resolved(spark, sf).select("name", F.when(F.col("is_new"), 0).otherwise(F.col("character_id")).cast("bigint").alias("character_id"), "is_new")
+    """OP-RESOLVE, JOIN6, FN-SPLIT, D1: new characters have no id yet and are shown as 0"""
+    return _resolved(spark, sf).select("name", F.coalesce("character_id", F.lit(0)).cast("bigint").alias("character_id"), "is_new")
 
 
 @query(
@@ -224,7 +226,10 @@ def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
 )
 def renamed(spark: SparkSession, sf: str) -> DataFrame:
     """OP-ACTIVE, SNK4, SNK5, D2, D3: the name history after all of these were seen"""
-    return identity.apply_names(view(spark, sf, "character_names"), _resolved(spark, sf)).select("name", "active", "inactive_date")
+    names, folder = view(spark, sf, "character_names"), scratch(spark, "renamed")
+    resolved = staged(_resolved(spark, sf), folder, "resolved")
+    fresh, _ = ids.allocate(resolved.filter("is_new"), "character_id", ingest.last_character(names), folder)
+    return identity.apply_names(names, resolved.filter("not is_new").unionByName(fresh)).select("name", "active", "inactive_date")
 
 
 @query("select n_name as world, category, cast(vocation_id as int) as vocation_id, cast(page as int) as page from nation, (values " + ", ".join(f"('{c}')" for c in C.CATEGORIES) + ") c(category), range(1, 7) v(vocation_id), range(1, 21) p(page)")
@@ -376,7 +381,7 @@ def upsert_worlds(spark: SparkSession, sf: str) -> DataFrame:
     fresh = load(spark, sf, "region").select(F.concat(F.lit("Fresh#"), F.col("r_regionkey").cast("string")).alias("name"))
     overview = w.select("name", F.concat(F.lit("PvP "), F.col("id").cast("string")).alias("pvp_type"), F.lit("elsewhere").alias("location")).unionByName(fresh.select("name", F.lit("PvP new").alias("pvp_type"), F.lit("EU").alias("location")))
     facts = w.filter("location <> 'AFRICA'").select("name", F.concat(F.lit("record "), F.col("id").cast("string")).alias("online_record")).unionByName(fresh.select("name", F.lit("record new").alias("online_record")))
-    pages = facts.select("name", none.alias("pvp_type"), "online_record", F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
+    pages = facts.select("name", _ntz(AS_OF).alias("fetched_at"), none.alias("pvp_type"), "online_record", F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
     return ingest.upsert_worlds(stored, overview, pages).select("name", "pvp_type", "location", "online_record")
 
 
@@ -388,13 +393,13 @@ def _page_players(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select(F.format_string("NATION_%d", F.col("o_orderkey") % 25).alias("name"), (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey").cast("decimal(18,6)"))).alias("fetched_at"), F.size("players").alias("players_online"), none.alias("pvp_type"), none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"), "players")
 
 
-def _pass(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _pass(spark: SparkSession, sf: str) -> Changes:
     none = F.lit(None).cast("string")
     w = view(spark, sf, "worlds")
     stored = w.select("id", "name", none.alias("pvp_type"), "location", none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
     known = load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
     former = spark.createDataFrame([], "name string, former_names string")
-    return ingest.world_pass(stored, known, w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF))
+    return ingest.world_pass(stored, known, w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF), scratch(spark, "pass"))
 
 
 _PAGES = "select o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, count(distinct l_suppkey) as players_online from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate"
@@ -421,13 +426,98 @@ def pass_names(spark: SparkSession, sf: str) -> DataFrame:
     return _pass(spark, sf)["character_names"].select("name", "active")
 
 
+def _returning(spark: SparkSession, sf: str) -> str:
+    """A folder of tables in which every third customer has given up its name before the horizon and bears another one now."""
+    folder, key = scratch(spark, "returning"), F.col("c_custkey")
+    c = load(spark, sf, "customer").select(key, "c_name", (key % 3 == 0).alias("gone"))
+    now = c.select((2 * key).alias("id"), key.alias("character_id"), F.concat(F.when(F.col("gone"), "Now ").otherwise(""), "c_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("inactive_date"))
+    was = c.filter("gone").select((2 * key + 1).alias("id"), key.alias("character_id"), F.col("c_name").alias("name"), F.lit(False).alias("active"), F.lit("1999-01-01 00:00:00").cast("timestamp").alias("inactive_date"))
+    names = now.unionByName(was)
+    none = F.lit(None).cast("string")
+    worlds = view(spark, sf, "worlds").select("id", "name", none.alias("pvp_type"), "location", none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
+    Tables(spark, folder).commit("start", Changes(replaced={"worlds": worlds, "character_names": names}, marks={"characters": ingest.last_character(names)}))
+    return folder
+
+
+@query(
+    "select c_name as name, true as active, c_custkey % 3 = 0 as is_new, cast(1 as bigint) as active_names from customer "
+    "union all select 'Now ' || c_name, true, false, 1 from customer where c_custkey % 3 = 0 union all select c_name, false, false, 1 from customer where c_custkey % 3 = 0"
+)
+def returning_names(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-WORLD, OP-RESOLVE, OP-ACTIVE, SNK4, SNK5: two passes in which names come back on other characters, one of them run twice"""
+    folder, none = _returning(spark, sf), F.lit(None).cast("string")
+    before = Tables(spark, folder).mark("characters")
+    c = load(spark, sf, "customer").join(view(spark, sf, "worlds").select(F.col("id").alias("c_nationkey"), F.col("name").alias("world")), "c_nationkey")
+    overview = view(spark, sf, "worlds").select("name", none.alias("pvp_type"), "location")
+    former = spark.createDataFrame([], "name string, former_names string")
+    for at in (AS_OF, AS_OF, "2000-12-02 00:00:00"):
+        players = c.groupBy(F.col("world").alias("name")).agg(F.collect_list("c_name").alias("players"))
+        pages = players.select("name", F.lit(at).cast("timestamp").alias("fetched_at"), F.size("players").alias("players_online"), *[none.alias(a) for a in ("pvp_type", "online_record", "transfer_type", "game_world_type")], F.lit(None).cast("date").alias("creation_date"), "players")
+        ingest.run_world_pass(spark, folder, f"pass at {at}", overview, pages, former, F.lit(at).cast("timestamp"))
+    names = Tables(spark, folder).read("character_names")
+    held = names.groupBy("character_id").agg(F.count_if("active").alias("active_names"))
+    return names.join(held, "character_id").select("name", "active", (F.col("character_id") > before).alias("is_new"), "active_names")
+
+
+@query(
+    "select name, count(*) as records, is_new, cast(1 as bigint) as names from (select c_name as name, c_custkey % 3 = 0 as is_new from customer join orders on o_custkey = c_custkey "
+    "union all select 'Now ' || c_name, false from customer join orders on o_custkey = c_custkey where c_custkey % 3 = 0) group by name, is_new"
+)
+def highscores_of_returning_names(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-HS, SNK6: a run over lists with names that were given up and their former bearers; each has a character of its own"""
+    folder = _returning(spark, sf)
+    before = Tables(spark, folder).mark("characters")
+    rows = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("*", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array("c_name", F.concat(F.lit("Now "), "c_name"))).otherwise(F.array("c_name"))).alias("name"))
+    lists = rows.select(F.format_string("NATION_%d", F.col("c_custkey") % 25).alias("world"), F.lit("EXPERIENCE").alias("category"), F.lit(1).alias("vocation_id"), F.lit(1).alias("page"), F.col("o_orderkey").cast("int").alias("rank"), "name", F.floor("o_totalprice").cast("bigint").alias("value"))
+    tables = ingest.run_highscores(spark, folder, "run", lists, F.lit(AS_OF).cast("timestamp"))
+    names = tables.read("character_names").filter("active")
+    shared = names.groupBy("character_id").agg(F.count("*").alias("names"))
+    counted = tables.read("character_statrecords").groupBy("character_id").agg(F.count("*").alias("records"))
+    return counted.join(names, "character_id").join(shared, "character_id").select("name", "records", (F.col("character_id") > before).alias("is_new"), "names")
+
+
+def _snapshots_in_batches(spark: SparkSession, sf: str) -> Tables:
+    """Stored snapshots that came in four batches, out of order in time; one came twice."""
+    folder = scratch(spark, "snapshots")
+    rows = view(spark, sf, "scrapes").withColumn("scrape_time", F.col("scrape_time").cast("timestamp"))
+    for number in (0, 2, 1, 2, 3):
+        batch = rows.filter(F.col("id") % 4 == number)
+        tables = run(spark, folder, f"batch {number}", lambda stored: ingest.with_latest(stored, Changes(appended={"scrapes": batch})))  # noqa: B023  used at once
+    return tables
+
+
+@query(with_views(f"select world_id, players_online, scrape_time from ({LATEST})", "scrapes"))
+def latest_maintained(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG2, A1 to A3: the stored last snapshot per world, updated by each batch"""
+    found = _snapshots_in_batches(spark, sf).read("scrapes_latest")
+    return found.select("world_id", "players_online", F.col("scrape_time").cast("timestamp_ntz").alias("scrape_time"))
+
+
+@query(with_views(f"select scrape_time, players_online from scrapes s join worlds w on w.id = s.world_id where w.name = '{WORLD}' and scrape_time between timestamp '{FROM}' and timestamp '{TO}'", "worlds", "scrapes"))
+def stored_world_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A4, FLT2: from the partitions of one world and two days"""
+    world = view(spark, sf, "worlds").filter(F.col("name") == WORLD).first()["id"]
+    start, end = F.lit(FROM).cast("timestamp"), F.lit(TO).cast("timestamp")
+    rows = _snapshots_in_batches(spark, sf).of_key("scrapes", world, (start, end)).filter(F.col("scrape_time").between(start, end))
+    return rows.orderBy("scrape_time", "id").select(F.col("scrape_time").cast("timestamp_ntz").alias("scrape_time"), "players_online")
+
+
+@query(with_views(f"select date, value, rank, world_id from stats where character_id = 4 and category = '{CATEGORY}'", "stats"))
+def stored_stat_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A6, FLT8, SNK6: from the partition of one character and category"""
+    records = view(spark, sf, "stats").withColumns({"scraped_at": F.lit(AS_OF).cast("timestamp"), "vocation_id": F.lit(1)})
+    tables = Tables(spark, scratch(spark, "records")).commit("run", Changes(appended={"character_statrecords": records}))
+    return tables.of_key("character_statrecords", 4).filter(F.col("category") == CATEGORY).orderBy("date", "id").select("date", "value", "rank", "world_id")
+
+
 @query("select o_orderpriority as category, date '2000-12-01' as date, cast(floor(o_totalprice) as bigint) as value, cast(o_orderkey as int) as rank, cast(o_custkey % 25 as bigint) as world_id, c.c_custkey % 3 <> 0 as known from orders join customer c on c_custkey = o_custkey")
 def highscore_records(spark: SparkSession, sf: str) -> DataFrame:
     """OP-HS, SNK6, D4, D5, D16: only active names are known"""
     customers = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
     rows = load(spark, sf, "orders").join(customers, "o_custkey").select(F.format_string("NATION_%d", F.col("o_custkey") % 25).alias("world"), F.col("o_orderpriority").alias("category"), F.lit(1).alias("vocation_id"), F.lit(1).alias("page"), F.col("o_orderkey").cast("int").alias("rank"), "name", F.floor("o_totalprice").cast("bigint").alias("value"))
     names = view(spark, sf, "character_names")
-    out = ingest.highscore_run(view(spark, sf, "worlds"), names, rows, _ntz(AS_OF))
+    out = ingest.highscore_run(view(spark, sf, "worlds"), names, rows, _ntz(AS_OF), scratch(spark, "highscores"))
     known = names.select("character_id", F.lit(True).alias("k")).distinct()
     return out["character_statrecords"].join(known, "character_id", "left").select("category", "date", "value", "rank", "world_id", F.coalesce("k", F.lit(False)).alias("known"))
 

@@ -52,7 +52,8 @@ def resolve(seen: DataFrame, names: DataFrame, cutoff: Column) -> DataFrame:
     """``seen(name, former_names, seen_at)``, one row per name, with ``character_id`` and ``is_new``.
 
     A name belongs to the character that has it now or had it until after ``cutoff``; else to the one that
-    has, or last had, one of its former names; else a character is made for it.
+    has, or last had, one of its former names; else to a character that is new and has no id yet. A name is only looked up: a
+    character's id says nothing about it, as a name may be given up and come back on another character.
     """
     own = holders(names, cutoff).withColumnRenamed("id", "own_id")
     parts = seen.select("name", F.explode(split_names(F.col("former_names"))).alias("former")).filter("former != name")
@@ -60,7 +61,7 @@ def resolve(seen: DataFrame, names: DataFrame, cutoff: Column) -> DataFrame:
     former = parts.join(held, "former").groupBy("name").agg(F.min("former_id").alias("former_id"))
     known = seen.join(own, "name", "left").join(former, "name", "left")
     found = F.coalesce("own_id", "former_id")
-    return known.select(*seen.columns, F.coalesce(found, new_id(F.lit("character"), F.col("name"))).alias("character_id"), found.isNull().alias("is_new"))
+    return known.select(*seen.columns, found.alias("character_id"), found.isNull().alias("is_new"))
 
 
 def apply_names(names: DataFrame, resolved: DataFrame) -> DataFrame:

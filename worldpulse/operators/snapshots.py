@@ -15,6 +15,13 @@ def latest(scrapes: DataFrame) -> DataFrame:
     return scrapes.groupBy("world_id").agg(best.alias("last")).select("world_id", "last.*")
 
 
+def latest_rows(scrapes: DataFrame) -> DataFrame:
+    """As :func:`latest`, with each snapshot's id, so that later snapshots can be merged in: the latest of some latest rows and
+    new ones are those of all."""
+    best = F.max_by(F.struct("id", "scrape_time", "players_online"), F.struct("scrape_time", "id"))
+    return scrapes.groupBy("world_id").agg(best.alias("last")).select("last.id", "world_id", "last.scrape_time", "last.players_online")
+
+
 def latest_by_rank(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The whole last row of each key by ``order`` (ascending): a limited window, which also reduces before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*[o.desc() for o in order]))

@@ -7,19 +7,35 @@ a run that fails leaves the old one. Older versions stay for readers that have b
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CURRENT = "_CURRENT"
+from worldpulse.plans.commits import files as _files
+from worldpulse.plans.commits import hadoop_path as _path
+from worldpulse.plans.commits import read_text, rename_text
 
+CURRENT = "_CURRENT"
+_local: dict[str, str] = {}
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path below the one that the cluster names in ``spark.checkpoint.dir``, for what a query stores on its way.
 
-def _files(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    Only a session on one machine may do without that setting (tests): it gets a temporary folder, removed at exit.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        if "dir" not in _local:
+            _local["dir"] = tempfile.mkdtemp(prefix="worldpulse-")
+            atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+        named = _local["dir"]
+    return f"{named.rstrip('/')}/worldpulse/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def append(rows: DataFrame, folder: str, name: str, *partition_by: str) -> None:
@@ -29,16 +45,8 @@ def append(rows: DataFrame, folder: str, name: str, *partition_by: str) -> None:
 
 def current(spark: SparkSession, folder: str, name: str) -> str | None:
     """The folder of a replaced table's current version."""
-    pointer = f"{folder}/{name}/{CURRENT}"
-    fs = _files(spark, pointer)
-    if not fs.exists(_path(spark, pointer)):
-        return None
-    file = fs.open(_path(spark, pointer))
-    try:
-        version = bytes(file.readAllBytes()).decode()
-    finally:
-        file.close()
-    return f"{folder}/{name}/{version}"
+    version = read_text(spark, f"{folder}/{name}/{CURRENT}")
+    return f"{folder}/{name}/{version}" if version else None
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,17 +62,7 @@ def replace(rows: DataFrame, folder: str, name: str, *sort_by: str) -> None:
     spark = rows.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     (rows.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else rows).write.parquet(f"{folder}/{name}/{version}")
-    part = f"{folder}/{name}/.{CURRENT}-{version}"
-    out = _files(spark, part).create(_path(spark, part))
-    try:
-        out.write(version.encode())
-    finally:
-        out.close()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    target = _path(spark, f"{folder}/{name}/{CURRENT}")
-    hadoop.FileContext.getFileContext(_files(spark, part).getUri(), spark._jsc.hadoopConfiguration()).rename(_path(spark, part), target, over)
+    rename_text(spark, f"{folder}/{name}/{CURRENT}", version, overwrite=True)
 
 
 def vacuum(spark: SparkSession, folder: str, name: str) -> int:

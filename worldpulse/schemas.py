@@ -28,14 +28,16 @@ TABLES = {
     "token_blacklist": "id bigint, jti string not null, token string not null, revoked_at timestamp not null, reason string",
 }
 
-#: Keys that no two rows share. A name may come back after it was retired, so it's unique among active ones.
+#: Keys that no two rows share. A name may come back after it was retired, so it's unique among active ones, and a
+#: character has one active name.
 UNIQUE = {
-    "worlds": ("name",),
-    "character_names": ("name", "active"),
-    "guilds": ("name",),
-    "users": ("username",),
-    "refresh_tokens": ("token",),
-    "token_blacklist": ("jti",),
+    "worlds": [("name",)],
+    "characters": [("id",)],
+    "character_names": [("name", "active"), ("character_id", "active")],
+    "guilds": [("name",)],
+    "users": [("username",)],
+    "refresh_tokens": [("token",)],
+    "token_blacklist": [("jti",)],
 }
 ALLOWED = {("characters", "sex"): SEXES, ("character_statrecords", "category"): CATEGORIES}
 REFERENCES = {
@@ -70,8 +72,9 @@ def violations(name: str, rows: DataFrame, others: dict[str, DataFrame] | None =
     if checks:
         counted = rows.agg(*[F.count_if(c).alias(rule) for rule, c in checks.items()])
         found.append(counted.unpivot([], list(checks), "rule", "n"))
-    if name in UNIQUE and set(UNIQUE[name]) <= set(rows.columns):
-        keys = list(UNIQUE[name])
+    for keys in map(list, UNIQUE.get(name, [])):
+        if not set(keys) <= set(rows.columns):
+            continue
         known = rows.filter("active") if "active" in keys else rows
         repeats = known.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
         found.append(repeats.agg(F.count("*").alias("n")).select(F.lit(f"{', '.join(keys)} repeats").alias("rule"), "n"))
