@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldpulse import schemas
-from worldpulse.api import Questions
+from worldpulse.api import Questions, answers
 from worldpulse.catalog import load, view, with_views
 from worldpulse.functions import columns as C
 from worldpulse.operators import identity, ledger, snapshots, stats
@@ -646,11 +646,25 @@ def graph_rows(spark: SparkSession, sf: str) -> DataFrame:
     return worlds_online(spark, sf).select(F.col("world").alias("name"), F.col("players_online").alias("playersOnline"))
 
 
-@query(with_views("select id, name, cast(null as int) as level, id % 6 as vocationId, cast(null as varchar) as residence from character_names where active", "character_names"))
+_VOCATION_OF = {segment: k for k, segment in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 1)}
+
+
+@query(
+    with_views(
+        f"select c.id, n.name, cast(c.id % 100 as int) as level, v.id as vocationId, v.name as vocation, cast(null as varchar) as residence from character_names n join characters c on c.id = n.character_id left join (select * from (values "
+        + ", ".join(f"({k}, '{n}', '{s}')" for (s, k), (n, _) in zip(_VOCATION_OF.items(), S.VOCATIONS, strict=True) if k != 3)
+        + f") t(id, name, segment)) v on v.segment = c.vocation where {RECENT}",
+        "characters",
+        "character_names",
+    )
+)
 def character_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """PRJ4, PRJ5, D9: unknown details stay null"""
-    names = view(spark, sf, "character_names").filter("active")
-    return names.select("id", "name", F.lit(None).cast("int").alias("level"), (F.col("id") % 6).alias("vocationId"), F.lit(None).cast("string").alias("residence"))
+    """PRJ4, PRJ5, JOIN5, D9: the answers for all names; a segment stands for a vocation, one of them is unknown, and so are residences"""
+    c = view(spark, sf, "characters")
+    known = F.coalesce(*[F.when(F.col("vocation") == s, F.lit(k)) for s, k in _VOCATION_OF.items() if k != 3]).cast("long")
+    characters = c.select("id", known.alias("vocation_id"), (F.col("id") % 100).cast("int").alias("level"))
+    found = identity.by_any_name(view(spark, sf, "character_names"), characters, _ntz(CUTOFF))
+    return answers(found, S.vocations(spark)).select("id", "name", "level", "vocationId", "vocation", "residence")
 
 
 # --- Pages ----------------------------------------------------------------------------------
