@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +53,27 @@ def test_repeats_and_sessions(spark, sf, landed, tmp_path):
     assert found.count() <= batch.count() and found.select("world_id", "scrape_time").distinct().count() == found.count()
 
 
+def test_scores_meet_the_snapshots_near_them(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    scrapes = spark.createDataFrame([(k % 3, t + timedelta(minutes=7 * k), k) for k in range(200)], "world_id long, scrape_time timestamp, players_online int").coalesce(4)
+    records = spark.createDataFrame([(k % 4, k, "EXPERIENCE", k, t + timedelta(minutes=11 * k + 3)) for k in range(120)], "world_id long, character_id long, category string, value long, scraped_at timestamp").coalesce(4)
+    far = t + timedelta(days=30)
+    scrapes.orderBy("scrape_time").coalesce(1).write.option("maxRecordsPerFile", 50).parquet(str(tmp_path / "s"))
+    records.orderBy("scraped_at").coalesce(1).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "r"))
+    streams = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for df, n in ((scrapes, "s"), (records, "r"))]
+    q = live.scores_near(*streams).writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    # One late row on each side moves the watermark past all others, whose state goes.
+    spark.createDataFrame([(9, far, 1)], scrapes.schema).write.mode("append").parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(8, 1, "EXPERIENCE", 1, far)], records.schema).write.mode("append").parquet(str(tmp_path / "r"))
+    q.processAllAvailable()
+    left = sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+    q.stop()
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert rows(spark.table("near")) == rows(live.scores_near(scrapes, records)) != []
+    assert left == 2
+
+
 def test_batches_are_written_once(spark, sf, landed, tmp_path):
     batch = view(spark, sf, "scrapes")
     q = live.run(live.snapshot_stream(spark, landed, batch.schema, max_files=1), live.append_sink(str(tmp_path), "t"), str(tmp_path / "c"), once=True)

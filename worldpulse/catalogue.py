@@ -18,6 +18,7 @@ from worldpulse.plans.store import scratch, staged
 from worldpulse.plans.tables import Changes, Tables, run
 from worldpulse.sources import pages as P
 from worldpulse.sources import tables as S
+from worldpulse.streaming import names
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUTOFF = "2000-06-01 00:00:00"
@@ -195,6 +196,23 @@ def scd2_names(spark: SparkSession, sf: str) -> DataFrame:
     return identity.history(load(spark, sf, "events"), "user_id", "event_type", "ts", "event_id")
 
 
+@query(_oracle["scd2_names"])
+def scd2_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-SCD2, OP-ACTIVE: the same history from a stream, in two runs; a late row of another key lets the watermark pass the others"""
+    folder, rows = scratch(spark, "names"), load(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    ends = F.make_interval(years=F.lit(1))
+    flush = rows.agg(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), (F.max("ts") + ends).alias("ts"), F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"))
+    parts = (rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), flush)
+    for number in (0, 1):
+        for part in parts[number : 2 * number + 1]:
+            part.select("user_id", "event_type", "ts", "event_id").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        found = names.changes(stream, "user_id", "event_type", "ts", "event_id", late_by="365 days")
+        names.run_to(found, f"{folder}/out", f"{folder}/checkpoint")
+    done = names.history(spark.read.parquet(f"{folder}/out")).filter("key >= 0")
+    return done.select(F.col("key").alias("user_id"), F.col("name").alias("event_type"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to")], "active")
+
+
 _SEEN = "select c_name as name, case when c_custkey % 10 = 0 then 'Customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0') else c_name end as former_names, timestamp '2001-01-01 00:00:00' as seen_at from customer union all select 'New#' || cast(n_nationkey as varchar), 'Nobody', timestamp '2001-01-01 00:00:00' from nation"
 
 

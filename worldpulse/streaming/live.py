@@ -46,6 +46,17 @@ def sessions(scrapes: DataFrame, gap: str, late_by: str = "10 minutes") -> DataF
     return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "world_id", "n")
 
 
+def scores_near(scrapes: DataFrame, records: DataFrame, within: str = "15 minutes", late_by: str = "10 minutes") -> DataFrame:
+    """Score records with the snapshots of their world that were taken ``within`` that time of them; of two streams or two tables.
+
+    Both sides have watermarks and the times a bound, so either side's state is dropped once the other can't match it any more.
+    """
+    s = scrapes.select("world_id", F.col("scrape_time").cast("timestamp").alias("scrape_time"), "players_online").withWatermark("scrape_time", late_by)
+    r = records.select(F.col("world_id").alias("of_world"), "character_id", "category", "value", F.col("scraped_at").cast("timestamp").alias("scraped_at")).withWatermark("scraped_at", late_by)
+    near = F.expr(f"world_id = of_world and scrape_time >= scraped_at - interval {within} and scrape_time <= scraped_at + interval {within}")
+    return s.join(r, near).drop("of_world")
+
+
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Hand each batch to ``sink``, every minute or, with ``once``, until what is there is read (for a scheduler's daily run)."""
     writer = stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
