@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +15,11 @@ from worldpulse import schemas
 from worldpulse.api import Questions, answers
 from worldpulse.catalog import load, view, with_views
 from worldpulse.functions import columns as C
-from worldpulse.operators import identity, ledger, snapshots, stats
+from worldpulse.operators import cascade, identity, ledger, snapshots, stats
 from worldpulse.plans import ids, ingest
 from worldpulse.plans.store import scratch, staged
 from worldpulse.plans.tables import Changes, Tables, run
+from worldpulse.sources import jdbc
 from worldpulse.sources import pages as P
 from worldpulse.sources import tables as S
 from worldpulse.streaming import names
@@ -371,6 +375,34 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.without_parents(load(spark, sf, "events").select("event_id", "user_id"), gone, "user_id")
 
 
+_CASCADE = {
+    "worlds": "select cast(n_nationkey as bigint) as id from nation",
+    "scrapes": "select cast(event_id as bigint) as id, cast(user_id % 25 as bigint) as world_id from events",
+    "scrape_players": "select cast(l_orderkey * 10 + l_linenumber as bigint) as id, cast(l_orderkey as bigint) as scrape_id, cast(l_suppkey as bigint) as character_id from lineitem",
+    "character_statrecords": "select cast(o_orderkey as bigint) as id, cast(o_custkey as bigint) as character_id, cast(o_custkey % 25 as bigint) as world_id from orders",
+    "guilds": "select cast(s_suppkey as bigint) as id, cast(s_nationkey as bigint) as world_id from supplier",
+    "guild_characters": "select cast(l_orderkey * 10 + l_linenumber as bigint) as id, cast(l_suppkey as bigint) as guild_id, cast(l_orderkey as bigint) as character_id from lineitem",
+    "users": "select cast(c_custkey as bigint) as id, c_mktsegment as roles from customer",
+    "refresh_tokens": "select cast(o_orderkey as bigint) as id, cast(o_custkey as bigint) as user_id from orders",
+}
+
+
+@query(
+    "with " + ", ".join(f"{name} as ({sql})" for name, sql in _CASCADE.items()) + ", w as (select id from worlds where id % 5 = 0), u as (select id from users where roles = 'BUILDING'), s as (select id from scrapes where world_id in (select id from w)), g as (select id from guilds where world_id in (select id from w)), "
+    "left_ as (select 'worlds' as name, id from worlds where id not in (select id from w) union all select 'scrapes', id from scrapes where id not in (select id from s) union all select 'scrape_players', id from scrape_players where scrape_id not in (select id from s) "
+    "union all select 'character_statrecords', id from character_statrecords where world_id not in (select id from w) union all select 'guilds', id from guilds where id not in (select id from g) union all select 'guild_characters', id from guild_characters where guild_id not in (select id from g) "
+    "union all select 'users', id from users where id not in (select id from u) union all select 'refresh_tokens', id from refresh_tokens where user_id not in (select id from u)) "
+    "select name, count(*) as n, cast(sum(id) as bigint) as ids from left_ group by name"
+)
+def cascade_of_worlds_and_users(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK11: worlds and users are deleted, and over all levels what refers to them"""
+    stored = {t: load(spark, sf, t) for t in ("nation", "events", "lineitem", "orders", "supplier", "customer")}
+    tables = {name: spark.sql(re.sub(r"from (\w+)$", r"from {\1}", sql), **stored) for name, sql in _CASCADE.items()}
+    left = cascade.delete(tables, {"worlds": tables["worlds"].filter("id % 5 = 0"), "users": tables["users"].filter("roles = 'BUILDING'")})
+    counted = [rows.agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("name"), "n", "ids") for name, rows in left.items()]
+    return reduce(DataFrame.unionByName, counted).filter("n > 0")
+
+
 _ROLES = "' ' || o_orderpriority || ', ,ROLE_' || o_orderstatus || ','"
 
 
@@ -801,6 +833,22 @@ def user_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.user_by_name(users, "Customer#000000003", "Customer#000000005", "nobody")
 
 
+@query("select cast(c_custkey as bigint) as id, case when c_custkey % 10 = 0 then 'merged' else c_name end as username, c_mktsegment as roles, true as in_ranges, true as filtered_there from customer where c_mktsegment = 'BUILDING' and c_custkey > 20 union all select n_nationkey + 1000000, n_name, 'BUILDING', true, true from nation")
+def jdbc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC7, SNK7: users in a database (the embedded one that comes with Spark), merged by key, read in ranges that it gives, filtered there"""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("the embedded database lives in one process; pass another one's address to worldpulse.sources.jdbc")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    users = load(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("roles"))
+    jdbc.write(users.repartition(4), url, "users", driver=driver)
+    fresh = load(spark, sf, "nation").select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), F.col("n_name").alias("username"), F.lit("BUILDING").alias("roles"))
+    jdbc.upsert(users.filter("id % 10 = 0").withColumn("username", F.lit("merged")).unionByName(fresh), url, "users", "id", driver=driver)
+    rows = jdbc.read(spark, url, "users", range_rows=50, driver=driver)
+    found = rows.filter("roles = 'BUILDING' and id > 20")
+    return found.withColumns({"in_ranges": F.lit(rows.rdd.getNumPartitions() > 1), "filtered_there": F.lit("EqualTo(roles,BUILDING)" in jdbc.pushed(found))})
+
+
 @query(with_views("select id, name from worlds order by id limit 7 offset 14", "worlds"))
 def third_page_of_worlds(spark: SparkSession, sf: str) -> DataFrame:
     """SNK14: paging in a total order"""

@@ -57,6 +57,14 @@ REFERENCES = {
     ("refresh_tokens", "user_id"): "users",
 }
 
+#: The references whose rows go with what they refer to, and the one that may be null. All others refuse.
+CASCADES = {
+    ("character_statrecords", "world_id"): "cascade",
+    ("refresh_tokens", "user_id"): "cascade",
+    ("scrape_players", "scrape_id"): "cascade",
+    ("characters", "vocation_id"): "set null",
+}
+
 
 def violations(name: str, rows: DataFrame, others: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(rule, n)``: how many rows (or keys) break each rule of table ``name``; rules that hold are listed with 0.

@@ -1,4 +1,4 @@
-"""Readers of stored tables, seed rows, and page addresses."""
+"""A reader of stored tables, seed rows, and page addresses."""
 
 from __future__ import annotations
 
@@ -23,14 +23,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, *, partition_column: str = "id", bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:
-    """The same table from a database over JDBC; ``bounds`` of the id split the read into parallel ranges."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
-    if bounds:
-        reader = reader.options(partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
-
-
 def vocations(spark: SparkSession) -> DataFrame:
     rows = [(k, name, promoted) for k, (name, promoted) in enumerate(VOCATIONS, 1)]
     return spark.createDataFrame(rows, schemas.TABLES["vocations"])
