@@ -228,7 +228,8 @@ def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names:
     bits = asked.join(least, "v").select(F.pmod(F.col("v").bitwiseXOR(F.col("least")), F.lit(size)).alias("bit"))
     bucket, place = F.floor(F.col("bit") / 32_768), F.col("bit") % 32_768
     bitmap = np.zeros(size // 8, np.uint8)
-    for r in bits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).toLocalIterator():
+    # Rows come a partition at a time, a job each; eight partitions bound what is under way to an eighth of the bitmap.
+    for r in bits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).coalesce(8).toLocalIterator():
         bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     # A set can come twice, by a repeated row or a chance bit; that repeats a link, which the last step undoes.
