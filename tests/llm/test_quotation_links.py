@@ -3,8 +3,11 @@ import random
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from worldpulse.llm import quotation_links as Q
 from worldpulse.llm.queries import OP6_SQL, op6_quotation_links
+from worldpulse.llm.shared import hot_join
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -42,16 +45,45 @@ def test_rows_come_in_reply_order(spark):
 
 
 def test_short_lines_and_rewrapped_paragraphs_find_their_message(spark):
-    found = link(
-        spark,
+    rows = [
         (1, 0, "a", "ok, ship it\nand then rest"),
         (1, 1, "b", "First paragraph, on\ntwo lines.\n\nSecond one.\n\nThird and last."),
         (1, 2, "c", "> ok, ship it\nshipped"),
         (1, 3, "a", "> First\n> paragraph, on two\n> lines.\n>\n> Second one.\nagreed"),
         (2, 0, "d", "> ok, ship it\nnot said here"),
-    )
+    ]
+    found = link(spark, *rows)
     assert found[1, 2, "shipped"]["reply_turn"] == 0 and found[1, 3, "agreed"]["reply_turn"] == 1
-    assert found[2, 0, "not said here"]["reply_conv"] is None
+    assert (found[2, 0, "not said here"]["reply_conv"], found[2, 0, "not said here"]["reply_turn"]) == (1, 0)
+    # A bound for other conversations is the caller's choice.
+    bounded = {r["body"]: r["reply_conv"] for r in Q.link(spark.createDataFrame(rows, SCHEMA), least_far=12).collect()}
+    assert bounded["not said here"] is None and bounded["shipped"] == 1
+
+
+def test_a_third_of_all_messages_reply_to_one_root(spark):
+    """All of them quote one passage, in their own conversation or in another one; most others quote nothing."""
+    n = 6_000
+    rows = [(0, 0, "a", "one passage that they all quote")]
+    rows += [(0 if k % 2 else k, k, "b", f"> one passage that they all quote\nreply {k}") if k % 3 == 0 else (k % 50 + 7_000, k, "c", f"message {k}") for k in range(1, n)]
+    df = Q.link(spark.createDataFrame(rows, SCHEMA).repartition(8))
+    found = {(r["conv_id"], r["turn"]): r for r in df.collect()}
+    replies = [r for r in found.values() if r["depth"]]
+    assert len(replies) == (n - 1) // 3 and all((r["reply_conv"], r["reply_turn"], r["thread_conv"], r["thread_turn"]) == (0, 0, 0, 0) for r in replies)
+    assert sorted(r["position"] for r in replies) == list(range(1, len(replies) + 1))
+
+
+def test_rows_of_a_hot_key_stay_in_their_tasks(spark, tmp_path):
+    rows = spark.range(0, 30_000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    rows.write.parquet(str(tmp_path / "many"))
+    spark.range(-1, 20_000).select(F.col("id").alias("k"), (2 * F.col("id")).alias("v")).write.parquet(str(tmp_path / "one"))
+    many, one = spark.read.parquet(str(tmp_path / "many")), spark.read.parquet(str(tmp_path / "one"))
+    for how in ("inner", "left"):
+        found = hot_join(many, one, "k", how=how)
+        expected = many.join(one, "k", how)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+        # The hot key's 10,000 rows lie where they were read, in no task more than a quarter.
+        hot = found.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in hot) <= 2_600 and sum(r["count"] for r in hot) == 10_000
 
 
 def test_own_columns_keep_their_values(spark):

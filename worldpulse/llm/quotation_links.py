@@ -4,16 +4,17 @@ A line's quote level is the number of ``>`` it begins with. Consecutive lines of
 a quoted passage; what is left, without lines that introduce a quotation ("... wrote:"), is the
 message's body. Passages and bodies are normalised (lower case, only letters and digits, single spaces)
 and hashed, both as a whole, by paragraph and by line, so a re-wrapped paragraph is found as well as a single
-line. A passage's original is the first message that has it in its body: in the same conversation, at any length,
-else in an earlier conversation, if it has ``LEAST_FAR`` characters (shorter ones are said everywhere); it's
-always before the message that quotes it. A message replies to the original of its lowest-level
+line. A passage's original is the first message that has it in its body: in the same conversation, else in an earlier
+one; it's always before the message that quotes it. (With ``least_far`` over 0, passages of fewer normalised characters
+are looked for in their own conversation alone, as short ones are said everywhere; 0 loses no link.) A message replies to the original of its lowest-level
 passage, the longest of these, then the first. Replies are followed
 to the thread's first message by doubling steps. Threads are ordered by conversation and turn, so
 a message stands after what it replies to: ``position`` is its place in the thread, and :func:`conversations`
 assembles a thread's bodies in that order.
 
 Originals are reduced to one row per conversation and hash, and per hash, before they are joined, so a
-passage that a third of all messages share costs a row per message, not pairs of messages. Places come from sorted
+passage that a third of all messages share costs a row per message, not pairs of messages; the rows of such a passage, and
+those of the replies to one root, stay where they are, as their one original is broadcast (:func:`hot_join`). Places come from sorted
 ranges and their sizes, and conversations are assembled in segments, so no thread is collected in one task.
 
 Null texts have an empty body and no quotes. Messages without conversation or turn link to nothing and
@@ -33,8 +34,6 @@ from worldpulse.llm.shared import hot_join, materialize, named, others, own_dir,
 
 MARK = r"^(?:[ \t]*>)+"
 INTRODUCTION = r"(?i)wrote:[ \t\r]*$"
-#: Passages shorter than this, normalised, are too common to name a message of another conversation.
-LEAST_FAR = 12
 #: Messages of one row of an assembled conversation.
 SEGMENT = 1_000
 KEY = ["conv_id", "turn"]
@@ -96,22 +95,26 @@ def _keys(*texts: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(kept, lambda x: x != "")), lambda x: F.struct(F.sha2(x, 256).alias("hash"), F.char_length(x).alias("size")))
 
 
-def replies(parsed: DataFrame) -> DataFrame:
+def replies(parsed: DataFrame, least_far: int = 0) -> DataFrame:
     """``(conv_id, turn, reply_conv, reply_turn)`` of each message that quotes an earlier one. ``parsed`` is a stored table."""
     known = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = known.filter(F.size("passages") > 0).select(*KEY, F.explode("passages").alias("p"))
     whole = F.array_join("p.lines", "\n")
     asked = quoting.select(*KEY, F.col("p.level").alias("level"), F.explode(_keys(F.array(whole), F.split(whole, PARAGRAPH), F.col("p.lines"))).alias("k")).select(*KEY, "level", "k.hash", "k.size").distinct()
-    wanted = asked.select("hash").distinct()
+    asked = materialize(asked, "op6-asked")
+    # Stored, so that both sides of the next join are plain exchanges, of which adaptive execution splits a hot passage's.
+    wanted = materialize(asked.select("hash").distinct(), "op6-wanted")
     held = known.select(*KEY, F.explode(_keys(F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n"))).alias("k")).select(*KEY, "k.hash")
     held = held.join(wanted, "hash", "left_semi")
-    near = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    near = materialize(near, "op6-originals")
+    near = materialize(held.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn")), "op6-originals")
     far = near.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("conv_id"), F.col("near_turn").alias("turn"))).alias("far"))
-    met = asked.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left")
+    # A conversation may hold a third of all messages, and they may quote one passage.
+    met = hot_join(asked, near, ["conv_id", "hash"], how="left")
     here = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
-    there = F.when((F.col("size") >= LEAST_FAR) & (F.col("far.conv_id") < F.col("conv_id")), F.col("far"))
-    linked = met.withColumn("original", F.coalesce(here, there)).filter("original is not null")
+    met = materialize(met.select(*KEY, "level", "hash", "size", here.alias("here")), "op6-met")
+    there = hot_join(met.filter(F.col("here").isNull() & (F.col("size") >= least_far)), materialize(far, "op6-far"), "hash").filter(F.col("far.conv_id") < F.col("conv_id"))
+    found = [met.filter("here is not null").select(*KEY, "level", "size", F.col("here").alias("original")), there.select(*KEY, "level", "size", F.col("far").alias("original"))]
+    linked = found[0].unionByName(found[1])
     best = F.min_by("original", F.struct(F.col("level"), -F.col("size"), F.col("original.conv_id"), F.col("original.turn")))
     return linked.groupBy(*KEY).agg(best.alias("o")).select(*KEY, F.col("o.conv_id").alias("reply_conv"), F.col("o.turn").alias("reply_turn"))
 
@@ -121,7 +124,8 @@ def threads(links: DataFrame) -> DataFrame:
     seen = links.select(*KEY, F.col("reply_conv").alias("thread_conv"), F.col("reply_turn").alias("thread_turn"), F.lit(1).alias("depth"))
     while True:
         further = seen.select(F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.col("thread_conv").alias("next_conv"), F.col("thread_turn").alias("next_turn"), F.col("depth").alias("more"))
-        step = seen.join(further, ["thread_conv", "thread_turn"], "left")
+        # All replies of a root meet in one key.
+        step = hot_join(seen, further, ["thread_conv", "thread_turn"], how="left")
         step = materialize(step, "op6-threads")
         seen = step.select(*KEY, F.coalesce("next_conv", "thread_conv").alias("thread_conv"), F.coalesce("next_turn", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         if step.filter("more is not null").limit(1).count() == 0:
@@ -147,13 +151,13 @@ def _ranked(linked: DataFrame) -> DataFrame:
     return stored.join(F.broadcast(small_table(spark, starts, "file string, start long")), "file").withColumn("rank", F.col("start") + F.col("row_in_file")).drop("file", "row_in_file", "start")
 
 
-def link(messages: DataFrame, text_col: str = "text", role_col: str = "role") -> DataFrame:
+def link(messages: DataFrame, text_col: str = "text", role_col: str = "role", least_far: int = 0) -> DataFrame:
     """``messages`` without the text, with ``body``, ``n_quotes``, ``max_level``, ``reply_conv``, ``reply_turn``,
     ``thread_conv``, ``thread_turn``, ``depth`` and ``position``."""
     keep = others(messages, text_col, *OUTPUTS)
     rows = pack(messages, keep, conv_id=F.col("conv_id"), turn=F.col("turn"), role=named(role_col), text=named(text_col))
     parsed = materialize(split_quotes(rows), "op6-parsed")
-    links = materialize(replies(parsed), "op6-links")
+    links = materialize(replies(parsed, least_far), "op6-links")
     linked = parsed.join(links, KEY, "left").join(threads(links), KEY, "left").select(
         "row",
         *KEY,

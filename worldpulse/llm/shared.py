@@ -114,8 +114,8 @@ def unpack(keep: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in keep]
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, share: int = 1_000) -> DataFrame:
-    """The inner join of ``many`` rows per key with ``one`` row per key, where a key may hold a large part of ``many``.
+def hot_join(many: DataFrame, one: DataFrame, key: str | list[str], share: int = 1_000, how: str = "inner") -> DataFrame:
+    """The inner (or left) join of ``many`` rows per key with ``one`` row per key, where a key may hold a large part of ``many``.
 
     Keys with more than a ``share``-th of the rows are fewer than ``share``, whatever the input's size: their rows
     of ``one`` are broadcast, so theirs in ``many`` stay where they are. Only the rest is exchanged. Both
@@ -125,7 +125,8 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, share: int = 1_000) -> D
     total = many.count()
     hot = F.broadcast(counted.filter(F.col("n") > max(1, total // share)).select(key))
     there = F.broadcast(one.join(hot, key, "left_semi"))
-    return many.join(there, key).unionByName(many.join(hot, key, "left_anti").join(one, key))
+    own = many if how == "inner" else many.join(hot, key, "left_semi")
+    return own.join(there, key, how).unionByName(many.join(hot, key, "left_anti").join(one, key, how))
 
 
 _held: dict[Hashable, Any] = {}
