@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from worldpulse.llm.shared import let_go, named, others, pack, unpack
 
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 50_000
 OUTPUTS = ("n_words", "runs", "collapsed")
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
