@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,7 +24,7 @@ from worldpulse.llm import (
     token_counts,
     training_order,
 )
-from worldpulse.llm.shared import materialize, small_batches, table
+from worldpulse.llm.shared import materialize, own_dir, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -119,12 +120,12 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its slot, shard and offset, in the shards' order."""
+    """The shards are written below the shared folder; every sequence with its slot, its place in them, and the file's size and digest."""
     small_batches(spark, "1m")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     special = training_order.special_tokens(public_tokenizers.path(BYTE_BPE))
     codes, total = training_order.numbered(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN, special)
-    return training_order.records(training_order.in_order(codes, total))
+    return training_order.write_shards(codes, total, f"{own_dir(spark)}/op10-shards-{uuid.uuid4().hex}")
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

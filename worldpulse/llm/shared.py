@@ -7,7 +7,8 @@ import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -42,15 +43,21 @@ def own_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def store(df: DataFrame, path: str, **options: str) -> None:
-    """Write ``df`` as Parquet. Its exchanges' files are deleted at once, as nothing reads them any more; the session's setting stays as it was."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
+@contextmanager
+def exchanges_deleted(spark: SparkSession) -> Iterator[None]:
+    """Files of exchanges that are made inside are deleted once their query has ended; the session's setting stays as it was."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
+def store(df: DataFrame, path: str, **options: str) -> None:
+    """Write ``df`` as Parquet. Its exchanges' files are deleted at once, as nothing reads them any more."""
+    with exchanges_deleted(df.sparkSession):
+        df.write.options(**options).parquet(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -1,19 +1,22 @@
-"""Operator 10, training-order materialisation of token ids.
+"""Operator 10, training-order materialisation of token ids; tokenising needs Python, all else is DataFrame functions.
 
 Documents are ordered by (id, digest of the text): one exchange of the texts into sorted ranges, whose tasks tokenise
 them and store their ids. A range's sequences of at most ``length`` ids are numbered by their place in it and
 the totals of the ranges before it. So a sequence's number, 0 to N - 1, depends on
 content alone, not on files or partitions; rows equal in both keys have equal sequences, and are spread over ranges.
 
-A keyed Feistel network permutes the numbers: its domain is the next even
-power of two, and a result of N or more is put through it again (cycle-walking) until it is below N, so
-the slots are a permutation of 0 to N - 1 that anybody with key and N can compute or invert. One exchange
-deals sequences by slot into range partitions of ``SHARDS_PER_PARTITION`` shards, each sorted by slot, and each
-task makes records of a fixed stride of them: a header (``doc_id`` as 64-bit,
-sequence and number of ids as 32-bit, all little-endian) and the ids as unsigned 16-bit, padded with zeros.
-:func:`write_shards` writes them as one file per ``shard_records`` records. A record's
+A keyed Feistel network permutes the numbers: its domain is the next power of two, in two halves that take turns, and
+a result of N or more is put through it again (cycle-walking) until it is below N, so
+the slots are a permutation of 0 to N - 1 that anybody with key and N can compute or invert (:func:`permute`). Less than
+half of the domain is above N, so a walk of ``WALK`` steps that doesn't end is not to be expected in any run; it stops the
+query. One exchange deals sequences by slot into range partitions of ``SHARDS_PER_PARTITION`` shards, each sorted by slot.
+
+A record has a fixed stride: a header (``doc_id`` as 64-bit, sequence and number of ids as 32-bit, big-endian),
+the ids as little-endian unsigned 16-bit, zeros up to the stride, of which the last two bytes are always zero.
+:func:`write_shards` writes a folder per ``shard_records`` records with one raw file of them, by Spark's own writer (lines that
+end in a zero byte), so a task that runs again or twice leaves one file. A record's
 place is hence known from its slot: shard ``slot // shard_records``, offset ``slot % shard_records`` times
-the stride. A reader resumes at any slot by seeking, and reads on sequentially.
+the stride. A reader resumes at any slot by seeking, and reads on sequentially (:func:`read_slots`).
 
 Ids are those of the tokenizer's own default: strings of ``special`` tokens in a text get their ids. Null and empty
 texts give no sequence; an empty table no shard. Repeated rows give their sequences each. A null id is written as -1.
@@ -26,64 +29,87 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import math
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldpulse.llm.shared import named, one_per_process, own_dir, small_table, store
+from worldpulse.llm.shared import exchanges_deleted, named, one_per_process, own_dir, small_table, store
 
 LENGTH = 512
 SHARD_RECORDS, SHARDS_PER_PARTITION = 16_384, 8
 KEY = 20_240_229
-ROUNDS = 6
-HEADER, HEADER_BYTES = "<qii", 16
-#: Ids of one Arrow batch that a task cuts at a time.
-BLOCK_IDS = 1_000_000
-CODED = "doc_id long, ids binary, n_seq long, before long"
+ROUNDS, WALK = 8, 128
+HEADER, HEADER_BYTES, END_BYTES = ">qii", 16, 2
+CODED = "doc_id long, ids binary, n_tokens long, n_seq long, before long"
 
 
 def stride(length: int = LENGTH) -> int:
-    return HEADER_BYTES + 2 * length
+    return HEADER_BYTES + 2 * length + END_BYTES
+
+
+def _round_keys(key: int) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(struct.pack("<qI", key, r), digest_size=8).digest(), "little") >> 1 for r in range(ROUNDS)]
+
+
+def _halves(n: int) -> tuple[int, int]:
+    """Bits of the left and the right half of the domain of ``n`` numbers."""
+    bits = max(2, (n - 1).bit_length())
+    return bits // 2, bits - bits // 2
+
+
+def permute(numbers: Iterable[int], n: int, key: int = KEY, inverse: bool = False) -> list[int]:
+    """The slots of numbers below ``n``, for readers; with ``inverse`` the numbers of slots. :func:`slot_of` says the same to Spark."""
+    left_bits, right_bits = _halves(n)
+    left_mask, right_mask = (1 << left_bits) - 1, (1 << right_bits) - 1
+    rounds = list(enumerate(_round_keys(key)))
 
+    def mixed(half: int, k: int) -> int:
+        # Spark's xxhash64 of two longs: the first one's hash is the second one's seed.
+        return xxhash.xxh64_intdigest(struct.pack("<q", k), xxhash.xxh64_intdigest(struct.pack("<q", half), 42))
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    def once(x: int) -> int:
+        left, right = x >> right_bits, x & right_mask
+        for r, k in rounds[::-1] if inverse else rounds:
+            if r % 2:
+                right ^= mixed(left, k) & right_mask
+            else:
+                left ^= mixed(right, k) & left_mask
+        return left << right_bits | right
 
+    out = []
+    for x in map(int, numbers):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        out.append(x)
+    return out
 
-def _network(x: np.ndarray, half: int, keys: list[int]) -> np.ndarray:
-    mask = np.uint64((1 << half) - 1)
-    left, right = x >> np.uint64(half), x & mask
-    for k in keys:
-        left, right = right, left ^ (_mix(right + np.uint64(k)) & mask)
-    return left << np.uint64(half) | right
 
+def slot_of(number: Column, n: int, key: int = KEY) -> Column:
+    """The slot of a sequence's number, 0 to ``n - 1``."""
+    left_bits, right_bits = _halves(n)
+    left_mask, right_mask = F.lit((1 << left_bits) - 1).cast("long"), F.lit((1 << right_bits) - 1).cast("long")
+    rounds = F.array(*[F.struct(F.lit(r % 2 == 1).alias("odd"), F.lit(k).cast("long").alias("key")) for r, k in enumerate(_round_keys(key))])
 
-def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np.ndarray:
-    """The slots of indices below ``n``; with ``inverse`` the indices of slots."""
-    half = max(1, math.ceil(max(1, (n - 1).bit_length()) / 2))
-    keys = [int.from_bytes(hashlib.blake2b(struct.pack("<qI", key, r), digest_size=8).digest(), "little") for r in range(ROUNDS)]
+    def step(halves: Column, r: Column) -> Column:
+        left, right = halves["left"], halves["right"]
+        own = F.when(r["odd"], right.bitwiseXOR(F.xxhash64(left, r["key"]).bitwiseAND(right_mask))).otherwise(left.bitwiseXOR(F.xxhash64(right, r["key"]).bitwiseAND(left_mask)))
+        return F.struct(F.when(r["odd"], left).otherwise(own).alias("left"), F.when(r["odd"], own).otherwise(right).alias("right"))
 
-    def once(x: np.ndarray) -> np.ndarray:
-        if not inverse:
-            return _network(x, half, keys)
-        # The network run backwards is the same network on swapped halves with its keys reversed.
-        swap = lambda y: (y & np.uint64((1 << half) - 1)) << np.uint64(half) | y >> np.uint64(half)
-        return swap(_network(swap(x), half, keys[::-1]))
+    def once(x: Column) -> Column:
+        halves = F.struct(F.shiftright(x, right_bits).alias("left"), x.bitwiseAND(right_mask).alias("right"))
+        return F.aggregate(rounds, halves, step, lambda h: F.shiftleft(h["left"], right_bits).bitwiseOR(h["right"]))
 
-    x = once(np.asarray(index).astype(np.uint64))
-    while (out := np.flatnonzero(x >= np.uint64(n))).size:
-        x[out] = once(x[out])
-    return x.astype(np.int64)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(number), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk of the permutation is too long: take another key")).cast("long"))
 
 
 def special_tokens(tokenizer_path: str) -> dict[str, int]:
@@ -98,29 +124,28 @@ def _encoding(ranks: str, pattern: str, special: dict[str, int]) -> tiktoken.Enc
 
 
 def _coded(ranks: Callable[[], str], pattern: str, special: dict[str, int], length: int) -> Callable:
-    """The ids of each text, its number of sequences, and how many its partition holds before it."""
+    """The ids of each text, its number of sequences, and how many its task holds before it."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = one_per_process(("order", ranks(), pattern, tuple(special)), lambda: _encoding(ranks(), pattern, special))
         before = 0
         for batch in batches:
-            doc_ids, ids, counts, starts = [], [], [], []
+            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u2").tobytes() if text.is_valid else b""
                 if raw:
                     n = -(-len(raw) // (2 * length))
-                    doc_ids.append(doc_id)
-                    ids.append(raw)
-                    counts.append(n)
-                    starts.append(before)
+                    rows.append((doc_id, raw, len(raw) // 2, n, before))
                     before += n
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64())], names=["doc_id", "ids", "n_seq", "before"])
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "ids", "n_tokens", "n_seq", "before"])
 
     return code
 
 
 def numbered(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """The texts' ids as a stored table ``(doc_id, ids, start)``, ``start`` being the number of a text's first sequence, and how many sequences there are."""
+    """The texts' ids as a stored table ``(doc_id, ids, n_tokens, n_seq, start)``, ``start`` being the number of a text's first sequence, and how many sequences there are."""
     spark = docs.sparkSession
     with open(ranks_path, encoding="ascii") as f:
         raw = spark.sparkContext.broadcast(f.read())
@@ -133,127 +158,85 @@ def numbered(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str,
     order = ["doc_id", "digest", "place"]
     ranges = keyed.withColumn("digest", F.md5("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     store(ranges.mapInArrow(_coded(lambda: raw.value, pattern, special, length), CODED), path, compression="zstd")
-    stored = spark.read.schema(CODED).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
-    # One sum per file, a file per range; a file's name begins with the number of its range.
-    sums = {r["file"]: r["n"] for r in stored.groupBy("file").agg(F.sum("n_seq").alias("n")).collect()}
+    # A file's name begins with the number of the task that wrote it, one for each range; a task may leave several files.
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    stored = spark.read.schema(CODED).parquet(path).select("*", task.alias("task"))
     starts, total = [], 0
-    for file in sorted(sums, key=lambda name: int(name.split("-")[1])):
-        starts.append((file, total))
-        total += sums[file]
-    offsets = F.broadcast(small_table(spark, starts, "file string, first long"))
-    return stored.join(offsets, "file").select("doc_id", "ids", (F.col("first") + F.col("before")).alias("start")), total
-
+    for r in sorted(stored.groupBy("task").agg(F.sum("n_seq").alias("n")).collect()):
+        starts.append((r["task"], total))
+        total += r["n"]
+    offsets = F.broadcast(small_table(spark, starts, "task int, first long"))
+    return stored.join(offsets, "task").select("doc_id", "ids", "n_tokens", "n_seq", (F.col("first") + F.col("before")).alias("start")), total
 
-def in_order(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION) -> DataFrame:
-    """The sequences ``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of ``codes``: a partition per run of shards, sorted by slot."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, raw, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                slots = permute(start + np.arange(-(-len(raw) // (2 * length))), total, key)
-                for seq, slot in enumerate(slots.tolist()):
-                    own = raw[2 * seq * length : 2 * (seq + 1) * length]
-                    rows.append((slot, doc_id, seq, len(own) // 2, own))
-                    held += len(own)
-                    if held >= 2 * BLOCK_IDS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEQUENCE, strict=True)], schema=SEQUENCE)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEQUENCE, strict=True)], schema=SEQUENCE)
-
-    found = codes.select("doc_id", "ids", "start").mapInArrow(cut, "slot long, doc_id long, seq int, n_tokens int, ids binary")
+def _placed(found: DataFrame, total: int, key: int, shard_records: int, length: int) -> DataFrame:
+    """Rows with ``number`` under their ``slot``, ``shard`` and ``offset``."""
+    slots = found.withColumn("slot", slot_of(F.col("number"), total, key)).drop("number")
     shard = F.floor(F.col("slot") / shard_records).cast("int")
-    own = found.select("slot", shard.alias("shard"), ((F.col("slot") % shard_records) * stride(length)).alias("offset"), "doc_id", "seq", "n_tokens", "ids")
-    per = shard_records * shards_per_partition
-    return own.repartitionById(max(1, -(-total // per)), F.floor(F.col("slot") / per).cast("int")).sortWithinPartitions("slot")
-
-
-SEQUENCE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
-WRITTEN = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("file", pa.string()), ("file_bytes", pa.int64()), ("file_sha256", pa.string())])
-
-
-def _packed(batch: pa.RecordBatch, size: int) -> list[bytes]:
-    """The records of the rows of :func:`in_order`."""
-    columns = [batch.column(c).to_pylist() for c in ("doc_id", "seq", "n_tokens", "ids")]
-    return [(struct.pack(HEADER, -1 if d is None else d, s, n) + ids).ljust(size, b"\0") for d, s, n, ids in zip(*columns, strict=True)]
-
+    return slots.withColumns({"shard": shard, "offset": (F.col("slot") % shard_records) * stride(length)})
 
-def records(ordered: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of :func:`in_order` with ``record`` in place of their ids."""
 
-    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(_packed(batch, stride(length)), pa.binary())], names=[*batch.schema.names[:-1], "record"])
+def places(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH) -> DataFrame:
+    """``(slot, shard, offset, doc_id, seq, n_tokens)`` of every sequence of ``codes``; the ids aren't read."""
+    seq = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_seq") - 1))
+    found = codes.select("doc_id", "start", "n_tokens", seq.alias("seq"))
+    own = F.least(F.lit(length).cast("long"), F.col("n_tokens") - F.col("seq") * length)
+    rows = found.select("doc_id", F.col("seq").cast("int").alias("seq"), own.cast("int").alias("n_tokens"), (F.col("start") + F.col("seq")).alias("number"))
+    return _placed(rows, total, key, shard_records, length).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens")
 
-    names = [f.name for f in WRITTEN][:6]
-    return ordered.select(*names, "ids").mapInArrow(pack_all, "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, record binary")
 
+def in_order(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION) -> DataFrame:
+    """The sequences ``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of ``codes``: a partition per run of shards, sorted by slot."""
 
-class _File:
-    """One shard on its way to its name, and the rows it holds without their ids."""
+    def cut(k: Column) -> Column:
+        return F.struct(k.cast("int").alias("seq"), F.substring(F.col("ids"), (1 + 2 * length * k).cast("int"), F.lit(2 * length)).alias("part"))
 
-    def __init__(self, folder: str, shard: int) -> None:
-        self.where, self.base = fs.FileSystem.from_uri(folder)
-        self.where.create_dir(self.base, recursive=True)
-        self.name = f"shard-{shard:08d}.bin"
-        self.part = f"{self.base}/.{self.name}-{uuid.uuid4().hex}"
-        self.out, self.digest, self.size, self.rows = self.where.open_output_stream(self.part), hashlib.sha256(), 0, []
+    # The parts of a text are one array as large as the text's ids; only they go on, so a long text isn't copied for each.
+    parts = codes.select("doc_id", "start", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_seq") - 1), cut).alias("parts"))
+    found = parts.select("doc_id", "start", F.inline("parts")).withColumnRenamed("part", "ids")
+    rows = found.select("doc_id", "seq", F.floor(F.length("ids") / 2).cast("int").alias("n_tokens"), "ids", (F.col("start") + F.col("seq")).alias("number"))
+    own = _placed(rows, total, key, shard_records, length).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids")
+    per = shard_records * shards_per_partition
+    return own.repartitionById(max(1, -(-total // per)), F.floor(F.col("slot") / per).cast("int")).sortWithinPartitions("shard", "slot")
 
-    def add(self, batch: pa.RecordBatch, size: int) -> None:
-        data = b"".join(_packed(batch, size))
-        self.out.write(data)
-        self.digest.update(data)
-        self.size += len(data)
-        self.rows.append(batch.drop_columns(["ids"]))
 
-    def done(self) -> Iterator[pa.RecordBatch]:
-        self.out.close()
-        self.where.move(self.part, f"{self.base}/{self.name}")
-        for rows in self.rows:
-            n = rows.num_rows
-            more = [pa.array([x] * n, t) for x, t in ((self.name, pa.string()), (self.size, pa.int64()), (self.digest.hexdigest(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema=WRITTEN)
+def record(length: int = LENGTH) -> Column:
+    """The record of a row of :func:`in_order`, without the last of its zero bytes."""
+    header = F.unhex(F.concat(F.lpad(F.hex(F.coalesce("doc_id", F.lit(-1))), 16, "0"), F.lpad(F.hex("seq"), 8, "0"), F.lpad(F.hex("n_tokens"), 8, "0")))
+    return F.rpad(F.concat(header, F.col("ids")), stride(length) - 1, F.lit(b"\0"))
 
 
-def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Write each shard of :func:`in_order` as ``shard-<number>.bin`` below ``folder``, a URI that pyarrow can open.
+def write_shards(codes: DataFrame, total: int, folder: str, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION) -> DataFrame:
+    """Write the sequences of ``codes`` as shards below ``folder``, which doesn't exist yet.
 
-    Returns a row per sequence: its slot, shard, offset, document, and the file with its size and digest; taking them does the
-    writing. A file gets its name only when it is whole, so a task that runs again or twice leaves the same files.
+    Returns a row per sequence: its slot, shard, offset, document, and the shard's file with its size and digest, which are
+    taken from the files as they were written.
     """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = stride(length)
-        file = shard = None
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                if file is None or shards[a] != shard:
-                    if file is not None:
-                        yield from file.done()
-                    shard = shards[a]
-                    file = _File(folder, int(shard))
-                file.add(batch.slice(a, b - a), size)
-        if file is not None:
-            yield from file.done()
-
-    names = [f.name for f in WRITTEN][:6]
-    return ordered.select(*names, "ids").mapInArrow(write, "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, file string, file_bytes long, file_sha256 string")
+    spark = codes.sparkSession
+    ordered = in_order(codes, total, key, shard_records, length, shards_per_partition)
+    with exchanges_deleted(spark):
+        # A text writer puts a value's bytes as they are, then the line's end.
+        lines = ordered.select("shard", record(length).cast("string").alias("value"))
+        lines.write.partitionBy("shard").options(lineSep="\0", maxRecordsPerFile=0).text(folder)
+    if not total:
+        return places(codes, total, key, shard_records, length).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("file_bytes", "long"), ("file_sha256", "string"))])
+    shard, name = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int"), F.regexp_extract("path", r"(shard=\d+/[^/]+)$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    known = files.select(shard.alias("shard"), name.alias("file"), F.col("length").alias("file_bytes"), F.sha2("content", 256).alias("file_sha256"))
+    return places(codes, total, key, shard_records, length).join(known, "shard").select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", "file", "file_bytes", "file_sha256")
 
 
 def read_slots(folder: str, start: int, total: int, shard_records: int = SHARD_RECORDS, length: int = LENGTH) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """``(slot, doc_id, seq, ids)`` from slot ``start`` on, in training order."""
+    """``(slot, doc_id, seq, ids)`` from slot ``start`` on, in training order; ``folder`` is a URI that pyarrow can open."""
     where, base = fs.FileSystem.from_uri(folder)
     size = stride(length)
     while start < total:
         shard, within = divmod(start, shard_records)
-        with where.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
+        file = next(f.path for f in where.get_file_info(fs.FileSelector(f"{base}/shard={shard}")) if f.base_name.startswith("part-"))
+        with where.open_input_file(file) as f:
             f.seek(within * size)
             for slot in range(start, min(total, (shard + 1) * shard_records)):
-                record = f.read(size)
-                doc, seq, n = struct.unpack_from(HEADER, record)
-                yield slot, doc, seq, np.frombuffer(record, "<u2", n, HEADER_BYTES)
+                raw = f.read(size)
+                doc, seq, n = struct.unpack_from(HEADER, raw)
+                yield slot, doc, seq, np.frombuffer(raw, "<u2", n, HEADER_BYTES)
         start = (shard + 1) * shard_records
