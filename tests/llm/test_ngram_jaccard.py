@@ -133,3 +133,40 @@ def test_hot_keys_join_once(spark):
     one = spark.createDataFrame([(k, f"n{k}") for k in range(0, 250)], "k long, name string")
     got = sorted(map(tuple, hot_join(many, one, "k", share=10).collect()))
     assert got == sorted((k, x, f"n{k}") for k, x in [(1, j) for j in range(500)] + [(j, j) for j in range(2, 250)])
+
+
+def test_overlaps_derived_from_models(spark):
+    """Groups of similar sets around hubs that overlap with each other to all degrees; bounds must never be wrong, and decide much."""
+    rnd = random.Random(11)
+    hubs = {1: set(range(100)), 2: set(range(20, 120)), 3: set(range(8, 108)), 4: set(range(60, 160))}
+    sets, star = dict(hubs), []
+    for k in range(10, 90):
+        hub = 1 + k % 4
+        own = set(rnd.sample(sorted(hubs[hub]), 100 - rnd.randint(0, 8))) | {1_000 * k + i for i in range(rnd.randint(0, 8))}
+        sets[k] = own
+        star.append((min(hub, k), max(hub, k)))
+    sets[200] = set(range(5, 95))
+
+    def row(a, b):
+        return (a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b]))
+
+    links = spark.createDataFrame([row(a, b) for a, b in star], "a long, b long, na int, nb int, overlap int")
+    links.write.mode("overwrite").format("noop").save()
+    pairs = [row(a, b) for a in sets for b in sets if a < b and (a, b) not in star and (a == 200 or b == 200 or a % 4 != b % 4)]
+    asked = spark.createDataFrame([p[:4] for p in pairs], "a long, b long, na int, nb int")
+    wanted = spark.createDataFrame([(k,) for k in sets], "v long")
+    of = {r["v"]: (r["model"], r["plus"], r["minus"]) for r in N.models(links, wanted).collect()}
+    assert all(of[k] == (1 + k % 4, len(sets[k] - hubs[1 + k % 4]), len(hubs[1 + k % 4] - sets[k])) for k in range(10, 90)) and of[200] == (200, 0, 0)
+    placed = N.with_models(asked, N.models(links, wanted))
+    known = spark.createDataFrame([(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b], "low long, high long, overlap int")
+    told = {(r["a"], r["b"]): r["verdict"] for r in N.judged(placed, known).collect()}
+    truth = {(a, b): 7 * o >= 3 * (na + nb) for a, b, na, nb, o in pairs}
+    assert set(told) == set(truth) and all(v is None or v == truth[k] for k, v in told.items())
+    decided = Counter(told.values())
+    assert decided[True] > 50 and decided[False] > 500 and decided[None] < len(pairs) / 2
+
+
+def test_few_and_many_edges_give_the_same_components(spark):
+    rnd = random.Random(4)
+    edges = spark.createDataFrame([(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)], "a long, b long")
+    assert sorted(map(tuple, components(edges, few=0).collect())) == sorted(map(tuple, components(edges).collect()))

@@ -16,9 +16,12 @@ component under links, and no link between different sets is lost to a cap or a
    compared with its list's hub only. A set that links to a hub takes over the answers of the hub's
    component: of a list, just the pairs between different components are left, and a list that lies in
    one component is skipped whole. So a group of thousands of near copies costs its number of members,
-   not their pairs. What is left is compared pair by pair.
+   not their pairs. For the pairs that are left, too, the hubs stand in (:func:`derived`): a set's *model* is the best
+   connected set that it links to, and of all pairs between the sets of two models the models' own overlap is counted, once. By the
+   few shingles in which a set differs from its model that overlap gives bounds for each pair, which decide most of them; only
+   those that it leaves open are compared themselves.
 
-Comparison joins both sets and intersects them in the engine. Sets are rebuilt from the text when they
+Counting joins both sets and intersects them in the engine. Sets are rebuilt from the text when they
 are asked for, and a bitmap of fixed size tells tasks which ones those are, so neither texts nor all
 sets are ever shuffled. Every step between is a stored table.
 
@@ -213,7 +216,7 @@ def _likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     least = F.least(*[F.floor(F.col(n) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")])
     half = pairs.withColumnRenamed("a", "v").join(heads, "v").withColumnsRenamed({"v": "a", "head": "one"})
     both = half.withColumnRenamed("b", "v").join(heads, "v").withColumnRenamed("v", "b")
-    return both.filter(F.size(F.array_intersect("one", "head")) >= least).select("a", "b")
+    return both.filter(F.size(F.array_intersect("one", "head")) >= least).select("a", "b", "na", "nb")
 
 
 def _size_block(n: Column) -> Column:
@@ -221,8 +224,13 @@ def _size_block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names: frozenset[int]) -> DataFrame:
-    """The stored ``pairs`` whose sets link, compared shingle by shingle. ``least``: the ``doc_id`` that stands for each set."""
+def _linked(overlap: Column) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles with this overlap have a similarity of 3 / 4."""
+    return 7 * overlap >= 3 * (F.col("na") + F.col("nb"))
+
+
+def overlaps(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names: frozenset[int], links: bool) -> DataFrame:
+    """``(a, b, na, nb, overlap)`` of the stored ``pairs``, counted shingle by shingle; with ``links`` of those that link. ``least``: the ``doc_id`` that stands for each set."""
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "op7-asked")
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * asked.count()).bit_length()))
     bits = asked.join(least, "v").select(F.pmod(F.col("v").bitwiseXOR(F.col("least")), F.lit(size)).alias("bit"))
@@ -235,8 +243,52 @@ def verified(docs: DataFrame, pairs: DataFrame, least: DataFrame, shared_names:
     # A set can come twice, by a repeated row or a chance bit; that repeats a link, which the last step undoes.
     sets = materialize(docs.mapInArrow(lambda batches: _asked(shared.value, shared_names)(batches), "v long, s array<long>"), "op7-sets")
     half = pairs.select(F.col("a").alias("v"), "b").join(sets, "v").select(F.col("v").alias("a"), F.col("b").alias("v"), F.col("s").alias("sa"))
-    both = half.join(sets, "v").filter(7 * F.size(F.array_intersect("sa", "s")) >= 3 * (F.size("sa") + F.size("s")))
-    return materialize(both.select("a", F.col("v").alias("b")).distinct(), "op7-links")
+    counted = half.join(sets, "v").select("a", F.col("v").alias("b"), F.size("sa").alias("na"), F.size("s").alias("nb"), F.size(F.array_intersect("sa", "s")).alias("overlap"))
+    return materialize((counted.filter(_linked(F.col("overlap"))) if links else counted).distinct(), "op7-links")
+
+
+def models(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(v, model, plus, minus)`` of the ``wanted`` sets: the best connected set that each links to, and the numbers of shingles
+    that it has beyond that one and lacks of it. A set without links is its own model."""
+    one = links.select(F.col("a").alias("v"), F.col("b").alias("model"), (F.col("na") - F.col("overlap")).alias("plus"), (F.col("nb") - F.col("overlap")).alias("minus"))
+    two = links.select(F.col("b").alias("v"), F.col("a").alias("model"), (F.col("nb") - F.col("overlap")).alias("plus"), (F.col("na") - F.col("overlap")).alias("minus"))
+    ways = one.unionByName(two)
+    degree = materialize(ways.groupBy("model").agg(F.count("*").alias("degree")), "op7-degrees")
+    # A hub may have a large part of all links.
+    ranked = hot_join(materialize(ways.join(wanted, "v", "left_semi"), "op7-ways"), degree, "model")
+    best = ranked.groupBy("v").agg(F.max_by(F.struct("model", "plus", "minus"), F.struct("degree", "model")).alias("best"))
+    none = F.lit(0)
+    return wanted.join(best, "v", "left").select("v", F.coalesce("best.model", "v").alias("model"), F.coalesce("best.plus", none).alias("plus"), F.coalesce("best.minus", none).alias("minus"))
+
+
+def with_models(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """``pairs(a, b, na, nb)`` with ``low`` and ``high``, the two models in order, and ``plus`` and ``minus`` of both sets together."""
+    half = pairs.join(of.select(F.col("v").alias("a"), F.col("model").alias("ma"), F.col("plus").alias("pa"), F.col("minus").alias("qa")), "a")
+    both = half.join(of.select(F.col("v").alias("b"), F.col("model").alias("mb"), F.col("plus").alias("pb"), F.col("minus").alias("qb")), "b")
+    return both.select("a", "b", "na", "nb", F.least("ma", "mb").alias("low"), F.greatest("ma", "mb").alias("high"), (F.col("pa") + F.col("pb")).alias("plus"), (F.col("qa") + F.col("qb")).alias("minus"))
+
+
+def judged(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of :func:`with_models` with ``verdict``: true or false where the overlap of their models, ``known(low, high, overlap)``,
+    decides whether they link, else null. An overlap can grow by what the sets have beyond their models and shrink by what they lack."""
+    found = pairs.join(known, ["low", "high"], "left")
+    most = F.least(F.col("overlap") + F.col("plus"), F.col("na"), F.col("nb"))
+    verdict = F.when(_linked(F.col("overlap") - F.col("minus")), True).when(~_linked(most), False)
+    return found.select("a", "b", "na", "nb", verdict.alias("verdict"))
+
+
+def derived(docs: DataFrame, pairs: DataFrame, star_links: DataFrame, least: DataFrame, shared_names: frozenset[int]) -> DataFrame:
+    """``(a, b)`` of the stored ``pairs(a, b, na, nb)`` that link, by the overlaps of their models as far as these decide."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "op7-wanted")
+    placed_pairs = materialize(with_models(pairs, materialize(models(star_links, wanted), "op7-models")), "op7-modelled")
+    between = materialize(placed_pairs.filter("low != high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "op7-between")
+    known = overlaps(docs, between, least, shared_names, links=False).select(F.col("a").alias("low"), F.col("b").alias("high"), "overlap")
+    told = materialize(judged(placed_pairs, known), "op7-judged")
+    links = told.filter("verdict").select("a", "b")
+    left_open = told.filter("verdict is null").select("a", "b")
+    if left_open.limit(1).count():
+        links = links.unionByName(overlaps(docs, left_open, least, shared_names, links=True).select("a", "b"))
+    return links
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
@@ -273,7 +325,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
     hubs = materialize(hubs.select("h", "hub.*"), "op7-hubs")
     heads = materialize(lists.groupBy("v").agg(F.collect_list("h").alias("head")), "op7-heads")
     starred = materialize(_likely(_met(lists, hubs, ["h"], F.lit(True)), heads), "op7-stars")
-    star_links = verified(texts, starred, least, shared_names)
+    star_links = overlaps(texts, starred, least, shared_names, links=True)
 
     # What the hubs' answers leave open: pairs of different components, from lists that have two or more.
     of = components(star_links)
@@ -286,7 +338,9 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
     once = (F.col("x.k") != F.col("y.k")) & ((F.col("y.k") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
     rest = _likely(_met(probes, mixed, ["h", "block"], once), heads)
     rest = materialize(rest.join(starred, ["a", "b"], "left_anti"), "op7-rest")
-    links = star_links.unionByName(verified(texts, rest, least, shared_names))
+    links = star_links.select("a", "b")
+    if rest.limit(1).count():
+        links = links.unionByName(derived(texts, rest, star_links, least, shared_names))
 
     # A component is named by its rows' smallest id. Only linked sets need one, and a component may hold a large part of them.
     linked = materialize(components(links).join(least, "v"), "op7-linked")
