@@ -650,11 +650,14 @@ def bearer(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").select("c_custkey", C.bearer_token(header).alias("token"))
 
 
-@query("select category, code from (values " + ", ".join(f"('{c}', {k})" for k, c in enumerate(C.CATEGORIES, 1)) + ", ('NONE', null)) t(category, code)")
+_LISTED = "o_orderkey % 16"
+
+
+@query(f"select o_orderkey, code from orders left join (values " + ", ".join(f"({k - 1}, {k})" for k in range(1, len(C.CATEGORIES) + 1)) + f") t(k, code) on k = {_LISTED}")
 def category_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """FN-CODE"""
-    rows = spark.createDataFrame([(c,) for c in (*C.CATEGORIES, "NONE")], "category string")
-    return rows.select("category", C.category_code(F.col("category")).alias("code"))
+    """FN-CODE: each order's category, by its key, as the site's code; every sixteenth has one that the site doesn't know"""
+    category = F.get(F.array(*map(F.lit, (*C.CATEGORIES, "NONE"))), F.expr(_LISTED).cast("int"))
+    return load(spark, sf, "orders").select("o_orderkey", C.category_code(category).alias("code"))
 
 
 @query("select event_id, trim(regexp_replace(' ' || event_type || chr(10) || ' x ', '\\s+', ' ', 'g')) as clean, trim(event_type) = '' as blank, lower(event_type) = 'click' as same, contains(event_type, 'i') as labelled from events")
@@ -677,10 +680,11 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "nation").select("n_nationkey", S.world_url(base, n).alias("world_url"), S.character_url(base, F.concat(n, F.lit(" & x"))).alias("character_url"), S.highscore_url(base, n, F.lit(2), F.lit("EXPERIENCE"), F.col("n_nationkey")).alias("list_url"))
 
 
-@query("select cast(id as bigint) as id, name, promotion_name from (values " + ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(S.VOCATIONS, 1)) + ") t(id, name, promotion_name)")
+@query("select c_custkey, name, promotion_name from customer left join (values " + ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(S.VOCATIONS, 1)) + ") t(id, name, promotion_name) on id = c_custkey % 7")
 def seeded_vocations(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC8"""
-    return S.vocations(spark)
+    """SRC8, JOIN5: the seeded vocations of customers; two of seven have none"""
+    own = load(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 7).cast("long").alias("id"))
+    return own.join(F.broadcast(S.vocations(spark)), "id", "left").select("c_custkey", "name", "promotion_name")
 
 
 @query(with_views(f"select '{{\"world\":\"' || w.name || '\",\"playersOnline\":' || cast(coalesce(l.players_online, 0) as varchar) || '}}' as json from worlds w left join ({LATEST}) l on l.world_id = w.id", "worlds", "scrapes"))
@@ -720,10 +724,10 @@ def character_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- Pages ----------------------------------------------------------------------------------
 
 
-@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
+@query("select page_id, replace(replace(replace(replace(replace(replace(trim(regexp_replace(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&') as title from pages")
 def page_title(spark: SparkSession, sf: str) -> DataFrame:
-    """FN-CSS by a pattern"""
-    return load(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """FN-CSS: the title of whole pages"""
+    return P.titles(load(spark, sf, "pages"), "page_id")
 
 
 @query("select page_id, count(*) as n, count(distinct href) as targets from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) group by page_id")
@@ -773,11 +777,11 @@ def _world_pages(spark: SparkSession, sf: str) -> DataFrame:
     online = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(_joined("s_suppkey", row=player).alias("rows"), F.count("*").alias("n"))
     n = load(spark, sf, "nation").join(online, "n_nationkey", "left")
     facts = F.concat(
-        _row("Players Online:", _grouped(F.coalesce("n", F.lit(0)) + 1000 * k)),
-        _row("Creation Date:", F.date_format(F.make_date(F.lit(1997), k % 12 + 1, F.lit(1)), "MMMM yyyy")),
-        F.when(k % 4 != 0, _row("Online Record:", F.concat(F.lit("record "), k.cast("string")))).otherwise(F.lit("")),
-        _row("PvP Type:", F.concat(F.lit("Type "), k.cast("string"))),
-        _row("Game World Type:", "Regular"),
+        _row(P.PLAYERS_ONLINE, _grouped(F.coalesce("n", F.lit(0)) + 1000 * k)),
+        _row(P.CREATION_DATE, F.date_format(F.make_date(F.lit(1997), k % 12 + 1, F.lit(1)), "MMMM yyyy")),
+        F.when(k % 4 != 0, _row(P.ONLINE_RECORD, F.concat(F.lit("record "), k.cast("string")))).otherwise(F.lit("")),
+        _row(P.PVP_TYPE, F.concat(F.lit("Type "), k.cast("string"))),
+        _row(P.GAME_WORLD_TYPE, "Regular"),
     )
 
     def inner(*content):
@@ -811,7 +815,7 @@ def names_per_page(spark: SparkSession, sf: str) -> DataFrame:
 def former_name_pages(spark: SparkSession, sf: str) -> DataFrame:
     """SRC3, FLT17: a character page per customer, every third one with former names"""
     c, k = load(spark, sf, "customer"), F.col("c_custkey")
-    former = F.when(k % 3 == 0, _row("Former Names:", F.concat(F.lit("Old "), k.cast("string"), F.lit(",  Older")))).otherwise(F.lit(""))
+    former = F.when(k % 3 == 0, _row(P.FORMER_NAMES, F.concat(F.lit("Old "), k.cast("string"), F.lit(",  Older")))).otherwise(F.lit(""))
     pages = c.select(F.col("c_name").alias("name"), _tag("table", _row("Name:", F.col("c_name")), former, _row("Level:", "8"), attributes='class="TableContent"').alias("html"))
     return P.former_names(pages, "name")
 

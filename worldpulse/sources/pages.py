@@ -1,14 +1,13 @@
 """Landed HTML pages as rows: their table rows and links, and the four page parsers on top of them.
 
-Pages are parsed in Arrow batches, each page once, to one row with an array of its table rows. What a page says is
-then found by array functions in that row, so no parser exchanges anything. For SQL there are UDTFs of the same.
+Pages are parsed in Arrow batches, each page once for all the selectors that are asked of it, to one row with an array of
+matches for each. What a page says is then found by array functions in that row, so no parser exchanges anything. For SQL there
+are UDTFs of table rows and links.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,99 +16,16 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from worldpulse.functions.columns import clean, digits_int, digits_long, has_label, is_blank, month_year
+from worldpulse.sources.selectors import Find, parse
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset(("script", "style"))
 #: What the sites call the facts on their pages.
 PLAYERS_ONLINE, CREATION_DATE, ONLINE_RECORD = "Players Online:", "Creation Date:", "Online Record:"
 PVP_TYPE, GAME_WORLD_TYPE, FORMER_NAMES = "PvP Type:", "Game World Type:", "Former Names:"
 PLAYER_HEADER, WORLD_HEADER = "Name [sort] Level [sort] Vocation [sort]", "world"
 
-#: Elements that end when one of these begins inside the same parent.
-CLOSED_BY = {"td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "li": ("li",), "p": ("p", "div", "table", "ul", "ol", "h1", "h2", "h3", "article")}
-INLINE = frozenset("a abbr b code em font i small span strong sub sup u".split())
-
-
-class _Rows(HTMLParser):
-    """Collects each ``tr`` with the elements around it, its text, cells, last child's text and cell links."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, list[str], dict | None]] = []
-        self.rows: list[dict] = []
-        self.links: list[tuple[str | None, str]] = []
-        self.title: list[str] | None = None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # A new cell or row ends the one before it, but not one outside the innermost table.
-        while self.open:
-            inner = self.open[-1][0]
-            if tag in CLOSED_BY.get(inner, ()):
-                self._end()
-                continue
-            if tag in ("td", "th", "tr") and inner in INLINE and any(t in ("td", "th") for t, *_ in self.open):
-                self._end()
-                continue
-            break
-        if tag not in INLINE:
-            self._text(" ")
-        if tag in VOID:
-            return
-        given = dict(attrs)
-        record = None
-        if tag == "tr":
-            record = {"within": [f"{t} {' '.join(k.split())} " for t, k, *_ in self.open], "text": "", "cells": [], "last": None, "links": []}
-            self.rows.append(record)
-        if tag == "a":
-            record = {"href": given.get("href"), "in_cell": bool(self.open) and self.open[-1][0] == "td"}
-        self.open.append((tag, given.get("class") or "", [], record))
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, *_ in self.open):
-            while self._end() != tag:
-                pass
-        if tag not in INLINE:
-            self._text(" ")
-
-    def handle_data(self, data: str) -> None:
-        if not any(t in HIDDEN for t, *_ in self.open):
-            self._text(data)
-
-    def _text(self, data: str) -> None:
-        for _, _, parts, _ in self.open:
-            parts.append(data)
-
-    def _end(self) -> str:
-        tag, _, parts, record = self.open.pop()
-        text = re.sub(r"\s+", " ", "".join(parts)).strip()
-        rows = [r for t, _, _, r in self.open if t == "tr"]
-        if tag == "tr":
-            record["text"] = text
-        if tag == "a":
-            self.links.append((record["href"], text))
-            if record["in_cell"]:
-                for r in rows:
-                    r["links"].append(text)
-        if tag == "td":
-            for r in rows:
-                r["cells"].append(text)
-        if tag == "title" and self.title is None:
-            self.title = [text]
-        if self.open and self.open[-1][0] == "tr":
-            self.open[-1][3]["last"] = text
-        return tag
-
-    def close(self) -> None:
-        super().close()
-        while self.open:
-            self._end()
-
-
-def _parsed(html: str | None) -> _Rows:
-    p = _Rows()
-    p.feed(html or "")
-    p.close()
-    return p
+#: Every table row with its cells, its last child and the links that stand directly in its cells; and every link.
+TABLE_ROWS = Find("tr", {"cells": "td", "last": "> *:last-child", "links": "td > a"})
+ALL_LINKS = Find("a")
 
 
 @udtf(returnType="row_idx: int, within: array<string>, row_text: string, cells: array<string>, last_child: string, cell_links: string")
@@ -117,17 +33,18 @@ class TableRows:
     """The table rows of a page. ``within`` lists the elements around a row, outermost first, each as its tag and classes with a blank after each."""
 
     def eval(self, html: str) -> Iterator[tuple]:
-        for k, r in enumerate(_parsed(html).rows):
-            yield k, r["within"], r["text"], r["cells"], r["last"], " ".join(r["links"])
+        for k, r in enumerate(parse(html, [TABLE_ROWS])[0]):
+            texts = {name: [p.text() for p in parts] for name, parts in r.parts.items()}
+            yield k, r.within, r.text(), texts["cells"], next(iter(texts["last"]), None), " ".join(texts["links"])
 
 
 @udtf(returnType="link_idx: int, href: string, link_text: string")
 class Links:
-    """The links of a page in the order in which they end."""
+    """The links of a page in the order in which they begin."""
 
     def eval(self, html: str) -> Iterator[tuple]:
-        for k, (href, text) in enumerate(_parsed(html).links):
-            yield k, href, text
+        for k, m in enumerate(parse(html, [ALL_LINKS])[0]):
+            yield k, m.attributes.get("href"), m.text()
 
 
 def register(spark: SparkSession) -> None:
@@ -136,55 +53,65 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("page_links", Links)
 
 
-ROWS = "array<struct<row_idx:int,within:array<string>,row_text:string,cells:array<string>,last_child:string,cell_links:string>>"
-LINKS = "array<struct<link_idx:int,href:string,link_text:string>>"
+FOUND = "array<struct<text:string,attributes:map<string,string>,within:array<string>,parts:map<string,array<string>>>>"
+_MATCH = pa.struct([("text", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("within", pa.list_(pa.string())), ("parts", pa.map_(pa.string(), pa.list_(pa.string())))])
 
 
-def parsed(pages: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``pages(…, html)`` with ``rows`` and ``links``: one row per page, parsed once."""
+def found(pages: DataFrame, *keep: str, **finds: Find) -> DataFrame:
+    """The columns ``keep`` of ``pages(…, html)`` and, for each find, an array of its matches: one row per page, parsed once.
+
+    A match has its ``text``, its ``attributes``, the elements it stands ``within`` (outermost first, each as its tag and classes
+    with a blank after each), and the texts of its ``parts``, by name.
+    """
     own = pages.select(*keep, "html")
-    schema = T.StructType([*[own.schema[c] for c in keep], *T.StructType.fromDDL(f"rows {ROWS}, links {LINKS}").fields])
+    schema = T.StructType([*[own.schema[c] for c in keep], *T.StructType.fromDDL(", ".join(f"{name} {FOUND}" for name in finds)).fields])
+    wanted = list(finds.values())
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, links = [], []
+            columns: list[list] = [[] for _ in wanted]
             for html in batch.column(batch.num_columns - 1).to_pylist():
-                p = _parsed(html)
-                rows.append([{"row_idx": k, "within": r["within"], "row_text": r["text"], "cells": r["cells"], "last_child": r["last"], "cell_links": " ".join(r["links"])} for k, r in enumerate(p.rows)])
-                links.append([{"link_idx": k, "href": href, "link_text": text} for k, (href, text) in enumerate(p.links)])
-            row = pa.struct([("row_idx", pa.int32()), ("within", pa.list_(pa.string())), ("row_text", pa.string()), ("cells", pa.list_(pa.string())), ("last_child", pa.string()), ("cell_links", pa.string())])
-            link = pa.struct([("link_idx", pa.int32()), ("href", pa.string()), ("link_text", pa.string())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(row)), pa.array(links, pa.list_(link))], names=[*batch.schema.names[:-1], "rows", "links"])
+                for column, matches in zip(columns, parse(html, wanted), strict=True):
+                    column.append([{"text": m.text(), "attributes": list(m.attributes.items()), "within": m.within, "parts": [(name, [p.text() for p in parts]) for name, parts in m.parts.items()]} for m in matches])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.list_(_MATCH)) for c in columns]], names=[*batch.schema.names[:-1], *finds])
+
+    return own.mapInArrow(parse_all, schema)
+
 
-    return own.mapInArrow(parse, schema)
+def part(match: Column, name: str) -> Column:
+    """The texts of a match's part."""
+    return F.element_at(match["parts"], name)
 
 
 def table_rows(pages: DataFrame, *keep: str) -> DataFrame:
-    """A row per table row of the pages."""
-    return parsed(pages, *keep).select(*keep, F.inline("rows"))
+    """A row per table row of the pages: ``(row_idx, within, row_text, cells, last_child, cell_links)``."""
+    rows = found(pages, *keep, rows=TABLE_ROWS).select(*keep, F.posexplode("rows").alias("row_idx", "r"))
+    r = F.col("r")
+    return rows.select(*keep, "row_idx", r["within"].alias("within"), r["text"].alias("row_text"), part(r, "cells").alias("cells"), F.get(part(r, "last"), F.lit(0)).alias("last_child"), F.array_join(part(r, "links"), " ").alias("cell_links"))
 
 
 def links(pages: DataFrame, *keep: str) -> DataFrame:
-    """A row per link of the pages, in the order in which they end."""
-    return parsed(pages, *keep).select(*keep, F.inline("links"))
+    """A row per link of the pages, in the order in which they begin: ``(link_idx, href, link_text)``."""
+    rows = found(pages, *keep, links=ALL_LINKS).select(*keep, F.posexplode("links").alias("link_idx", "l"))
+    return rows.select(*keep, "link_idx", F.try_element_at("l.attributes", F.lit("href")).alias("href"), F.col("l.text").alias("link_text"))
 
 
-def inside(within: Column, *path: str) -> Column:
-    """Whether elements ``tag.class`` of ``path`` stand around a row, each inside the one before it (a descendant selector)."""
+#: The rows that the four kinds of pages are read from.
+OVERVIEW_ROWS = Find("div.TableContentContainer table.TableContent tr", {"cells": "td"})
+FACT_ROWS = Find("table.Table1 div.InnerTableContainer tr", {"value": "> *:last-child"})
+PLAYER_ROWS = Find("table.Table2 div.InnerTableContainer tr", {"names": "td > a"})
+CONTENT_ROWS = Find("table.TableContent tr", {"cells": "td"})
 
-    def found(done: Column, element: Column) -> Column:
-        # Taking each step at the first element that can be it leaves the most for those after it.
-        step = F.lit(False)
-        for k, (tag, name) in enumerate(x.split(".") for x in path):
-            step = step | ((done == k) & element.startswith(f"{tag} ") & element.contains(f" {name} "))
-        return done + step.cast("int")
 
-    return F.aggregate(within, F.lit(0), found) == len(path)
+def _cells(pages: DataFrame, keep: tuple[str, ...], rows: Find, least: int) -> DataFrame:
+    """A row per table row of at least so many cells, with ``cells``."""
+    read = found(pages, *keep, rows=rows).select(*keep, F.explode(F.transform("rows", lambda r: part(r, "cells"))).alias("cells"))
+    return read.filter(F.size("cells") >= least)
 
 
 def world_list(pages: DataFrame, *keep: str) -> DataFrame:
     """Overview pages as ``(name, pvp_type, location, players_online)``; short rows, blank names and the header are dropped."""
-    rows = table_rows(pages, *keep).filter(inside(F.col("within"), "div.TableContentContainer", "table.TableContent") & (F.size("cells") >= 4))
+    rows = _cells(pages, keep, OVERVIEW_ROWS, 4)
     named = rows.select(*keep, clean(F.get("cells", F.lit(0))).alias("name"), clean(F.get("cells", F.lit(3))).alias("pvp_type"), clean(F.get("cells", F.lit(2))).alias("location"), digits_int(F.get("cells", F.lit(1))).alias("players_online"))
     return named.filter(~is_blank(F.col("name")) & (F.lower("name") != WORLD_HEADER))
 
@@ -197,13 +124,16 @@ def world_page(pages: DataFrame, *keep: str) -> DataFrame:
     """
 
     def fact(label: str) -> Column:
-        own = F.filter("rows", lambda r: inside(r["within"], "table.Table1", "div.InnerTableContainer") & has_label(r["row_text"], label))
-        return F.get(own, F.lit(0))["last_child"]
+        own = F.filter("facts", lambda r: has_label(r["text"], label))
+        return F.get(part(F.get(own, F.lit(0)), "value"), F.lit(0))
+
+    def name(r: Column) -> Column:
+        return F.array_join(part(r, "names"), " ")
 
     def is_player(r: Column) -> Column:
-        return inside(r["within"], "table.Table2", "div.InnerTableContainer") & ~has_label(r["row_text"], PLAYER_HEADER) & ~is_blank(r["cell_links"])
+        return ~has_label(r["text"], PLAYER_HEADER) & ~is_blank(name(r))
 
-    return parsed(pages, *keep).select(
+    return found(pages, *keep, facts=FACT_ROWS, online=PLAYER_ROWS).select(
         *keep,
         F.coalesce(digits_int(fact(PLAYERS_ONLINE)), F.lit(0)).alias("players_online"),
         month_year(fact(CREATION_DATE)).alias("creation_date"),
@@ -211,19 +141,24 @@ def world_page(pages: DataFrame, *keep: str) -> DataFrame:
         fact(PVP_TYPE).alias("pvp_type"),
         fact(GAME_WORLD_TYPE).alias("game_world_type"),
         F.lit(None).cast("string").alias("transfer_type"),
-        F.transform(F.filter("rows", is_player), lambda r: r["cell_links"]).alias("players"),
+        F.transform(F.filter("online", is_player), name).alias("players"),
     )
 
 
 def former_names(pages: DataFrame, name_col: str, *keep: str) -> DataFrame:
     """Character pages as ``former_names``, comma-separated; the name itself where the page lists none."""
-    own = F.filter("rows", lambda r: inside(r["within"], "table.TableContent") & has_label(r["row_text"], FORMER_NAMES))
-    found = F.element_at(F.get(own, F.lit(0))["cells"], -1)
-    return parsed(pages, name_col, *keep).select(name_col, *keep, F.coalesce(found, name_col).alias("former_names"))
+    own = F.filter("rows", lambda r: has_label(r["text"], FORMER_NAMES))
+    listed = F.try_element_at(part(F.get(own, F.lit(0)), "cells"), F.lit(-1))
+    return found(pages, name_col, *keep, rows=CONTENT_ROWS).select(name_col, *keep, F.coalesce(listed, name_col).alias("former_names"))
 
 
 def highscores(pages: DataFrame, *keep: str) -> DataFrame:
     """Highscore pages as ``(rank, name, value)``; rows with under three cells, rank 0 or a blank name are dropped."""
-    rows = table_rows(pages, *keep).filter(inside(F.col("within"), "table.TableContent") & (F.size("cells") >= 3))
+    rows = _cells(pages, keep, CONTENT_ROWS, 3)
     read = rows.select(*keep, digits_int(F.get("cells", F.lit(0))).alias("rank"), clean(F.get("cells", F.lit(1))).alias("name"), digits_long(F.get("cells", F.lit(2))).alias("value"))
     return read.filter((F.col("rank") > 0) & ~is_blank(F.col("name")))
+
+
+def titles(pages: DataFrame, *keep: str) -> DataFrame:
+    """Each page's first title, null without one."""
+    return found(pages, *keep, titles=Find("title")).select(*keep, F.get("titles", F.lit(0))["text"].alias("title"))

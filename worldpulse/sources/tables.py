@@ -34,6 +34,7 @@ def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("url"), F.col("modificationTime").alias("fetched_at"), F.decode("content", "UTF-8").alias("html"))
 
 
+# The addresses' patterns, here and in the three functions that follow.
 def world_list_url(base: Column) -> Column:
     return F.concat(base, F.lit("?subtopic=worlds"))
 
