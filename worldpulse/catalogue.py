@@ -18,7 +18,7 @@ from worldpulse.functions import columns as C
 from worldpulse.operators import cascade, identity, ledger, snapshots, stats
 from worldpulse.plans import ids, ingest
 from worldpulse.plans.store import scratch, staged
-from worldpulse.plans.tables import Changes, Tables, run
+from worldpulse.plans.tables import Changes, Tables, merged, run
 from worldpulse.sources import jdbc
 from worldpulse.sources import pages as P
 from worldpulse.sources import tables as S
@@ -443,13 +443,16 @@ def _page_players(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select(F.format_string("NATION_%d", F.col("o_orderkey") % 25).alias("name"), (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey").cast("decimal(18,6)"))).alias("fetched_at"), F.size("players").alias("players_online"), none.alias("pvp_type"), none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"), "players")
 
 
+def _known_players(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
+
+
 def _pass(spark: SparkSession, sf: str) -> Changes:
     none = F.lit(None).cast("string")
     w = view(spark, sf, "worlds")
     stored = w.select("id", "name", none.alias("pvp_type"), "location", none.alias("online_record"), F.lit(None).cast("date").alias("creation_date"), none.alias("transfer_type"), none.alias("game_world_type"))
-    known = load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast("timestamp_ntz").alias("inactive_date"))
     former = spark.createDataFrame([], "name string, former_names string")
-    return ingest.world_pass(stored, known, w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF), scratch(spark, "pass"))
+    return ingest.world_pass(stored, _known_players(spark, sf), w.select("name", none.alias("pvp_type"), "location"), _page_players(spark, sf), former, _ntz(AS_OF), scratch(spark, "pass"))
 
 
 _PAGES = "select o_orderkey % 25 as world_id, o_orderdate + to_seconds(o_orderkey) as scrape_time, count(distinct l_suppkey) as players_online from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate"
@@ -473,7 +476,7 @@ def pass_players(spark: SparkSession, sf: str) -> DataFrame:
 @query("select s_name as name, true as active from supplier where s_nationkey < 12 union select 'Supplier#' || lpad(cast(l_suppkey as varchar), 9, '0'), true from lineitem")
 def pass_names(spark: SparkSession, sf: str) -> DataFrame:
     """OP-WORLD, SNK4: unknown players get a character and a first name"""
-    return _pass(spark, sf)["character_names"].select("name", "active")
+    return merged(_known_players(spark, sf), _pass(spark, sf)["character_names"]).select("name", "active")
 
 
 def _returning(spark: SparkSession, sf: str) -> str:

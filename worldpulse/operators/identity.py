@@ -64,26 +64,26 @@ def resolve(seen: DataFrame, names: DataFrame, cutoff: Column) -> DataFrame:
     return known.select(*seen.columns, found.alias("character_id"), found.isNull().alias("is_new"))
 
 
-def apply_names(names: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The name history after names were seen: a character seen under another name than its active one is renamed.
+def name_changes(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The rows of ``names`` that change and those that are added after names were seen: a character seen under another name than its active one is renamed.
 
     The active version ends when the new one is seen; a character that is new gets its first version.
-    Running it again with the same rows changes nothing.
+    The names of the characters that were seen are all it looks at; run again with the same rows it gives none.
     """
+    until = names.schema["inactive_date"].dataType
     now = resolved.groupBy("character_id").agg(F.max_by(F.struct("name", "seen_at"), F.struct("seen_at", "name")).alias("now")).select("character_id", F.col("now.name").alias("now_name"), F.col("now.seen_at").alias("now_at"))
-    joined = names.join(now, "character_id", "left")
-    ends = F.col("active") & F.col("now_name").isNotNull() & (F.col("now_name") != F.col("name"))
-    kept = joined.select(
-        "id",
-        "character_id",
-        "name",
-        F.when(ends, F.lit(False)).otherwise(F.col("active")).alias("active"),
-        F.when(ends, F.col("now_at").cast(names.schema["inactive_date"].dataType)).otherwise(F.col("inactive_date")).alias("inactive_date"),
-    )
+    ended = names.filter("active").join(now, "character_id").filter(F.col("now_name") != F.col("name"))
+    closed = ended.select("id", "character_id", "name", F.lit(False).alias("active"), F.col("now_at").cast(until).alias("inactive_date"))
     has = names.filter("active").select("character_id", F.col("name").alias("now_name"))
     started = now.join(has, ["character_id", "now_name"], "left_anti")
-    added = started.select(new_id(F.lit("name"), "character_id", "now_name", "now_at").alias("id"), "character_id", F.col("now_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast(names.schema["inactive_date"].dataType).alias("inactive_date"))
-    return kept.unionByName(added)
+    added = started.select(new_id(F.lit("name"), "character_id", "now_name", "now_at").alias("id"), "character_id", F.col("now_name").alias("name"), F.lit(True).alias("active"), F.lit(None).cast(until).alias("inactive_date"))
+    return closed.unionByName(added)
+
+
+def apply_names(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The whole name history after :func:`name_changes`."""
+    changed = name_changes(names, resolved)
+    return names.select("id", "character_id", "name", "active", "inactive_date").join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
 def history(observations: DataFrame, key: str, value: str, *order: str) -> DataFrame:

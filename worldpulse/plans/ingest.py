@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldpulse.operators.identity import apply_names, holders, new_id, resolve
+from worldpulse.operators.identity import holders, name_changes, new_id, resolve
 from worldpulse.operators.snapshots import latest_rows
 from worldpulse.operators.stats import read_pages
 from worldpulse.plans.ids import allocate
@@ -60,7 +60,7 @@ def world_pass(worlds: DataFrame, names: DataFrame, overview: DataFrame, pages:
     and resolved names, so that they are worked out once, not once per result; ``after`` is the last character id in use.
     """
     own = staged(pages.join(overview.select("name").distinct(), "name", "left_semi"), staging, "pages")
-    next_worlds = upsert_worlds(worlds, overview, own)
+    next_worlds = staged(upsert_worlds(worlds, overview, own), staging, "worlds")
     stamped = own.join(next_worlds.select("name", F.col("id").alias("world_id")), "name")
     scrape_id = new_id(F.lit("scrape"), "world_id", "fetched_at")
     scrapes = stamped.select(scrape_id.alias("id"), "world_id", F.col("fetched_at").alias("scrape_time"), "players_online")
@@ -70,8 +70,10 @@ def world_pass(worlds: DataFrame, names: DataFrame, overview: DataFrame, pages:
     asked = seen.join(listed, "name", "left").withColumn("former_names", F.coalesce("former_names", "name"))
     resolved, last = _numbered(resolve(asked, names, as_of - F.make_interval(months=F.lit(6))), last_character(names) if after is None else after, staging)
     players = online.join(resolved.select(F.col("name").alias("player"), "character_id"), "player")
+    # Most worlds and names are as they were: only what differs is merged in.
+    changed_worlds = next_worlds.join(worlds, [next_worlds[c].eqNullSafe(worlds[c]) for c in next_worlds.columns], "left_anti")
     return Changes(
-        replaced={"worlds": next_worlds, "character_names": apply_names(names, resolved)},
+        merged={"worlds": changed_worlds, "character_names": name_changes(names, resolved)},
         appended={
             "scrapes": scrapes,
             "characters": new_characters(resolved),

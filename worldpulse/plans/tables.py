@@ -3,7 +3,7 @@
 A commit names the folders ("parts") that each table consists of, the number up to which ids are given out, and the passes
 that it holds. A pass writes new parts beside the others and then moves the log on by one rename (:mod:`commits`):
 readers see all its tables or none, a pass that dies leaves the last commit as it was, of two passes at once one is refused,
-and one that is run again under its name changes nothing.
+and one that is run again under its name changes nothing. A merge writes only those files anew that hold one of its keys.
 
 Tables that questions read by key have a layout: parts are partitioned by a hash of the key and, for snapshots, by day, and
 files are sorted by key and time, so a question about one world or character opens few files and exchanges none of their rows.
@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 
 from worldpulse import schemas
 from worldpulse.plans import commits
+from worldpulse.plans.store import staged
 
+#: Up to so many ids are looked for in the files by a filter of the scan.
+FEW_IDS = 1_000
 #: Passes are remembered by name this long; a pass isn't repeated after so many others.
 REMEMBERED = 10_000
 
@@ -58,16 +61,22 @@ LAYOUTS = {
 MAINTAINED = {"scrapes_latest": schemas.TABLES["scrapes"]}
 
 
+def merged(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """``rows`` with those of ``changed`` in place of the ones of their ids."""
+    return rows.join(changed.select("id"), "id", "left_anti").select(*changed.columns).unionByName(changed)
+
+
 @dataclass
 class Changes:
-    """What a pass changes: next states, rows to append, and the last ids that it has given out."""
+    """What a pass changes: next states, rows to append, rows to merge by ``id``, and the last ids that it has given out."""
 
     replaced: dict[str, DataFrame] = field(default_factory=dict)
     appended: dict[str, DataFrame] = field(default_factory=dict)
+    merged: dict[str, DataFrame] = field(default_factory=dict)
     marks: dict[str, int] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.replaced[name] if name in self.replaced else self.appended[name]
+        return next(kind[name] for kind in (self.replaced, self.merged, self.appended) if name in kind)
 
 
 class Tables:
@@ -77,6 +86,8 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.at, state = commits.latest(spark, self.folder)
         self.parts: dict[str, list[str]] = state.get("parts", {})
+        #: Files of parts whose rows a merge has written anew, by table and part.
+        self.gone: dict[str, dict[str, list[str]]] = state.get("gone", {})
         self.marks: dict[str, int] = state.get("marks", {})
         self.passes: list[str] = state.get("passes", [])
 
@@ -97,7 +108,15 @@ class Tables:
             extra = {"_bucket": T.IntegerType(), "_day": T.DateType()}
             schema = T.StructType([f for f in schema if f.name not in LAYOUTS[name].by] + [T.StructField(c, extra.get(c, T.StringType())) for c in LAYOUTS[name].partitions()])
         reader = self.spark.read.schema(T.StructType([*schema, T.StructField("part", T.StringType())])).option("basePath", f"{self.folder}/{name}")
-        return reader.parquet(*[f"{self.folder}/{name}/part={p}" for p in parts]).drop("part")
+        return reader.parquet(*[path for p in parts for path in self._paths(name, p)]).drop("part")
+
+    def _paths(self, name: str, part: str) -> list[str]:
+        """A part's folder, or, if a merge has taken files out of it, those that are left."""
+        path, gone = f"{self.folder}/{name}/part={part}", set(self.gone.get(name, {}).get(part, ()))
+        if not gone:
+            return [path]
+        listed = commits.files(self.spark, path).listStatus(commits.hadoop_path(self.spark, path))
+        return [f"{path}/{n}" for s in listed if (n := s.getPath().getName())[0] not in "._" and n not in gone]
 
     def read(self, name: str) -> DataFrame:
         """A table with its declared columns."""
@@ -123,19 +142,48 @@ class Tables:
         if layout:
             layout.arranged(rows).write.partitionBy(*layout.partitions()).parquet(path)
         else:
-            rows.write.parquet(path)
+            # Sorted by id, files have ranges that a merge can tell from the footers; the Bloom filter tells which of these have a key.
+            ordered = rows.repartitionByRange("id").sortWithinPartitions("id") if "id" in rows.columns else rows
+            ordered.write.options(**{"parquet.bloom.filter.enabled#id": "true"}).parquet(path)
         return part
 
+    def _merge(self, name: str, changed: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
+        """A table's parts, and files taken out of them, once ``changed`` has replaced or joined the rows of its ids.
+
+        Only files that hold such an id are written anew, in one part with the changed rows; the others keep their names.
+        """
+        schema = self.schema(name)
+        changed = staged(changed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), f"{self.folder}/_staging", name)
+        ids = [r["id"] for r in changed.select("id").limit(FEW_IDS + 1).collect()]
+        if not ids:
+            return self.parts.get(name, []), self.gone.get(name, {})
+        touched = []
+        if self.parts.get(name):
+            stored = self._rows(name).select("id", F.col("_metadata.file_path").alias("file"))
+            # Few ids go into the scan, where ranges and Bloom filters skip row groups; many are joined.
+            held = stored.filter(F.col("id").isin(ids)) if len(ids) <= FEW_IDS else stored.join(changed.select("id"), "id", "left_semi")
+            touched = [r["file"] for r in held.select("file").distinct().collect()]
+        rewritten = changed
+        if touched:
+            rewritten = merged(self.spark.read.schema(schema).parquet(*touched), changed)
+        gone = {p: list(files) for p, files in self.gone.get(name, {}).items()}
+        for path in touched:
+            part, file = path.rsplit("/", 2)[1:]
+            gone.setdefault(part.removeprefix("part="), []).append(file)
+        return [*self.parts.get(name, []), self._write(name, rewritten)], gone
+
     def commit(self, pass_id: str, changes: Changes) -> Tables:
         """The tables after a pass; as they are, if it is in them already. :class:`commits.Conflict` if another one came first."""
         if pass_id in self.passes:
             return self
-        parts = dict(self.parts)
+        parts, gone = dict(self.parts), dict(self.gone)
         for name, rows in changes.replaced.items():
-            parts[name] = [self._write(name, rows)]
+            parts[name], gone[name] = [self._write(name, rows)], {}
+        for name, rows in changes.merged.items():
+            parts[name], gone[name] = self._merge(name, rows)
         for name, rows in changes.appended.items():
             parts[name] = [*parts.get(name, []), self._write(name, rows)]
-        content: dict[str, Any] = {"parts": parts, "marks": self.marks | changes.marks, "passes": [*self.passes, pass_id][-REMEMBERED:]}
+        content: dict[str, Any] = {"parts": parts, "gone": gone, "marks": self.marks | changes.marks, "passes": [*self.passes, pass_id][-REMEMBERED:]}
         commits.commit(self.spark, self.folder, self.at, content)
         return Tables(self.spark, self.folder)
 
@@ -144,7 +192,7 @@ class Tables:
         return self.commit(f"compact-{uuid.uuid4().hex}", Changes(replaced={name: self.read(name) for name in names if len(self.parts.get(name, [])) > 1}))
 
     def vacuum(self) -> int:
-        """Delete the parts that the last commit doesn't name; how many. Not while a pass is being written."""
+        """Delete the parts and files that the last commit doesn't name; how many. Not while a pass is being written."""
         now = Tables(self.spark, self.folder)
         fs, gone = commits.files(self.spark, self.folder), 0
         for name in now.parts:
@@ -152,6 +200,9 @@ class Tables:
             for s in fs.listStatus(commits.hadoop_path(self.spark, f"{self.folder}/{name}")):
                 if s.getPath().getName().startswith("part=") and s.getPath().getName() not in kept:
                     gone += bool(fs.delete(s.getPath(), True))
+            for part, taken in now.gone.get(name, {}).items():
+                for file in taken:
+                    gone += bool(fs.delete(commits.hadoop_path(self.spark, f"{self.folder}/{name}/part={part}/{file}"), False))
         return gone
 
 
