@@ -32,7 +32,6 @@ TABLES = {
 #: character has one active name.
 UNIQUE = {
     "worlds": [("name",)],
-    "characters": [("id",)],
     "character_names": [("name", "active"), ("character_id", "active")],
     "guilds": [("name",)],
     "users": [("username",)],
@@ -66,11 +65,12 @@ CASCADES = {
 }
 
 
-def violations(name: str, rows: DataFrame, others: dict[str, DataFrame] | None = None) -> DataFrame:
+def violations(name: str, rows: DataFrame, others: dict[str, DataFrame] | None = None, ids: bool = False) -> DataFrame:
     """``(rule, n)``: how many rows (or keys) break each rule of table ``name``; rules that hold are listed with 0.
 
     One pass counts nulls and values outside their set; a key's repeats and dangling references take one
-    aggregation or anti-join each. ``others`` has the tables that references point to.
+    aggregation or anti-join each. ``others`` has the tables that references point to;
+    ``ids`` asks whether ids repeat too.
     """
     needed = [f.split()[0] for f in TABLES[name].split(", ") if f.endswith("not null")]
     checks = {f"{c} is null": F.col(c).isNull() for c in needed if c in rows.columns}
@@ -80,7 +80,7 @@ def violations(name: str, rows: DataFrame, others: dict[str, DataFrame] | None =
     if checks:
         counted = rows.agg(*[F.count_if(c).alias(rule) for rule, c in checks.items()])
         found.append(counted.unpivot([], list(checks), "rule", "n"))
-    for keys in map(list, UNIQUE.get(name, [])):
+    for keys in map(list, [*UNIQUE.get(name, []), *[("id",)] * ids]):
         if not set(keys) <= set(rows.columns):
             continue
         known = rows.filter("active") if "active" in keys else rows
