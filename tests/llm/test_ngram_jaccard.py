@@ -94,6 +94,20 @@ def test_edges(spark):
     assert N.join(docs.limit(0)).count() == 0 and N.keep_one(docs.limit(0)).count() == 0
 
 
+def test_one_row_stays_however_scans_are_split(spark, tmp_path):
+    """Rows are found again by their place in the files, also where the second scan has other partitions than the first."""
+    rows = [(k % 40, f"copy number {k % 20} of some text that comes again and again") for k in range(200)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        kept = N.keep_one(spark.read.parquet(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "600b")
+        assert sorted(map(tuple, kept.collect())) == sorted(rows[:20])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (40, 0)]
     out = {r["v"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +88,11 @@ def _identity(s: np.ndarray, shared: frozenset[int] = frozenset()) -> int | None
     return _hash(s, 1) if name in shared else name
 
 
-PROFILE = "row long, doc_id long, n long, v long, w long, h long, c long"
+PROFILE = "row string, doc_id long, n long, v long, w long, h long, c long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row its number and id, its set's size, name and second hash; and, of the task's distinct sets, the shingles that repeat, with their counts."""
+    """For each row its place and id, its set's size, name and second hash; and, of the task's distinct sets, the shingles that repeat, with their counts."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -100,7 +101,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         h, c = h[c > 1].view(np.int64), c[c > 1]
         none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(h), pa.array(c)], names=["row", "doc_id", "n", "v", "w", "h", "c"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), none, none, none, none, pa.array(h), pa.array(c)], names=["row", "doc_id", "n", "v", "w", "h", "c"])
 
     for ids, sets, rows in _blocks(batches, 2):
         names = [_identity(s) for s in sets]
@@ -111,8 +112,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 size += len(s)
         none = pa.nulls(len(ids), pa.int64())
-        columns = [rows, ids, [len(s) for s in sets], names, second]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], none, none], names=["row", "doc_id", "n", "v", "w", "h", "c"])
+        columns = [ids, [len(s) for s in sets], names, second]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), *[pa.array(c, pa.int64()) for c in columns], none, none], names=["row", "doc_id", "n", "v", "w", "h", "c"])
         if size >= HELD_SHINGLES:
             yield repeated()
             held, size = [], 0
@@ -291,14 +292,20 @@ def derived(docs: DataFrame, pairs: DataFrame, star_links: DataFrame, least: Dat
     return links
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
+def place(docs: DataFrame) -> Column:
+    """The file that holds a row of the stored table ``docs``, and its number there: the same in every scan, however it is split among tasks."""
+    at = docs.metadataColumn("_metadata")
+    return F.concat_ws("#", at.getField("file_path"), F.lpad(at.getField("row_index").cast("string"), 19, "0"))
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST, row: Column | None = None) -> DataFrame:
     """``(row, doc_id, n_shingles, component, component_id)`` for every row of ``docs``.
 
-    ``row`` numbers the rows of ``docs`` as ``monotonically_increasing_id`` does; ``component`` is the name of the
+    ``row`` is the string by which the caller knows a row, null where none is given; ``component`` is the name of the
     component's least set, null for a row without words.
     """
     texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    numbered = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    numbered = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), (F.lit(None).cast("string") if row is None else row).alias("row"))
     profile = materialize(numbered.mapInArrow(_profile, PROFILE), "op7-profile")
     rows = profile.filter("h is null").select("row", "doc_id", "n", "v", "w")
     least = rows.filter("v is not null").groupBy("v").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"), F.min("w").alias("low"), F.max("w").alias("high"))
@@ -361,14 +368,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_l
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of ``docs``, a stored table: the one of the smallest ``doc_id``, then the first.
+    """One row of each component, with the columns of ``docs``: the one of the smallest ``doc_id``, then the first.
 
-    Rows of different components all stay, whatever their ids, and so do rows without words. A null id counts as
+    ``docs`` is a stored table; any other is stored first, since rows are found again by their place in its files. Rows of different components all stay, whatever their ids, and so do rows without words. A null id counts as
     larger than any other, so a copy without an id goes where its original is known.
     """
-    found = materialize(placed(docs), "op7-rows")
+    try:
+        row = place(docs)
+    except AnalysisException:
+        docs = materialize(docs, "op7-docs")
+        row = place(docs)
+    found = materialize(placed(docs, row=row), "op7-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     kept = found.filter("component is not null").groupBy("component").agg(first.alias("first")).select("first.row")
     kept = kept.unionByName(found.filter("component is null").select("row"))
-    packed = pack(docs, docs.columns, at=F.monotonically_increasing_id())
+    packed = pack(docs, docs.columns, at=row)
     return packed.join(kept.withColumnRenamed("row", "at"), "at", "left_semi").select(*unpack(docs.columns))
