@@ -84,7 +84,7 @@ def test_empty_documents(spark, sf):
 
 def test_one_query_per_operator():
     names = [n for n in queries.queries() if n != "quoted_conversations"]
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_nulls_repeats_and_long_texts(spark, sf):
