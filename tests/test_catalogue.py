@@ -51,6 +51,17 @@ def test_titles_that_end_within_a_reference(spark, tmp_path):
     assert found[0] == "a & b &amp" and found[2] == "<i&gt" and found[9] is None
 
 
+def test_two_pages_of_a_world_at_one_time_are_one_snapshot(spark, sf, tmp_path):
+    for t in ("nation", "region", "supplier"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    # The world is a key's remainder by 25, the time a date and the key in seconds: orders 25 and 50 meet.
+    orders = [(25, "2000-01-01 00:00:25"), (50, "2000-01-01 00:00:00"), (75, "2000-01-01 00:00:00")]
+    spark.createDataFrame(orders, "o_orderkey long, at string").select("o_orderkey", F.col("at").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(25, 1), (25, 2), (50, 2), (50, 3), (75, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [r[2] for r in as_by_sql(spark, tmp_path, "pass_players")] == [3, 1]
+
+
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 

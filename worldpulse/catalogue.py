@@ -469,7 +469,9 @@ def pass_players(spark: SparkSession, sf: str) -> DataFrame:
     """OP-WORLD, SNK2, AGG4, JOIN6: players per snapshot, and how many were known before"""
     out = _pass(spark, sf)
     known = load(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("character_id"), F.lit(1).alias("one"))
-    joined = out["scrape_players"].join(out["scrapes"].select(F.col("id").alias("scrape_id"), "world_id", "scrape_time"), "scrape_id").join(known, "character_id", "left")
+    # Two pages of a world at one time are one snapshot: same id, players of both.
+    scrapes = out["scrapes"].select(F.col("id").alias("scrape_id"), "world_id", "scrape_time").distinct()
+    joined = out["scrape_players"].join(scrapes, "scrape_id").join(known, "character_id", "left")
     return joined.groupBy("world_id", "scrape_time").agg(F.count("*").alias("players"), F.count("one").alias("known"))
 
 
