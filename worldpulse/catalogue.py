@@ -819,7 +819,7 @@ def names_per_page(spark: SparkSession, sf: str) -> DataFrame:
 @query("select c_name as name, case when c_custkey % 3 = 0 then 'Old ' || cast(c_custkey as varchar) || ', Older' else c_name end as former_names from customer")
 def former_name_pages(spark: SparkSession, sf: str) -> DataFrame:
     """SRC3, FLT17: a character page per customer, every third one with former names"""
-    c, k = load(spark, sf, "customer"), F.col("c_custkey")
+    c, k = P.dealt(load(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey"), F.col("c_custkey")
     former = F.when(k % 3 == 0, _row(P.FORMER_NAMES, F.concat(F.lit("Old "), k.cast("string"), F.lit(",  Older")))).otherwise(F.lit(""))
     pages = c.select(F.col("c_name").alias("name"), _tag("table", _row("Name:", F.col("c_name")), former, _row("Level:", "8"), attributes='class="TableContent"').alias("html"))
     return P.former_names(pages, "name")
