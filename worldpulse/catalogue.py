@@ -31,6 +31,8 @@ WORLD, FROM, TO = "NATION_3", "2024-01-05 00:00:00", "2024-01-06 00:00:00"
 STAT_NAMES = ("Customer#000000001", "Customer#000000002", "Customer#000000004")
 CATEGORY = "1-URGENT"
 BASE = "https://game.example/community/"
+#: Keys that a page of each of the five segments' lists is for, so that it has about 50 rows, as the site's pages do.
+KEYS_PER_PAGE = 250
 
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
@@ -827,10 +829,11 @@ def former_name_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select c_mktsegment as list, cast(c_custkey as int) as rank, c_name as name, cast(c_custkey * 1234567 as bigint) as value from customer where c_custkey > 0")
 def highscore_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC4, FN-LONG: a list per segment, with a header and rows of rank 0, without a name, and too short"""
-    c = load(spark, sf, "customer")
-    row = _row(F.col("c_custkey").cast("string"), F.col("c_name"), _grouped(F.col("c_custkey") * 1234567))
-    lists = c.groupBy(F.col("c_mktsegment").alias("list")).agg(_joined("c_custkey", row=row).alias("rows"))
+    """SRC4, FN-LONG: a list per segment in pages of about 50 rows, each with a header and rows of rank 0, without a name, and too short"""
+    key = F.col("c_custkey")
+    c = P.dealt(load(spark, sf, "customer").select(F.col("c_mktsegment").alias("list"), F.floor(key / KEYS_PER_PAGE).alias("page"), "c_custkey", "c_name"), "list", "page")
+    row = _row(key.cast("string"), F.col("c_name"), _grouped(key * 1234567))
+    lists = c.groupBy("list", "page").agg(_joined("c_custkey", row=row).alias("rows"))
     pages = lists.select("list", _tag("table", _row("Rank", "Name", "Points"), F.col("rows"), _row("0", "Zero", "1"), _row("1", " ", "1"), _row("2", "short"), attributes='class="TableContent"').alias("html"))
     return P.highscores(pages, "list")
 
