@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
+from unittest.mock import MagicMock
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from worldpulse.operators import identity
@@ -15,6 +17,16 @@ def test_forgotten_at():
     assert names.forgotten_at(datetime(2023, 10, 31)) == datetime(2024, 5, 1)
 
 
+def test_observations_of_a_key_go_to_its_state_in_one_message():
+    handle, processor = MagicMock(), names.Names()
+    processor.init(handle)
+    handle.reset_mock()
+    list(processor.handleInputRows((1,), iter([Row(micros=5_000 * k + 1, id=k, name="a") for k in range(100, 0, -1)]), None))
+    # One for all rows, and a timer for the earliest.
+    assert len(handle.mock_calls) == 2
+    handle.registerTimer.assert_called_once_with(6)
+
+
 def run(spark, path, tmp_path, schema):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     found = names.changes(stream, "key", "name", "seen_at", "id", late_by="3 days")
