@@ -1,8 +1,14 @@
+import os
+import subprocess
+import sys
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import ROOT
+from worldpulse import catalogue
 from worldpulse.operators import cascade
 from worldpulse.schemas import REFERENCES
 from worldpulse.sources import jdbc
@@ -41,6 +47,37 @@ def test_merge_by_key(spark, url):
     assert jdbc.read(spark, url, "empty", **DRIVER).count() == 2
 
 
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from worldpulse import catalogue
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", f"file://{sys.argv[2]}").getOrCreate()
+catalogue.queries()["jdbc_round_trip"](spark, sys.argv[1]).write.parquet(f"{sys.argv[2]}/out")
+"""
+
+
+def test_round_trip_on_executors_of_their_own(sf, tmp_path):
+    done = subprocess.run([sys.executable, "-c", CLUSTER, sf, str(tmp_path)], capture_output=True, text=True, timeout=180, env=os.environ | {"PYTHONPATH": ROOT}, cwd=tmp_path)
+    assert done.returncode == 0, done.stderr[-2000:]
+    c = duckdb.connect()
+    for t in ("customer", "nation"):
+        c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    expected = c.execute(catalogue.oracle_sql()["jdbc_round_trip"]).fetchall()
+    found = c.execute(f"select id, username, roles, in_ranges, filtered_there from read_parquet('{tmp_path}/out/*.parquet')").fetchall()
+    assert sorted(found) == sorted(expected)
+
+
+def test_texts_come_through_files_as_they_are(spark, tmp_path):
+    texts = [None, "", " a ", 'q"uo"te', "com,ma", "li\nne", "it's", "\\", "ä€"]
+    rows = spark.createDataFrame([(k, t, None if k % 2 else k) for k, t in enumerate(texts)], "id long, t string, n int")
+    database = jdbc.Embedded(spark, str(tmp_path / "db"))
+    database.write(rows, database.url, "texts", "id")
+    found = jdbc.read(spark, database.publish(), "texts", driver=database.DRIVER)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError, match="local path"):
+        jdbc.Embedded(spark, "hdfs://there/db")
+
+
 def test_a_table_comes_after_what_it_refers_to():
     order = cascade.order()
     assert all(order.index(child) > order.index(target) for (child, _), target in REFERENCES.items())

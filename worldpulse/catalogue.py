@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
@@ -848,15 +847,12 @@ def user_by_name(spark: SparkSession, sf: str) -> DataFrame:
 @query("select cast(c_custkey as bigint) as id, case when c_custkey % 10 = 0 then 'merged' else c_name end as username, c_mktsegment as roles, true as in_ranges, true as filtered_there from customer where c_mktsegment = 'BUILDING' and c_custkey > 20 union all select n_nationkey + 1000000, n_name, 'BUILDING', true, true from nation")
 def jdbc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """SRC7, SNK7: users in a database (the embedded one that comes with Spark), merged by key, read in ranges that it gives, filtered there"""
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("the embedded database lives in one process; pass another one's address to worldpulse.sources.jdbc")
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    database = jdbc.Embedded(spark, scratch(spark, "database"))
     users = load(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("roles"))
-    jdbc.write(users.repartition(4), url, "users", driver=driver)
+    database.write(users.repartition(4), database.url, "users", "id")
     fresh = load(spark, sf, "nation").select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), F.col("n_name").alias("username"), F.lit("BUILDING").alias("roles"))
-    jdbc.upsert(users.filter("id % 10 = 0").withColumn("username", F.lit("merged")).unionByName(fresh), url, "users", "id", driver=driver)
-    rows = jdbc.read(spark, url, "users", range_rows=50, driver=driver)
+    jdbc.upsert(users.filter("id % 10 = 0").withColumn("username", F.lit("merged")).unionByName(fresh), database.url, "users", "id", put=database.write, driver=database.DRIVER)
+    rows = jdbc.read(spark, database.publish(), "users", range_rows=50, driver=database.DRIVER)
     found = rows.filter("roles = 'BUILDING' and id > 20")
     return found.withColumns({"in_ranges": F.lit(rows.rdd.getNumPartitions() > 1), "filtered_there": F.lit("EqualTo(roles,BUILDING)" in jdbc.pushed(found))})
 
