@@ -47,6 +47,7 @@ LENGTH = 512
 SHARD_RECORDS, SHARDS_PER_PARTITION = 16_384, 8
 KEY = 20_240_229
 ROUNDS, WALK = 8, 128
+WAVES = 2
 HEADER, HEADER_BYTES, END_BYTES = ">qii", 16, 2
 CODED = "doc_id long, ids binary, n_tokens long, n_seq long, before long"
 
@@ -108,8 +109,12 @@ def slot_of(number: Column, n: int, key: int = KEY) -> Column:
         halves = F.struct(F.shiftright(x, right_bits).alias("left"), x.bitwiseAND(right_mask).alias("right"))
         return F.aggregate(rounds, halves, step, lambda h: F.shiftleft(h["left"], right_bits).bitwiseOR(h["right"]))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(number), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk of the permutation is too long: take another key")).cast("long"))
+    # An array of one value binds it, so that nothing is worked out twice; most walks end at once, few are long.
+    walked = F.array(once(number))
+    for steps in (1, 7, WALK - 8):
+        walked = F.transform(walked, lambda x: F.when(x < n, x).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda y, _: F.when(y >= n, once(y)).otherwise(y))))  # noqa: B023  used at once
+    failed = F.raise_error(F.lit("a walk of the permutation is too long: take another key")).cast("long")
+    return F.get(F.transform(walked, lambda x: F.when(x < n, x).otherwise(failed)), F.lit(0))
 
 
 def special_tokens(tokenizer_path: str) -> dict[str, int]:
@@ -185,19 +190,30 @@ def places(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SH
     return _placed(rows, total, key, shard_records, length).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens")
 
 
-def in_order(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION) -> DataFrame:
-    """The sequences ``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of ``codes``: a partition per run of shards, sorted by slot."""
+def in_order(codes: DataFrame, total: int, key: int = KEY, shard_records: int = SHARD_RECORDS, length: int = LENGTH, shards_per_partition: int = SHARDS_PER_PARTITION, runs: tuple[int, int] | None = None) -> DataFrame:
+    """The sequences ``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of ``codes``: a partition per run of shards, sorted by slot.
 
-    def cut(k: Column) -> Column:
-        return F.struct(k.cast("int").alias("seq"), F.substring(F.col("ids"), (1 + 2 * length * k).cast("int"), F.lit(2 * length)).alias("part"))
+    ``runs`` asks for those runs of shards only, from the first to before the second.
+    """
+    per = shard_records * shards_per_partition
+    first, end = runs or (0, max(1, -(-total // per)))
+
+    def placed(k: Column) -> Column:
+        return F.struct(k.cast("int").alias("seq"), slot_of(F.col("start") + k, total, key).alias("slot"))
+
+    def asked(p: Column) -> Column:
+        return (p["slot"] >= first * per) & (p["slot"] < end * per)
+
+    def cut(p: Column) -> Column:
+        return F.struct(p["seq"].alias("seq"), p["slot"].alias("slot"), F.substring(F.col("ids"), 1 + 2 * length * p["seq"], F.lit(2 * length)).alias("part"))
 
     # The parts of a text are one array as large as the text's ids; only they go on, so a long text isn't copied for each.
-    parts = codes.select("doc_id", "start", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_seq") - 1), cut).alias("parts"))
-    found = parts.select("doc_id", "start", F.inline("parts")).withColumnRenamed("part", "ids")
-    rows = found.select("doc_id", "seq", F.floor(F.length("ids") / 2).cast("int").alias("n_tokens"), "ids", (F.col("start") + F.col("seq")).alias("number"))
-    own = _placed(rows, total, key, shard_records, length).select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids")
-    per = shard_records * shards_per_partition
-    return own.repartitionById(max(1, -(-total // per)), F.floor(F.col("slot") / per).cast("int")).sortWithinPartitions("shard", "slot")
+    slots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_seq") - 1), placed)
+    parts = codes.select("doc_id", F.transform(F.filter(slots, asked) if runs else slots, cut).alias("parts"))
+    found = parts.select("doc_id", F.inline("parts")).withColumnRenamed("part", "ids")
+    shard = F.floor(F.col("slot") / shard_records).cast("int")
+    own = found.select("slot", shard.alias("shard"), ((F.col("slot") % shard_records) * stride(length)).alias("offset"), "doc_id", "seq", F.floor(F.length("ids") / 2).cast("int").alias("n_tokens"), "ids")
+    return own.repartitionById(end - first, F.floor(F.col("slot") / per).cast("int") - first).sortWithinPartitions("shard", "slot")
 
 
 def record(length: int = LENGTH) -> Column:
@@ -213,11 +229,15 @@ def write_shards(codes: DataFrame, total: int, folder: str, key: int = KEY, shar
     taken from the files as they were written.
     """
     spark = codes.sparkSession
-    ordered = in_order(codes, total, key, shard_records, length, shards_per_partition)
-    with exchanges_deleted(spark):
-        # A text writer puts a value's bytes as they are, then the line's end.
-        lines = ordered.select("shard", record(length).cast("string").alias("value"))
-        lines.write.partitionBy("shard").options(lineSep="\0", maxRecordsPerFile=0).text(folder)
+    n = max(1, -(-total // (shard_records * shards_per_partition)))
+    # Each wave's exchange is deleted before the next one's is made, so only a part of the ids is ever on disk a third time.
+    bounds = sorted({n * w // WAVES for w in range(WAVES + 1)})
+    for runs in zip(bounds, bounds[1:], strict=False):
+        ordered = in_order(codes, total, key, shard_records, length, shards_per_partition, runs)
+        with exchanges_deleted(spark):
+            # A text writer puts a value's bytes as they are, then the line's end.
+            lines = ordered.select("shard", record(length).cast("string").alias("value"))
+            lines.write.mode("append").partitionBy("shard").options(lineSep="\0", maxRecordsPerFile=0).text(folder)
     if not total:
         return places(codes, total, key, shard_records, length).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("file_bytes", "long"), ("file_sha256", "string"))])
     shard, name = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int"), F.regexp_extract("path", r"(shard=\d+/[^/]+)$", 1)
