@@ -100,3 +100,13 @@ def test_a_large_group_of_equal_rows_is_spread(spark):
     docs = spark.createDataFrame([(None, "one text for all of them")] * 3_000 + [(k, f"text {k}") for k in range(300)], "doc_id long, text string")
     numbered, total = T.numbered(docs.repartition(8), RANKS, public_tokenizers.PATTERN)
     assert total == 3_300 and sorted(r["start"] for r in numbered.select("start").collect()) == list(range(3_300))
+
+
+def test_shards_are_written_in_waves(spark, tmp_path, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("words "), F.col("id").cast("string")).alias("text"))
+    codes, total = T.numbered(docs, RANKS, public_tokenizers.PATTERN, SPECIAL, 100)
+    asked, own = [], T.in_order
+    monkeypatch.setattr(T, "in_order", lambda *a: asked.append(own(*a)) or asked[-1])
+    rows = T.write_shards(codes, total, f"file://{tmp_path}/shards", shard_records=5, length=100, shards_per_partition=2).collect()
+    slots = [[r["slot"] for r in wave.collect()] for wave in asked]
+    assert slots == [list(range(20)), list(range(20, 40))] and sorted(r["slot"] for r in rows) == list(range(40))
